@@ -31,35 +31,14 @@ def wordpunct_tokens(text: Column | str, lower: bool = True) -> Column:
 
 
 def treebank_tokens(text: Column | str, lower: bool = True) -> Column:
-    """Treebank-style word tokens (quality statistics, classifier text).
-
-    A regexp_replace chain: split off punctuation, quotes, brackets and the
-    common English contractions, then split on whitespace. Sentence splitting
-    is not modelled.
-    """
-    t = F.lower(_c(text)) if lower else _c(text)
-    t = F.regexp_replace(t, r'^"', "`` ")
-    t = F.regexp_replace(t, r'(``)', " $1 ")
-    t = F.regexp_replace(t, r'([ (\[{<])"', "$1 `` ")
-    t = F.regexp_replace(t, r"([:,])([^\d])", " $1 $2")
-    t = F.regexp_replace(t, r"([:,])$", " $1 ")
-    t = F.regexp_replace(t, r"\.\.\.", " ... ")
-    t = F.regexp_replace(t, r"([;@#$%&])", " $1 ")
-    t = F.regexp_replace(t, r'([^\.])(\.)([\]\)}>"\']*)\s*$', "$1 $2$3 ")
-    t = F.regexp_replace(t, r"([?!])", " $1 ")
-    t = F.regexp_replace(t, r"([^'])' ", "$1 ' ")
-    t = F.regexp_replace(t, r"([\]\[\(\)\{\}<>])", " $1 ")
-    t = F.regexp_replace(t, r"--", " -- ")
-    t = F.regexp_replace(t, r'"', " '' ")
-    t = F.regexp_replace(t, r"([^' ])('[sS]|'[mM]|'[dD]|') ", "$1 $2 ")
-    t = F.regexp_replace(t, r"([^' ])('ll|'LL|'re|'RE|'ve|'VE|n't|N'T) ", "$1 $2 ")
-    t = F.trim(t)
-    return F.filter(F.split(t, r"\s+"), lambda x: x != F.lit(""))
+    """Treebank-style word tokens (quality statistics, classifier text); see ``stats``."""
+    from .stats import treebank_tokens as _tb
+    return _tb(text)
 
 
 def whitespace_tokens(text: Column | str) -> Column:
-    """``str.split()``: runs of non-whitespace."""
-    return F.filter(F.split(F.trim(_c(text)), r"\s+"), lambda x: x != F.lit(""))
+    """``str.split()``: runs of non-whitespace (Unicode whitespace)."""
+    return F.filter(F.split(_c(text), WHITESPACE_CLASS + "+"), lambda x: x != F.lit(""))
 
 
 def space_split(text: Column | str) -> Column:
