@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import gumbel, pareto, seeded_order_key, seeded_uniform
@@ -262,6 +262,32 @@ def dense_index(df: DataFrame, order_cols: Sequence[str | Column], name: str = "
         .drop("_mid", "_pid", "_local", "_off")
 
 
+def prefix_sum(df: DataFrame, order_cols: Sequence[str | Column], weight_col: str, name: str = "prefix",
+               num_partitions: int | None = None) -> DataFrame:
+    """Exclusive running sum of ``weight_col`` in ``order_cols`` order, distributed.
+
+    Same shape as :func:`dense_index`: range partitions, a running sum inside
+    each partition, plus the totals of the partitions before it.
+    """
+    spark = df.sparkSession
+    p = num_partitions or spark.sparkContext.defaultParallelism
+    cols = [(_c(c)) for c in order_cols]
+    r = df.repartitionByRange(p, *cols).withColumn("_pid", F.spark_partition_id())
+    w = Window.partitionBy("_pid").orderBy(*cols).rowsBetween(Window.unboundedPreceding, -1)
+    r = r.withColumn("_run", F.coalesce(F.sum(weight_col).over(w), F.lit(0)))
+    totals = sorted((row["_pid"], row["t"] or 0) for row in
+                    r.groupBy("_pid").agg(F.sum(weight_col).alias("t")).collect())
+    offsets, acc = [], 0
+    for pid, t in totals:
+        offsets.append((int(pid), acc))
+        acc += t
+    if not offsets:
+        return df.withColumn(name, F.lit(0)).limit(0)
+    off = spark.createDataFrame(offsets, "_pid int, _off long")
+    return r.join(F.broadcast(off), "_pid").withColumn(name, F.col("_off") + F.col("_run")) \
+        .drop("_pid", "_run", "_off")
+
+
 def semi_join(corpus: DataFrame, chosen: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Chosen rows of the corpus."""
     return corpus.join(chosen.select(id_col), id_col, "left_semi")
