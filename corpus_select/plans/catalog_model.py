@@ -93,10 +93,10 @@ with {WEIGHTS_A_CTE},
 x as (select (s.log_weight > 0)::INT p, l.quality y from sc s join labels l using (doc_id)),
 c as (select sum((p = 1 and y = 1)::INT)::BIGINT tp, sum((p = 1 and y = 0)::INT)::BIGINT fp,
              sum((p = 0 and y = 1)::INT)::BIGINT fn, sum((p = 0 and y = 0)::INT)::BIGINT tn from x),
-m as (select *, case when tp + fp > 0 then tp / (tp + fp) else 0.0 end precision,
-             case when tp + fn > 0 then tp / (tp + fn) else 0.0 end recall from c)
-select tp, fp, fn, tn, round(precision, 6) precision, round(recall, 6) recall,
-       round(case when precision + recall > 0 then 2 * precision * recall / (precision + recall) else 0.0 end, 6) f1,
+m as (select *, case when tp + fp > 0 then tp / (tp + fp) else 0.0 end prec,
+             case when tp + fn > 0 then tp / (tp + fn) else 0.0 end rec from c)
+select tp, fp, fn, tn, round(prec, 6) "precision", round(rec, 6) recall,
+       round(case when prec + rec > 0 then 2 * prec * rec / (prec + rec) else 0.0 end, 6) f1,
        round((tp + tn) / (tp + fp + fn + tn), 6) accuracy from m""")
 def q_binary_metrics(spark, sf):
     """Precision / recall / F1 of 'log weight > 0' against the quality label."""
