@@ -150,3 +150,16 @@ def q_gmm_em(spark, sf):
 def q_embed_text(spark, sf):
     """Text -> 64-d hashed embedding for every document (E7 hook with the default encoder)."""
     return EM.embed(docs(spark, sf))
+
+
+@query("stream_score_filter", f"""
+with {WEIGHTS_A_CTE}
+select doc_id, log_weight from sc where length >= 100 and weight_e10 >= 0""")
+def q_stream(spark, sf):
+    """Streaming score-and-filter over the documents files: length >= 100 and weight >= 0."""
+    from ..streaming.stream import run_score_filter
+    from .catalog import model_a
+    import os
+    m = model_a(spark, sf)
+    out = run_score_filter(spark, os.path.join(sf, "documents*.parquet"), m, threshold_e10=0)
+    return out.select("doc_id", "log_weight")
