@@ -156,26 +156,17 @@ def fit(raw: DataFrame, targets: DataFrame | dict[str, DataFrame], *, n: int = 2
         target_laplace_smoothing: float = 0.0, separate_targets: bool = False,
         target_proportions: Sequence[float] | None = None, num_shards: int = 1,
         raw_features: DataFrame | None = None, target_budget=None) -> NgramModel:
-    """Fit raw and target bucket distributions.
+    """Fit raw and target bucket distributions from texts.
 
     ``raw``/targets: DataFrames with ``doc_id, text``. ``targets`` may be a
     dict name -> DataFrame (several targets); with ``separate_targets=False``
     they are pooled into one target named ``target``.
     ``num_tokens_to_fit`` bounds the raw fit (A2); targets use all tokens
-    unless ``target_budget`` is given (the reference applies the raw budget to
-    each separate target).
+    unless separate (the reference then applies the same budget per target).
     """
-    spark = raw.sparkSession
-    budget = resolve_budget(num_tokens_to_fit, num_buckets)
-
     def feats(df):
         return ngram_features(df, n=n, num_buckets=num_buckets, tokenizer=tokenizer, hash_fn=hash_fn)
 
-    rf = raw_features if raw_features is not None else feats(raw)
-    rcounts = bucket_counts(budgeted(rf, budget, n, num_shards), num_buckets)
-    raw_dense = dense_buckets(spark, rcounts, num_buckets).select(
-        "bucket", F.col("cnt").alias("raw_cnt"), F.col("p").alias("raw_p"))
-
     if isinstance(targets, DataFrame):
         targets = {"target": targets}
     if not separate_targets and len(targets) > 1:
@@ -184,13 +175,40 @@ def fit(raw: DataFrame, targets: DataFrame | dict[str, DataFrame], *, n: int = 2
             d = df.select("doc_id", "text")
             pooled = d if pooled is None else pooled.unionAll(d)
         targets = {"target": pooled}
-    names = list(targets)
+    rf = raw_features if raw_features is not None else feats(raw)
+    return fit_from_features(rf, {k: feats(v) for k, v in targets.items()}, n=n, num_buckets=num_buckets,
+                             tokenizer=tokenizer, hash_fn=hash_fn, num_tokens_to_fit=num_tokens_to_fit,
+                             target_laplace_smoothing=target_laplace_smoothing,
+                             separate_targets=separate_targets, target_proportions=target_proportions,
+                             num_shards=num_shards, target_budget=target_budget)
+
+
+def fit_from_features(raw_features: DataFrame, target_features: dict[str, DataFrame], *, n: int = 2,
+                      num_buckets: int = 10000, tokenizer: str | Callable = "wordpunct", hash_fn: str = "sha256",
+                      num_tokens_to_fit="auto", target_laplace_smoothing: float = 0.0,
+                      separate_targets: bool = False, target_proportions: Sequence[float] | None = None,
+                      num_shards: int = 1, target_budget=None) -> NgramModel:
+    """Fit from feature tables already built (e.g. stored once and reused for scoring).
+
+    A target that is a subset of the raw pool can pass
+    ``raw_features.join(target_ids, "doc_id", "left_semi")`` - no second
+    featurisation of its texts.
+    """
+    spark = raw_features.sparkSession
+    budget = resolve_budget(num_tokens_to_fit, num_buckets)
+    rcounts = bucket_counts(budgeted(raw_features, budget, n, num_shards), num_buckets)
+    raw_dense = dense_buckets(spark, rcounts, num_buckets).select(
+        "bucket", F.col("cnt").alias("raw_cnt"), F.col("p").alias("raw_p"))
+
+    names = list(target_features)
     parts = []
     totals = []
-    for name, tdf in targets.items():
-        tb = resolve_budget(target_budget, num_buckets) if separate_targets and target_budget is not None else \
-            (budget if separate_targets else None)
-        tc = bucket_counts(budgeted(feats(tdf), tb, n, num_shards), num_buckets)
+    for name, tf in target_features.items():
+        if separate_targets:
+            tb = resolve_budget(target_budget, num_buckets) if target_budget is not None else budget
+        else:
+            tb = resolve_budget(target_budget, num_buckets) if target_budget is not None else None
+        tc = bucket_counts(budgeted(tf, tb, n, num_shards), num_buckets)
         td = dense_buckets(spark, tc, num_buckets, target_laplace_smoothing)
         parts.append(td.select(F.lit(name).alias("target"), "bucket", F.col("cnt").alias("target_cnt"),
                                F.col("p").alias("target_p")))
