@@ -98,7 +98,7 @@ def main() -> None:
     def mlm():
         vocab = ML.build_vocab(docs, max_size=30000)
         vocab = vocab.persist()
-        run(ML.mask_tokens(ML.encode(docs, vocab, max_length=128), vocab_size=30005, seed=1))
+        run(ML.mask_tokens(ML.encode(docs, vocab, max_length=128, vocab_max_size=30000), vocab_size=30005, seed=1))
     timed("mlm_prep", mlm)
 
     def classifier():

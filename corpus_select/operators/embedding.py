@@ -133,6 +133,8 @@ def _stats_fn(bparams, emb_col: str):
 
 def em_step(emb: DataFrame, m: Mixture, emb_col: str = "embedding", var_floor: float = VAR_FLOOR):
     """One EM iteration as a Spark job; returns (new mixture, mean log-likelihood under ``m``)."""
+    from ..session import ship_package
+    ship_package(emb.sparkSession)
     spark = emb.sparkSession
     b = spark.sparkContext.broadcast(m)
     try:
@@ -248,6 +250,8 @@ def fit_by_label(emb: DataFrame, label_col: str = "label", emb_col: str = "embed
 def score_samples(emb: DataFrame, mixture: Mixture | DataFrame, id_col: str = "doc_id",
                   emb_col: str = "embedding", out_col: str = "logpdf") -> DataFrame:
     """Log-density of every row under a mixture (E4): a narrow ``mapInArrow``."""
+    from ..session import ship_package
+    ship_package(emb.sparkSession)
     m = mixture if isinstance(mixture, Mixture) else Mixture.from_df(mixture)
     b = emb.sparkSession.sparkContext.broadcast(m)
 
@@ -345,6 +349,8 @@ def hashed_embedding(dim: int = 64, n: int = 2) -> Callable:
 def embed(df: DataFrame, encoder: Callable | None = None, id_col: str = "doc_id", text_col: str = "text",
           batch_size: int = 256) -> DataFrame:
     """Text -> ``(doc_id, embedding ARRAY<FLOAT>)`` with an encoder loaded once per task."""
+    from ..session import ship_package
+    ship_package(df.sparkSession)
     enc_factory = (lambda: encoder) if encoder is not None else (lambda: hashed_embedding())
 
     def fn(batches):

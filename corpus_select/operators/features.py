@@ -6,8 +6,7 @@ Feature rows are sparse and per document:
 Tokenisation is a JVM regex. Building n-grams and hashing them is done by a
 vectorised Arrow function per batch (``mapInArrow``): n-grams are formed with
 Arrow string kernels, de-duplicated per batch, and only the distinct strings
-are sha-256 hashed (a bounded per-task memo removes most repeats across
-batches). Per-document counts come from one ``np.unique`` over
+are sha-256 hashed. Per-document counts come from one ``np.unique`` over
 ``row * B + bucket``. The whole step is a narrow map: no shuffle, and the
 output is far smaller than the text.
 """
@@ -34,29 +33,28 @@ FEATURE_SCHEMA = T.StructType([
     T.StructField("counts", T.ArrayType(T.IntegerType())),
 ])
 
-_MEMO_LIMIT = 2_000_000
-
-
-def _sha_bucket_factory(num_buckets: int) -> Callable[[str], int]:
+def _sha_bucket_factory(num_buckets: int) -> Callable[[bytes], int]:
     sha = hashlib.sha256
+    frombytes = int.from_bytes
 
-    def f(s: str) -> int:
-        return int.from_bytes(sha(s.encode("utf-8")).digest(), "big") % num_buckets
+    def f(b: bytes) -> int:
+        return frombytes(sha(b).digest(), "big") % num_buckets
     return f
 
 
-def _xxh_bucket_factory(num_buckets: int) -> Callable[[str], int]:
+def _xxh_bucket_factory(num_buckets: int) -> Callable[[bytes], int]:
     import xxhash
+    h = xxhash.xxh64_intdigest
 
-    def f(s: str) -> int:
-        return xxhash.xxh64_intdigest(s.encode("utf-8")) % num_buckets
+    def f(b: bytes) -> int:
+        return h(b) % num_buckets
     return f
 
 
 HASHERS = {"sha256": _sha_bucket_factory, "xxh64": _xxh_bucket_factory}
 
 
-def _batch_features(rb: pa.RecordBatch, n: int, num_buckets: int, bucket_of, memo: dict,
+def _batch_features(rb: pa.RecordBatch, n: int, num_buckets: int, bucket_of,
                     id_col: str, tok_col: str) -> pa.RecordBatch:
     ids = rb.column(rb.schema.get_field_index(id_col))
     toks = rb.column(rb.schema.get_field_index(tok_col))
@@ -80,17 +78,10 @@ def _batch_features(rb: pa.RecordBatch, n: int, num_buckets: int, bucket_of, mem
     grams = pa.concat_arrays([g.cast(pa.large_string()) for g in gram_arrays])
     gp = np.concatenate(gram_parent) if gram_parent else np.zeros(0, np.int64)
     if len(grams):
+        # distinct n-grams of the batch, hashed once each, as UTF-8 bytes
         enc = pc.dictionary_encode(grams)
-        uniq = enc.dictionary.to_pylist()
-        ub = np.empty(len(uniq), dtype=np.int64)
-        for j, g in enumerate(uniq):
-            b = memo.get(g)
-            if b is None:
-                b = bucket_of(g)
-                if len(memo) >= _MEMO_LIMIT:
-                    memo.clear()
-                memo[g] = b
-            ub[j] = b
+        uniq = enc.dictionary.cast(pa.large_binary()).to_pylist()
+        ub = np.fromiter(map(bucket_of, uniq), dtype=np.int64, count=len(uniq))
         bk = ub[enc.indices.to_numpy(zero_copy_only=False)]
         key = gp * num_buckets + bk
         ukey, cnt = np.unique(key, return_counts=True)
@@ -115,6 +106,8 @@ def ngram_features(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ``hash_fn``: ``sha256`` (stable, the reference's bucket values), ``xxh64``
     (fast). Null texts are dropped (they never count as ``''``).
     """
+    from ..session import ship_package
+    ship_package(df.sparkSession)
     if hash_fn not in HASHERS:
         raise ValueError(f"unknown hash_fn {hash_fn!r}")
     tok = get_tokenizer(tokenizer)
@@ -124,9 +117,8 @@ def ngram_features(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def fn(batches):
         bucket_of = factory(num_buckets)
-        memo: dict = {}
         for rb in batches:
-            yield _batch_features(rb, n, num_buckets, bucket_of, memo, "doc_id", "tokens")
+            yield _batch_features(rb, n, num_buckets, bucket_of, "doc_id", "tokens")
 
     return base.mapInArrow(fn, FEATURE_SCHEMA)
 

@@ -8,7 +8,7 @@ vocabulary is word-level: built from the corpus (or supplied as
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import get_tokenizer, is_blank
@@ -18,6 +18,8 @@ from .select import dense_index
 PAD, UNK, CLS, SEP, MASK = 0, 1, 2, 3, 4
 N_SPECIAL = 5
 IGNORE_INDEX = -100
+# Vocabularies up to this size are ranked with one ordered limit.
+SMALL_VOCAB = 1_000_000
 
 
 def pick_text_column(df: DataFrame) -> str:
@@ -37,30 +39,41 @@ def build_vocab(df: DataFrame, text_col: str = "text", tokenizer: str = "wordpun
     counts = df.select(F.explode(tok(F.col(text_col))).alias("token")).groupBy("token").agg(
         F.count(F.lit(1)).alias("freq"))
     counts = counts.withColumn("neg_freq", -F.col("freq"))
-    idx = dense_index(counts, ["neg_freq", "token"], "id", start=N_SPECIAL)
-    if max_size is not None:
-        idx = idx.where(F.col("id") < F.lit(N_SPECIAL + max_size))
+    if max_size is not None and max_size <= SMALL_VOCAB:
+        # bounded by the parameter: one ordered limit, then a window over <= max_size rows
+        top = counts.orderBy("neg_freq", "token").limit(max_size)
+        idx = top.withColumn("id", F.row_number().over(Window.orderBy("neg_freq", "token")) - 1 + N_SPECIAL)
+    else:
+        idx = dense_index(counts, ["neg_freq", "token"], "id", start=N_SPECIAL)
+        if max_size is not None:
+            idx = idx.where(F.col("id") < F.lit(N_SPECIAL + max_size))
     return idx.select("token", F.col("id").cast("int").alias("id"), "freq")
 
 
 def encode(df: DataFrame, vocab: DataFrame, max_length: int = 128, id_col: str = "doc_id",
-           text_col: str = "text", tokenizer: str = "wordpunct") -> DataFrame:
+           text_col: str = "text", tokenizer: str = "wordpunct", vocab_max_size: int | None = None) -> DataFrame:
     """Tokenise, map to ids, truncate to ``max_length`` with [CLS]/[SEP], pad.
 
     Output: ``input_ids, attention_mask, special_tokens_mask`` (ARRAY<INT>).
     Blank texts are dropped first (P9). Tokens are truncated before the id
-    lookup, so a document group never exceeds ``max_length``.
+    lookup, so a document group never exceeds ``max_length``. The vocabulary
+    join is broadcast only when its size is bounded (``vocab_max_size``);
+    the regroup by document reuses the input's partitioning when it is
+    already hash-partitioned on the id.
     """
     tok = get_tokenizer(tokenizer)
     body = max_length - 2
     rows = df.where(~is_blank(F.col(text_col))).select(
         F.col(id_col).alias("doc_id"), F.slice(tok(F.col(text_col)), 1, body).alias("_t"))
-    ex = rows.select("doc_id", F.posexplode("_t").alias("pos", "token"))
-    vocab_small = vocab.select("token", "id")
-    j = ex.join(vocab_small, "token", "left").select("doc_id", "pos", F.coalesce("id", F.lit(UNK)).alias("id"))
-    ids = j.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("_s"))
-    ids = rows.select("doc_id").join(ids, "doc_id", "left").select(
-        "doc_id", F.coalesce(F.transform("_s", lambda s: s["id"]), F.array().cast("array<int>")).alias("_ids"))
+    ex = rows.select("doc_id", F.posexplode_outer("_t").alias("pos", "token"))
+    v = vocab.select("token", "id")
+    if vocab_max_size is not None and vocab_max_size <= 5_000_000:
+        v = F.broadcast(v)
+    j = ex.join(v, "token", "left").select(
+        "doc_id", F.when(F.col("pos").isNull(), F.lit(None))
+        .otherwise(F.struct("pos", F.coalesce("id", F.lit(UNK)).alias("id"))).alias("_p"))
+    ids = j.groupBy("doc_id").agg(F.array_sort(F.collect_list("_p")).alias("_s"))
+    ids = ids.select("doc_id", F.transform("_s", lambda s: s["id"]).alias("_ids"))
     return ids.select("doc_id", *_pad_columns(F.col("_ids"), max_length))
 
 

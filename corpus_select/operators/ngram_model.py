@@ -276,6 +276,8 @@ def score_features_arrow(features: DataFrame, model: NgramModel, target: str | N
     aggregation and no state, so it also runs unchanged on a stream.
     Output: ``doc_id, n_tokens, length, weight_e10, log_weight``.
     """
+    from ..session import ship_package
+    ship_package(features.sparkSession)
     import numpy as np
     import pyarrow as pa
     import pyarrow.compute as pc

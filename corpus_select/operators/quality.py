@@ -24,14 +24,31 @@ def chunk_documents(df: DataFrame, chunk_length: int = 128, id_col: str = "doc_i
                      F.posexplode(chunk_words(F.col(text_col), chunk_length)).alias("chunk_no", "contents"))
 
 
+def compute_once(df: DataFrame, expr, name: str) -> DataFrame:
+    """Add ``expr`` as column ``name``, evaluated exactly once per row.
+
+    A one-element generator is a boundary the optimizer does not push filters
+    or projections through, so later references (several statistics, a
+    filter on them) do not re-evaluate an expensive expression.
+    """
+    return df.select("*", F.explode(F.array(expr)).alias(name))
+
+
 def quality_stats(df: DataFrame, text_col: str = "text", uninformative: list[str] | None = None) -> DataFrame:
-    """Add ``length, repeating_ratio, informative_ratio, numeric_ratio``."""
-    tok = df.withColumn("_tok", ST.treebank_tokens(F.col(text_col)))
-    return tok.withColumn("length", F.size("_tok").cast("long")) \
-        .withColumn("repeating_ratio", ST.repeating_ratio(F.col("_tok"))) \
-        .withColumn("informative_ratio", ST.informative_ratio(F.col("_tok"), uninformative)) \
-        .withColumn("numeric_ratio", ST.numeric_ratio(F.col("_tok"))) \
-        .drop("_tok")
+    """Add ``length, repeating_ratio, informative_ratio, numeric_ratio``.
+
+    Tokens are computed once per row and all four statistics in one pass
+    over them; each sits behind a generator boundary so a quality filter on
+    the statistics never re-runs the tokenizer.
+    """
+    tok = compute_once(df, ST.treebank_tokens(F.col(text_col)), "_tok")
+    t = F.col("_tok")
+    stats = F.struct(F.size(t).cast("long").alias("length"),
+                     ST.repeating_ratio(t).alias("repeating_ratio"),
+                     ST.informative_ratio(t, uninformative).alias("informative_ratio"),
+                     ST.numeric_ratio(t).alias("numeric_ratio"))
+    out = tok.select(*[F.col(c) for c in df.columns], F.inline(F.array(stats)))
+    return out
 
 
 def repeating_top_n(df: DataFrame, n: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -162,7 +162,7 @@ pad as (select doc_id, list_resize([2] || ids || [3], 64, 0) input_ids,
 def encoded(spark, sf):
     d = docs(spark, sf)
     vocab = ML.build_vocab(d, max_size=5000)
-    return ML.encode(d, vocab, max_length=64)
+    return ML.encode(d, vocab, max_length=64, vocab_max_size=5000)
 
 
 def _join_ints(c):

@@ -57,3 +57,35 @@ def checkpoint_dir(spark: SparkSession) -> str:
             pass
     spark.sparkContext.setCheckpointDir(d)
     return d
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable by Python workers (once per SparkContext).
+
+    Zips the package and registers it with ``addPyFile`` so executors on any
+    machine can unpickle the Arrow/pandas functions that reference it. Also
+    puts the source root on the workers' PYTHONPATH for local runs.
+    """
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    import zipfile
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg_dir)
+    fd, zpath = tempfile.mkstemp(prefix="corpus_select_", suffix=".zip")
+    os.close(fd)
+    with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as z:
+        for dirpath, _, files in os.walk(pkg_dir):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(dirpath, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(zpath)
+    pp = sc.environment.get("PYTHONPATH", "")
+    if root not in pp.split(os.pathsep):
+        sc.environment["PYTHONPATH"] = os.pathsep.join([p for p in (root, pp) if p])
+    _SHIPPED.add(key)
