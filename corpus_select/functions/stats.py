@@ -55,7 +55,7 @@ TREEBANK_RULES: list[tuple[str, str]] = [
     (r"([:,])\z", " $1 "),
     (r"\.\.\.", " ... "),
     (r"([;@#$%&])", " $1 "),
-    (r"([^.])(\.)([\])}>\"']*)" + _WS + r"*\z", "$1 $2$3 "),
+    (r"([^.])(\.)([\])}>\"']*)(" + _WS + r"|\z)", "$1 $2$3 $4"),
     (r"([?!])", " $1 "),
     (r"([^'])' ", "$1 ' "),
     (r"([\]\[(){}<>])", " $1 "),
