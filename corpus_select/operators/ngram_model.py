@@ -28,6 +28,8 @@ from ..functions.text import example_length
 VERSION = "1"
 E10 = 10_000_000_000
 AUTO_TOKENS_PER_BUCKET = 100_000
+# Parameter-sized tables up to this many rows are broadcast (B x T log-ratio table).
+BROADCAST_MAX_ROWS = 1 << 22
 
 
 def resolve_budget(num_tokens_to_fit, num_buckets: int):
@@ -255,7 +257,12 @@ def log_weights(features: DataFrame, model: NgramModel | DataFrame, min_example_
     long = f.select("doc_id", "n_tokens", "length", F.explode(F.arrays_zip("buckets", "counts")).alias("z")) \
         .select("doc_id", "n_tokens", "length", F.col("z.buckets").alias("bucket"),
                 F.col("z.counts").cast("long").alias("cnt"))
-    ld = F.broadcast(table.select("target", "bucket", "ld_e10"))
+    ld = table.select("target", "bucket", "ld_e10")
+    n_targets = len(model.targets) if isinstance(model, NgramModel) and model.targets else 1
+    nb = int(model.params["num_buckets"]) if isinstance(model, NgramModel) else None
+    # B x T rows, sized by parameters: broadcast while it stays small, else a shuffle join
+    if nb is not None and nb * n_targets <= BROADCAST_MAX_ROWS:
+        ld = F.broadcast(ld)
     scored = long.join(ld, "bucket").groupBy("doc_id", "target", "n_tokens", "length").agg(
         F.sum(F.col("cnt") * F.col("ld_e10")).alias("weight_e10"))
     # documents with no n-grams (possible when min length is off) weigh zero

@@ -279,3 +279,22 @@ order by weight_e10 desc, doc_id limit 100""")
 def q_topk(spark, sf):
     """The 100 documents most like the quality-1 documents (K1, P5)."""
     return SEL.top_k(weights_a(spark, sf), 100).select("doc_id", "log_weight")
+
+
+@query("probs_domain_filtered", f"""
+with {S.features_cte(where="source in ('src1', 'src2')")},
+tgt as (select bucket, sum(cnt) cnt from f group by all)
+select bucket, target_cnt cnt, round(target_p, 12) p from {S.dense('tgt', 'target')}""")
+def q_probs_domain_filtered(spark, sf):
+    """Target distribution from two domains only (A6 = P7 + A1 + A3)."""
+    from ..operators.select import domain_include
+    t = domain_include(docs(spark, sf), ["src1", "src2"], "source")
+    d = NG.dense_buckets(spark, NG.bucket_counts(FE.ngram_features(t), B), B)
+    return d.select("bucket", "cnt", F.round("p", 12).alias("p"))
+
+
+@query("line_count", """
+select count(*)::BIGINT n_rows from documents""")
+def q_line_count(spark, sf):
+    """Row count of the raw pool (A11), as a lazy one-row aggregate."""
+    return docs(spark, sf).agg(F.count(F.lit(1)).alias("n_rows"))

@@ -75,6 +75,17 @@ def read_jsonl(spark: SparkSession, paths: str | list[str], schema: T.StructType
     return out
 
 
+def pile_domain(df: DataFrame, meta_col: str = "metadata") -> Column:
+    """Domain of a pile-shaped row: ``metadata.pile_set_name``."""
+    return F.col(f"{meta_col}.pile_set_name")
+
+
+def pile_chunks(df: DataFrame) -> DataFrame:
+    """Chunked pile rows ``{contents, metadata{pile_set_name}, id}`` as ``doc_id, text, domain``."""
+    return df.select(F.col("id").cast("long").alias("doc_id"), F.col("contents").alias("text"),
+                     pile_domain(df).alias("domain"))
+
+
 def with_row_id(df: DataFrame, file_col: str = "source_path", order_cols: list[str] | None = None,
                 id_name: str = "doc_id") -> DataFrame:
     """Positional id for JSONL rows: (file order, row order within a file).

@@ -164,3 +164,25 @@ def test_materialize_and_sinks(spark, tmp_out):
     IO.write_indices(chosen, os.path.join(tmp_out, "idx"))
     assert sorted(r[0] for r in spark.read.parquet(os.path.join(tmp_out, "idx")).collect()) == [0, 2]
     assert IO.cache_key(n=2, b=10000, f=None) == "b10000_fnone_n2"
+
+
+def test_pile_shape_registry_and_custom_tokenizer(spark, tmp_out):
+    import pandas as pd
+    from pyspark.sql.functions import pandas_udf
+    from corpus_select.operators.features import features_long, ngram_features
+    p = os.path.join(tmp_out, "pile.jsonl")
+    with open(p, "w") as f:
+        for i, dom in enumerate(["Github", "Wikipedia (en)", "Github"]):
+            f.write(json.dumps({"contents": f"text {i}", "metadata": {"pile_set_name": dom}, "id": i}) + "\n")
+    df = IO.pile_chunks(IO.read_jsonl(spark, p, IO.PILE_CHUNK_SCHEMA))
+    assert [r["domain"] for r in df.orderBy("doc_id").collect()] == ["Github", "Wikipedia (en)", "Github"]
+    reg = IO.registry_for(SF001)
+    conv = IO.load_dataset(spark, reg["conversations"])
+    assert set(conv.columns) == {"doc_id", "text", "domain"} and conv.count() > 0
+
+    @pandas_udf("array<string>")
+    def chars(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: list(t.replace(" ", "")))
+    f = features_long(ngram_features(df, tokenizer=chars, n=1)).groupBy("doc_id").agg(F.sum("cnt").alias("c"))
+    assert {r["doc_id"]: r["c"] for r in f.collect()} == {0: 5, 1: 5, 2: 5}
+    assert RS.drop_label(spark.createDataFrame([(1, 2)], "a int, label int")).columns == ["a"]
