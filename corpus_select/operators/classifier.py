@@ -94,22 +94,34 @@ def train_classifier(train: DataFrame, val: DataFrame | None = None, text_col: s
     if word_vectors is not None:
         stages.append(VectorAssembler(inputCols=["_tf", "_wv"], outputCol="_feat"))
         feat = "_feat"
+    from pyspark.ml import PipelineModel
+    # stateless featurisation, computed once and kept for the optimiser's passes
+    feat_model = Pipeline(stages=stages).fit(prep(train.limit(0)))
     lr = LogisticRegression(featuresCol=feat, labelCol=label_col, maxIter=max_iter)
-    pipe = Pipeline(stages=stages + [lr])
-    tr = prep(train).withColumn(label_col, F.col(label_col).cast("double"))
-    if val is None or len(reg_params) <= 1:
-        lr.setRegParam(reg_params[0] if reg_params else 0.0)
-        return pipe.fit(tr)
-    ev = BinaryClassificationEvaluator(labelCol=label_col, rawPredictionCol="rawPrediction")
-    va = prep(val).withColumn(label_col, F.col(label_col).cast("double"))
-    best, best_score = None, None
-    for rp in reg_params:
-        lr.setRegParam(rp)
-        model = pipe.fit(tr)
-        score = ev.evaluate(model.transform(va))
-        if best_score is None or score > best_score:
-            best, best_score = model, score
-    return best
+    tr = feat_model.transform(prep(train).withColumn(label_col, F.col(label_col).cast("double"))) \
+        .select(feat, label_col).persist()
+    va = None
+    if val is not None and len(reg_params) > 1:
+        va = feat_model.transform(prep(val).withColumn(label_col, F.col(label_col).cast("double"))) \
+            .select(feat, label_col).persist()
+    try:
+        if va is None:
+            lr.setRegParam(reg_params[0] if reg_params else 0.0)
+            best = lr.fit(tr)
+        else:
+            ev = BinaryClassificationEvaluator(labelCol=label_col, rawPredictionCol="rawPrediction")
+            best, best_score = None, None
+            for rp in reg_params:
+                lr.setRegParam(rp)
+                model = lr.fit(tr)
+                score = ev.evaluate(model.transform(va))
+                if best_score is None or score > best_score:
+                    best, best_score = model, score
+    finally:
+        tr.unpersist()
+        if va is not None:
+            va.unpersist()
+    return PipelineModel(stages=list(feat_model.stages) + [best])
 
 
 def add_mean_vector(df: DataFrame, word_vectors: DataFrame, tok_col: str = "_tok",
