@@ -72,8 +72,7 @@ def main() -> None:
     feats = timed("features", lambda: materialize(ngram_features(docs), os.path.join(scratch, "features")))
 
     def fit():
-        m = NG.fit_from_features(feats, {"target": feats.join(target_ids, "doc_id", "left_semi")},
-                                 num_tokens_to_fit="all")
+        m = NG.fit_subset_targets(feats, {"target": target_ids}, num_tokens_to_fit="all")
         m.table = m.table.persist()
         m.table.count()
         return m

@@ -320,3 +320,74 @@ def score_features_arrow(features: DataFrame, model: NgramModel, target: str | N
     out = features.select("doc_id", "n_tokens", "buckets", "counts").mapInArrow(fn, schema)
     return out.withColumn("length", example_length("n_tokens", n)) \
         .withColumn("log_weight", F.round(F.col("weight_e10").cast("double") / F.lit(float(E10)), 6))
+
+
+def fit_subset_targets(raw_features: DataFrame, target_ids: dict[str, DataFrame], *, n: int = 2,
+                       num_buckets: int = 10000, tokenizer: str = "wordpunct", hash_fn: str = "sha256",
+                       num_tokens_to_fit="auto", target_laplace_smoothing: float = 0.0,
+                       separate_targets: bool = False, target_proportions: Sequence[float] | None = None,
+                       num_shards: int = 1) -> NgramModel:
+    """Fit when every target is a set of raw documents: one scan of the features.
+
+    Each feature row is tagged with the targets its document belongs to (one
+    join on ``doc_id``), then raw and per-target bucket counts come out of the
+    same partial aggregation. Falls back to :func:`fit_from_features` when the
+    raw token budget actually cuts the raw pool.
+    """
+    budget = resolve_budget(num_tokens_to_fit, num_buckets)
+    if budget is not None and budgeted(raw_features, budget, n, num_shards) is not raw_features:
+        return fit_from_features(
+            raw_features, {k: raw_features.join(v.select("doc_id"), "doc_id", "left_semi") for k, v in target_ids.items()},
+            n=n, num_buckets=num_buckets, tokenizer=tokenizer, hash_fn=hash_fn, num_tokens_to_fit=num_tokens_to_fit,
+            target_laplace_smoothing=target_laplace_smoothing, separate_targets=separate_targets,
+            target_proportions=target_proportions, num_shards=num_shards)
+    spark = raw_features.sparkSession
+    names = list(target_ids)
+    if not separate_targets and len(names) > 1:
+        pooled = None
+        for v in target_ids.values():
+            pooled = v.select("doc_id") if pooled is None else pooled.unionByName(v.select("doc_id"))
+        target_ids = {"target": pooled}
+        names = ["target"]
+    tags = None
+    for i, name in enumerate(names):
+        t = target_ids[name].select("doc_id").withColumn("_t", F.lit(i))
+        tags = t if tags is None else tags.unionByName(t)
+    tags = tags.groupBy("doc_id").agg(F.collect_set("_t").alias("_ts"))
+    tagged = raw_features.join(tags, "doc_id", "left")
+    long = tagged.select("_ts", F.explode(F.arrays_zip("buckets", "counts")).alias("z")) \
+        .select("_ts", F.col("z.buckets").alias("bucket"), F.col("z.counts").cast("long").alias("cnt"))
+    aggs = [F.sum("cnt").alias("raw")]
+    for i in range(len(names)):
+        aggs.append(F.sum(F.when(F.array_contains(F.coalesce("_ts", F.array().cast("array<int>")), i),
+                                 F.col("cnt")).otherwise(F.lit(0))).alias(f"_c{i}"))
+    counts = long.groupBy("bucket").agg(*aggs)
+    full = spark.range(num_buckets).select(F.col("id").cast("int").alias("bucket"))
+    dense = full.join(counts, "bucket", "left").na.fill(0)
+    w = Window.partitionBy()
+    raw_p = F.col("raw") / F.sum("raw").over(w)
+    dense = dense.withColumn("raw_p", raw_p)
+    s = float(target_laplace_smoothing)
+    parts = []
+    for i, name in enumerate(names):
+        c = F.col(f"_c{i}")
+        tp = (c + F.lit(s)) / (F.sum(c).over(w) + F.lit(s * num_buckets))
+        parts.append(dense.select(F.lit(name).alias("target"), "bucket", F.col("raw").alias("raw_cnt"), "raw_p",
+                                  c.alias("target_cnt"), tp.alias("target_p")))
+    table = parts[0]
+    for p in parts[1:]:
+        table = table.unionByName(p)
+    table = table.withColumn("log_diff", log_diff_col(F.col("target_p"), F.col("raw_p"))) \
+        .withColumn("ld_e10", scaled(F.col("log_diff")))
+    table = table.select("target", "bucket", "raw_cnt", "raw_p", "target_cnt", "target_p", "log_diff", "ld_e10")
+    tot = table.groupBy("target").agg(F.sum("target_cnt").alias("total"))
+    if target_proportions is not None:
+        ssum = float(sum(target_proportions))
+        proportions = spark.createDataFrame([(nm, float(p) / ssum) for nm, p in zip(names, target_proportions)],
+                                            "target string, proportion double")
+    else:
+        proportions = tot.select("target", (F.col("total") / F.sum("total").over(w)).alias("proportion"))
+    params = dict(n=n, num_buckets=num_buckets, tokenizer=tokenizer, hash_fn=hash_fn,
+                  num_tokens_to_fit=num_tokens_to_fit, target_laplace_smoothing=target_laplace_smoothing,
+                  separate_targets=separate_targets, num_shards=num_shards)
+    return NgramModel(params=params, table=table, proportions=proportions, targets=names)

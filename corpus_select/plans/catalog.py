@@ -56,9 +56,14 @@ def feats(spark, sf, n=2, num_buckets=B):
     return FE.ngram_features(docs(spark, sf), n=n, num_buckets=num_buckets)
 
 
+def target_a_ids(spark, sf):
+    return read_table(spark, sf, "labels").where(F.col("quality") == 1).select("doc_id")
+
+
 def model_a(spark, sf, **kw):
+    """Target A is a subset of the raw pool: one scan of the raw features fits both."""
     kw.setdefault("num_tokens_to_fit", "all")
-    return NG.fit(docs(spark, sf), target_a(spark, sf), **kw)
+    return NG.fit_subset_targets(feats(spark, sf), {"target": target_a_ids(spark, sf)}, **kw)
 
 
 TARGET_A_SQL = "(select * from documents where doc_id in (select doc_id from labels where quality = 1))"

@@ -57,31 +57,29 @@ def ngram_selection(raw: DataFrame, targets: DataFrame | dict[str, DataFrame], k
 
     ``raw``: ``(doc_id, text)``. ``targets``: a DataFrame of texts or a dict
     of them. When a target is a subset of the raw pool, pass its ids in
-    ``target_ids`` instead and its features are taken from the raw features
-    by a semi join (no second pass over the text).
+    ``target_ids`` instead: raw and target counts then come from one scan of
+    the stored raw features (no second pass over any text).
     """
     work = _work_dir(raw, work_dir, "ngram")
     key = cache_key(n=n, b=num_buckets, tok=tokenizer, h=hash_fn)
     feats = materialize(ngram_features(raw, n=n, num_buckets=num_buckets, tokenizer=tokenizer, hash_fn=hash_fn),
                         os.path.join(work, f"features_{key}"), overwrite=not reuse)
-    tf: dict[str, DataFrame] = {}
+    common = dict(n=n, num_buckets=num_buckets, tokenizer=tokenizer, hash_fn=hash_fn,
+                  num_tokens_to_fit=num_tokens_to_fit, target_laplace_smoothing=target_laplace_smoothing,
+                  separate_targets=separate_targets, target_proportions=target_proportions)
     if target_ids is not None:
         ids = target_ids if isinstance(target_ids, dict) else {"target": target_ids}
-        for name, idf in ids.items():
-            tf[name] = feats.join(idf.select("doc_id"), "doc_id", "left_semi")
+        model = NG.fit_subset_targets(feats, ids, **common)
     else:
         tdict = targets if isinstance(targets, dict) else {"target": targets}
-        for name, tdf in tdict.items():
-            tf[name] = ngram_features(tdf, n=n, num_buckets=num_buckets, tokenizer=tokenizer, hash_fn=hash_fn)
-    if not separate_targets and len(tf) > 1:
-        pooled = None
-        for f in tf.values():
-            pooled = f if pooled is None else pooled.unionByName(f)
-        tf = {"target": pooled}
-    model = NG.fit_from_features(feats, tf, n=n, num_buckets=num_buckets, tokenizer=tokenizer, hash_fn=hash_fn,
-                                 num_tokens_to_fit=num_tokens_to_fit,
-                                 target_laplace_smoothing=target_laplace_smoothing,
-                                 separate_targets=separate_targets, target_proportions=target_proportions)
+        tf = {name: ngram_features(tdf, n=n, num_buckets=num_buckets, tokenizer=tokenizer, hash_fn=hash_fn)
+              for name, tdf in tdict.items()}
+        if not separate_targets and len(tf) > 1:
+            pooled = None
+            for f in tf.values():
+                pooled = f if pooled is None else pooled.unionByName(f)
+            tf = {"target": pooled}
+        model = NG.fit_from_features(feats, tf, **common)
     # the fitted table is B x T rows: keep it in memory for the scoring joins
     model.table = model.table.persist()
     weights = materialize(NG.log_weights(feats, model, min_example_length=min_example_length, n=n),
@@ -137,7 +135,8 @@ def chunked_selection(raw: DataFrame, target_ids: DataFrame, k: int, *, chunk_le
 
 def classifier_selection(target: DataFrame, background: DataFrame, pool: DataFrame, k: int, *,
                          mode: str = "pareto", seed: int = 0, reg_params: Sequence[float] = (0.0, 0.01, 0.1),
-                         num_features: int = 1 << 18, word_vectors: DataFrame | None = None):
+                         num_features: int = 1 << 18, word_vectors: DataFrame | None = None,
+                         work_dir: str | None = None):
     """Classifier baseline: lines -> mix -> train/val -> model -> probabilities -> retrieval.
 
     All three inputs are ``(doc_id, text)``. Returns ``(model, probs, chosen)``.
@@ -150,6 +149,8 @@ def classifier_selection(target: DataFrame, background: DataFrame, pool: DataFra
     val = mix.where(F.col("split") == "val").select(body.alias("text"), "label")
     model = CL.train_classifier(train, val, reg_params=reg_params, num_features=num_features,
                                 word_vectors=word_vectors)
-    probs = CL.predict_proba(model, pool, word_vectors=word_vectors)
+    # retrieval reads the probabilities several times (round histogram, shuffle, take): store them once
+    probs = materialize(CL.predict_proba(model, pool, word_vectors=word_vectors),
+                        os.path.join(_work_dir(pool, work_dir, "classifier"), "probs"), overwrite=True)
     chosen = CL.retrieve(probs, k, mode=mode, seed=seed)
     return model, probs, chosen

@@ -165,3 +165,22 @@ def test_sparse_features_equal_sql_features(spark):
 def test_null_text_dropped(spark):
     df = spark.createDataFrame([(1, None), (2, "a b")], "doc_id long, text string")
     assert [r["doc_id"] for r in ngram_features(df).collect()] == [2]
+
+
+def test_single_scan_fit_equals_separate_fit(spark):
+    docs = read_table(spark, SF001, "documents", "doc_id")
+    tid = read_table(spark, SF001, "labels").where("quality = 1").select("doc_id")
+    tid2 = docs.where("source in ('src1', 'src2')").select("doc_id")
+    f = ngram_features(docs)
+    for sep in (False, True):
+        a = NG.fit_subset_targets(f, {"a": tid, "b": tid2}, separate_targets=sep, num_tokens_to_fit="all",
+                                  target_laplace_smoothing=0.5)
+        b = NG.fit_from_features(f, {"a": f.join(tid, "doc_id", "left_semi"), "b": f.join(tid2, "doc_id", "left_semi")}
+                                 if sep else {"target": f.join(tid.unionByName(tid2).distinct(), "doc_id", "left_semi")},
+                                 separate_targets=sep, num_tokens_to_fit="all", target_laplace_smoothing=0.5)
+        ka = sorted((r["target"], r["bucket"], r["ld_e10"], r["raw_cnt"], r["target_cnt"]) for r in a.table.collect())
+        kb = sorted((r["target"], r["bucket"], r["ld_e10"], r["raw_cnt"], r["target_cnt"]) for r in b.table.collect())
+        assert ka == kb
+        pa = sorted((r["target"], round(r["proportion"], 12)) for r in a.proportions.collect())
+        pb = sorted((r["target"], round(r["proportion"], 12)) for r in b.proportions.collect())
+        assert pa == pb
