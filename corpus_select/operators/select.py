@@ -234,13 +234,21 @@ def union_ids(*frames: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return out.distinct()
 
 
+def _stored(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint into the session's shared checkpoint folder (lineage cut)."""
+    from ..session import checkpoint_dir
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def dense_index(df: DataFrame, order_cols: Sequence[str | Column], name: str = "idx", start: int = 0,
                 num_partitions: int | None = None) -> DataFrame:
     """Positional index 0.. in ``order_cols`` order (W4), without a one-task window.
 
     Range-partition and sort, take each row's position inside its partition,
     then add the partition's offset (partition sizes: one small aggregate).
-    ``order_cols`` must define a total order (end with a unique id).
+    The tagged rows are checkpointed once so sizes and positions describe the
+    same split. ``order_cols`` must define a total order (end with a unique id).
     """
     spark = df.sparkSession
     p = num_partitions or spark.sparkContext.defaultParallelism
@@ -249,6 +257,9 @@ def dense_index(df: DataFrame, order_cols: Sequence[str | Column], name: str = "
         .withColumn("_mid", F.monotonically_increasing_id())
     r = r.withColumn("_pid", F.shiftright(F.col("_mid"), 33)) \
         .withColumn("_local", F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1)))
+    # evaluate the range split once: range bounds are sampled from shuffle output,
+    # so two evaluations could disagree; sizes and offsets must come from the same rows
+    r = _stored(r)
     sizes = sorted((row["_pid"], row["n"]) for row in
                    r.groupBy("_pid").agg(F.count(F.lit(1)).alias("n")).collect())
     offsets, acc = [], start
@@ -274,7 +285,7 @@ def prefix_sum(df: DataFrame, order_cols: Sequence[str | Column], weight_col: st
     cols = [(_c(c)) for c in order_cols]
     r = df.repartitionByRange(p, *cols).withColumn("_pid", F.spark_partition_id())
     w = Window.partitionBy("_pid").orderBy(*cols).rowsBetween(Window.unboundedPreceding, -1)
-    r = r.withColumn("_run", F.coalesce(F.sum(weight_col).over(w), F.lit(0)))
+    r = _stored(r.withColumn("_run", F.coalesce(F.sum(weight_col).over(w), F.lit(0))))
     totals = sorted((row["_pid"], row["t"] or 0) for row in
                     r.groupBy("_pid").agg(F.sum(weight_col).alias("t")).collect())
     offsets, acc = [], 0
