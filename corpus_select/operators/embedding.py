@@ -18,7 +18,7 @@ from typing import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -238,8 +238,7 @@ def fit_by_label(emb: DataFrame, label_col: str = "label", emb_col: str = "embed
     rnd = (lambda c: F.round(c, decimals)) if decimals is not None else (lambda c: c)
     per = per.select("component", "dim", rnd(F.col("mu")).alias("mu"), rnd(F.col("var") + F.lit(var_floor)).alias("var"))
     counts = emb.groupBy(F.col(label_col).cast("int").alias("component")).agg(F.count(F.lit(1)).alias("n"))
-    total = emb.agg(F.count(F.lit(1)).alias("total"))
-    w = counts.crossJoin(total).select("component", (F.col("n") / F.col("total")).alias("weight"))
+    w = counts.select("component", (F.col("n") / F.sum("n").over(Window.partitionBy())).alias("weight"))
     arr = per.groupBy("component").agg(
         F.array_sort(F.collect_list(F.struct("dim", "mu", "var"))).alias("s"))
     arr = arr.select("component", F.transform("s", lambda e: e["mu"]).alias("mean"),
@@ -267,22 +266,34 @@ def score_samples(emb: DataFrame, mixture: Mixture | DataFrame, id_col: str = "d
     return emb.select(id_col, emb_col).mapInArrow(fn, schema)
 
 
-def score_samples_sql(emb: DataFrame, mixture: DataFrame, id_col: str = "doc_id",
+def score_samples_sql(emb: DataFrame, mixture: Mixture | DataFrame, id_col: str = "doc_id",
                       emb_col: str = "embedding", out_col: str = "logpdf") -> DataFrame:
     """Same density as pure DataFrame code: per-(row, component) sums, then log-sum-exp.
 
-    The mixture table (K rows) is broadcast; per-dimension terms are summed
-    with an exact ``aggregate`` over ``zip_with`` of the arrays.
+    Each row fans out over the K components (a generator over the small
+    parameter set, K·d numbers, guarded); per-dimension terms are summed with
+    ``aggregate`` over ``zip_with`` of the arrays, and the K values of a row
+    are combined in the same pass. :func:`score_samples` is the vectorised
+    path for large mixtures.
     """
-    comp = F.broadcast(mixture.select("component", "weight", "mean", "var"))
-    x = emb.select(id_col, F.transform(emb_col, lambda v: v.cast("double")).alias("_x")).crossJoin(comp)
-    terms = F.zip_with(F.col("_x"), F.arrays_zip("mean", "var"),
-                       lambda xv, mv: F.log(mv["var"]) + (xv - mv["mean"]) * (xv - mv["mean"]) / mv["var"])
-    s = F.aggregate(terms, F.lit(0.0), lambda a, t: a + t)
-    a = x.select(id_col, (F.log("weight") - F.lit(0.5) * (F.size("_x") * F.lit(LOG2PI) + s)).alias("_a"))
-    g = a.groupBy(id_col).agg(F.max("_a").alias("_m"), F.collect_list("_a").alias("_l"))
-    return g.select(id_col, (F.col("_m") + F.log(F.aggregate("_l", F.lit(0.0),
-                                                             lambda acc, v: acc + F.exp(v - F.col("_m"))))).alias(out_col))
+    m = mixture if isinstance(mixture, Mixture) else Mixture.from_df(mixture)
+    if m.k * m.means.shape[1] > 200_000:
+        raise ValueError("mixture too large for the expression form; use score_samples")
+    comps = F.array(*[F.struct(F.lit(float(m.weights[i])).alias("weight"),
+                               F.array(*[F.lit(float(v)) for v in m.means[i]]).alias("mean"),
+                               F.array(*[F.lit(float(v)) for v in m.vars[i]]).alias("var"))
+                      for i in range(m.k)])
+    x = F.transform(F.col(emb_col), lambda v: v.cast("double"))
+
+    def comp_logpdf(c):
+        terms = F.zip_with(x, F.arrays_zip(c["mean"], c["var"]),
+                           lambda xv, mv: F.log(mv["var"]) + (xv - mv["mean"]) * (xv - mv["mean"]) / mv["var"])
+        s = F.aggregate(terms, F.lit(0.0), lambda acc, t: acc + t)
+        return F.log(c["weight"]) - F.lit(0.5) * (F.size(x) * F.lit(LOG2PI) + s)
+    a = F.transform(comps, comp_logpdf)
+    out = emb.select(id_col, a.alias("_a")).select(id_col, "_a", F.array_max("_a").alias("_m"))
+    lse = F.col("_m") + F.log(F.aggregate("_a", F.lit(0.0), lambda acc, v: acc + F.exp(v - F.col("_m"))))
+    return out.select(id_col, lse.alias(out_col))
 
 
 def embedding_log_weight(emb: DataFrame, raw_mixture, target_mixture, id_col: str = "doc_id",
@@ -304,11 +315,10 @@ def hybrid_weight(ngram: DataFrame, gmm: DataFrame, alpha: float = 0.5, id_col:
 
 def hybrid_sweep(ngram: DataFrame, gmm: DataFrame, alphas=(0.0, 0.25, 0.5, 0.75), id_col: str = "doc_id",
                  ng_col: str = "log_weight", gmm_col: str = "gmm_weight") -> DataFrame:
-    """All alphas at once: the joined scores cross a tiny literal alpha list (E6 sweep)."""
-    spark = ngram.sparkSession
-    a = F.broadcast(spark.createDataFrame([(float(x),) for x in alphas], "alpha double"))
+    """All alphas at once: each joined row fans out over the literal alpha list (E6 sweep)."""
     j = ngram.select(id_col, F.col(ng_col).alias("_ng")).join(gmm.select(id_col, F.col(gmm_col).alias("_gm")), id_col)
-    return j.crossJoin(a).select("alpha", id_col, (F.col("alpha") * (F.col("_ng") + F.lit(1e-8)) +
+    j = j.select("*", F.explode(F.array(*[F.lit(float(x)) for x in alphas])).alias("alpha"))
+    return j.select("alpha", id_col, (F.col("alpha") * (F.col("_ng") + F.lit(1e-8)) +
                                                    (F.lit(1.0) - F.col("alpha")) * (F.col("_gm") + F.lit(1e-8)))
                                  .alias("hybrid_weight"))
 

@@ -96,8 +96,8 @@ def dense_buckets(spark: SparkSession, counts: DataFrame, num_buckets: int, smoo
     full = spark.range(num_buckets).select(F.col("id").cast("int").alias("bucket"))
     c = full.join(counts.select("bucket", "cnt"), "bucket", "left") \
         .select("bucket", F.coalesce("cnt", F.lit(0)).cast("long").alias("cnt"))
-    tot = counts.agg(F.coalesce(F.sum("cnt"), F.lit(0)).alias("total"))
-    c = c.crossJoin(F.broadcast(tot))
+    # total over the B-row table (a window over parameter-sized data, no second scan)
+    c = c.withColumn("total", F.sum("cnt").over(Window.partitionBy()))
     p = (F.col("cnt") + F.lit(smoothing)) / (F.col("total") + F.lit(smoothing * num_buckets))
     return c.select("bucket", "cnt", F.col("total"), p.alias("p"))
 
@@ -267,8 +267,10 @@ def log_weights(features: DataFrame, model: NgramModel | DataFrame, min_example_
         F.sum(F.col("cnt") * F.col("ld_e10")).alias("weight_e10"))
     # documents with no n-grams (possible when min length is off) weigh zero
     if min_example_length is None or min_example_length <= 0:
-        empty = f.where(F.size("buckets") == 0).select("doc_id", "n_tokens", "length") \
-            .crossJoin(F.broadcast(table.select("target").distinct())) \
+        names = model.targets if isinstance(model, NgramModel) and model.targets else \
+            [r[0] for r in table.select("target").distinct().collect()]
+        empty = f.where(F.size("buckets") == 0).select(
+            "doc_id", F.explode(F.array(*[F.lit(t) for t in names])).alias("target"), "n_tokens", "length") \
             .withColumn("weight_e10", F.lit(0).cast("long"))
         scored = scored.unionByName(empty)
     return scored.withColumn("log_weight", F.round(F.col("weight_e10").cast("double") / F.lit(float(E10)), 6))
