@@ -3,8 +3,10 @@
 Feature rows are sparse and per document:
 ``(doc_id, n_tokens, buckets ARRAY<INT>, counts ARRAY<INT>)``.
 
-Tokenisation is a JVM regex. Building n-grams and hashing them is done by a
-vectorised Arrow function per batch (``mapInArrow``): n-grams are formed with
+The default word/punctuation tokenizer runs in Arrow's C++ string kernels
+inside the task (other tokenizers are JVM expressions). Building n-grams and
+hashing them is done by the same vectorised Arrow function per batch
+(``mapInArrow``): n-grams are formed with
 Arrow string kernels, de-duplicated per batch, and only the distinct strings
 are sha-256 hashed. Per-document counts come from one ``np.unique`` over
 ``row * B + bucket``. The whole step is a narrow map: no shuffle, and the
@@ -54,14 +56,38 @@ def _xxh_bucket_factory(num_buckets: int) -> Callable[[bytes], int]:
 HASHERS = {"sha256": _sha_bucket_factory, "xxh64": _xxh_bucket_factory}
 
 
+# Unicode whitespace (as Python's str.isspace) and the "other
+# non-space" class of the word/punctuation tokenizer, in RE2 syntax.
+_WS_RE2 = r"[\s\p{Z}\x0B\x1C-\x1F\x85]"
+_PUNCT_RUN_RE2 = r"([^\p{L}\p{N}_\s\p{Z}\x0B\x1C-\x1F\x85]+)"
+
+
+def _arrow_wordpunct(texts: pa.Array):
+    """Word/punctuation tokens with Arrow's C++ kernels: lower-case, pad every
+    punctuation run with spaces, split on Unicode whitespace. Same tokens as
+    ``regexp_extract_all(lower(text), WORDPUNCT_PATTERN)``."""
+    spaced = pc.replace_substring_regex(pc.utf8_lower(texts), pattern=_PUNCT_RUN_RE2, replacement=r" \1 ")
+    parts = pc.split_pattern_regex(spaced, pattern=_WS_RE2 + "+")
+    flat = pc.list_flatten(parts)
+    par = pc.list_parent_indices(parts)
+    keep = pc.not_equal(flat, "")
+    values = flat.filter(keep)
+    parent = par.filter(keep).to_numpy(zero_copy_only=False).astype(np.int64)
+    lens = np.bincount(parent, minlength=len(texts)).astype(np.int64)
+    return values, parent, lens
+
+
 def _batch_features(rb: pa.RecordBatch, n: int, num_buckets: int, bucket_of,
-                    id_col: str, tok_col: str) -> pa.RecordBatch:
+                    id_col: str, tok_col: str, arrow_tokenize: bool = False) -> pa.RecordBatch:
     ids = rb.column(rb.schema.get_field_index(id_col))
-    toks = rb.column(rb.schema.get_field_index(tok_col))
-    nrows = len(toks)
-    lens = pc.fill_null(pc.list_value_length(toks), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    values = pc.list_flatten(toks)
-    parent = np.repeat(np.arange(nrows, dtype=np.int64), lens)
+    col = rb.column(rb.schema.get_field_index(tok_col))
+    nrows = len(col)
+    if arrow_tokenize:
+        values, parent, lens = _arrow_wordpunct(col)
+    else:
+        lens = pc.fill_null(pc.list_value_length(col), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        values = pc.list_flatten(col)
+        parent = np.repeat(np.arange(nrows, dtype=np.int64), lens)
     gram_arrays = [values]
     gram_parent = [parent]
     total = len(values)
@@ -110,15 +136,22 @@ def ngram_features(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ship_package(df.sparkSession)
     if hash_fn not in HASHERS:
         raise ValueError(f"unknown hash_fn {hash_fn!r}")
-    tok = get_tokenizer(tokenizer)
-    base = df.where(F.col(text_col).isNotNull()).select(
-        F.col(id_col).cast("long").alias("doc_id"), tok(F.col(text_col)).alias("tokens"))
+    # the default tokenizer runs inside the same Arrow task (one string per
+    # document crosses the JVM/Python boundary); others are JVM expressions
+    arrow_tok = tokenizer == "wordpunct"
+    if arrow_tok:
+        base = df.where(F.col(text_col).isNotNull()).select(
+            F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("tokens"))
+    else:
+        tok = get_tokenizer(tokenizer)
+        base = df.where(F.col(text_col).isNotNull()).select(
+            F.col(id_col).cast("long").alias("doc_id"), tok(F.col(text_col)).alias("tokens"))
     factory = HASHERS[hash_fn]
 
     def fn(batches):
         bucket_of = factory(num_buckets)
         for rb in batches:
-            yield _batch_features(rb, n, num_buckets, bucket_of, "doc_id", "tokens")
+            yield _batch_features(rb, n, num_buckets, bucket_of, "doc_id", "tokens", arrow_tok)
 
     return base.mapInArrow(fn, FEATURE_SCHEMA)
 
