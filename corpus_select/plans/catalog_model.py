@@ -14,7 +14,6 @@ from ..operators import classifier as CL
 from ..operators import mlm as ML
 from ..operators import ngram_model as NG
 from ..operators import results as RS
-from ..operators import select as SEL
 from ..sources.io import read_table
 
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import sqlsnippets as S
 from .catalog import WEIGHTS_A_CTE, docs, query, weights_a
 from ..functions import stats as ST
 from ..functions import text as TX

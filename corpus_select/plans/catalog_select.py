@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from . import sqlsnippets as S
-from .catalog import (B, LD_MULTI_CTE, WEIGHTS_A_CTE, docs, feats, model_a, query, target_a, target_b,
+from .catalog import (LD_MULTI_CTE, WEIGHTS_A_CTE, docs, feats, model_a, query, target_a, target_b,
                       weights_a)
-from ..functions.hashing import seeded_order_key
 from ..operators import ngram_model as NG
 from ..operators import select as SEL
 from ..sources.io import read_table

@@ -88,13 +88,12 @@ def pile_chunks(df: DataFrame) -> DataFrame:
 
 def with_row_id(df: DataFrame, file_col: str = "source_path", order_cols: list[str] | None = None,
                 id_name: str = "doc_id") -> DataFrame:
-    """Positional id for JSONL rows: (file order, row order within a file).
+    """Positional id for rows read straight from files: (file, row order within the file).
 
-    Uses the file path and the byte offset of the split plus the row's rank
-    inside it, which is stable under recomputation. For already-keyed inputs
-    prefer the table's own id.
+    The row order inside a split is taken directly over the scan (stable for
+    the same files); the dense index then checkpoints once, so the ids are
+    fixed from there on. For already-keyed inputs prefer the table's own id.
     """
-    from .. import operators  # noqa: F401  (import cycle guard)
     from ..operators.select import dense_index
     cols = order_cols or [file_col, "_row_in_file"]
     tagged = df.withColumn("_row_in_file", F.monotonically_increasing_id())
