@@ -186,3 +186,18 @@ def test_pile_shape_registry_and_custom_tokenizer(spark, tmp_out):
     f = features_long(ngram_features(df, tokenizer=chars, n=1)).groupBy("doc_id").agg(F.sum("cnt").alias("c"))
     assert {r["doc_id"]: r["c"] for r in f.collect()} == {0: 5, 1: 5, 2: 5}
     assert RS.drop_label(spark.createDataFrame([(1, 2)], "a int, label int")).columns == ["a"]
+
+
+def test_row_ids_and_byte_exact_copy(spark, tmp_out):
+    p = os.path.join(tmp_out, "raw.jsonl")
+    lines = ['{"text": "a", "x": 1}', '{"text":"b"}', '{"text": "c",  "y": [1, 2]}']
+    with open(p, "w") as f:
+        f.write("\n".join(lines) + "\n")
+    raw = spark.read.text(p).withColumn("source_path", F.col("_metadata.file_path"))
+    ided = IO.with_row_id(raw, order_cols=["source_path", "_row_in_file"])
+    got = {r["doc_id"]: r["value"] for r in ided.collect()}
+    assert got == {0: lines[0], 1: lines[1], 2: lines[2]}
+    chosen = spark.createDataFrame([(0,), (2,)], "doc_id long")
+    IO.write_selected_lines(ided.select("doc_id", "value"), chosen, os.path.join(tmp_out, "copy"))
+    out = sorted(r[0] for r in spark.read.text(os.path.join(tmp_out, "copy")).collect())
+    assert out == sorted([lines[0], lines[2]])
