@@ -105,6 +105,29 @@ def repeating_ratio(tokens: Column) -> Column:
     return _ratio(best, F.size(tokens))
 
 
+def repeating_top_n_ratio(tokens: Column, n: int = 3) -> Column:
+    """Sum of the n largest token counts / number of tokens; 0 if empty.
+
+    One pass over the sorted tokens keeping only the n longest runs seen so
+    far (a small fixed-size state), so no (document, token) shuffle is needed.
+    """
+    srt = F.array_sort(tokens)
+    empty = F.array().cast("array<int>")
+    init = F.struct(F.lit(None).cast("string").alias("p"), F.lit(0).alias("r"), empty.alias("top"))
+
+    def keep_top(top: Column, run: Column) -> Column:
+        return F.slice(F.sort_array(F.concat(top, F.array(run)), asc=False), 1, n)
+
+    def step(acc, x):
+        same = x == acc["p"]
+        return F.struct(x.alias("p"),
+                        F.when(same, acc["r"] + 1).otherwise(F.lit(1)).alias("r"),
+                        F.when(same | (acc["r"] == 0), acc["top"]).otherwise(keep_top(acc["top"], acc["r"])).alias("top"))
+    total = F.aggregate(srt, init, step,
+                        lambda acc: F.aggregate(keep_top(acc["top"], acc["r"]), F.lit(0), lambda a, v: a + v))
+    return _ratio(total, F.size(tokens))
+
+
 def informative_ratio(tokens: Column, uninformative: list[str] | None = None) -> Column:
     """Share of tokens outside stop words and punctuation."""
     stop = uninformative if uninformative is not None else UNINFORMATIVE

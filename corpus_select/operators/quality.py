@@ -1,12 +1,11 @@
 """Preprocessing: fixed-length chunking, quality statistics, quality mask.
 
-Everything here is a narrow, per-row transformation (no shuffle) except the
-optional top-n repeating ratio, which aggregates (document, token) pairs.
+Everything here is a narrow, per-row transformation (no shuffle).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import stats as ST
@@ -52,20 +51,10 @@ def quality_stats(df: DataFrame, text_col: str = "text", uninformative: list[str
 
 
 def repeating_top_n(df: DataFrame, n: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Sum of the n largest token counts / number of tokens.
-
-    (document, token) counts are partial-aggregated before the shuffle; the
-    window is per document, so a group is never larger than one document.
-    """
-    toks = df.select(F.col(id_col).alias("doc_id"), ST.treebank_tokens(F.col(text_col)).alias("t"))
-    sizes = toks.select("doc_id", F.size("t").alias("n_tok"))
-    counts = toks.select("doc_id", F.explode("t").alias("tok")).groupBy("doc_id", "tok").count()
-    w = Window.partitionBy("doc_id").orderBy(F.col("count").desc(), F.col("tok"))
-    top = counts.withColumn("r", F.row_number().over(w)).where(F.col("r") <= n) \
-        .groupBy("doc_id").agg(F.sum("count").alias("top"))
-    out = sizes.join(top, "doc_id", "left")
-    return out.select("doc_id", F.when(F.col("n_tok") == 0, F.lit(0.0))
-                      .otherwise(F.coalesce("top", F.lit(0)) / F.col("n_tok")).alias("repeating_top_n"))
+    """Sum of the n largest token counts / number of tokens (T10), per row (no shuffle)."""
+    tok = compute_once(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text")),
+                       ST.treebank_tokens(F.col("_text")), "_tok")
+    return tok.select("doc_id", ST.repeating_top_n_ratio(F.col("_tok"), n).alias("repeating_top_n"))
 
 
 def apply_quality_mask(df: DataFrame, bounds: dict | None = None) -> DataFrame:
