@@ -139,8 +139,14 @@ def q_classifier_predict(spark, sf):
 
 @query("classifier_retrieve")
 def q_classifier_retrieve(spark, sf):
-    """Pareto retrieval of 100 documents from classifier probabilities (E10, K5); rows-only."""
-    return CL.retrieve(q_classifier_predict(spark, sf), 100, mode="pareto", seed=1)
+    """Pareto retrieval of 100 documents from classifier probabilities (E10, K5); rows-only.
+
+    Retrieval reads the probabilities several times, so they are checkpointed once.
+    """
+    from ..session import checkpoint_dir
+    checkpoint_dir(spark)
+    probs = q_classifier_predict(spark, sf).checkpoint()
+    return CL.retrieve(probs, 100, mode="pareto", seed=1)
 
 
 # -- MLM data preparation ---------------------------------------------------------
