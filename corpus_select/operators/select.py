@@ -52,16 +52,25 @@ def _bracket(df: DataFrame, k: int, key: Column, id_col: str, total: int, small_
     # `score` is "bigger is better"; for the id tie-break that is -id.
     score = (-F.col(id_col)) if by_id else key
     q = 1.0 - k / total
-    d = 3.0 / _ACCURACY
-    lo_q, hi_q = max(q - d, 0.0), min(q + d, 1.0)
-    lo, hi = df.select(F.percentile_approx(score, [lo_q, hi_q], _ACCURACY).alias("b")).first()["b"]
-    stats = df.select(F.sum((score > F.lit(hi)).cast("long")).alias("above"),
-                      F.sum(score.between(F.lit(lo), F.lit(hi)).cast("long")).alias("within")).first()
-    above, within = stats["above"] or 0, stats["within"] or 0
-    if not (above <= k <= above + within):
-        # approximate quantiles missed (should not happen); fall back to full range
-        lo_v, hi_v = df.select(F.min(score), F.max(score)).first()
-        lo, hi, above, within = lo_v, hi_v, 0, total
+    found = None
+    for width in (3.0, 30.0, 300.0):
+        d = width / _ACCURACY
+        lo_q, hi_q = max(q - d, 0.0), min(q + d, 1.0)
+        lo, hi = df.select(F.percentile_approx(score, [lo_q, hi_q], _ACCURACY).alias("b")).first()["b"]
+        stats = df.select(F.sum((score > F.lit(hi)).cast("long")).alias("above"),
+                          F.sum(score.between(F.lit(lo), F.lit(hi)).cast("long")).alias("within")).first()
+        above, within = stats["above"] or 0, stats["within"] or 0
+        if above <= k <= above + within and (within < total or width == 300.0):
+            found = (lo, hi, above, within)
+            break
+    if found is not None and found[3] >= total and found[0] == found[1] and not by_id:
+        # every row carries the same key: the order is the id order
+        return _bracket(df, k, key, id_col, total, small_k, by_id=True)
+    if found is None or found[3] >= total:
+        # the interval did not narrow the pool (not expected): one exact ordered limit
+        order = [F.col(id_col).asc()] if by_id else [key.desc(), F.col(id_col).asc()]
+        return df.orderBy(*order).limit(k)
+    lo, hi, above, within = found
     kept = df.where(score > F.lit(hi))
     rest = k - above
     if rest == 0:
@@ -73,6 +82,7 @@ def _bracket(df: DataFrame, k: int, key: Column, id_col: str, total: int, small_
         else:
             picks = inside.orderBy(key.desc(), F.col(id_col).asc()).limit(rest)
     elif lo == hi and not by_id:
+        # one tied key value: rank the tied rows by id, which is unique
         picks = _bracket(inside, rest, key, id_col, within, small_k, by_id=True)
     else:
         picks = _bracket(inside, rest, key, id_col, within, small_k, by_id=by_id)

@@ -140,3 +140,9 @@ def test_reconcile(spark):
     SEL.reconcile(a.select("doc_id"), a)
     with pytest.raises(ValueError):
         SEL.reconcile(a.select("doc_id").limit(1), a)
+
+
+def test_top_k_all_tied_pool(spark):
+    w = spark.range(6000).select(F.col("id").alias("doc_id"), F.lit(7).cast("long").alias("weight_e10"))
+    got = sorted(r["doc_id"] for r in SEL.top_k(w, 2500, small_k=100).collect())
+    assert got == list(range(2500))
