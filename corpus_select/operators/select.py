@@ -134,6 +134,9 @@ def select_multi_target(weights: DataFrame, k: int, targets: Sequence[str], prop
         else:
             pool = pool.withColumn("rank_key", gumbel_key(key, seed, f"gumbel:{t}", id_col))
         pick = top_k(pool, qk, "rank_key", id_col).select(id_col, "target", key, "rank_key")
+        if qk > SMALL_K:
+            # later targets anti-join these picks: evaluate the multi-pass top-k once
+            pick = _stored(pick)
         chosen = pick if chosen is None else chosen.unionByName(pick)
     if chosen is None:
         return weights.limit(0).select(id_col, "target", key, F.col(key).alias("rank_key"))
