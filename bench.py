@@ -34,6 +34,7 @@ def main() -> None:
              .config("spark.sql.session.timeZone", "UTC")
              .config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "16g"))
              .config("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+             .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
              .getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     if not spark.conf.get("spark.checkpoint.dir", None):
