@@ -98,7 +98,9 @@ def dense_buckets(spark: SparkSession, counts: DataFrame, num_buckets: int, smoo
         .select("bucket", F.coalesce("cnt", F.lit(0)).cast("long").alias("cnt"))
     # total over the B-row table (a window over parameter-sized data, no second scan)
     c = c.withColumn("total", F.sum("cnt").over(Window.partitionBy()))
-    p = (F.col("cnt") + F.lit(smoothing)) / (F.col("total") + F.lit(smoothing * num_buckets))
+    den = F.col("total") + F.lit(smoothing * num_buckets)
+    p = F.when(den > 0, (F.col("cnt") + F.lit(smoothing)) / den).otherwise(
+        F.raise_error(F.lit("empty corpus: no n-grams to fit a distribution on")).cast("double"))
     return c.select("bucket", "cnt", F.col("total"), p.alias("p"))
 
 
@@ -367,13 +369,16 @@ def fit_subset_targets(raw_features: DataFrame, target_ids: dict[str, DataFrame]
     full = spark.range(num_buckets).select(F.col("id").cast("int").alias("bucket"))
     dense = full.join(counts, "bucket", "left").na.fill(0)
     w = Window.partitionBy()
-    raw_p = F.col("raw") / F.sum("raw").over(w)
-    dense = dense.withColumn("raw_p", raw_p)
+
+    def _share(num, den, what):
+        return F.when(den > 0, num / den).otherwise(
+            F.raise_error(F.lit(f"empty {what}: no n-grams to fit a distribution on")).cast("double"))
+    dense = dense.withColumn("raw_p", _share(F.col("raw"), F.sum("raw").over(w), "raw corpus"))
     s = float(target_laplace_smoothing)
     parts = []
     for i, name in enumerate(names):
         c = F.col(f"_c{i}")
-        tp = (c + F.lit(s)) / (F.sum(c).over(w) + F.lit(s * num_buckets))
+        tp = _share(c + F.lit(s), F.sum(c).over(w) + F.lit(s * num_buckets), f"target '{name}'")
         parts.append(dense.select(F.lit(name).alias("target"), "bucket", F.col("raw").alias("raw_cnt"), "raw_p",
                                   c.alias("target_cnt"), tp.alias("target_p")))
     table = parts[0]

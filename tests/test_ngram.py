@@ -184,3 +184,13 @@ def test_single_scan_fit_equals_separate_fit(spark):
         pa = sorted((r["target"], round(r["proportion"], 12)) for r in a.proportions.collect())
         pb = sorted((r["target"], round(r["proportion"], 12)) for r in b.proportions.collect())
         assert pa == pb
+
+
+def test_empty_target_raises(spark):
+    docs = read_table(spark, SF001, "documents", "doc_id")
+    empty = docs.limit(0)
+    with pytest.raises(Exception, match="empty"):
+        NG.fit(docs, empty, num_tokens_to_fit="all").table.collect()
+    f = ngram_features(docs)
+    with pytest.raises(Exception, match="empty"):
+        NG.fit_subset_targets(f, {"t": docs.limit(0).select("doc_id")}, num_tokens_to_fit="all").table.collect()
