@@ -59,3 +59,18 @@ def test_entry_contract(spark):
     assert len(rows) > 0 and df.columns == ["doc_id", "log_weight"]
     q, o = E.queries(), E.oracle_sql()
     assert set(o) <= set(q) and len(q) >= 60
+
+
+def test_ngram_selection_flow_two_targets(spark, tmp_out):
+    docs = read_table(spark, SF001, "documents", "doc_id")
+    labels = read_table(spark, SF001, "labels")
+    ids = {"good": labels.where("quality = 1").select("doc_id"),
+           "src1": docs.where("source = 'src1'").select("doc_id")}
+    sel = flows.ngram_selection(docs, None, 30, target_ids=ids, separate_targets=True,
+                                target_proportions=[2, 1], top_k=True, work_dir=tmp_out, num_tokens_to_fit="all")
+    rows = sel.chosen.collect()
+    assert len(rows) == 30 and len({r["doc_id"] for r in rows}) == 30
+    counts = {}
+    for r in rows:
+        counts[r["target"]] = counts.get(r["target"], 0) + 1
+    assert counts == {"good": 20, "src1": 10}
