@@ -257,13 +257,16 @@ c as (select sum((p = 1 and y = 1)::DOUBLE) tp, sum((p = 0 and y = 0)::DOUBLE) t
 select round(avg((p = y)::DOUBLE), 6) accuracy, round(avg((s - y) * (s - y)), 6) mse,
   round((select case when sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)) > 0
           then (tp * tn - fp * fn) / sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)) else 0.0 end from c), 6) matthews,
+  round((select case when 2 * tp + fp + fn > 0 then 2 * tp / (2 * tp + fp + fn) else 0.0 end from c), 6) f1,
+  round((avg((p = y)::DOUBLE) + (select case when 2 * tp + fp + fn > 0 then 2 * tp / (2 * tp + fp + fn) else 0.0 end from c)) / 2, 6) combined_score,
   round(corr(s, y), 6) pearson, round(corr(rank_s, rank_y), 6) spearman from r""")
 def q_prediction_metrics(spark, sf):
-    """Accuracy, MSE, Matthews, Pearson and Spearman of the n-gram probability vs quality."""
+    """Accuracy, MSE, Matthews, F1, combined score, Pearson and Spearman of the n-gram probability vs quality."""
     x = probs(spark, sf).join(read_table(spark, sf, "labels"), "doc_id").select(
         (F.col("prob") >= 0.5).cast("double").alias("pred"), F.col("quality").alias("y"), "prob")
     m = RS.prediction_metrics(x, "pred", "y", "prob")
-    return m.select(*[F.round(c, 6).alias(c) for c in ("accuracy", "mse", "matthews", "pearson", "spearman")])
+    return m.select(*[F.round(c, 6).alias(c) for c in ("accuracy", "mse", "matthews", "f1", "combined_score",
+                                                        "pearson", "spearman")])
 
 
 @query("predictions_out", f"""
