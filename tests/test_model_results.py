@@ -103,6 +103,10 @@ def test_run_names_rollup_best_median(spark, tmp_out):
     assert got["STSB"]["mean"] == 88.0 and got["COLA"]["median"] == 50.0
     assert "MRPC" not in got
     assert RS.best_median(rolled).count() == 3
+    two = rolled.unionByName(rolled.where("task_name = 'RTE'").withColumn("lr", F.lit(3e-5))
+                             .withColumn("median", F.lit(10.0)))
+    assert RS.best_median(two).count() == 4
+    assert RS.best_median(two, ["task_name"]).count() == 3
     IO.write_tsv(rolled, os.path.join(tmp_out, "tsv"))
 
 
