@@ -238,6 +238,16 @@ def domain_topup(df: DataFrame, quotas: dict[str, int], seed: int = 0, domain_co
     return out
 
 
+# Held-out domains of the two corpus flows and their random top-up sizes.
+NGRAM_FLOW_TOPUP = {"Wikipedia (en)": 2_000_000, "Gutenberg (PG-19)": 2_000_000 // 3}
+CLASSIFIER_FLOW_DOMAINS = ["Wikipedia (en)", "BookCorpus2", "Books3", "Gutenberg (PG-19)"]
+
+
+def classifier_flow_topup(n: int = 4_000_000) -> dict[str, int]:
+    """Top-up sizes of the classifier flow: n // 2 from Wikipedia, n // 6 from each other domain."""
+    return {d: (n // 2 if d == "Wikipedia (en)" else n // 6) for d in CLASSIFIER_FLOW_DOMAINS}
+
+
 def union_ids(*frames: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Set union of chosen ids (U3): duplicates collapse."""
     out = None

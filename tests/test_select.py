@@ -146,3 +146,9 @@ def test_top_k_all_tied_pool(spark):
     w = spark.range(6000).select(F.col("id").alias("doc_id"), F.lit(7).cast("long").alias("weight_e10"))
     got = sorted(r["doc_id"] for r in SEL.top_k(w, 2500, small_k=100).collect())
     assert got == list(range(2500))
+
+
+def test_flow_topup_quotas():
+    assert SEL.NGRAM_FLOW_TOPUP == {"Wikipedia (en)": 2000000, "Gutenberg (PG-19)": 666666}
+    q = SEL.classifier_flow_topup(6000)
+    assert q["Wikipedia (en)"] == 3000 and q["Books3"] == 1000 and len(q) == 4
