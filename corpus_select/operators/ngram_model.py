@@ -295,6 +295,8 @@ def score_features_arrow(features: DataFrame, model: NgramModel, target: str | N
     from pyspark.sql import types as T
 
     nb = int(model.params["num_buckets"])
+    if nb > BROADCAST_MAX_ROWS:
+        raise ValueError(f"{nb} buckets is too many to ship to every task; score with log_weights (join)")
     n = n or int(model.params["n"])
     tgt = target or model.targets[0]
     rows = model.table.where(F.col("target") == F.lit(tgt)).select("bucket", "ld_e10").collect()
