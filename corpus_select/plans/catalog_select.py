@@ -215,3 +215,20 @@ def q_pareto(spark, sf):
     """Pareto(9) threshold sampling of 100 documents, prob = sigmoid(log_weight / 100), seed 13 (K5)."""
     w = weights_a(spark, sf).withColumn("prob", F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("log_weight") / F.lit(100.0))))
     return SEL.pareto_select(w, 100, "prob", seed=13).select("doc_id")
+
+
+@query("selected_sink_roundtrip", f"""
+with {TOP100}
+select doc_id, source, text from documents where doc_id in (select doc_id from top)""")
+def q_sink_roundtrip(spark, sf):
+    """Chosen rows written as JSON lines (S8, S10) and read back with an explicit schema."""
+    import os
+    import uuid
+    from pyspark.sql import types as T
+    from ..session import checkpoint_dir
+    from ..sources.io import read_jsonl, write_selected
+    out = os.path.join(checkpoint_dir(spark), f"selected_{uuid.uuid4().hex}")
+    write_selected(docs(spark, sf).select("doc_id", "source", "text"), top100(spark, sf), out)
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("source", T.StringType()),
+                           T.StructField("text", T.StringType())])
+    return read_jsonl(spark, os.path.join(out, "*.json"), schema)
