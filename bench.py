@@ -99,9 +99,13 @@ def main() -> None:
     timed("gmm_score", lambda: run(EM.score_samples(emb, mix)))
 
     def mlm():
-        vocab = ML.build_vocab(docs, max_size=30000)
-        vocab = vocab.persist()
-        run(ML.mask_tokens(ML.encode(docs, vocab, max_length=128, vocab_max_size=30000), vocab_size=30005, seed=1))
+        from corpus_select.functions.text import wordpunct_tokens
+        toks = docs.select("doc_id", wordpunct_tokens("text").alias("tokens")).persist()  # tokenize once
+        vocab = ML.build_vocab(toks, max_size=30000, tokens_col="tokens").persist()
+        run(ML.mask_tokens(ML.encode(toks, vocab, max_length=128, vocab_max_size=30000, tokens_col="tokens"),
+                           vocab_size=30005, seed=1))
+        toks.unpersist()
+        vocab.unpersist()
     timed("mlm_prep", mlm)
 
     def classifier():

@@ -28,15 +28,17 @@ def pick_text_column(df: DataFrame) -> str:
 
 
 def build_vocab(df: DataFrame, text_col: str = "text", tokenizer: str = "wordpunct",
-                max_size: int | None = 30000) -> DataFrame:
+                max_size: int | None = 30000, tokens_col: str | None = None) -> DataFrame:
     """``(token, id)``: tokens by frequency (ties by token), ids after the specials.
 
     Counting is a partial-aggregated groupBy; ranking uses the distributed
     dense index (no single-partition window). ``max_size`` keeps the most
     frequent tokens (the vocabulary size is the feature being set).
+    ``tokens_col`` takes already tokenized text (tokenize once, feed both
+    this and :func:`encode`).
     """
-    tok = get_tokenizer(tokenizer)
-    counts = df.select(F.explode(tok(F.col(text_col))).alias("token")).groupBy("token").agg(
+    toks = F.col(tokens_col) if tokens_col else get_tokenizer(tokenizer)(F.col(text_col))
+    counts = df.select(F.explode(toks).alias("token")).groupBy("token").agg(
         F.count(F.lit(1)).alias("freq"))
     counts = counts.withColumn("neg_freq", -F.col("freq"))
     if max_size is not None and max_size <= SMALL_VOCAB:
@@ -51,7 +53,8 @@ def build_vocab(df: DataFrame, text_col: str = "text", tokenizer: str = "wordpun
 
 
 def encode(df: DataFrame, vocab: DataFrame, max_length: int = 128, id_col: str = "doc_id",
-           text_col: str = "text", tokenizer: str = "wordpunct", vocab_max_size: int | None = None) -> DataFrame:
+           text_col: str = "text", tokenizer: str = "wordpunct", vocab_max_size: int | None = None,
+           tokens_col: str | None = None) -> DataFrame:
     """Tokenise, map to ids, truncate to ``max_length`` with [CLS]/[SEP], pad.
 
     Output: ``input_ids, attention_mask, special_tokens_mask`` (ARRAY<INT>).
@@ -61,10 +64,15 @@ def encode(df: DataFrame, vocab: DataFrame, max_length: int = 128, id_col: str =
     the regroup by document reuses the input's partitioning when it is
     already hash-partitioned on the id.
     """
-    tok = get_tokenizer(tokenizer)
     body = max_length - 2
-    rows = df.where(~is_blank(F.col(text_col))).select(
-        F.col(id_col).alias("doc_id"), F.slice(tok(F.col(text_col)), 1, body).alias("_t"))
+    if tokens_col:
+        # a non-blank text always has at least one token, so blank == no tokens
+        rows = df.where(F.size(F.col(tokens_col)) > 0).select(
+            F.col(id_col).alias("doc_id"), F.slice(F.col(tokens_col), 1, body).alias("_t"))
+    else:
+        tok = get_tokenizer(tokenizer)
+        rows = df.where(~is_blank(F.col(text_col))).select(
+            F.col(id_col).alias("doc_id"), F.slice(tok(F.col(text_col)), 1, body).alias("_t"))
     ex = rows.select("doc_id", F.posexplode_outer("_t").alias("pos", "token"))
     v = vocab.select("token", "id")
     if vocab_max_size is not None and vocab_max_size <= 5_000_000:

@@ -205,3 +205,15 @@ def test_row_ids_and_byte_exact_copy(spark, tmp_out):
     IO.write_selected_lines(ided.select("doc_id", "value"), chosen, os.path.join(tmp_out, "copy"))
     out = sorted(r[0] for r in spark.read.text(os.path.join(tmp_out, "copy")).collect())
     assert out == sorted([lines[0], lines[2]])
+
+
+def test_mlm_pre_tokenized_equals_text_path(spark):
+    from corpus_select.functions.text import wordpunct_tokens
+    docs = IO.read_table(spark, SF001, "documents", "doc_id")
+    toks = docs.select("doc_id", wordpunct_tokens("text").alias("tokens"))
+    v1 = ML.build_vocab(docs, max_size=300)
+    v2 = ML.build_vocab(toks, max_size=300, tokens_col="tokens")
+    assert sorted(v1.collect()) == sorted(v2.collect())
+    e1 = ML.encode(docs, v1, max_length=24, vocab_max_size=300)
+    e2 = ML.encode(toks, v2, max_length=24, vocab_max_size=300, tokens_col="tokens")
+    assert sorted(e1.collect()) == sorted(e2.collect())
