@@ -109,9 +109,13 @@ def main() -> None:
     timed("mlm_prep", mlm)
 
     def classifier():
-        lab = docs.join(labels, "doc_id").select("doc_id", "text", F.col("quality").alias("label"))
-        model_c = CL.train_classifier(lab, None, num_features=1 << 16, reg_params=(0.01,), max_iter=10)
-        run(CL.predict_proba(model_c, docs))
+        from corpus_select.functions.stats import treebank_tokens
+        toks = docs.select("doc_id", treebank_tokens("text").alias("tokens")).persist()  # tokenize once
+        lab = toks.join(labels, "doc_id").select("doc_id", "tokens", F.col("quality").alias("label"))
+        model_c = CL.train_classifier(lab, None, num_features=1 << 16, reg_params=(0.01,), max_iter=10,
+                                      tokens_col="tokens")
+        run(CL.predict_proba(model_c, toks, tokens_col="tokens"))
+        toks.unpersist()
     timed("classifier", classifier)
 
     total = round(sum(times.values()), 3)

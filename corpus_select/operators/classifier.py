@@ -69,11 +69,12 @@ def zip_mix(pos: DataFrame, neg: DataFrame, pos_order: Sequence[str], neg_order:
 def train_classifier(train: DataFrame, val: DataFrame | None = None, text_col: str = "text",
                      label_col: str = "label", num_features: int = 1 << 18, ngrams: int = 2,
                      reg_params: Sequence[float] = (0.0, 0.01, 0.1), max_iter: int = 50,
-                     word_vectors: DataFrame | None = None):
+                     word_vectors: DataFrame | None = None, tokens_col: str | None = None):
     """Hashed n-gram logistic regression, tuned on ``val`` if given.
 
     ``word_vectors`` ``(word, vec)`` adds the mean word vector of each text as
-    extra features (joined per token, averaged per document).
+    extra features (joined per token, averaged per document). ``tokens_col``
+    takes Treebank-style tokens computed once by the caller.
     """
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
@@ -81,7 +82,7 @@ def train_classifier(train: DataFrame, val: DataFrame | None = None, text_col: s
     from pyspark.ml.feature import HashingTF, NGram, SQLTransformer, VectorAssembler
 
     def prep(df):
-        out = df.withColumn("_tok", treebank_tokens(F.col(text_col)))
+        out = df.withColumn("_tok", F.col(tokens_col) if tokens_col else treebank_tokens(F.col(text_col)))
         if word_vectors is not None:
             out = add_mean_vector(out, word_vectors)
         return out
@@ -140,10 +141,10 @@ def add_mean_vector(df: DataFrame, word_vectors: DataFrame, tok_col: str = "_tok
 
 
 def predict_proba(model, df: DataFrame, text_col: str = "text", id_col: str = "doc_id",
-                  word_vectors: DataFrame | None = None) -> DataFrame:
+                  word_vectors: DataFrame | None = None, tokens_col: str | None = None) -> DataFrame:
     """Positive-class probability for every row."""
     from pyspark.ml.functions import vector_to_array
-    x = df.withColumn("_tok", treebank_tokens(F.col(text_col)))
+    x = df.withColumn("_tok", F.col(tokens_col) if tokens_col else treebank_tokens(F.col(text_col)))
     if word_vectors is not None:
         x = add_mean_vector(x, word_vectors)
     out = model.transform(x)

@@ -217,3 +217,17 @@ def test_mlm_pre_tokenized_equals_text_path(spark):
     e1 = ML.encode(docs, v1, max_length=24, vocab_max_size=300)
     e2 = ML.encode(toks, v2, max_length=24, vocab_max_size=300, tokens_col="tokens")
     assert sorted(e1.collect()) == sorted(e2.collect())
+
+
+def test_classifier_pre_tokenized_equals_text_path(spark):
+    from corpus_select.functions.stats import treebank_tokens
+    pos = ["markets rallied as stocks rose"] * 10 + ["bond yields fell"] * 10
+    neg = ["the cat slept on a warm mat"] * 20
+    df = spark.createDataFrame([(i, t, 1 if i < 20 else 0) for i, t in enumerate(pos + neg)],
+                               "doc_id long, text string, label int").coalesce(1)
+    toks = df.withColumn("tokens", treebank_tokens("text"))
+    m1 = CL.train_classifier(df, None, num_features=256, reg_params=(0.1,), max_iter=20)
+    m2 = CL.train_classifier(toks, None, num_features=256, reg_params=(0.1,), max_iter=20, tokens_col="tokens")
+    p1 = {r[0]: r[1] for r in CL.predict_proba(m1, df).collect()}
+    p2 = {r[0]: r[1] for r in CL.predict_proba(m2, toks, tokens_col="tokens").collect()}
+    assert p1.keys() == p2.keys() and max(abs(p1[k] - p2[k]) for k in p1) < 1e-9
