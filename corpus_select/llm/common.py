@@ -99,13 +99,16 @@ def gathered(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int =
         yield pa.Table.from_batches(held)
 
 
+def one_array(column: pa.ChunkedArray | pa.Array) -> pa.Array:
+    """The column as one contiguous array."""
+    if not isinstance(column, pa.ChunkedArray):
+        return column
+    return column.chunk(0) if column.num_chunks == 1 else pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
+
+
 def large(column: pa.ChunkedArray | pa.Array) -> pa.Array:
-    """One contiguous array with 64-bit offsets."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.cast(pa.large_string()).combine_chunks()
-        return column.chunk(0) if isinstance(column, pa.ChunkedArray) and column.num_chunks else (
-            pa.array([], pa.large_string()) if isinstance(column, pa.ChunkedArray) else column)
-    return column.cast(pa.large_string())
+    """One contiguous array of strings with 64-bit offsets."""
+    return one_array(column.cast(pa.large_string()))
 
 
 def starts_of(lengths: np.ndarray) -> np.ndarray:
@@ -136,9 +139,6 @@ def list_lengths(lists: pa.Array) -> np.ndarray:
 def codes_of(flat: pa.Array) -> tuple[np.ndarray, pa.Array]:
     """(code per value, distinct values)."""
     d = pc.dictionary_encode(flat)
-    if isinstance(d, pa.ChunkedArray):
-        d = d.combine_chunks()
-        d = d.chunk(0) if isinstance(d, pa.ChunkedArray) else d
     return d.indices.to_numpy(zero_copy_only=False), d.dictionary
 
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import arrow_map, gathered, large, ragged_take, record_batch, starts_of, stored, texts_of
+from .common import arrow_map, gathered, large, one_array, ragged_take, record_batch, starts_of, stored, texts_of
 from .words import coder, split_words
 
 SEGMENTS = "length int, first long, count long, bin long, per int, offset int"
@@ -152,12 +152,12 @@ def _cut(path: str, capacity: int, end: int, keep_ids: bool):
             number += seen[length]
             seen += np.bincount(length, minlength=capacity + 1)
             columns = {
-                "doc_id": t.column("doc_id").combine_chunks().take(pa.array(doc)), "piece": pa.array(piece, pa.int32()), "start": pa.array(start, pa.int64()),
+                "doc_id": one_array(t.column("doc_id")).take(pa.array(doc)), "piece": pa.array(piece, pa.int32()), "start": pa.array(start, pa.int64()),
                 "length": pa.array(length, pa.int64()), "ids_crc32": pa.array(crc, pa.int64()), "file": pa.array(np.full(len(doc), file), pa.int32()), "number": pa.array(number, pa.int64()),
             }
             if keep_ids:
                 columns["ids"] = pa.array([bytes(raw[4 * a:4 * (a + m)]) for a, m in zip(at.tolist(), length.tolist())], pa.binary())
-            yield record_batch({k: c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for k, c in columns.items()})
+            yield record_batch(columns)
     return run
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, token_counts
+from . import bpe, extraction, fingerprints, licenses, packing, quality, token_counts
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,3 +44,23 @@ def bpe_encoding(spark, sf_dir):
 def prefix_token_counts(spark, sf_dir):
     counts = token_counts.prefix_counts(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), prefixes=False)
     return token_counts.over_limit(counts, 4096).select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+@query("op4_document_fingerprints")
+def document_fingerprints(spark, sf_dir):
+    return fingerprints.compare_with_next(table(spark, sf_dir, "documents"))
+
+
+@query("op5_quality_classifier")
+def quality_classifier(spark, sf_dir):
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op2_html_extraction")
+def html_extraction(spark, sf_dir):
+    return extraction.extract(table(spark, sf_dir, "pages"))
+
+
+@query("op7_license_scans", licenses.scan_sql())
+def license_scans(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents"))

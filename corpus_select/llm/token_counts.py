@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, binary_array, codes_of, gathered, large, list_lengths, ragged_take, record_batch, starts_of, texts_of
+from .common import arrow_map, binary_array, codes_of, gathered, large, list_lengths, one_array, ragged_take, record_batch, starts_of, texts_of
 
 SPACE = "▁"  # fixed value: how the pieces write a space
 
@@ -187,7 +187,7 @@ def _counts(path: str, prefixes: bool):
             ends = starts_of(counts)
             at = np.concatenate([[0], np.cumsum(total[codes])])
             columns = {
-                "doc_id": t.column("doc_id").combine_chunks(),
+                "doc_id": one_array(t.column("doc_id")),
                 "n_chars": pc.utf8_length(texts).cast(pa.int64()),
                 "n_bytes": pc.binary_length(texts).cast(pa.int64()),
                 "n_tokens": pa.array(at[ends[1:]] - at[ends[:-1]], pa.int64()),
@@ -195,7 +195,7 @@ def _counts(path: str, prefixes: bool):
             if prefixes:
                 chars = np.concatenate([[0], np.cumsum(width[codes])])[ends]
                 columns["steps"] = binary_array(ragged_take(flat, starts_of(width)[:-1], width, codes), chars).cast(pa.binary())
-            yield record_batch({k: c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for k, c in columns.items()})
+            yield record_batch(columns)
     return run
 
 
