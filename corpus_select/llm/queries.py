@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, extraction, fingerprints, licenses, packing, quality, token_counts
+from . import bpe, extraction, fingerprints, jaccard, licenses, lines, packing, quality, token_counts
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,3 +64,15 @@ def html_extraction(spark, sf_dir):
 @query("op7_license_scans", licenses.scan_sql())
 def license_scans(spark, sf_dir):
     return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+@query("op6_ngram_jaccard_join")
+def ngram_jaccard_join(spark, sf_dir):
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_copies", "n_links", "group_id")
+
+
+@query("op9_line_dedup")
+def line_dedup(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    kept = lines.dedup_lines(docs.select("doc_id", "text"))
+    return kept.select("doc_id", F.length("text").alias("n_chars"), "text")
