@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, extraction, fingerprints, jaccard, licenses, lines, packing, quality, token_counts
+from . import bpe, extraction, fingerprints, jaccard, licenses, lines, multi_index, packing, quality, token_counts
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,3 +76,8 @@ def line_dedup(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     kept = lines.dedup_lines(docs.select("doc_id", "text"))
     return kept.select("doc_id", F.length("text").alias("n_chars"), "text")
+
+
+@query("op10_inverted_multi_index")
+def inverted_multi_index(spark, sf_dir):
+    return multi_index.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
