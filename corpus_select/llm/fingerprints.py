@@ -15,6 +15,7 @@ by a hash of their texts, null ids come last; a lone document is its own next.
 from __future__ import annotations
 
 import hashlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,12 @@ ROWS = 2048  # documents worked at a time: ROWS x BINS minima are in memory
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
+@lru_cache
+def _probes(bins: int) -> np.ndarray:
+    """For each bin, the order in which it looks for a filled one: a random permutation, the same everywhere."""
+    return np.argsort(mix(np.arange(bins * bins, dtype=np.uint64)).reshape(bins, bins), axis=1).astype(np.uint16)
+
+
 def signatures(texts: pa.Array, bins: int = BINS, bits: int = BITS, size: int = SIZE) -> np.ndarray:
     """Low-order bits (uint8, texts x bins); ``bins`` is a power of two."""
     per, words = word_hashes(texts)
@@ -40,20 +47,19 @@ def signatures(texts: pa.Array, bins: int = BINS, bits: int = BITS, size: int =
     cell = (hashes >> shift).astype(np.int64) + np.repeat(np.arange(len(count), dtype=np.int64) * bins, count)
     np.minimum.at(least, cell, hashes & ((np.uint64(1) << shift) - np.uint64(1)))
     least = least.reshape(len(count), bins)
-    # probe order of bin j: start + t * stride (odd), a permutation of the bins
-    seed = mix(np.arange(1, 2 * bins + 1, dtype=np.uint64))
-    start, stride = (seed[:bins] % np.uint64(bins)).astype(np.int64), (seed[bins:] % np.uint64(bins)).astype(np.int64) | 1
+    order = _probes(bins)
     filled = least != _NONE
     row, col = np.nonzero(~filled)
     source = least.copy()
     for t in range(bins):
         if not len(row):
             break
-        at = (start[col] + t * stride[col]) % bins
+        at = order[col, t]
         hit = filled[row, at]
         least[row[hit], col[hit]] = source[row[hit], at[hit]]
         row, col = row[~hit], col[~hit]
-    return (least & np.uint64((1 << bits) - 1)).astype(np.uint8)
+    # a copied minimum is mixed with its bin's number, so that unequal minima agree by chance in each bin apart
+    return (mix(least + np.arange(bins, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) & np.uint64((1 << bits) - 1)).astype(np.uint8)
 
 
 def packed(sig: np.ndarray, bits: int = BITS) -> list[str]:
