@@ -1,15 +1,16 @@
 """BPE encoding and decoding through a table of distinct words.
 
-1. Texts are split on white space in Arrow maps; a block of texts keeps one
-   code per word occurrence and its list of distinct words.
-2. The blocks' words meet on the word: the distinct-word table holds every word
-   of the corpus once, and each is encoded once.
-3. Decoding joins the table's ids with the id-to-piece table.
-4. Ids and pieces go back to the blocks by (block, position in its word list),
-   and each text's ids are gathered by its codes.
-
-What is shuffled are the blocks' distinct words, not their occurrences: a very
-common word is one row per block, and blocks are bounded by bytes.
+1. Texts are split on white space in Arrow maps. A block of texts (bounded by
+   bytes) keeps a code per word occurrence and lists its distinct words once, dealt
+   by hash into buckets. Blocks are written once, as a table bucketed by block.
+2. The word lists are shuffled by bucket, so all blocks' copies of a word meet;
+   there each distinct word is encoded once. A very common word is one entry per
+   block, whatever its count.
+3. The ids return to their block, in the order of its word lists; the blocks stay
+   where they are, since their table is bucketed by the join's key. Each text's ids are
+   gathered by its codes.
+4. Decoding joins ids with the id-to-piece table. Its size is the tokenizer's
+   vocabulary, so it is broadcast and joined by position in Arrow maps.
 
 Defined results: null text is empty; an empty text has no ids and decodes to
 ''; rows with equal or null ids are kept apart, one row out per row in; other
@@ -20,143 +21,153 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import (arrow_map, binary_array, gathered, large, ragged_take, record_batch, starts_of, stored, texts_of)
+from .common import arrow_map, binary_array, codes_of, gathered, large, ragged_take, record_batch, starts_of, stored_bucketed, texts_of
+from .shingles import hash_strings
 from .words import coder, split_words
 
 OUT_BYTES = 8 << 20
 
 
-def _blocks(id_type: str):
+def _squeezed(a: np.ndarray | bytes) -> bytes:
+    raw = a if isinstance(a, bytes) else a.tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _opened(b: bytes) -> bytes:
+    return pa.decompress(memoryview(b)[8:], decompressed_size=int.from_bytes(b[:8], "little"), codec="zstd", asbytes=True)
+
+
+def _planes(a: np.ndarray) -> bytes:
+    """Bytes of 32-bit numbers, low bytes first: high bytes of small numbers compress to nothing."""
+    return _squeezed(np.ascontiguousarray(a.astype("<u4").view(np.uint8).reshape(-1, 4).T))
+
+
+def _unplaned(b: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(_opened(b), np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
+def _blocks(buckets: int):
     def run(batches):
-        task, k = TaskContext.get().partitionId() if TaskContext.get() else 0, 0
+        context = TaskContext.get()
+        task, k = context.partitionId() if context else 0, 0
         for t in gathered(batches):
             counts, codes, distinct = split_words(large(t.column("text")))
-            often = np.bincount(codes, minlength=len(distinct))
-            order = np.argsort(-often, kind="stable")  # small codes for common words: the stored codes compress
-            rank = np.empty(len(order), np.int32)
-            rank[order] = np.arange(len(order), dtype=np.int32)
-            flat = rank[codes]
-            block = (task << 32) + k
-            k += 1
+            often = np.floor(np.log2(np.maximum(np.bincount(codes, minlength=len(distinct)), 1))).astype(np.int8)
+            # small codes for common words, and like words side by side: both compress
+            order = pc.sort_indices(pa.table({"often": pa.array(-often), "word": distinct}), [("often", "ascending"), ("word", "ascending")])
+            words = distinct.take(order)
+            rank = np.empty(len(order), np.int64)
+            rank[order.to_numpy()] = np.arange(len(order))
+            bucket = (hash_strings(words) % np.uint64(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.uint32)
+            by = np.argsort(bucket, kind="stable")
+            ends = np.searchsorted(bucket[by], np.arange(buckets + 1))
+            lists = words.take(pa.array(by))
+            parts = [(i, _squeezed("\n".join(lists.slice(a, b - a).to_pylist()).encode())) for i, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist())) if b > a]
             yield record_batch({
-                "block": pa.array([block], pa.int64()),
+                "block": pa.array([(task << 32) + k], pa.int64()),
                 "ids": pa.array([t.column("doc_id").to_pylist()], pa.list_(t.schema.field("doc_id").type)),
-                "counts": pa.array([counts], pa.list_(pa.int64())),
-                "codes": pa.array([flat.tobytes()], pa.large_binary()),
-                "words": pa.ListArray.from_arrays(pa.array([0, len(distinct)], pa.int32()), distinct.take(pa.array(order)).cast(pa.string())),
+                "counts": pa.array([_planes(counts)], pa.binary()),
+                "codes": pa.array([_planes(rank[codes])], pa.binary()),
+                "dealt": pa.array([_squeezed(bucket.astype("<u4"))], pa.binary()),
+                "words": pa.array([[{"bucket": i, "list": w} for i, w in parts]], pa.list_(pa.struct([("bucket", pa.int32()), ("list", pa.binary())]))),
             })
+            k += 1
     return run
 
 
-def block_table(docs: DataFrame) -> DataFrame:
-    """Stored blocks: text ids, words per text, the codes of all word occurrences, and the distinct words."""
+def block_table(docs: DataFrame, buckets: int) -> DataFrame:
+    """Blocks of texts: ids, words per text, codes of the word occurrences, buckets of the codes, and the distinct words by bucket."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return stored(arrow_map(docs, _blocks(kind), f"block long, ids array<{kind}>, counts array<long>, codes binary, words array<string>"), "bpe-blocks")
-
+    made = arrow_map(docs, _blocks(buckets), f"block long, ids array<{kind}>, counts binary, codes binary, dealt binary, words array<struct<bucket:int,list:binary>>")
+    return stored_bucketed(made, "bpe_blocks", "block", buckets)
 
-def piece_table(spark: SparkSession, path: str) -> DataFrame:
-    """(token, piece): the tokenizer's vocabulary, as long as the file makes it."""
-    from tokenizers import Tokenizer
-
-    vocab = Tokenizer.from_file(path).get_vocab(with_added_tokens=True)
-    return spark.createDataFrame([(i, p) for p, i in vocab.items()], "token int, piece string")
 
-
-def _encode_words(path: str):
+def _encode(path: str):
+    """Word lists of a bucket -> the words' ids, each distinct word of a batch encoded once (and word pieces once while remembered)."""
     def run(batches):
         own = coder(path)
         for b in batches:
-            ids, n = own.words(b.column("word").to_pylist())
-            yield record_batch({"word": b.column("word"), "tokens": pa.ListArray.from_arrays(pa.array(starts_of(n).astype(np.int32)), pa.array(ids.astype(np.int32)))})
+            lists = [_opened(x).decode().split("\n") for x in b.column("list").to_pylist()]
+            size = np.array([len(x) for x in lists], np.int64)
+            codes, distinct = codes_of(pa.array([w for x in lists for w in x], pa.large_string()))
+            ids, n = own.words(distinct.to_pylist())
+            start, ends = starts_of(n)[:-1], starts_of(size)
+            rows = [codes[a:z] for a, z in zip(ends[:-1], ends[1:])]
+            yield record_batch({"block": b.column("block"), "bucket": b.column("bucket"),
+                                "n": pa.array([_planes(n[r]) for r in rows], pa.binary()), "tokens": pa.array([_planes(ragged_take(ids, start, n, r)) for r in rows], pa.binary())})
     return run
 
 
-def word_table(words: DataFrame, path: str) -> DataFrame:
-    """(word, tokens, pieces): each distinct word encoded once, its ids joined with their pieces.
+def word_ids(blocks: DataFrame, path: str, buckets: int) -> DataFrame:
+    """(block, own): for each bucket the ids of the block's words, in the order of its lists."""
+    lists = blocks.select("block", F.explode("words").alias("w")).select("block", "w.bucket", "w.list")
+    coded = arrow_map(lists.repartition(buckets, "bucket"), _encode(path), "block long, bucket int, n binary, tokens binary")
+    return coded.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("bucket", "n", "tokens"))).alias("own"))
+
+
+def piece_table(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, start, width) of the pieces by id, each with a blank after it: as many as the vocabulary has."""
+    from tokenizers import Tokenizer
+
+    vocab = Tokenizer.from_file(path).get_vocab(with_added_tokens=True)
+    pieces = [b""] * (max(vocab.values()) + 1)
+    for p, i in vocab.items():
+        pieces[i] = p.encode() + b" "
+    width = np.array([len(p) for p in pieces], np.int64)
+    return np.frombuffer(b"".join(pieces), np.uint8), starts_of(width)[:-1], width
 
-    The vocabulary is broadcast; its size is the tokenizer file's.
-    """
-    distinct = words.select("word").distinct()
-    ids = arrow_map(distinct, _encode_words(path), "word string, tokens array<int>")
-    pieces = F.broadcast(piece_table(words.sparkSession, path))
-    # ids of a word stay together in its row: position and token explode, join, and meet again on the word
-    spread = ids.select("word", F.posexplode("tokens").alias("pos", "token"))
-    joined = (spread.join(pieces, "token").groupBy("word")
-              .agg(F.sort_array(F.collect_list(F.struct("pos", "token", "piece"))).alias("p")))
-    return joined.select("word", F.col("p.token").alias("tokens"), F.array_join(F.col("p.piece"), " ").alias("piece"))
 
+def decoded_texts(ids: np.ndarray, ends: np.ndarray, pieces: tuple[np.ndarray, np.ndarray, np.ndarray]) -> pa.Array:
+    """Texts of the id runs between ``ends``: their pieces with a blank between."""
+    flat, start, width = pieces
+    size = np.concatenate([[0], np.cumsum(width[ids])])[ends]
+    chars = ragged_take(flat, start, width, ids)
+    busy = np.diff(size) > 0
+    keep = np.ones(len(chars), bool)
+    keep[size[1:][busy] - 1] = False  # no blank after the last
+    return binary_array(chars[keep], size - np.concatenate([[0], np.cumsum(busy)])).cast(pa.large_string()).cast(pa.string())
 
-def _assemble():
-    """Blocks with their words' ids (binary, in the order of codes) -> one row per text."""
+
+def _assemble(pieces):
     def run(batches):
+        table = pieces.value
         for b in batches:
-            for row in range(b.num_rows):
-                r = b.slice(row, 1)
-                counts = r.column("counts").flatten().to_numpy(zero_copy_only=False)
-                codes = np.frombuffer(r.column("codes")[0].as_buffer(), dtype=np.int32)
-                flat, n, width, text = _word_ids(r)
-                doc = r.column("ids").flatten()
-                ends = starts_of(counts)
-                size = n[codes] * 4 + width[codes]
-                at = np.concatenate([[0], np.cumsum(size)])[ends]
+            for k in range(b.num_rows):
+                r = {c: b.column(c)[k] for c in b.schema.names}
+                counts = _unplaned(r["counts"].as_py()).astype(np.int64)
+                codes = _unplaned(r["codes"].as_py()).astype(np.int64)
+                bucket = np.frombuffer(_opened(r["dealt"].as_py()), "<u4")
+                own = r["own"].as_py() or []
+                by = np.argsort(bucket, kind="stable")
+                per = np.concatenate([_unplaned(o["n"]) for o in own]).astype(np.int64) if own else np.zeros(0, np.int64)
+                flat = np.concatenate([_unplaned(o["tokens"]) for o in own]) if own else np.zeros(0, np.uint32)
+                n, start = np.zeros(len(bucket), np.int64), np.zeros(len(bucket), np.int64)
+                n[by], start[by] = per, starts_of(per)[:-1]
+                doc, ends = r["ids"].values, starts_of(counts)
+                at = np.concatenate([[0], np.cumsum(n[codes])])[ends]
                 first = 0
                 while first < len(counts):
-                    last = max(first + 1, int(np.searchsorted(at, at[first] + OUT_BYTES, side="right")) - 1)
-                    own = codes[ends[first]:ends[last]]
-                    per = ends[first:last + 1] - ends[first]
-                    ids = ragged_take(flat, starts_of(n)[:-1], n, own)
-                    id_ends = np.concatenate([[0], np.cumsum(n[own])])[per]
-                    chars = ragged_take(text, starts_of(width)[:-1], width, own)
-                    char_ends = np.concatenate([[0], np.cumsum(width[own])])[per]
-                    # each word's pieces end with a blank; a text's last blank goes
-                    drop = np.diff(char_ends) > 0
-                    keep = np.ones(len(chars), bool)
-                    keep[char_ends[1:][drop] - 1] = False
-                    chars, char_ends = chars[keep], char_ends - np.concatenate([[0], np.cumsum(drop)])
+                    last = max(first + 1, int(np.searchsorted(at, at[first] + OUT_BYTES // 8, side="right")) - 1)
+                    ids = ragged_take(flat, start, n, codes[ends[first]:ends[last]])
+                    own_ends = at[first:last + 1] - at[first]
                     yield record_batch({
-                        "doc_id": doc.slice(first, last - first),
-                        "n_tokens": pa.array(np.diff(id_ends), pa.int64()),
-                        "ids": binary_array(ids.astype("<u4"), id_ends * 4).cast(pa.binary()),
-                        "decoded": binary_array(chars, char_ends).cast(pa.large_string()).cast(pa.string()),
-                    })
+                        "doc_id": doc.slice(first, last - first), "n_tokens": pa.array(np.diff(own_ends), pa.int64()),
+                        "ids": binary_array(ids.astype("<u4"), own_ends * 4).cast(pa.binary()), "decoded": decoded_texts(ids, own_ends, table)})
                     first = last
     return run
 
 
-def _word_ids(r):
-    """(ids, ids per word, bytes per word's pieces, the pieces) by code of the block's word list."""
-    k = r.column("k")[0].as_py()
-    part = r.column("own").flatten()
-    code = part.field("code").to_numpy(zero_copy_only=False)
-    tokens, piece = part.field("tokens"), part.field("piece").cast(pa.large_binary())
-    order = np.argsort(code)
-    tokens, piece, code = tokens.take(pa.array(order)), piece.take(pa.array(order)), code[order]
-    n, width = np.zeros(k, np.int64), np.zeros(k, np.int64)
-    off = np.asarray(tokens.offsets)
-    n[code] = np.diff(off)
-    boff = np.frombuffer(piece.buffers()[1], np.int64)[piece.offset:piece.offset + len(piece) + 1]
-    size = np.diff(boff)
-    raw = np.frombuffer(piece.buffers()[2], np.uint8)[boff[0]:boff[-1]] if len(piece) and piece.buffers()[2] else np.zeros(0, np.uint8)
-    text = np.full(int(size.sum()) + len(size), 32, np.uint8)
-    spot = np.arange(len(raw), dtype=np.int64) + np.repeat(np.arange(len(size)), size)
-    text[spot] = raw
-    width[code] = size + 1
-    return tokens.flatten().to_numpy(zero_copy_only=False).astype(np.uint32), n, width, text
-
-
 def encode_decode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per text: doc_id, n_tokens, ids (little-endian unsigned 32-bit), decoded (text of the ids, special tokens kept)."""
     docs = texts_of(df, id_col, text_col)
+    spark = df.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
-    blocks = block_table(docs)
-    entries = blocks.select("block", F.posexplode("words").alias("code", "word")).where("word <> ''")
-    table = word_table(entries, path)
-    back = (entries.join(table, "word").groupBy("block")
-            .agg(F.collect_list(F.struct("code", "tokens", "piece")).alias("own")))
-    whole = blocks.join(back, "block", "left").select(
-        "block", "ids", "counts", "codes", F.size("words").alias("k"), F.coalesce("own", F.array().cast("array<struct<code:int,tokens:array<int>,piece:string>>")).alias("own"))
-    return arrow_map(whole, _assemble(), f"doc_id {kind}, n_tokens long, ids binary, decoded string")
+    buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    blocks = block_table(docs, buckets)
+    whole = blocks.drop("words").join(word_ids(blocks, path, buckets).hint("merge"), "block", "left")
+    return arrow_map(whole, _assemble(spark.sparkContext.broadcast(piece_table(path))), f"doc_id {kind}, n_tokens long, ids binary, decoded string")

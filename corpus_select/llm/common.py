@@ -40,6 +40,18 @@ def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stored_bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """Like ``stored``, as a table bucketed by ``key``: a join on the key does not move it again."""
+    spark = df.sparkSession
+    made = f"llm_{name}_{uuid.uuid4().hex}"
+    path = os.path.join(checkpoint_dir(spark), made)
+    if not _WRITTEN:
+        atexit.register(release)
+    _WRITTEN.append((spark, path))
+    df.write.format("parquet").option("path", path).option("compression", "none").bucketBy(buckets, key).saveAsTable(made)
+    return spark.table(made)
+
+
 def release(spark: SparkSession | None = None) -> None:
     """Delete the intermediates this module wrote (of ``spark``, or of every session)."""
     left = []
