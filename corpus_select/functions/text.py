@@ -81,13 +81,6 @@ def ngrams(tokens: Column | str, n: int = 2) -> Column:
     return out
 
 
-def bigram_pairs(tokens: Column | str) -> Column:
-    """Adjacent pairs of a token array as ARRAY<STRUCT<first,second>>."""
-    t = _c(tokens)
-    n_out = F.greatest(F.size(t) - F.lit(1), F.lit(0))
-    return F.arrays_zip(F.slice(t, 1, n_out).alias("first"), F.slice(t, 2, n_out).alias("second"))
-
-
 def example_length(n_tokens: Column | str, n: int) -> Column:
     """Per-example length from the n-gram count: floor((G + n(n-1)/2) / n)."""
     L = _c(n_tokens)

@@ -47,17 +47,23 @@ def ordered_split(df: DataFrame, order_cols: Sequence[str], frac: float = 0.9) -
 
 
 def zip_mix(pos: DataFrame, neg: DataFrame, pos_order: Sequence[str], neg_order: Sequence[str],
-            line_col: str = "line", frac: float = 0.9) -> DataFrame:
+            line_col: str | Column = "line", frac: float = 0.9) -> DataFrame:
     """Interleave target (label 1) and background (label 0) lines by position.
 
     Line i of each side form pair i; the longer side is cut to the shorter;
     the first ``int(0.9 * pairs)`` pairs are training rows, the rest validation.
-    Output: ``split, pair, label, line``.
+    ``line_col`` is a column of both sides or an expression over their columns; it is
+    evaluated for the rows of the pairs alone. Output: ``split, pair, label, line``.
     """
+    line = F.col(line_col) if isinstance(line_col, str) else line_col
     n = min(pos.count(), neg.count())
     n_train = int(n * frac)
-    p = dense_index(pos, list(pos_order), "pair").where(F.col("pair") < F.lit(n)).select("pair", F.col(line_col).alias("p"))
-    q = dense_index(neg, list(neg_order), "pair").where(F.col("pair") < F.lit(n)).select("pair", F.col(line_col).alias("q"))
+
+    def numbered(side, order, name):
+        # positions come from the ordering columns alone; lines are made for the rows that stay
+        keys = dense_index(side.select(*order), list(order), "pair").where(F.col("pair") < F.lit(n))
+        return side.join(keys, list(order)).select("pair", line.alias(name))
+    p, q = numbered(pos, pos_order, "p"), numbered(neg, neg_order, "q")
     j = p.join(q, "pair")
     both = j.select("pair", F.explode(F.array(
         F.struct(F.lit(1).alias("label"), relabel(F.col("p"), 1).alias("line")),
@@ -87,9 +93,9 @@ def train_classifier(train: DataFrame, val: DataFrame | None = None, text_col: s
             out = add_mean_vector(out, word_vectors)
         return out
 
-    stages = [NGram(n=2, inputCol="_tok", outputCol="_bi"),
-              SQLTransformer(statement="SELECT *, concat(_tok, _bi) AS _grams FROM __THIS__")
-              if ngrams >= 2 else SQLTransformer(statement="SELECT *, _tok AS _grams FROM __THIS__"),
+    sizes = range(2, ngrams + 1)
+    stages = [*[NGram(n=i, inputCol="_tok", outputCol=f"_gram{i}") for i in sizes],
+              SQLTransformer(statement=f"SELECT *, concat({', '.join(['_tok', *[f'_gram{i}' for i in sizes]])}) AS _grams FROM __THIS__"),
               HashingTF(numFeatures=num_features, inputCol="_grams", outputCol="_tf")]
     feat = "_tf"
     if word_vectors is not None:
@@ -130,11 +136,11 @@ def add_mean_vector(df: DataFrame, word_vectors: DataFrame, tok_col: str = "_tok
     """Mean of the word vectors of a document's tokens as ``_wv``."""
     from pyspark.ml.functions import array_to_vector
     dim = len(word_vectors.first()["vec"])
-    toks = df.select(id_col, F.explode(tok_col).alias("word"))
-    j = toks.join(word_vectors, "word")
-    sums = j.select(id_col, F.posexplode("vec").alias("j", "v")).groupBy(id_col, "j").agg(F.avg("v").alias("v"))
-    arr = sums.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("j", "v"))).alias("s")) \
-        .select(id_col, F.transform("s", lambda e: e["v"].cast("double")).alias("_wva"))
+    # a word counts once per document, with its number of occurrences: stop words do not multiply rows
+    times = df.select(id_col, F.explode(tok_col).alias("word")).groupBy(id_col, "word").agg(F.count(F.lit(1)).cast("double").alias("c"))
+    j = times.join(word_vectors.select("word", F.col("vec").cast("array<double>").alias("vec")), "word")
+    place = [(F.sum(F.col("vec")[i] * F.col("c")) / F.sum("c")) for i in range(dim)]
+    arr = j.groupBy(id_col).agg(F.array(*place).alias("_wva"))
     out = df.join(arr, id_col, "left")
     zero = F.array_repeat(F.lit(0.0), dim)
     return out.withColumn("_wv", array_to_vector(F.coalesce("_wva", zero))).drop("_wva")
@@ -183,4 +189,4 @@ def retrieve(scores: DataFrame, k: int, mode: str = "pareto", prob_col: str = "p
         return top_k(scores, k, prob_col, id_col)
     if mode == "pareto":
         return pareto_select(scores, k, prob_col, seed=seed, id_col=id_col)
-    raise ValueError("not implemented")
+    raise ValueError(f"unknown retrieval mode {mode!r}: use topk or pareto")

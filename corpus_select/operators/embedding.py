@@ -4,9 +4,9 @@ mixture log-densities, embedding and hybrid log importance weights.
 A mixture is a small table ``(component, weight, mean ARRAY<DOUBLE>,
 var ARRAY<DOUBLE>)`` - K·(2d+1) numbers, K a parameter - so it is shipped to
 tasks as a broadcast. EM passes never move embeddings: each task computes
-responsibilities for its rows in NumPy and emits per-component sufficient
-statistics as ``(component, dim, s1, s2)`` rows, which Spark partially
-aggregates map-side; only K·d sums reach the driver for the M-step.
+responsibilities for its rows in NumPy and emits one packed row of sufficient
+statistics per component; the rows are added up in a tree (``_tree_sum``), so only
+K rows of 2d numbers reach the driver for the M-step.
 """
 
 from __future__ import annotations
@@ -89,15 +89,15 @@ def pc_flatten(col: pa.Array) -> np.ndarray:
     return pc.list_flatten(col).to_numpy(zero_copy_only=False).astype(np.float64)
 
 
-STATS_SCHEMA = T.StructType([
-    T.StructField("component", T.IntegerType()), T.StructField("dim", T.IntegerType()),
-    T.StructField("n", T.DoubleType()), T.StructField("s1", T.DoubleType()), T.StructField("s2", T.DoubleType()),
-    T.StructField("ll", T.DoubleType()), T.StructField("rows", T.LongType()),
-])
+STATS_SCHEMA = "component int, part int, n double, s1 binary, s2 binary, ll double, rows long"
+# Partial sums that meet in one task of the tree.
+FAN_IN = 64
 
 
 def _stats_fn(bparams, emb_col: str):
     def fn(batches):
+        from pyspark import TaskContext
+
         m: Mixture = bparams.value
         k, d = m.means.shape
         n = np.zeros(k)
@@ -117,20 +117,63 @@ def _stats_fn(bparams, emb_col: str):
             s2 += r.T @ (x * x)
             ll += float(lse.sum())
             rows += len(x)
-        comp = np.repeat(np.arange(k, dtype=np.int32), d)
-        dim = np.tile(np.arange(d, dtype=np.int32), k)
-        nn = np.repeat(n, d)
-        first = (dim == 0)
-        yield pa.RecordBatch.from_arrays([
-            pa.array(comp), pa.array(dim), pa.array(np.where(first, nn, 0.0)), pa.array(s1.ravel()),
-            pa.array(s2.ravel()), pa.array(np.where((comp == 0) & first, ll, 0.0)),
-            pa.array(np.where((comp == 0) & first, rows, 0).astype(np.int64))],
-            schema=pa.schema([("component", pa.int32()), ("dim", pa.int32()), ("n", pa.float64()),
-                              ("s1", pa.float64()), ("s2", pa.float64()), ("ll", pa.float64()),
-                              ("rows", pa.int64())]))
+        if rows:
+            part = TaskContext.get().partitionId() if TaskContext.get() else 0
+            yield _stats_batch(range(k), [part] * k, n, s1, s2, [ll] + [0.0] * (k - 1), [rows] + [0] * (k - 1))
     return fn
 
 
+def _stats_batch(component, part, n, s1, s2, ll, rows):
+    return pa.RecordBatch.from_arrays(
+        [pa.array(component, pa.int32()), pa.array(part, pa.int32()), pa.array(n, pa.float64()), pa.array([a.tobytes() for a in s1], pa.binary()),
+         pa.array([a.tobytes() for a in s2], pa.binary()), pa.array(ll, pa.float64()), pa.array(rows, pa.int64())],
+        names=["component", "part", "n", "s1", "s2", "ll", "rows"])
+
+
+def _add_up(batches):
+    """One row per component of the rows of a task."""
+    sums: dict[int, list] = {}
+    part = 0
+    for rb in batches:
+        for r in rb.to_pylist():
+            one, two = np.frombuffer(r["s1"]), np.frombuffer(r["s2"])
+            part = r["part"] // FAN_IN
+            s = sums.get(r["component"])
+            if s is None:
+                sums[r["component"]] = [r["n"], one.copy(), two.copy(), r["ll"], r["rows"]]
+            else:
+                s[0] += r["n"]
+                s[1] += one
+                s[2] += two
+                s[3] += r["ll"]
+                s[4] += r["rows"]
+    if sums:
+        yield _stats_batch(list(sums), [part] * len(sums), *zip(*sums.values()))
+
+
+def _tree_sum(stats: DataFrame, tasks: int) -> DataFrame:
+    """Add packed statistics up, FAN_IN tasks at a time, until one row per component is left."""
+    while tasks > 1:
+        groups = -(-tasks // FAN_IN)
+        stats = (stats.withColumn("_g", F.floor(F.col("part") / FAN_IN).cast("int")).repartition(min(groups * 8, 4096), "_g", "component").drop("_g")
+                 .sortWithinPartitions("component", "part").mapInArrow(_grouped_sum, STATS_SCHEMA))
+        tasks = groups
+    return stats
+
+
+def _grouped_sum(batches):
+    """``_add_up`` for each (component, group of parts) of rows sorted by both."""
+    held: list[dict] = []
+    for rb in batches:
+        for r in rb.to_pylist():
+            if held and (held[0]["component"], held[0]["part"] // FAN_IN) != (r["component"], r["part"] // FAN_IN):
+                yield from _add_up([pa.RecordBatch.from_pylist(held)])
+                held = []
+            held.append(r)
+    if held:
+        yield from _add_up([pa.RecordBatch.from_pylist(held)])
+
+
 def em_step(emb: DataFrame, m: Mixture, emb_col: str = "embedding", var_floor: float = VAR_FLOOR):
     """One EM iteration as a Spark job; returns (new mixture, mean log-likelihood under ``m``)."""
     from ..session import ship_package
@@ -138,10 +181,8 @@ def em_step(emb: DataFrame, m: Mixture, emb_col: str = "embedding", var_floor: f
     spark = emb.sparkSession
     b = spark.sparkContext.broadcast(m)
     try:
-        stats = emb.select(emb_col).mapInArrow(_stats_fn(b, emb_col), STATS_SCHEMA) \
-            .groupBy("component", "dim").agg(F.sum("n").alias("n"), F.sum("s1").alias("s1"),
-                                             F.sum("s2").alias("s2"), F.sum("ll").alias("ll"),
-                                             F.sum("rows").alias("rows")).collect()
+        tasks = emb.rdd.getNumPartitions()
+        stats = _tree_sum(emb.select(emb_col).mapInArrow(_stats_fn(b, emb_col), STATS_SCHEMA), tasks).toArrow().to_pylist()
     finally:
         b.unpersist()
     k, d = m.means.shape
@@ -149,12 +190,11 @@ def em_step(emb: DataFrame, m: Mixture, emb_col: str = "embedding", var_floor: f
     s1 = np.zeros((k, d))
     s2 = np.zeros((k, d))
     ll, rows = 0.0, 0
-    for r in stats:
-        c, j = r["component"], r["dim"]
-        s1[c, j] = r["s1"]
-        s2[c, j] = r["s2"]
-        if j == 0:
-            n[c] = r["n"]
+    for r in sorted(stats, key=lambda r: (r["component"], r["part"])):
+        c = r["component"]
+        n[c] += r["n"]
+        s1[c] += np.frombuffer(r["s1"])
+        s2[c] += np.frombuffer(r["s2"])
         ll += r["ll"]
         rows += r["rows"]
     return m_step(n, s1, s2, rows, var_floor, m), (ll / rows if rows else float("nan"))
@@ -176,22 +216,35 @@ def m_step(n: np.ndarray, s1: np.ndarray, s2: np.ndarray, rows: int, var_floor:
 
 
 def init_mixture(emb: DataFrame, k: int, seed: int = 42, emb_col: str = "embedding",
-                 id_col: str = "doc_id", var_floor: float = VAR_FLOOR) -> Mixture:
-    """Seeded start: k rows picked by a seeded key as means, pooled variance, equal weights.
+                 id_col: str = "doc_id", var_floor: float = VAR_FLOOR, sample: int | None = None, rounds: int = 10) -> Mixture:
+    """k-means++ start on a seeded sample of ``sample`` rows (default: 50 per component, 2,000 at least).
 
-    Moves only k embeddings plus d-length moments to the driver.
+    Centres are drawn by squared distance and refined by a few Lloyd rounds; the
+    clusters' shares, means and variances open EM. Moves the sample, whose size is a
+    parameter, to the driver; EM itself reads every row.
     """
+    size = sample or max(2000, 50 * k)
     picks = emb.withColumn("_k", seeded_order_key(seed, "gmm-init", id_col)) \
-        .orderBy(F.col("_k").desc(), F.col(id_col)).limit(k).select(emb_col).collect()
-    means = np.array([r[0] for r in picks], dtype=np.float64)
-    d = means.shape[1]
-    mom = emb.select(F.posexplode(emb_col).alias("j", "v")).groupBy("j").agg(
-        F.var_pop("v").alias("v")).collect()
-    var = np.full(d, 1.0)
-    for r in mom:
-        var[r["j"]] = (r["v"] or 0.0) + var_floor
-    kk = len(means)
-    return Mixture(np.full(kk, 1.0 / kk), means, np.tile(var, (kk, 1)))
+        .orderBy(F.col("_k").desc(), F.col(id_col)).limit(size).select(emb_col).toArrow()
+    x = _matrix(picks.column(0).combine_chunks())
+    rng = np.random.default_rng(seed)
+    centres = [x[0]]
+    gap = ((x - x[0]) ** 2).sum(1)
+    while len(centres) < k and gap.max() > 0:
+        centres.append(x[rng.choice(len(x), p=gap / gap.sum())])
+        gap = np.minimum(gap, ((x - centres[-1]) ** 2).sum(1))
+    means = np.array(centres)
+    for _ in range(rounds):
+        own = ((means ** 2).sum(1) - 2 * (x @ means.T)).argmin(1)
+        n = np.bincount(own, minlength=len(means))
+        total = np.zeros_like(means)
+        np.add.at(total, own, x)
+        means[n > 0] = total[n > 0] / n[n > 0][:, None]
+    square = np.zeros_like(means)
+    np.add.at(square, own, (x - means[own]) ** 2)
+    # small clusters lean on the pooled variance
+    var = (square + x.var(0) * 2) / (n + 2)[:, None] + var_floor
+    return Mixture((n + 1) / (n + 1).sum(), means, var)
 
 
 def fit_gmm(emb: DataFrame, k: int = 8, max_iter: int = 10, tol: float = 1e-3, seed: int = 42,
@@ -277,8 +330,8 @@ def score_samples_sql(emb: DataFrame, mixture: Mixture | DataFrame, id_col: str
     path for large mixtures.
     """
     m = mixture if isinstance(mixture, Mixture) else Mixture.from_df(mixture)
-    if m.k * m.means.shape[1] > 200_000:
-        raise ValueError("mixture too large for the expression form; use score_samples")
+    if m.k * m.means.shape[1] > 200_000:  # too many literals for a plan: the vectorised form gives the same densities
+        return score_samples(emb, m, id_col, emb_col, out_col)
     comps = F.array(*[F.struct(F.lit(float(m.weights[i])).alias("weight"),
                                F.array(*[F.lit(float(v)) for v in m.means[i]]).alias("mean"),
                                F.array(*[F.lit(float(v)) for v in m.vars[i]]).alias("var"))
@@ -298,25 +351,46 @@ def score_samples_sql(emb: DataFrame, mixture: Mixture | DataFrame, id_col: str
 
 def embedding_log_weight(emb: DataFrame, raw_mixture, target_mixture, id_col: str = "doc_id",
                          emb_col: str = "embedding") -> DataFrame:
-    """log p_target(x) - log p_raw(x) for the raw rows (E5)."""
-    r = score_samples(emb, raw_mixture, id_col, emb_col, "raw_logpdf")
-    t = score_samples(emb, target_mixture, id_col, emb_col, "target_logpdf")
-    return r.join(t, id_col).select(id_col, "raw_logpdf", "target_logpdf",
-                                    (F.col("target_logpdf") - F.col("raw_logpdf")).alias("gmm_weight"))
+    """log p_target(x) - log p_raw(x) for the raw rows (E5): both mixtures in one narrow pass."""
+    from ..session import ship_package
+    ship_package(emb.sparkSession)
+    both = tuple(m if isinstance(m, Mixture) else Mixture.from_df(m) for m in (raw_mixture, target_mixture))
+    b = emb.sparkSession.sparkContext.broadcast(both)
+
+    def fn(batches):
+        for rb in batches:
+            x = _matrix(rb.column(rb.schema.get_field_index(emb_col)))
+            raw, target = (_logsumexp(log_density(x, m)) if len(x) else np.zeros(0) for m in b.value)
+            yield pa.RecordBatch.from_arrays([rb.column(rb.schema.get_field_index(id_col)).cast(pa.int64()), pa.array(raw), pa.array(target), pa.array(target - raw)],
+                                             names=[id_col, "raw_logpdf", "target_logpdf", "gmm_weight"])
+    return emb.select(id_col, emb_col).mapInArrow(fn, f"{id_col} long, raw_logpdf double, target_logpdf double, gmm_weight double")
+
+
+def _both_weights(ngram: DataFrame, gmm: DataFrame, id_col: str, ng_col: str, gmm_col: str, strict: bool) -> DataFrame:
+    """Both weights by id. ``strict``: an id with only one of them is an error, found while the join runs."""
+    a, b = ngram.select(id_col, F.col(ng_col).alias("_ng")), gmm.select(id_col, F.col(gmm_col).alias("_gm"))
+    if not strict:
+        return a.join(b, id_col)
+    j = a.withColumn("_a", F.lit(True)).join(b.withColumn("_b", F.lit(True)), id_col, "full_outer")
+    lack = F.raise_error(F.concat(F.lit("no n-gram or no mixture weight for id "), F.col(id_col).cast("string"))).cast("double")
+    return j.select(id_col, F.when(F.col("_a") & F.col("_b"), F.col("_ng")).otherwise(lack).alias("_ng"), "_gm")
 
 
 def hybrid_weight(ngram: DataFrame, gmm: DataFrame, alpha: float = 0.5, id_col: str = "doc_id",
-                  ng_col: str = "log_weight", gmm_col: str = "gmm_weight") -> DataFrame:
-    """alpha*(ng + 1e-8) + (1-alpha)*(gmm + 1e-8), joined on the id."""
-    j = ngram.select(id_col, F.col(ng_col).alias("_ng")).join(gmm.select(id_col, F.col(gmm_col).alias("_gm")), id_col)
+                  ng_col: str = "log_weight", gmm_col: str = "gmm_weight", strict: bool = False) -> DataFrame:
+    """alpha*(ng + 1e-8) + (1-alpha)*(gmm + 1e-8), joined on the id.
+
+    Without ``strict`` the result has the ids that have both weights.
+    """
+    j = _both_weights(ngram, gmm, id_col, ng_col, gmm_col, strict)
     return j.select(id_col, (F.lit(alpha) * (F.col("_ng") + F.lit(1e-8)) +
                              F.lit(1.0 - alpha) * (F.col("_gm") + F.lit(1e-8))).alias("hybrid_weight"))
 
 
 def hybrid_sweep(ngram: DataFrame, gmm: DataFrame, alphas=(0.0, 0.25, 0.5, 0.75), id_col: str = "doc_id",
-                 ng_col: str = "log_weight", gmm_col: str = "gmm_weight") -> DataFrame:
+                 ng_col: str = "log_weight", gmm_col: str = "gmm_weight", strict: bool = False) -> DataFrame:
     """All alphas at once: each joined row fans out over the literal alpha list (E6 sweep)."""
-    j = ngram.select(id_col, F.col(ng_col).alias("_ng")).join(gmm.select(id_col, F.col(gmm_col).alias("_gm")), id_col)
+    j = _both_weights(ngram, gmm, id_col, ng_col, gmm_col, strict)
     j = j.select("*", F.explode(F.array(*[F.lit(float(x)) for x in alphas])).alias("alpha"))
     return j.select("alpha", id_col, (F.col("alpha") * (F.col("_ng") + F.lit(1e-8)) +
                                                    (F.lit(1.0) - F.col("alpha")) * (F.col("_gm") + F.lit(1e-8)))
@@ -339,20 +413,28 @@ def hashed_embedding(dim: int = 64, n: int = 2) -> Callable:
     (none is available offline). Any ``fn(list[str]) -> np.ndarray`` works.
     """
     def encode(texts):
-        import re
+        import pyarrow.compute as pc
         import xxhash
-        out = np.zeros((len(texts), dim), dtype=np.float32)
-        tok = re.compile(r"\w+|[^\w\s]+")
-        for i, t in enumerate(texts):
-            w = tok.findall((t or "").lower())
-            grams = w + [a + " " + b for a, b in zip(w, w[1:])][: max(0, (n - 1) * len(w))]
-            for g in grams:
-                h = xxhash.xxh64_intdigest(g)
-                out[i, h % dim] += 1.0 if (h >> 63) & 1 else -1.0
-            nrm = float(np.linalg.norm(out[i]))
-            if nrm > 0:
-                out[i] /= nrm
-        return out
+
+        low = pc.utf8_lower(pc.fill_null(pa.array(texts, pa.large_string()), ""))
+        spaced = pc.replace_substring_regex(low, r"([^\p{L}\p{N}_\s]+)", r" \1 ")
+        lists = pc.utf8_split_whitespace(pc.utf8_trim_whitespace(spaced))
+        counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+        row = np.repeat(np.arange(len(texts)), counts)
+        flat = lists.flatten()
+        out = np.zeros((len(texts), dim), dtype=np.float64)
+        for size in range(1, n + 1):
+            inside = np.arange(max(len(row) - size + 1, 0))
+            inside = inside[row[inside] == row[inside + size - 1]] if len(inside) else inside
+            parts = [flat.take(pa.array(inside + i)) for i in range(size)]
+            grams = pc.dictionary_encode(parts[0] if size == 1 else pc.binary_join_element_wise(*parts, pa.scalar(" ", pa.large_string())))
+            # each distinct n-gram of the batch is hashed once
+            h = np.array([xxhash.xxh64_intdigest(g) if g else 0 for g in grams.dictionary.to_pylist()], dtype=np.uint64)[grams.indices.to_numpy(zero_copy_only=False)]
+            named = pc.greater(pc.binary_length(parts[0]), 0).to_numpy(zero_copy_only=False) if len(inside) else np.zeros(0, bool)
+            sign = np.where(h >> np.uint64(63), 1.0, -1.0) * named
+            np.add.at(out, (row[inside], (h % np.uint64(dim)).astype(np.int64)), sign)
+        norm = np.linalg.norm(out, axis=1, keepdims=True)
+        return (out / np.where(norm > 0, norm, 1.0)).astype(np.float32)
     return encode
 
 

@@ -66,7 +66,7 @@ def _arrow_wordpunct(texts: pa.Array):
     """Word/punctuation tokens with Arrow's C++ kernels: lower-case, pad every
     punctuation run with spaces, split on Unicode whitespace. Same tokens as
     ``regexp_extract_all(lower(text), WORDPUNCT_PATTERN)``."""
-    spaced = pc.replace_substring_regex(pc.utf8_lower(texts), pattern=_PUNCT_RUN_RE2, replacement=r" \1 ")
+    spaced = pc.replace_substring_regex(pc.utf8_lower(texts.cast(pa.large_string())), pattern=_PUNCT_RUN_RE2, replacement=r" \1 ")
     parts = pc.split_pattern_regex(spaced, pattern=_WS_RE2 + "+")
     flat = pc.list_flatten(parts)
     par = pc.list_parent_indices(parts)
@@ -77,6 +77,25 @@ def _arrow_wordpunct(texts: pa.Array):
     return values, parent, lens
 
 
+# Text bytes worked on at once: record counts alone do not bound a batch of long documents.
+SLICE_BYTES = 16 << 20
+
+
+def _byte_slices(rb: pa.RecordBatch, col: str):
+    """Parts of a batch with at most SLICE_BYTES of text (one row at least)."""
+    c = rb.column(rb.schema.get_field_index(col))
+    if pa.types.is_list(c.type):
+        size = np.bincount(pc.list_parent_indices(c).to_numpy(), pc.fill_null(pc.binary_length(pc.list_flatten(c)), 0).to_numpy(zero_copy_only=False), len(c))
+    else:
+        size = pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(size.astype(np.int64))
+    start = 0
+    while start < len(c):
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + SLICE_BYTES, side="right")))
+        yield rb.slice(start, stop - start)
+        start = stop
+
+
 def _batch_features(rb: pa.RecordBatch, n: int, num_buckets: int, bucket_of,
                     id_col: str, tok_col: str, arrow_tokenize: bool = False) -> pa.RecordBatch:
     ids = rb.column(rb.schema.get_field_index(id_col))
@@ -86,7 +105,7 @@ def _batch_features(rb: pa.RecordBatch, n: int, num_buckets: int, bucket_of,
         values, parent, lens = _arrow_wordpunct(col)
     else:
         lens = pc.fill_null(pc.list_value_length(col), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        values = pc.list_flatten(col)
+        values = pc.list_flatten(col).cast(pa.large_string())
         parent = np.repeat(np.arange(nrows, dtype=np.int64), lens)
     gram_arrays = [values]
     gram_parent = [parent]
@@ -99,7 +118,7 @@ def _batch_features(rb: pa.RecordBatch, n: int, num_buckets: int, bucket_of,
         if len(idx) == 0:
             continue
         parts = [values.take(pa.array(idx + k)) for k in range(i)]
-        gram_arrays.append(pc.binary_join_element_wise(*parts, " "))
+        gram_arrays.append(pc.binary_join_element_wise(*parts, pa.scalar(" ", pa.large_string())))
         gram_parent.append(parent[idx])
     grams = pa.concat_arrays([g.cast(pa.large_string()) for g in gram_arrays])
     gp = np.concatenate(gram_parent) if gram_parent else np.zeros(0, np.int64)
@@ -151,7 +170,8 @@ def ngram_features(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def fn(batches):
         bucket_of = factory(num_buckets)
         for rb in batches:
-            yield _batch_features(rb, n, num_buckets, bucket_of, "doc_id", "tokens", arrow_tok)
+            for part in _byte_slices(rb, "tokens"):
+                yield _batch_features(part, n, num_buckets, bucket_of, "doc_id", "tokens", arrow_tok)
 
     return base.mapInArrow(fn, FEATURE_SCHEMA)
 

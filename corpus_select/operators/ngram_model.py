@@ -3,7 +3,7 @@
 Fitted state is a B-row table ``(target, bucket, raw_p, target_p, log_diff,
 ld_e10)``. B is a parameter (default 10,000 buckets, at most 2^28), never a
 data size, so the table is safe to broadcast: scoring is
-``features ⋈ broadcast(log_diff)`` followed by a per-document sum.
+``features`` gathered from a broadcast ``log_diff`` vector, row by row.
 
 Exactness: ``log_diff`` is rounded to 10 decimals and carried as a scaled
 integer ``ld_e10``; document weights are exact integer sums
@@ -50,31 +50,27 @@ def budgeted(features: DataFrame, budget: int | None, n: int, num_shards: int =
     them is at most ``budget // num_shards`` (the reference stops after the
     document that crosses the budget).
 
-    Scalable form of the running sum: ids are grouped into coarse ranges, range
-    totals (a small table) give the prefix before each range, and the exact
-    window runs only inside each range. No window spans a whole shard.
+    The running sum is a distributed prefix sum over (id, n-gram total) pairs:
+    no window spans a shard, whatever the ids look like.
     """
     if budget is None:
         return features
+    from .select import prefix_sum
+
     per_shard = budget // num_shards
-    g = features.withColumn("_g", total_ngrams("n_tokens", n)) \
-        .withColumn("_shard", F.pmod(F.col(id_col), F.lit(num_shards)))
-    width = 1 << 12
-    g = g.withColumn("_range", F.floor(F.col(id_col) / F.lit(width)))
-    ranges = g.groupBy("_shard", "_range").agg(F.sum("_g").alias("_rg"))
-    # one scalar to the driver: if no shard reaches its budget, nothing is cut
-    biggest = ranges.groupBy("_shard").agg(F.sum("_rg").alias("t")).agg(F.max("t")).first()[0]
-    if biggest is None or biggest <= per_shard:
+    totals = features.select(id_col, total_ngrams("n_tokens", n).alias("_g"), F.pmod(F.col(id_col), F.lit(num_shards)).alias("_shard"))
+    # one row per shard (a parameter) to the driver: if no shard reaches its budget, nothing is cut
+    shards = {r["_shard"]: r["t"] for r in totals.groupBy("_shard").agg(F.sum("_g").alias("t")).collect()}
+    if max(shards.values(), default=0) <= per_shard:
         return features
-    wr = Window.partitionBy("_shard").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = ranges.withColumn("_before_range", F.coalesce(F.sum("_rg").over(wr), F.lit(0)))
-    # only ranges that start within budget can hold kept documents
-    ranges = ranges.where(F.col("_before_range") <= F.lit(per_shard)).select("_shard", "_range", "_before_range")
-    kept = g.join(ranges, ["_shard", "_range"])
-    wd = Window.partitionBy("_shard", "_range").orderBy(id_col).rowsBetween(Window.unboundedPreceding, -1)
-    kept = kept.withColumn("_before", F.col("_before_range") + F.coalesce(F.sum("_g").over(wd), F.lit(0)))
-    return kept.where(F.col("_before") <= F.lit(per_shard)) \
-        .drop("_g", "_shard", "_range", "_rg", "_before_range", "_before")
+    before, start = 0, []
+    for shard in sorted(shards):
+        start.append((shard, before))
+        before += shards[shard]
+    ran = prefix_sum(totals, ["_shard", id_col], "_g", "_before")
+    offsets = features.sparkSession.createDataFrame(start, "_shard long, _start long")
+    kept = ran.withColumn("_shard", F.col("_shard").cast("long")).join(F.broadcast(offsets), "_shard").where(F.col("_before") - F.col("_start") <= F.lit(per_shard))
+    return features.join(kept.select(id_col), id_col, "left_semi")
 
 
 def bucket_counts(features: DataFrame, num_buckets: int, by: Sequence[str] = ()) -> DataFrame:
@@ -96,14 +92,28 @@ def dense_buckets(spark: SparkSession, counts: DataFrame, num_buckets: int, smoo
     full = spark.range(num_buckets).select(F.col("id").cast("int").alias("bucket"))
     c = full.join(counts.select("bucket", "cnt"), "bucket", "left") \
         .select("bucket", F.coalesce("cnt", F.lit(0)).cast("long").alias("cnt"))
-    # total over the B-row table (a window over parameter-sized data, no second scan)
-    c = c.withColumn("total", F.sum("cnt").over(Window.partitionBy()))
+    c = _with_totals(c, ["cnt"], num_buckets).withColumnRenamed("_total_cnt", "total")
     den = F.col("total") + F.lit(smoothing * num_buckets)
     p = F.when(den > 0, (F.col("cnt") + F.lit(smoothing)) / den).otherwise(
         F.raise_error(F.lit("empty corpus: no n-grams to fit a distribution on")).cast("double"))
     return c.select("bucket", "cnt", F.col("total"), p.alias("p"))
 
 
+def _with_totals(dense: DataFrame, cols: Sequence[str], num_buckets: int) -> DataFrame:
+    """The bucket table with ``_total_<col>`` columns.
+
+    A table of parameter size takes a window over its rows; a larger one is
+    stored once and its totals come from partial sums.
+    """
+    if num_buckets <= BROADCAST_MAX_ROWS:
+        w = Window.partitionBy()
+        return dense.select("*", *[F.sum(c).over(w).alias(f"_total_{c}") for c in cols])
+    from .select import _stored
+    dense = _stored(dense)
+    totals = dense.agg(*[F.sum(c).alias(c) for c in cols]).first()
+    return dense.select("*", *[F.lit(totals[c]).alias(f"_total_{c}") for c in cols])
+
+
 def log_diff_col(target_p: Column, raw_p: Column) -> Column:
     """Smoothed log ratio ln(p_t + 1e-8) - ln(p_r + 1e-8)."""
     return F.log(target_p + F.lit(1e-8)) - F.log(raw_p + F.lit(1e-8))
@@ -128,7 +138,7 @@ class NgramModel:
         self.table.write.mode("overwrite").parquet(os.path.join(path, "buckets"))
         if self.proportions is not None:
             self.proportions.write.mode("overwrite").parquet(os.path.join(path, "proportions"))
-        settings = dict(self.params, version=VERSION, targets=self.targets)
+        settings = dict(self.params, version=VERSION, targets=self.targets, has_proportions=self.proportions is not None)
         spark.createDataFrame([(json.dumps(settings, sort_keys=True),)], "settings string") \
             .coalesce(1).write.mode("overwrite").text(os.path.join(path, "settings"))
 
@@ -141,22 +151,19 @@ class NgramModel:
             warnings.warn(f"Version mismatch: saved {settings.get('version')} != current {VERSION}")
         targets = settings.pop("targets", [])
         settings.pop("version", None)
+        has_proportions = settings.pop("has_proportions", False)
         params = dict(defaults or {})
         for k, v in settings.items():
             if exclude_keys and k in exclude_keys:
                 continue
             params[k] = v
         table = spark.read.parquet(os.path.join(path, "buckets"))
-        prop_path = os.path.join(path, "proportions")
-        try:
-            proportions = spark.read.parquet(prop_path)
-        except Exception:
-            proportions = None
+        proportions = spark.read.parquet(os.path.join(path, "proportions")) if has_proportions else None
         return cls(params=params, table=table, proportions=proportions, targets=targets)
 
 
 def fit(raw: DataFrame, targets: DataFrame | dict[str, DataFrame], *, n: int = 2, num_buckets: int = 10000,
-        tokenizer: str | Callable = "wordpunct", hash_fn: str = "sha256", num_tokens_to_fit="auto",
+        tokenizer: str | Callable = "wordpunct", hash_fn: str = "sha256", num_tokens_to_fit="all",
         target_laplace_smoothing: float = 0.0, separate_targets: bool = False,
         target_proportions: Sequence[float] | None = None, num_shards: int = 1,
         raw_features: DataFrame | None = None, target_budget=None) -> NgramModel:
@@ -189,7 +196,7 @@ def fit(raw: DataFrame, targets: DataFrame | dict[str, DataFrame], *, n: int = 2
 
 def fit_from_features(raw_features: DataFrame, target_features: dict[str, DataFrame], *, n: int = 2,
                       num_buckets: int = 10000, tokenizer: str | Callable = "wordpunct", hash_fn: str = "sha256",
-                      num_tokens_to_fit="auto", target_laplace_smoothing: float = 0.0,
+                      num_tokens_to_fit="all", target_laplace_smoothing: float = 0.0,
                       separate_targets: bool = False, target_proportions: Sequence[float] | None = None,
                       num_shards: int = 1, target_budget=None) -> NgramModel:
     """Fit from feature tables already built (e.g. stored once and reused for scoring).
@@ -249,23 +256,26 @@ def log_weights(features: DataFrame, model: NgramModel | DataFrame, min_example_
     Output: ``doc_id, target, n_tokens, length, weight_e10, log_weight``
     where ``log_weight = round(weight_e10 / 1e10, 6)``. Documents shorter than
     ``min_example_length`` (reference length formula) are dropped first.
+    A table of at most ``BROADCAST_MAX_ROWS`` entries is shipped to the tasks and
+    scoring moves no row; a larger one is joined on the bucket.
     """
-    table = model.table if isinstance(model, NgramModel) else model
     if n is None:
         n = model.params["n"] if isinstance(model, NgramModel) else 2
     f = features.withColumn("length", example_length("n_tokens", n))
     if min_example_length is not None:
         f = f.where(F.col("length") >= F.lit(min_example_length))
+    if isinstance(model, NgramModel) and int(model.params["num_buckets"]) * max(1, len(model.targets)) <= BROADCAST_MAX_ROWS:
+        return score_features_arrow(f.drop("length"), model, n=n).select("doc_id", "target", "n_tokens", "length", "weight_e10", "log_weight")
+    return _log_weights_joined(f, model, min_example_length)
+
+
+def _log_weights_joined(f: DataFrame, model: NgramModel | DataFrame, min_example_length: int | None) -> DataFrame:
+    """Scores by a join on the bucket, for tables too large to ship."""
+    table = model.table if isinstance(model, NgramModel) else model
     long = f.select("doc_id", "n_tokens", "length", F.explode(F.arrays_zip("buckets", "counts")).alias("z")) \
         .select("doc_id", "n_tokens", "length", F.col("z.buckets").alias("bucket"),
                 F.col("z.counts").cast("long").alias("cnt"))
-    ld = table.select("target", "bucket", "ld_e10")
-    n_targets = len(model.targets) if isinstance(model, NgramModel) and model.targets else 1
-    nb = int(model.params["num_buckets"]) if isinstance(model, NgramModel) else None
-    # B x T rows, sized by parameters: broadcast while it stays small, else a shuffle join
-    if nb is not None and nb * n_targets <= BROADCAST_MAX_ROWS:
-        ld = F.broadcast(ld)
-    scored = long.join(ld, "bucket").groupBy("doc_id", "target", "n_tokens", "length").agg(
+    scored = long.join(table.select("target", "bucket", "ld_e10"), "bucket").groupBy("doc_id", "target", "n_tokens", "length").agg(
         F.sum(F.col("cnt") * F.col("ld_e10")).alias("weight_e10"))
     # documents with no n-grams (possible when min length is off) weigh zero
     if min_example_length is None or min_example_length <= 0:
@@ -280,12 +290,13 @@ def log_weights(features: DataFrame, model: NgramModel | DataFrame, min_example_
 
 def score_features_arrow(features: DataFrame, model: NgramModel, target: str | None = None,
                          n: int | None = None) -> DataFrame:
-    """Row-local scoring: ``weight_e10 = sum(count * ld_e10[bucket])`` per document.
+    """Row-local scoring: ``weight_e10 = sum(count * ld_e10[bucket])`` per document and target.
 
-    The B-entry ``ld_e10`` vector travels as a broadcast variable; each task
-    scores its own rows with one NumPy gather per batch. No join, no
-    aggregation and no state, so it also runs unchanged on a stream.
-    Output: ``doc_id, n_tokens, length, weight_e10, log_weight``.
+    The ``ld_e10`` vectors (targets x buckets numbers) travel as a broadcast
+    variable; each task scores its own rows with one NumPy gather per batch. No
+    join, no aggregation and no state, so it also runs unchanged on a stream.
+    Output: ``doc_id, target, n_tokens, length, weight_e10, log_weight``, for
+    ``target`` or for all targets; a document without n-grams weighs zero.
     """
     from ..session import ship_package
     ship_package(features.sparkSession)
@@ -295,33 +306,31 @@ def score_features_arrow(features: DataFrame, model: NgramModel, target: str | N
     from pyspark.sql import types as T
 
     nb = int(model.params["num_buckets"])
-    if nb > BROADCAST_MAX_ROWS:
-        raise ValueError(f"{nb} buckets is too many to ship to every task; score with log_weights (join)")
+    names = [target] if target else list(model.targets)
+    if nb * len(names) > BROADCAST_MAX_ROWS:
+        raise ValueError(f"{nb} buckets for {len(names)} targets are too many to ship to every task; score with log_weights (join)")
     n = n or int(model.params["n"])
-    tgt = target or model.targets[0]
-    rows = model.table.where(F.col("target") == F.lit(tgt)).select("bucket", "ld_e10").collect()
-    ld = np.zeros(nb, dtype=np.int64)
-    for r in rows:
-        ld[r["bucket"]] = r["ld_e10"]
+    ld = np.zeros((len(names), nb), dtype=np.int64)
+    rows = model.table.where(F.col("target").isin(names)).select("target", "bucket", "ld_e10").toArrow()
+    which = np.array([names.index(t) for t in rows.column("target").to_pylist()], dtype=np.int64)
+    ld[which, np.asarray(rows.column("bucket"))] = np.asarray(rows.column("ld_e10"))
     bld = features.sparkSession.sparkContext.broadcast(ld)
 
     def fn(batches):
-        vec = bld.value
+        vectors = bld.value
         for rb in batches:
-            ids = rb.column(rb.schema.get_field_index("doc_id"))
-            nt = rb.column(rb.schema.get_field_index("n_tokens"))
             bk = rb.column(rb.schema.get_field_index("buckets"))
-            ct = rb.column(rb.schema.get_field_index("counts"))
             lens = pc.fill_null(pc.list_value_length(bk), 0).to_numpy(zero_copy_only=False)
             b = pc.list_flatten(bk).to_numpy(zero_copy_only=False).astype(np.int64)
-            c = pc.list_flatten(ct).to_numpy(zero_copy_only=False).astype(np.int64)
-            contrib = c * vec[b]
-            starts = np.concatenate([[0], np.cumsum(lens)[:-1]]).astype(np.int64)
-            w = np.add.reduceat(contrib, starts) if len(contrib) else np.zeros(len(lens), np.int64)
-            w = np.where(lens > 0, w, 0)
-            yield pa.RecordBatch.from_arrays([ids, nt, pa.array(w.astype(np.int64))],
-                                             names=["doc_id", "n_tokens", "weight_e10"])
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_tokens", T.IntegerType()),
+            c = pc.list_flatten(rb.column(rb.schema.get_field_index("counts"))).to_numpy(zero_copy_only=False).astype(np.int64)
+            ends = np.concatenate([[0], np.cumsum(lens)]).astype(np.int64)
+            for name, vec in zip(names, vectors):
+                run = np.concatenate([[0], np.cumsum(c * vec[b])])  # differences of running sums: empty rows are zero
+                yield pa.RecordBatch.from_arrays(
+                    [rb.column(rb.schema.get_field_index("doc_id")), pa.array([name] * len(lens), pa.string()),
+                     rb.column(rb.schema.get_field_index("n_tokens")), pa.array(run[ends[1:]] - run[ends[:-1]], pa.int64())],
+                    names=["doc_id", "target", "n_tokens", "weight_e10"])
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("target", T.StringType()), T.StructField("n_tokens", T.IntegerType()),
                            T.StructField("weight_e10", T.LongType())])
     out = features.select("doc_id", "n_tokens", "buckets", "counts").mapInArrow(fn, schema)
     return out.withColumn("length", example_length("n_tokens", n)) \
@@ -330,24 +339,17 @@ def score_features_arrow(features: DataFrame, model: NgramModel, target: str | N
 
 def fit_subset_targets(raw_features: DataFrame, target_ids: dict[str, DataFrame], *, n: int = 2,
                        num_buckets: int = 10000, tokenizer: str = "wordpunct", hash_fn: str = "sha256",
-                       num_tokens_to_fit="auto", target_laplace_smoothing: float = 0.0,
+                       num_tokens_to_fit="all", target_laplace_smoothing: float = 0.0,
                        separate_targets: bool = False, target_proportions: Sequence[float] | None = None,
                        num_shards: int = 1) -> NgramModel:
     """Fit when every target is a set of raw documents: one scan of the features.
 
     Each feature row is tagged with the targets its document belongs to (one
     join on ``doc_id``), then raw and per-target bucket counts come out of the
-    same partial aggregation. Falls back to :func:`fit_from_features` when the
-    raw token budget actually cuts the raw pool.
+    same partial aggregation. A document listed twice counts twice, as it does in
+    :func:`fit`. When the raw token budget cuts the raw pool, the same targets
+    are fitted by :func:`fit_from_features`.
     """
-    budget = resolve_budget(num_tokens_to_fit, num_buckets)
-    if budget is not None and budgeted(raw_features, budget, n, num_shards) is not raw_features:
-        return fit_from_features(
-            raw_features, {k: raw_features.join(v.select("doc_id"), "doc_id", "left_semi") for k, v in target_ids.items()},
-            n=n, num_buckets=num_buckets, tokenizer=tokenizer, hash_fn=hash_fn, num_tokens_to_fit=num_tokens_to_fit,
-            target_laplace_smoothing=target_laplace_smoothing, separate_targets=separate_targets,
-            target_proportions=target_proportions, num_shards=num_shards)
-    spark = raw_features.sparkSession
     names = list(target_ids)
     if not separate_targets and len(names) > 1:
         pooled = None
@@ -355,32 +357,37 @@ def fit_subset_targets(raw_features: DataFrame, target_ids: dict[str, DataFrame]
             pooled = v.select("doc_id") if pooled is None else pooled.unionByName(v.select("doc_id"))
         target_ids = {"target": pooled}
         names = ["target"]
+    budget = resolve_budget(num_tokens_to_fit, num_buckets)
+    if budget is not None and budgeted(raw_features, budget, n, num_shards) is not raw_features:
+        return fit_from_features(
+            raw_features, {k: raw_features.join(v.select("doc_id"), "doc_id") for k, v in target_ids.items()},
+            n=n, num_buckets=num_buckets, tokenizer=tokenizer, hash_fn=hash_fn, num_tokens_to_fit=num_tokens_to_fit,
+            target_laplace_smoothing=target_laplace_smoothing, separate_targets=separate_targets,
+            target_proportions=target_proportions, num_shards=num_shards)
+    spark = raw_features.sparkSession
     tags = None
     for i, name in enumerate(names):
         t = target_ids[name].select("doc_id").withColumn("_t", F.lit(i))
         tags = t if tags is None else tags.unionByName(t)
-    tags = tags.groupBy("doc_id").agg(F.collect_set("_t").alias("_ts"))
-    tagged = raw_features.join(tags, "doc_id", "left")
-    long = tagged.select("_ts", F.explode(F.arrays_zip("buckets", "counts")).alias("z")) \
-        .select("_ts", F.col("z.buckets").alias("bucket"), F.col("z.counts").cast("long").alias("cnt"))
-    aggs = [F.sum("cnt").alias("raw")]
-    for i in range(len(names)):
-        aggs.append(F.sum(F.when(F.array_contains(F.coalesce("_ts", F.array().cast("array<int>")), i),
-                                 F.col("cnt")).otherwise(F.lit(0))).alias(f"_c{i}"))
-    counts = long.groupBy("bucket").agg(*aggs)
+    times = [F.sum((F.col("_t") == i).cast("long")).alias(f"_m{i}") for i in range(len(names))]
+    tagged = raw_features.join(tags.groupBy("doc_id").agg(*times), "doc_id", "left")
+    marks = [F.coalesce(f"_m{i}", F.lit(0)).alias(f"_m{i}") for i in range(len(names))]
+    long = tagged.select(*marks, F.explode(F.arrays_zip("buckets", "counts")).alias("z")) \
+        .select(*[f"_m{i}" for i in range(len(names))], F.col("z.buckets").alias("bucket"), F.col("z.counts").cast("long").alias("cnt"))
+    counts = long.groupBy("bucket").agg(F.sum("cnt").alias("raw"), *[F.sum(F.col("cnt") * F.col(f"_m{i}")).alias(f"_c{i}") for i in range(len(names))])
     full = spark.range(num_buckets).select(F.col("id").cast("int").alias("bucket"))
     dense = full.join(counts, "bucket", "left").na.fill(0)
-    w = Window.partitionBy()
+    dense = _with_totals(dense, ["raw", *[f"_c{i}" for i in range(len(names))]], num_buckets)
 
     def _share(num, den, what):
         return F.when(den > 0, num / den).otherwise(
             F.raise_error(F.lit(f"empty {what}: no n-grams to fit a distribution on")).cast("double"))
-    dense = dense.withColumn("raw_p", _share(F.col("raw"), F.sum("raw").over(w), "raw corpus"))
+    dense = dense.withColumn("raw_p", _share(F.col("raw"), F.col("_total_raw"), "raw corpus"))
     s = float(target_laplace_smoothing)
     parts = []
     for i, name in enumerate(names):
         c = F.col(f"_c{i}")
-        tp = _share(c + F.lit(s), F.sum(c).over(w) + F.lit(s * num_buckets), f"target '{name}'")
+        tp = _share(c + F.lit(s), F.col(f"_total__c{i}") + F.lit(s * num_buckets), f"target '{name}'")
         parts.append(dense.select(F.lit(name).alias("target"), "bucket", F.col("raw").alias("raw_cnt"), "raw_p",
                                   c.alias("target_cnt"), tp.alias("target_p")))
     table = parts[0]
@@ -395,7 +402,7 @@ def fit_subset_targets(raw_features: DataFrame, target_ids: dict[str, DataFrame]
         proportions = spark.createDataFrame([(nm, float(p) / ssum) for nm, p in zip(names, target_proportions)],
                                             "target string, proportion double")
     else:
-        proportions = tot.select("target", (F.col("total") / F.sum("total").over(w)).alias("proportion"))
+        proportions = tot.select("target", (F.col("total") / F.sum("total").over(Window.partitionBy())).alias("proportion"))
     params = dict(n=n, num_buckets=num_buckets, tokenizer=tokenizer, hash_fn=hash_fn,
                   num_tokens_to_fit=num_tokens_to_fit, target_laplace_smoothing=target_laplace_smoothing,
                   separate_targets=separate_targets, num_shards=num_shards)

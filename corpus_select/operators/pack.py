@@ -22,7 +22,9 @@ def pack_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "contents"
     first row's id is kept; an odd last row is dropped. Unpacked output is the
     same shape with a 1-element domain list (see :func:`as_unpacked`).
     """
-    idx = dense_index(df, list(order_cols or [id_col]), "_idx")
+    order = list(order_cols or [id_col])
+    keys = dense_index(df.select(*dict.fromkeys([*order, id_col])), order, "_idx")  # positions move without the texts
+    idx = df.join(keys, list(dict.fromkeys([*order, id_col])))
     s = F.struct(F.col("_idx"), F.col(id_col).alias("id"), F.col(text_col).alias("t"), F.col(domain_col).alias("d"))
     g = idx.groupBy(F.floor(F.col("_idx") / 2).alias("_pair")).agg(
         F.min_by(s, F.col("_idx")).alias("a"), F.max_by(s, F.col("_idx")).alias("b"),
@@ -45,7 +47,7 @@ def group_of_n(df: DataFrame, n: int, value_col: str, order_cols: Sequence[str],
     ``ignore`` drops it, ``strict`` raises if the row count is not a multiple of n.
     """
     if incomplete not in ("fill", "ignore", "strict"):
-        raise ValueError("Expected fill, strict, or ignore")
+        raise ValueError(f"incomplete={incomplete!r}: a last group can be filled, ignored or refused (fill, ignore, strict)")
     idx = dense_index(df, list(order_cols), "_idx")
     g = idx.groupBy(F.floor(F.col("_idx") / n).alias("group_no")).agg(
         F.array_sort(F.collect_list(F.struct("_idx", F.col(value_col).alias("v")))).alias("_s"))

@@ -20,6 +20,8 @@ from .ngram_model import E10
 # Above this k the exact bracket method replaces a single ordered limit.
 SMALL_K = 100_000
 _ACCURACY = 100_000
+# Pareto rounds looked at in one aggregate.
+ROUND_STEPS = 1 << 12
 
 
 def _c(col: Column | str) -> Column:
@@ -122,6 +124,9 @@ def select_multi_target(weights: DataFrame, k: int, targets: Sequence[str], prop
     distributed top-k jobs.
     """
     quotas = quota_split(k, proportions)
+    if sum(q > 0 for q in quotas) > 1:
+        # every target reads the weights, and the anti-joins of later ones read them again
+        weights = _stored(weights)
     chosen = None
     for t, qk in zip(targets, quotas):
         if qk == 0:
@@ -168,16 +173,27 @@ def pareto_select(df: DataFrame, k: int, prob: str = "prob", seed: int = 0, shap
     """
     r = pareto_rounds(df, prob, seed, shape, id_col)
     if max_rounds is None:
-        hist = r.groupBy(F.least(F.col("first_round"), F.lit(1 << 20)).alias("fr")).count().collect()
-        hist = sorted((row["fr"], row["count"]) for row in hist)
-        acc, rounds = 0, None
-        for fr, c in hist:
-            acc += c
-            if acc >= k:
-                rounds = fr + 1
+        # rounds are looked at by powers of two first, then inside the power that reaches k:
+        # a few dozen rows, then at most ROUND_STEPS, whatever the shape
+        lo, hi, acc = -1, None, 0
+        octave = F.floor(F.log2(F.col("first_round").cast("double") + F.lit(1.0)))
+        for o, c in sorted((row["o"], row["count"]) for row in r.groupBy(octave.alias("o")).count().collect()):
+            if acc + c >= k:
+                lo, hi = (1 << int(o)) - 1, (1 << (int(o) + 1)) - 1
                 break
-        if rounds is None:
-            rounds = (hist[-1][0] + 1) if hist else 1
+            acc += c
+        if hi is None:
+            return r.withColumn("shuffle_key", seeded_order_key(seed, "pareto-shuffle", id_col))
+        while hi - lo > 1:
+            step = max(1, -(-(hi - lo) // ROUND_STEPS))
+            inside = r.where((F.col("first_round") >= F.lit(lo)) & (F.col("first_round") < F.lit(hi)))
+            part = F.floor((F.col("first_round") - F.lit(lo)) / F.lit(step))
+            for q, c in sorted((row["q"], row["count"]) for row in inside.groupBy(part.alias("q")).count().collect()):
+                if acc + c >= k:
+                    lo, hi = lo + int(q) * step, min(hi, lo + (int(q) + 1) * step)
+                    break
+                acc += c
+        rounds = hi
     else:
         rounds = max_rounds
     accepted = r.where(F.col("first_round") < F.lit(rounds)).withColumn(

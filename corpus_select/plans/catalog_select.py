@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from . import sqlsnippets as S
-from .catalog import (LD_MULTI_CTE, WEIGHTS_A_CTE, docs, feats, model_a, query, target_a, target_b,
+from .catalog import (LD_MULTI_CTE, WEIGHTS_A_CTE, docs, feats, model_a, query, target_a_ids, target_b,
                       weights_a)
 from ..operators import ngram_model as NG
 from ..operators import select as SEL
+from ..operators.features import ngram_features
 from ..sources.io import read_table
 
 GUMBEL_SQL = S.gumbel_e10(7, "gumbel", "doc_id")
@@ -23,6 +24,13 @@ def q_gumbel(spark, sf):
     return SEL.gumbel_top_k(weights_a(spark, sf), 100, seed=7).select("doc_id", "log_weight")
 
 
+def two_target_weights(spark, sf):
+    """Weights of targets a (labelled documents) and b (benchmark); the documents are featurised once and stored."""
+    f = SEL._stored(feats(spark, sf))
+    m = NG.fit_from_features(f, {"a": f.join(target_a_ids(spark, sf), "doc_id", "left_semi"), "b": ngram_features(target_b(spark, sf))}, separate_targets=True)
+    return NG.log_weights(f, m, min_example_length=100)
+
+
 MULTI_W = f"""{LD_MULTI_CTE},
 lw as (select f.doc_id, ld.target, sum(f.cnt * ld.ld)::BIGINT weight_e10 from f join ld using (bucket)
        where f.doc_id in (select doc_id from w where {S.length_expr('len(w)', 2)} >= 100)
@@ -37,9 +45,7 @@ pb as (select doc_id, target from lw where target = 'b' and doc_id not in (selec
 select * from pa union all select * from pb""")
 def q_multi_target(spark, sf):
     """Two targets at 0.5 / 0.5, k = 100: target a first, then b among the rest."""
-    m = NG.fit(docs(spark, sf), {"a": target_a(spark, sf), "b": target_b(spark, sf)},
-               separate_targets=True, num_tokens_to_fit="all")
-    lw = NG.log_weights(feats(spark, sf), m, min_example_length=100)
+    lw = two_target_weights(spark, sf)
     return SEL.select_multi_target(lw, 100, ["a", "b"], [0.5, 0.5]).select("doc_id", "target")
 
 
@@ -52,9 +58,7 @@ pb as (select doc_id, target from lw where target = 'b' and doc_id not in (selec
 select * from pa union all select * from pb""")
 def q_multi_target_gumbel(spark, sf):
     """Two targets at 0.6 / 0.4 with Gumbel sampling, seed 3 (K2 + K4)."""
-    m = NG.fit(docs(spark, sf), {"a": target_a(spark, sf), "b": target_b(spark, sf)},
-               separate_targets=True, num_tokens_to_fit="all")
-    lw = NG.log_weights(feats(spark, sf), m, min_example_length=100)
+    lw = two_target_weights(spark, sf)
     return SEL.select_multi_target(lw, 100, ["a", "b"], [0.6, 0.4], top_k_mode=False, seed=3) \
         .select("doc_id", "target")
 

@@ -223,21 +223,6 @@ def read_trials(spark: SparkSession, results_dir: str) -> DataFrame:
     return df.withColumn("run_name", run)
 
 
-def save_json(spark: SparkSession, obj: dict, path: str) -> None:
-    """One JSON row of settings next to parquet parameter tables."""
-    spark.createDataFrame([(json.dumps(obj, sort_keys=True),)], "settings string") \
-        .coalesce(1).write.mode("overwrite").text(path)
-
-
-def load_json(spark: SparkSession, path: str) -> dict:
-    row = spark.read.text(path).first()
-    return json.loads(row[0])
-
-
 def count_rows(df: DataFrame) -> int:
     """Line count."""
     return df.count()
-
-
-def id_column(df: DataFrame, name: str) -> Column:
-    return F.col(name).cast("long")
