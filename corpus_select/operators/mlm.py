@@ -53,36 +53,74 @@ def build_vocab(df: DataFrame, text_col: str = "text", tokenizer: str = "wordpun
 
 
 def encode(df: DataFrame, vocab: DataFrame, max_length: int = 128, id_col: str = "doc_id",
-           text_col: str = "text", tokenizer: str = "wordpunct", vocab_max_size: int | None = None,
-           tokens_col: str | None = None) -> DataFrame:
+           text_col: str = "text", tokenizer: str = "wordpunct", tokens_col: str | None = None,
+           pair_col: str | None = None) -> DataFrame:
     """Tokenise, map to ids, truncate to ``max_length`` with [CLS]/[SEP], pad.
 
-    Output: ``input_ids, attention_mask, special_tokens_mask`` (ARRAY<INT>).
-    Blank texts are dropped first (P9). Tokens are truncated before the id
-    lookup, so a document group never exceeds ``max_length``. The vocabulary
-    join is broadcast only when its size is bounded (``vocab_max_size``);
-    the regroup by document reuses the input's partitioning when it is
-    already hash-partitioned on the id.
+    Output: ``input_ids, attention_mask, special_tokens_mask`` (ARRAY<INT>); with
+    ``pair_col`` both texts of a row, ``[CLS] a [SEP] b [SEP]``, and ``token_type_ids``.
+    A pair that is too long loses tokens from its longer text. Blank texts are
+    dropped first (P9). A vocabulary of at most ``SMALL_VOCAB`` counted rows is
+    shipped to the tasks, which move no row; a larger one is joined.
     """
-    body = max_length - 2
+    tok = get_tokenizer(tokenizer)
     if tokens_col:
         # a non-blank text always has at least one token, so blank == no tokens
-        rows = df.where(F.size(F.col(tokens_col)) > 0).select(
-            F.col(id_col).alias("doc_id"), F.slice(F.col(tokens_col), 1, body).alias("_t"))
+        rows = df.where(F.size(F.col(tokens_col)) > 0).select(F.col(id_col).alias("doc_id"), F.col(tokens_col).alias("_t"))
     else:
-        tok = get_tokenizer(tokenizer)
-        rows = df.where(~is_blank(F.col(text_col))).select(
-            F.col(id_col).alias("doc_id"), F.slice(tok(F.col(text_col)), 1, body).alias("_t"))
-    ex = rows.select("doc_id", F.posexplode_outer("_t").alias("pos", "token"))
-    v = vocab.select("token", "id")
-    if vocab_max_size is not None and vocab_max_size <= 5_000_000:
-        v = F.broadcast(v)
-    j = ex.join(v, "token", "left").select(
-        "doc_id", F.when(F.col("pos").isNull(), F.lit(None))
-        .otherwise(F.struct("pos", F.coalesce("id", F.lit(UNK)).alias("id"))).alias("_p"))
-    ids = j.groupBy("doc_id").agg(F.array_sort(F.collect_list("_p")).alias("_s"))
-    ids = ids.select("doc_id", F.transform("_s", lambda s: s["id"]).alias("_ids"))
-    return ids.select("doc_id", *_pad_columns(F.col("_ids"), max_length))
+        cols = [F.col(id_col).alias("doc_id"), tok(F.col(text_col)).alias("_t")]
+        if pair_col:
+            cols.append(tok(F.coalesce(F.col(pair_col), F.lit(""))).alias("_u"))
+        rows = df.where(~is_blank(F.col(text_col))).select(*cols)
+    if pair_col is None:
+        ids = _lookup(rows.select("doc_id", F.slice("_t", 1, max_length - 2).alias("_t")), vocab, ["_t"])
+        return ids.select("doc_id", *_pad_columns(F.col("_t"), max_length))
+    body = max_length - 3
+    la, lb, half = F.size("_t"), F.size("_u"), F.lit((body + 1) // 2)
+    keep_a = F.when(la + lb <= body, la).when(la <= half, la).when(lb <= body - half, F.lit(body) - lb).otherwise(half)
+    cut = rows.withColumn("_ka", keep_a).select("doc_id", F.slice("_t", F.lit(1), F.col("_ka")).alias("_t"),
+                                                F.slice("_u", F.lit(1), F.lit(body) - F.col("_ka")).alias("_u"))
+    return _lookup(cut, vocab, ["_t", "_u"]).select("doc_id", *_pair_columns(F.col("_t"), F.col("_u"), max_length))
+
+
+def _lookup(rows: DataFrame, vocab: DataFrame, cols: list[str]) -> DataFrame:
+    """Token arrays -> id arrays, [UNK] where the vocabulary lacks a token."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    known = vocab.select("token", "id").limit(SMALL_VOCAB + 1).toArrow()
+    if known.num_rows > SMALL_VOCAB:
+        return _lookup_joined(rows, vocab, cols)
+    spark = rows.sparkSession
+    from ..session import ship_package
+    ship_package(spark)
+    shipped = spark.sparkContext.broadcast((known.column("token").combine_chunks(), known.column("id").combine_chunks()))
+
+    def fn(batches):
+        tokens, ids = shipped.value
+        for rb in batches:
+            out = [rb.column(0)]
+            for lists in rb.columns[1:]:
+                place = pc.index_in(lists.flatten().cast(tokens.type), value_set=tokens)
+                found = pc.fill_null(ids.take(place), UNK).cast(pa.int32())
+                size = pc.fill_null(pc.list_value_length(lists), 0)
+                ends = pa.concat_arrays([pa.array([0], pa.int32()), pc.cumulative_sum(size).cast(pa.int32())])
+                out.append(pa.ListArray.from_arrays(ends, found))
+            yield pa.RecordBatch.from_arrays(out, names=["doc_id", *cols])
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.select("doc_id", *cols).mapInArrow(fn, f"doc_id {kind}, " + ", ".join(f"{c} array<int>" for c in cols))
+
+
+def _lookup_joined(rows: DataFrame, vocab: DataFrame, cols: list[str]) -> DataFrame:
+    """The same by a join, for vocabularies too large to ship; a token counts once per row and place."""
+    out = None
+    for c in cols:
+        spread = rows.select("doc_id", F.posexplode_outer(c).alias("pos", "token"))
+        j = spread.join(vocab.select("token", "id"), "token", "left").select(
+            "doc_id", F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("id", F.lit(UNK)).alias("id"))).alias("_p"))
+        ids = j.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list("_p")), lambda s: s["id"]).alias(c))
+        out = ids if out is None else out.join(ids, "doc_id")
+    return out
 
 
 def _pad_columns(ids: Column, max_length: int) -> list[Column]:
@@ -94,6 +132,17 @@ def _pad_columns(ids: Column, max_length: int) -> list[Column]:
     return [input_ids.alias("input_ids"), att.alias("attention_mask"), spec.alias("special_tokens_mask")]
 
 
+def _pair_columns(a: Column, b: Column, max_length: int) -> list[Column]:
+    n, m = F.size(a), F.size(b)
+    pad = F.lit(max_length - 3) - n - m
+    zero = lambda k: F.array_repeat(F.lit(0), k)
+    one = lambda k: F.array_repeat(F.lit(1), k)
+    input_ids = F.concat(F.array(F.lit(CLS)), a, F.array(F.lit(SEP)), b, F.array(F.lit(SEP)), F.array_repeat(F.lit(PAD), pad))
+    return [input_ids.alias("input_ids"), F.concat(zero(n + 2), one(m + 1), zero(pad)).alias("token_type_ids"),
+            F.concat(one(n + m + 3), zero(pad)).alias("attention_mask"),
+            F.concat(F.array(F.lit(1)), zero(n), F.array(F.lit(1)), zero(m), F.array(F.lit(1)), one(pad)).alias("special_tokens_mask")]
+
+
 def mask_tokens(df: DataFrame, vocab_size: int, seed: int = 0, mlm_probability: float = 0.15,
                 id_col: str = "doc_id", init_labels: str | None = None) -> DataFrame:
     """Seeded MLM masking.

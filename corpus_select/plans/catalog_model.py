@@ -149,6 +149,21 @@ def q_classifier_retrieve(spark, sf):
     return CL.retrieve(probs, 100, mode="pareto", seed=1)
 
 
+@query("classifier_metrics_per_task", f"""
+with {SIG_CTE},
+x as (select (pr.prob >= 0.5)::DOUBLE p, l.quality::DOUBLE y, pr.prob s from pr join labels l using (doc_id)),
+r as (select *, rank() over (order by s) + (count(*) over (partition by s) - 1) / 2.0 rank_s,
+             rank() over (order by y) + (count(*) over (partition by y) - 1) / 2.0 rank_y from x)
+select 'stsb' task, round(corr(s, y), 6) first_metric, round(corr(rank_s, rank_y), 6) second_metric, round((corr(s, y) + corr(rank_s, rank_y)) / 2, 6) combined_score from r
+union all select 'sst2', round(avg((p = y)::DOUBLE), 6), null, round(avg((p = y)::DOUBLE), 6) from x""")
+def q_metrics_per_task(spark, sf):
+    """Each task's own metrics and their mean (A9): a similarity task and an accuracy task over the same predictions."""
+    x = probs(spark, sf).join(read_table(spark, sf, "labels"), "doc_id").select(
+        (F.col("prob") >= 0.5).cast("double").alias("pred"), F.col("quality").alias("y"), "prob")
+    out = RS.task_metrics(x, "stsb", "pred", "y", "prob").unionByName(RS.task_metrics(x, "sst2", "pred", "y", "prob"))
+    return out.select("task", *[F.round(c, 6).alias(c) for c in ("first_metric", "second_metric", "combined_score")])
+
+
 # -- MLM data preparation ---------------------------------------------------------
 
 VOCAB_SQL = f"""tk as (select doc_id, {S.tok('text')} w from documents
@@ -167,7 +182,7 @@ pad as (select doc_id, list_resize([2] || ids || [3], 64, 0) input_ids,
 def encoded(spark, sf):
     d = docs(spark, sf)
     vocab = ML.build_vocab(d, max_size=5000)
-    return ML.encode(d, vocab, max_length=64, vocab_max_size=5000)
+    return ML.encode(d, vocab, max_length=64)
 
 
 def _join_ints(c):
@@ -185,6 +200,27 @@ def q_tokenize_pad(spark, sf):
                                 ("input_ids", "attention_mask", "special_tokens_mask")])
 
 
+@query("tokenize_pad_pair", f"""
+with {VOCAB_SQL},
+pr as (select tk.doc_id, w a, {S.tok("coalesce(d.source, '') || ' ' || substr(d.text, 1, 200)")} b from tk join documents d using (doc_id)),
+ln as (select doc_id, a, b, case when len(a) + len(b) <= 61 then len(a) when len(a) <= 31 then len(a)
+         when len(b) <= 30 then 61 - len(b) else 31 end ka from pr),
+ct as (select doc_id, a[1:ka] a, b[1:61 - ka] b from ln),
+pa as (select doc_id, list(coalesce(v.id, 1) order by pos) ids from (select doc_id, unnest(a) token, unnest(range(1, len(a) + 1)) pos from ct)
+       left join vk v using (token) group by doc_id),
+pb as (select doc_id, list(coalesce(v.id, 1) order by pos) ids from (select doc_id, unnest(b) token, unnest(range(1, len(b) + 1)) pos from ct)
+       left join vk v using (token) group by doc_id),
+jn as (select ct.doc_id, coalesce(pa.ids, []::INT[]) x, coalesce(pb.ids, []::INT[]) y from ct left join pa using (doc_id) left join pb using (doc_id))
+select doc_id, array_to_string(list_resize([2] || x || [3] || y || [3], 64, 0), ',') input_ids,
+  array_to_string(list_resize(list_transform(range(len(x) + 2), lambda i: 0) || list_transform(range(len(y) + 1), lambda i: 1), 64, 0), ',') token_type_ids
+from jn""")
+def q_tokenize_pad_pair(spark, sf):
+    """Pairs (text; source and the text's first 200 characters), truncated longest first to 64."""
+    d = docs(spark, sf).withColumn("second", F.concat(F.coalesce("source", F.lit("")), F.lit(" "), F.substring("text", 1, 200)))
+    e = ML.encode(d, ML.build_vocab(d, max_size=5000), max_length=64, pair_col="second")
+    return e.select("doc_id", *[_join_ints(F.col(c)).alias(c) for c in ("input_ids", "token_type_ids")])
+
+
 def _mlm_sql(seed: int, vocab_size: int) -> str:
     h = f"sha256('{seed}:mlm:' || doc_id::VARCHAR || ':' || (i - 1)::VARCHAR)"
 

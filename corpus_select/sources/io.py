@@ -212,15 +212,13 @@ def read_word_vectors(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_trials(spark: SparkSession, results_dir: str) -> DataFrame:
-    """One row per trial directory's ``eval_results.json`` with its run name.
+    """``run_name, json``: one row per trial directory's ``eval_results.json`` (S16), as ``trial_table`` takes it.
 
-    Unreadable files surface in ``_corrupt_record`` and are reported there
-    instead of failing the job.
+    A file that is no JSON keeps its text; its metric is then null.
     """
-    df = (spark.read.option("mode", "PERMISSIVE").option("multiLine", True)
-          .json(os.path.join(results_dir, "*", "eval_results.json")))
+    df = spark.read.option("wholetext", True).text(os.path.join(results_dir, "*", "eval_results.json"))
     run = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
-    return df.withColumn("run_name", run)
+    return df.select(run.alias("run_name"), F.col("value").alias("json"))
 
 
 def count_rows(df: DataFrame) -> int:

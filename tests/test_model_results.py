@@ -60,7 +60,7 @@ def test_mlm_encode_and_mask(spark):
     vocab = ML.build_vocab(docs, max_size=500)
     assert vocab.count() == 500
     assert vocab.agg(F.min("id"), F.max("id")).first() == (5, 504)
-    enc = ML.encode(docs, vocab, max_length=32, vocab_max_size=500)
+    enc = ML.encode(docs, vocab, max_length=32)
     r = enc.first()
     assert len(r["input_ids"]) == 32 and r["input_ids"][0] == ML.CLS
     m = ML.mask_tokens(enc, vocab_size=505, seed=3).collect()
@@ -94,9 +94,7 @@ def test_run_names_rollup_best_median(spark, tmp_out):
     with open(os.path.join(tmp_out, "MRPC_EPOCHS3_BS32_LR2e-05_seed1", "eval_results.json"), "w") as f:
         f.write("{not json")
     raw = IO.read_trials(spark, tmp_out)
-    cols = [c for c in raw.columns if c not in ("run_name", "_corrupt_record")]
-    js = F.to_json(F.struct(*cols))
-    trials = RS.trial_table(raw.select("run_name", js.alias("json")))
+    trials = RS.trial_table(raw)
     rolled = RS.rollup(trials)
     got = {r["task_name"]: r for r in rolled.collect()}
     assert got["RTE"]["mean"] == 72.33 and got["RTE"]["median"] == 72.0 and got["RTE"]["std"] == 2.52
@@ -214,8 +212,8 @@ def test_mlm_pre_tokenized_equals_text_path(spark):
     v1 = ML.build_vocab(docs, max_size=300)
     v2 = ML.build_vocab(toks, max_size=300, tokens_col="tokens")
     assert sorted(v1.collect()) == sorted(v2.collect())
-    e1 = ML.encode(docs, v1, max_length=24, vocab_max_size=300)
-    e2 = ML.encode(toks, v2, max_length=24, vocab_max_size=300, tokens_col="tokens")
+    e1 = ML.encode(docs, v1, max_length=24)
+    e2 = ML.encode(toks, v2, max_length=24, tokens_col="tokens")
     assert sorted(e1.collect()) == sorted(e2.collect())
 
 
