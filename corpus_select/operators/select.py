@@ -43,10 +43,17 @@ def top_k(df: DataFrame, k: int, key: str = "weight_e10", id_col: str = "doc_id"
         return df.limit(0)
     if k <= small_k:
         return df.orderBy(F.col(key).desc(), F.col(id_col).asc()).limit(k)
-    total = df.count()
-    if k >= total:
+    size = df.agg(F.count(F.lit(1)).alias("rows"), F.count(key).alias("keys")).first()
+    if k >= size["rows"]:
         return df
-    return _bracket(df, k, F.col(key), id_col, total, small_k, by_id=False)
+    known = df.where(F.col(key).isNotNull())
+    if k < size["keys"]:
+        return _bracket(known, k, F.col(key), id_col, size["keys"], small_k, by_id=False)
+    if k == size["keys"]:
+        return known
+    # rows without a key rank last, among themselves by id
+    unknown = df.where(F.col(key).isNull())
+    return known.unionByName(_bracket(unknown, k - size["keys"], F.col(key), id_col, size["rows"] - size["keys"], small_k, by_id=True))
 
 
 def _bracket(df: DataFrame, k: int, key: Column, id_col: str, total: int, small_k: int,
@@ -69,9 +76,9 @@ def _bracket(df: DataFrame, k: int, key: Column, id_col: str, total: int, small_
         # every row carries the same key: the order is the id order
         return _bracket(df, k, key, id_col, total, small_k, by_id=True)
     if found is None or found[3] >= total:
-        # the interval did not narrow the pool (not expected): one exact ordered limit
+        # the interval did not narrow the pool (not expected): positions in a range-partitioned order
         order = [F.col(id_col).asc()] if by_id else [key.desc(), F.col(id_col).asc()]
-        return df.orderBy(*order).limit(k)
+        return dense_index(df, order, "_rank").where(F.col("_rank") < F.lit(k)).drop("_rank")
     lo, hi, above, within = found
     kept = df.where(score > F.lit(hi))
     rest = k - above
@@ -280,6 +287,11 @@ def _stored(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _range_partitions(spark) -> int:
+    """Ranges to sort in: what the session's shuffles use; the cores at start-up say little under dynamic allocation."""
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def dense_index(df: DataFrame, order_cols: Sequence[str | Column], name: str = "idx", start: int = 0,
                 num_partitions: int | None = None) -> DataFrame:
     """Positional index 0.. in ``order_cols`` order (W4), without a one-task window.
@@ -290,7 +302,7 @@ def dense_index(df: DataFrame, order_cols: Sequence[str | Column], name: str = "
     same split. ``order_cols`` must define a total order (end with a unique id).
     """
     spark = df.sparkSession
-    p = num_partitions or spark.sparkContext.defaultParallelism
+    p = num_partitions or _range_partitions(spark)
     cols = [(_c(c)) for c in order_cols]
     r = df.repartitionByRange(p, *cols).sortWithinPartitions(*cols) \
         .withColumn("_mid", F.monotonically_increasing_id())
@@ -320,7 +332,7 @@ def prefix_sum(df: DataFrame, order_cols: Sequence[str | Column], weight_col: st
     each partition, plus the totals of the partitions before it.
     """
     spark = df.sparkSession
-    p = num_partitions or spark.sparkContext.defaultParallelism
+    p = num_partitions or _range_partitions(spark)
     cols = [(_c(c)) for c in order_cols]
     r = df.repartitionByRange(p, *cols).withColumn("_pid", F.spark_partition_id())
     w = Window.partitionBy("_pid").orderBy(*cols).rowsBetween(Window.unboundedPreceding, -1)

@@ -20,7 +20,8 @@ from ..operators import quality as QU
 from ..operators import select as SEL
 from ..operators.features import ngram_features
 from ..session import checkpoint_dir
-from ..sources.io import read_table, write_indices
+from ..operators import results as RS
+from ..sources.io import materialize, read_by_extension, read_table, write_indices, write_tsv
 
 
 def scratch(spark, name: str) -> str:
@@ -163,3 +164,79 @@ def q_fit_pooled_budgeted(spark, sf):
     ids = {"a": target_a_ids(spark, sf), "b": read_table(spark, sf, "documents").where("source = 'src1'").select("doc_id")}
     m = NG.fit_subset_targets(SEL._stored(feats(spark, sf)), ids, num_tokens_to_fit=50_000)
     return m.table.select("target", "bucket", "raw_cnt", "target_cnt")
+
+
+@query("json_readback", """
+select doc_id, text, source from documents""")
+def q_json_readback(spark, sf):
+    """Documents written as compressed JSON lines and read by suffix."""
+    path = scratch(spark, "documents") + ".json"
+    docs(spark, sf).select("doc_id", "text", "source").write.option("compression", "gzip").json(path)
+    return read_by_extension(spark, path).select("doc_id", "text", "source")
+
+
+@query("nested_domain", """
+select doc_id, source as domain from documents where source in ('src1', 'src2')""")
+def q_nested_domain(spark, sf):
+    """Filter and projection on a field of a struct."""
+    nested = docs(spark, sf).select("doc_id", F.struct(F.col("source").alias("pile_set_name")).alias("metadata"))
+    return nested.where(F.col("metadata.pile_set_name").isin("src1", "src2")).select("doc_id", F.col("metadata.pile_set_name").alias("domain"))
+
+
+@query("k_above_pool", f"""
+with {WEIGHTS_A_CTE}
+select doc_id from sc where length >= 100""")
+def q_k_above_pool(spark, sf):
+    """k beyond the pool keeps the whole pool, by the bracket path too (K8)."""
+    f = SEL._stored(feats(spark, sf))
+    return SEL.top_k(NG.log_weights(f, model_a_of(spark, sf, f)), 10_000_000, small_k=10).select("doc_id")
+
+
+@query("bracket_topk", f"""
+with {WEIGHTS_A_CTE}
+select doc_id from sc where length >= 100 order by weight_e10 desc, doc_id limit 300""")
+def q_bracket_topk(spark, sf):
+    """Exact top 300 by the bracket path for large k (K1)."""
+    f = SEL._stored(feats(spark, sf))
+    return SEL.top_k(SEL._stored(NG.log_weights(f, model_a_of(spark, sf, f))), 300, small_k=10).select("doc_id")
+
+
+@query("trial_rollup", """
+with t as (select source task_name, (doc_id % 3)::INT epochs, round((n_chars % 997) / 1000.0 * 100, 2) dev from documents where n_chars is not null)
+select task_name, epochs, round(quantile_cont(dev, 0.5), 1) median from t group by all""")
+def q_trial_rollup(spark, sf):
+    """Roll-up of a metric by setting: median per (task, epochs) (A10)."""
+    t = docs(spark, sf).where("n_chars is not null").select(F.col("source").alias("task_name"), (F.col("doc_id") % 3).cast("int").alias("epochs"), ((F.col("n_chars") % 997) / 1000.0).alias("dev"))
+    return RS.rollup(t, ("task_name", "epochs")).select("task_name", "epochs", F.round("median", 1).alias("median"))
+
+
+@query("best_setting", """
+with t as (select source task_name, (doc_id % 3)::INT epochs, round((n_chars % 997) / 1000.0 * 100, 2) dev from documents where n_chars is not null),
+r as (select task_name, epochs, round(quantile_cont(dev, 0.5), 2) median from t group by all)
+select task_name, epochs from r where median = (select max(median) from r q where q.task_name = r.task_name)""")
+def q_best_setting(spark, sf):
+    """Settings with the best median of their task."""
+    t = docs(spark, sf).where("n_chars is not null").select(F.col("source").alias("task_name"), (F.col("doc_id") % 3).cast("int").alias("epochs"), ((F.col("n_chars") % 997) / 1000.0).alias("dev"))
+    return RS.best_median(RS.rollup(t, ("task_name", "epochs")), ("task_name",)).select("task_name", "epochs")
+
+
+@query("predictions_file", f"""
+with {SIG_CTE}
+select pr.doc_id "index", (pr.prob >= 0.5)::INT::VARCHAR prediction from pr""")
+def q_predictions_file(spark, sf):
+    """Predictions written as a tab-separated file and read back, labels dropped before."""
+    path = scratch(spark, "predictions")
+    p = RS.drop_label(probs(spark, sf).withColumn("label", F.lit(1))).withColumn("pred", (F.col("prob") >= 0.5).cast("int"))
+    write_tsv(RS.format_predictions(p, "doc_id", "pred", regression=False), path)
+    return spark.read.option("sep", "\t").option("header", True).schema("index long, prediction string").csv(path)
+
+
+@query("stored_features", f"""
+with {S.features_cte()}
+select doc_id, count(*)::BIGINT n_buckets from f group by doc_id""")
+def q_stored_features(spark, sf):
+    """Features stored once and reused by a second call, which reads the stored files."""
+    path = scratch(spark, "features")
+    materialize(feats(spark, sf), path)
+    again = materialize(feats(spark, sf).limit(0), path)
+    return again.where(F.size("buckets") > 0).select("doc_id", F.size("buckets").cast("long").alias("n_buckets"))

@@ -100,14 +100,16 @@ def with_row_id(df: DataFrame, file_col: str = "source_path", order_cols: list[s
     return dense_index(tagged, cols, id_name).drop("_row_in_file")
 
 
+# Suffix -> reader; every other suffix is read as JSON lines.
+READERS = {
+    ".txt": lambda r, path: r.text(path).withColumnRenamed("value", "text"),
+    ".csv": lambda r, path: r.option("header", True).csv(path),
+}
+
+
 def read_by_extension(spark: SparkSession, path: str) -> DataFrame:
-    """``txt`` -> text lines (column ``text``), ``jsonl``/``json``/other -> JSON, ``csv`` -> CSV."""
-    ext = os.path.basename(path).split(".")[-1].lower()
-    if ext == "txt":
-        return spark.read.text(path).withColumnRenamed("value", "text")
-    if ext == "csv":
-        return spark.read.option("header", True).csv(path)
-    return spark.read.json(path)
+    """Text lines (column ``text``), CSV or JSON, by the file's suffix."""
+    return READERS.get(os.path.splitext(path)[1].lower(), lambda r, p: r.json(p))(spark.read, path)
 
 
 # -- dataset registry (S6) ----------------------------------------------------

@@ -188,3 +188,10 @@ def test_default_encoder_ignores_batches():
     rows = ["Alpha, beta!", "", None, "beta alpha", "x " * 300]
     whole = enc(rows)
     assert np.allclose(whole, np.concatenate([enc([r]) for r in rows])) and np.allclose(np.linalg.norm(whole, axis=1), [1, 0, 0, 1, 1])
+
+
+def test_rows_without_a_key_rank_last_by_id(spark):
+    df = spark.createDataFrame([(i, None if i % 4 == 0 else i % 7) for i in range(200)], "doc_id long, weight_e10 long")
+    order = sorted(range(200), key=lambda i: (i % 4 == 0, -(i % 7) if i % 4 else 0, i))
+    for k in (5, 149, 150, 151, 170, 199, 200, 999):
+        assert {r.doc_id for r in SEL.top_k(df, k, small_k=3).collect()} == set(order[:k])
