@@ -66,6 +66,19 @@ def model_a(spark, sf, **kw):
     return NG.fit_subset_targets(feats(spark, sf), {"target": target_a_ids(spark, sf)}, **kw)
 
 
+def weights_a(spark, sf, min_len=100):
+    """Weights under target A; the documents are featurised once and stored for fitting and scoring."""
+    f = SEL._stored(feats(spark, sf))
+    return NG.log_weights(f, NG.fit_subset_targets(f, {"target": target_a_ids(spark, sf)}), min_example_length=min_len)
+
+
+def two_target_weights(spark, sf):
+    """Weights under targets a (labelled documents) and b (benchmark), from one stored featurisation."""
+    f = SEL._stored(feats(spark, sf))
+    m = NG.fit_from_features(f, {"a": f.join(target_a_ids(spark, sf), "doc_id", "left_semi"), "b": FE.ngram_features(target_b(spark, sf))}, separate_targets=True)
+    return NG.log_weights(f, m, min_example_length=100)
+
+
 TARGET_A_SQL = "(select * from documents where doc_id in (select doc_id from labels where quality = 1))"
 
 # log_diff for raw = documents, target = quality-1 documents, as a CTE chain
@@ -241,8 +254,7 @@ with {WEIGHTS_A_CTE}
 select doc_id, n_tokens, length, weight_e10, log_weight from sc""")
 def q_log_weight(spark, sf):
     """Every document's log importance weight under target A (A7), no length filter."""
-    m = model_a(spark, sf)
-    lw = NG.log_weights(feats(spark, sf), m, min_example_length=None)
+    lw = weights_a(spark, sf, None)
     return lw.select("doc_id", "n_tokens", "length", "weight_e10", "log_weight")
 
 
@@ -265,18 +277,11 @@ where f.doc_id in (select doc_id from w where {S.length_expr('len(w)', 2)} >= 10
 group by f.doc_id, ld.target""")
 def q_log_weight_multi(spark, sf):
     """One weight per (document, target) for two separate targets, length >= 100 (A7 matrix form)."""
-    m = NG.fit(docs(spark, sf), {"a": target_a(spark, sf), "b": target_b(spark, sf)},
-               separate_targets=True, num_tokens_to_fit="all")
-    lw = NG.log_weights(feats(spark, sf), m, min_example_length=100)
-    return lw.select("doc_id", "target", "weight_e10", "log_weight")
+    return two_target_weights(spark, sf).select("doc_id", "target", "weight_e10", "log_weight")
 
 
 # -- 3. selection ------------------------------------------------------------------
 
-def weights_a(spark, sf, min_len=100):
-    return NG.log_weights(feats(spark, sf), model_a(spark, sf), min_example_length=min_len)
-
-
 @query("topk_weight", f"""
 with {WEIGHTS_A_CTE}
 select doc_id, log_weight from sc where length >= 100

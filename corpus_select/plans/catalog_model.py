@@ -6,13 +6,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from . import sqlsnippets as S
-from .catalog import WEIGHTS_A_CTE, docs, feats, model_a, query, target_a, target_b
+from .catalog import WEIGHTS_A_CTE, docs, query, two_target_weights, weights_a
 from .catalog_select import MULTI_W
 from ..functions import stats as ST
 from ..functions.text import WHITESPACE_CLASS
 from ..operators import classifier as CL
 from ..operators import mlm as ML
-from ..operators import ngram_model as NG
 from ..operators import results as RS
 from ..sources.io import read_table
 
@@ -82,7 +81,7 @@ pr as (select doc_id, 1.0 / (1.0 + exp(-log_weight / 100.0)) prob from sc)"""
 
 
 def probs(spark, sf):
-    w = NG.log_weights(feats(spark, sf), model_a(spark, sf), min_example_length=None)
+    w = weights_a(spark, sf, None)
     return w.select("doc_id", "log_weight",
                     (F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("log_weight") / F.lit(100.0)))).alias("prob"))
 
@@ -99,7 +98,7 @@ select tp, fp, fn, tn, round(prec, 6) "precision", round(rec, 6) recall,
        round((tp + tn) / (tp + fp + fn + tn), 6) accuracy from m""")
 def q_binary_metrics(spark, sf):
     """Precision / recall / F1 of 'log weight > 0' against the quality label."""
-    w = NG.log_weights(feats(spark, sf), model_a(spark, sf), min_example_length=None)
+    w = weights_a(spark, sf, None)
     x = w.join(read_table(spark, sf, "labels"), "doc_id").select(
         (F.col("log_weight") > 0).cast("int").alias("pred"), F.col("quality").alias("label"))
     m = CL.binary_metrics(x, "pred", "label")
@@ -275,9 +274,7 @@ pv as (select doc_id, max(case when target = 'a' then weight_e10 end) wa,
 select doc_id, (list_position([wa, wb], greatest(wa, wb)) - 1)::INT best_target from pv""")
 def q_argmax(spark, sf):
     """Which of two targets each document is most like: argmax of its per-target weights."""
-    m = NG.fit(docs(spark, sf), {"a": target_a(spark, sf), "b": target_b(spark, sf)},
-               separate_targets=True, num_tokens_to_fit="all")
-    lw = NG.log_weights(feats(spark, sf), m, min_example_length=100)
+    lw = two_target_weights(spark, sf)
     pv = lw.groupBy("doc_id").agg(F.max(F.when(F.col("target") == "a", F.col("weight_e10"))).alias("wa"),
                                   F.max(F.when(F.col("target") == "b", F.col("weight_e10"))).alias("wb"))
     return pv.select("doc_id", RS.argmax(F.array("wa", "wb")).alias("best_target"))

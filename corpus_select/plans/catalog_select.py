@@ -5,11 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from . import sqlsnippets as S
-from .catalog import (LD_MULTI_CTE, WEIGHTS_A_CTE, docs, feats, model_a, query, target_a_ids, target_b,
-                      weights_a)
-from ..operators import ngram_model as NG
+from .catalog import LD_MULTI_CTE, WEIGHTS_A_CTE, docs, feats, query, two_target_weights, weights_a
 from ..operators import select as SEL
-from ..operators.features import ngram_features
 from ..sources.io import read_table
 
 GUMBEL_SQL = S.gumbel_e10(7, "gumbel", "doc_id")
@@ -24,13 +21,6 @@ def q_gumbel(spark, sf):
     return SEL.gumbel_top_k(weights_a(spark, sf), 100, seed=7).select("doc_id", "log_weight")
 
 
-def two_target_weights(spark, sf):
-    """Weights of targets a (labelled documents) and b (benchmark); the documents are featurised once and stored."""
-    f = SEL._stored(feats(spark, sf))
-    m = NG.fit_from_features(f, {"a": f.join(target_a_ids(spark, sf), "doc_id", "left_semi"), "b": ngram_features(target_b(spark, sf))}, separate_targets=True)
-    return NG.log_weights(f, m, min_example_length=100)
-
-
 MULTI_W = f"""{LD_MULTI_CTE},
 lw as (select f.doc_id, ld.target, sum(f.cnt * ld.ld)::BIGINT weight_e10 from f join ld using (bucket)
        where f.doc_id in (select doc_id from w where {S.length_expr('len(w)', 2)} >= 100)
@@ -160,7 +150,7 @@ select (select count(*) from documents)::BIGINT n_rows, (select count(*) from sc
 def q_row_count(spark, sf):
     """Scores must cover every row before selecting (A14), as one lazy row of counts."""
     d = docs(spark, sf).select("doc_id", F.lit(1).alias("in_docs"))
-    s = NG.log_weights(feats(spark, sf), model_a(spark, sf), min_example_length=None) \
+    s = weights_a(spark, sf, None) \
         .select("doc_id", F.lit(1).alias("in_scores"))
     j = d.join(s, "doc_id", "full")
     return j.agg(F.sum(F.coalesce("in_docs", F.lit(0))).cast("long").alias("n_rows"),
