@@ -217,13 +217,13 @@ def m_step(n: np.ndarray, s1: np.ndarray, s2: np.ndarray, rows: int, var_floor:
 
 def init_mixture(emb: DataFrame, k: int, seed: int = 42, emb_col: str = "embedding",
                  id_col: str = "doc_id", var_floor: float = VAR_FLOOR, sample: int | None = None, rounds: int = 10) -> Mixture:
-    """k-means++ start on a seeded sample of ``sample`` rows (default: 50 per component, 2,000 at least).
+    """k-means++ start on a seeded sample of ``sample`` rows (default: 20 per component, 2,000 at least).
 
     Centres are drawn by squared distance and refined by a few Lloyd rounds; the
     clusters' shares, means and variances open EM. Moves the sample, whose size is a
     parameter, to the driver; EM itself reads every row.
     """
-    size = sample or max(2000, 50 * k)
+    size = sample or max(2000, 20 * k)
     picks = emb.withColumn("_k", seeded_order_key(seed, "gmm-init", id_col)) \
         .orderBy(F.col("_k").desc(), F.col(id_col)).limit(size).select(emb_col).toArrow()
     x = _matrix(picks.column(0).combine_chunks())
