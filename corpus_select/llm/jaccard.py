@@ -3,15 +3,19 @@
 1. Texts become words (lower case, letters and digits only) and sets of five-word
    shingles. Texts with the same words are one class; only classes are compared.
 2. A class has ``TREES`` x ``DEPTH`` MinHash values. Each tree is a trie over its
-   ``DEPTH`` values, kept as rows sorted by tree and values: classes under one prefix
-   are neighbours. Neighbours become candidates with the length of their common prefix.
-3. Candidates are verified from the longest prefixes on. After each length the share
-   of links found so far is estimated from the links' similarities (a link of
-   similarity s shows at length d with probability 1 - (1 - s^d)^TREES); the
-   prefix is shortened until the estimate reaches ``RECALL``, at most to
-   ``FLOOR``, where even links at the threshold are found with 0.9993.
-4. Candidates first compare their MinHash values (a pair at the threshold fails
-   that by chance once in tens of thousands), then their whole shingle sets.
+   ``DEPTH`` values, kept as rows sorted by tree and values. Along the sorted rows, each class is
+   linked to the first one of the deepest prefix it shares: a prefix of n classes
+   gives n - 1 links, never its pairs.
+3. From the longest prefixes on, classes joined by links are a family, and all pairs
+   inside a family are verified. The share of links found is estimated from their
+   similarities (a pair of similarity s shares a prefix of length d in some tree with
+   probability 1 - (1 - s^d)^TREES); the prefix is shortened until the estimate
+   reaches ``RECALL``, at most to ``FLOOR``, where even pairs at the threshold share one
+   with 0.9993. Only families that grew are verified again.
+4. In a family, pairs first compare their MinHash values (a pair at the threshold fails
+   that by chance once in tens of thousands), then their whole shingle sets. Families
+   beyond ``BLOCK`` classes are dealt as pairs of blocks. A task gives each class's number
+   of links and a spanning forest, so nothing that leaves it grows with the pairs.
 
 Defined results: null text is empty; texts without words are one class and are
 near nothing else; texts of one to four words have one shingle of them all; rows
@@ -35,7 +39,7 @@ from .shingles import hash_strings, mix, shingle_hashes
 TREES, DEPTH, FLOOR = 24, 8, 6
 SIMILARITY, RECALL, SIZE = 0.8, 0.999, 5
 SLACK = 0.12  # sketches of TREES * DEPTH values: over four standard deviations at the threshold
-BLOCK = 1024
+BLOCK = 512
 
 _A = (mix(np.arange(1, TREES * DEPTH + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _B = (mix(np.arange(1, TREES * DEPTH + 1, dtype=np.uint64) + np.uint64(1 << 32)) >> np.uint64(32)).astype(np.uint32)
@@ -76,7 +80,7 @@ def minhashes(per: np.ndarray, words: np.ndarray) -> np.ndarray:
 
 
 def _describe(batches):
-    for t in gathered(batches):
+    for t in gathered(batches, limit=12 << 20):
         texts = large(t.column("text"))
         per, words = normal_word_hashes(texts)
         place = np.arange(len(words), dtype=np.uint64) - np.repeat(starts_of(per)[:-1].astype(np.uint64), per)
@@ -109,117 +113,43 @@ def _trie_rows(batches):
                                 "back": pa.array(word[k:k + m, :, 1].ravel().view(np.int64)), "node": pa.array(np.repeat(b.column("high").to_numpy()[k:k + m], TREES))})
 
 
-def _common(back_a: np.ndarray, back_b: np.ndarray) -> np.ndarray:
-    """Length of the common prefix of rows that share the first FLOOR values."""
-    d = back_a.view(np.uint64) ^ back_b.view(np.uint64)
-    return FLOOR + (d < np.uint64(1 << 16)).astype(np.int32) + (d == 0).astype(np.int32)
+def _trie_links(batches):
+    """Sorted rows of the tries -> (a, b, depth): each row and the first row of the deepest prefix it shares.
 
-
-def _pairs_of(node: np.ndarray, back: np.ndarray, first: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs among rows, or between the first ``first`` rows and the others."""
-    if first is None:
-        i, j = np.triu_indices(len(node), 1)
-    else:
-        i, j = (x.ravel() for x in np.meshgrid(np.arange(first), np.arange(first, len(node)), indexing="ij"))
-    a, b = node[i], node[j]
-    differ = a != b
-    i, j, a, b = i[differ], j[differ], a[differ], b[differ]
-    return np.minimum(a, b), np.maximum(a, b), _common(back[i], back[j])
-
-
-_CANDIDATE = "a long, b long, depth int, prefix long, node long, back long"
-
-
-def _candidates(a, b, depth):
-    n = len(a)
-    nothing = pa.nulls(n, pa.int64())
-    return record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "depth": pa.array(depth, pa.int32()), "prefix": nothing, "node": nothing, "back": nothing})
-
-
-def _crowd(prefix, node, back):
-    n = len(node)
-    nothing = pa.nulls(n, pa.int64())
-    return record_batch({"a": nothing, "b": nothing, "depth": pa.nulls(n, pa.int32()), "prefix": pa.array(prefix), "node": pa.array(node), "back": pa.array(back)})
-
-
-def _neighbours(batches):
-    """Sorted rows of the tries -> candidates under each prefix; a prefix beyond BLOCK rows goes out as it is."""
-    def group(prefix, node, back):
-        new = np.flatnonzero(np.concatenate([[True], prefix[1:] != prefix[:-1]]))
-        size = np.diff(np.concatenate([new, [len(prefix)]]))
-        found = []
-        for a, n in zip(new[size > 1].tolist(), size[size > 1].tolist()):
-            if n > BLOCK:
-                yield _crowd(prefix[a:a + n], node[a:a + n], back[a:a + n])
-            else:
-                found.append(_pairs_of(node[a:a + n], back[a:a + n]))
-                if sum(len(f[0]) for f in found) > 200_000:
-                    yield _candidates(*(np.concatenate(c) for c in zip(*found)))
-                    found = []
-        if found:
-            yield _candidates(*(np.concatenate(c) for c in zip(*found)))
-
-    held, open_ = None, None  # open_: a prefix whose rows already go out as they come
+    Rows come sorted by (prefix, back, node); what is kept between batches is the last
+    row and the first node of its prefix at each depth.
+    """
+    shifts = [16 * (DEPTH - d) for d in range(FLOOR, DEPTH + 1)]
+    last, firsts = None, None
     for batch in batches:
-        cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("prefix", "node", "back")]
-        if held is not None:
-            cols = [np.concatenate(x) for x in zip(held, cols)]
-        if not len(cols[0]):
+        prefix, node, back = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("prefix", "node", "back"))
+        if not len(prefix):
             continue
-        if open_ is not None:
-            n = int(np.searchsorted(cols[0], open_, side="right"))
-            if n:
-                yield _crowd(*(c[:n] for c in cols))
-            cols = [c[n:] for c in cols]
-            held = None
-            if not len(cols[0]):
-                continue
-            open_ = None
-        last = int(np.searchsorted(cols[0], cols[0][-1]))
-        if last:
-            yield from group(*(c[:last] for c in cols))
-        held = [c[last:] for c in cols]
-        if len(held[0]) > BLOCK:
-            open_ = held[0][0]
-            yield _crowd(*held)
-            held = None
-    if held is not None and len(held[0]):
-        yield from group(*held)
-
-
-def _block_pairs(key, frame):
-    import pandas as pd
-
-    frame = frame.sort_values("side", kind="stable")
-    sides = frame["side"].to_numpy()
-    first = None if sides[0] == sides[-1] and key[1] == key[2] else int((sides == sides[0]).sum())
-    a, b, depth = _pairs_of(frame["node"].to_numpy(np.int64), frame["back"].to_numpy(np.int64), first)
-    return pd.DataFrame({"a": a, "b": b, "depth": depth})
-
-
-def candidates(classes: DataFrame) -> DataFrame:
-    """Stored (a, b, depth): pairs of classes and the longest prefix they share in a tree, FLOOR at least."""
+        b = back.view(np.uint64)
+        first_of, starts = [], []
+        for level, shift in enumerate(shifts):
+            key = (b >> np.uint64(shift)) if shift < 32 else np.zeros(len(b), np.uint64)
+            new = np.concatenate([[True], (prefix[1:] != prefix[:-1]) | (key[1:] != key[:-1])])
+            goes_on = last is not None and last[0] == prefix[0] and (shift >= 32 or last[1] >> shift == int(b[0]) >> shift)
+            new[0] = not goes_on
+            at = np.maximum.accumulate(np.where(new, np.arange(len(new)), -1))
+            first_of.append(np.where(at >= 0, node[np.maximum(at, 0)], firsts[level] if firsts else 0))
+            starts.append(new)
+        a, depth = np.zeros(len(node), np.int64), np.zeros(len(node), np.int32)
+        for level in range(len(shifts)):  # the deepest prefix that the row does not open
+            inside = ~starts[level]
+            a[inside], depth[inside] = first_of[level][inside], FLOOR + level
+        linked = (depth > 0) & (a != node)
+        yield record_batch({"a": pa.array(a[linked], pa.int64()), "b": pa.array(node[linked], pa.int64()), "depth": pa.array(depth[linked], pa.int32())})
+        last, firsts = (prefix[-1], int(b[-1])), [f[-1] for f in first_of]
+
+
+def trie_links(classes: DataFrame) -> DataFrame:
+    """Stored (a, b, depth): links along the sorted tries, each pair with the longest prefix that links it."""
     rows = arrow_map(classes.select("values", "high"), _trie_rows, "tree int, front long, back long, node long")
-    tries = rows.select(F.xxhash64("tree", "front", F.shiftrightunsigned("back", 32)).alias("prefix"), "node", "back")
-    near = stored(arrow_map(tries.repartition("prefix").sortWithinPartitions("prefix"), _neighbours, _CANDIDATE), "trie-pairs")
-    crowd = near.where("prefix is not null").select("prefix", "node", "back")
-    sizes = crowd.groupBy("prefix").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    side = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    dealt = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("side", o).alias("i"), F.greatest("side", o).alias("j")))
-    blocks = crowd.join(sizes, "prefix").withColumn("side", side).select("prefix", "node", "back", "side", F.explode(dealt).alias("p")).select("prefix", "p.i", "p.j", "node", "back", "side")
-    more = blocks.groupBy("prefix", "i", "j").applyInPandas(_block_pairs, "a long, b long, depth int")
-    return stored(near.where("prefix is null").select("a", "b", "depth").unionByName(more).groupBy("a", "b").agg(F.max("depth").alias("depth")), "candidates")
-
-
-def _alike(least: float):
-    def run(batches):
-        for b in batches:
-            if not b.num_rows:
-                continue
-            u, v = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint16).reshape(b.num_rows, -1) for c in ("u", "v"))
-            keep = pa.array((u == v).mean(axis=1) >= least)
-            yield record_batch({"a": b.column("a").filter(keep), "b": b.column("b").filter(keep)})
-    return run
+    tries = rows.select(F.xxhash64("tree", "front", F.shiftrightunsigned("back", 32)).alias("prefix"), "node", F.col("back").bitwiseAND(F.lit(0xFFFFFFFF)).alias("back"))
+    linked = arrow_map(tries.repartition("prefix").sortWithinPartitions("prefix", "back", "node"), _trie_links, "a long, b long, depth int")
+    return stored(linked.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("depth").alias("depth")), "trie-links")
 
 
 def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
@@ -230,55 +160,148 @@ def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
     return [np.unique(hashes[a:b]) for a, b in zip(ends[:-1], ends[1:])]
 
 
-def _verify(least: float):
-    """Rows sorted by a, a's own text first -> links with their exact similarity."""
+def _shared(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections, by products of parts of the incidence matrix; shingles of one set alone are left out."""
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, place, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    keep = often[place] > 1
+    column = (np.cumsum(often > 1) - 1)[place[keep]]
+    owner = owner[keep]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    for a in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+        i, j = np.searchsorted(column, [a, a + 4096])
+        part = np.zeros((len(sets), 4096), np.float32)
+        part[owner[i:j], column[i:j] - a] = 1
+        out += part @ part.T
+    return out
+
+
+def near_pairs(values: np.ndarray, sets: list[np.ndarray], sides: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, similarity) of all pairs of rows that are near; with two sides, pairs across them."""
+    n = len(sets)
+    if sides[0] != sides[-1]:
+        cut = int(np.searchsorted(sides, sides[-1]))
+        likely = [(i, cut + np.flatnonzero((values[cut:] == values[i]).mean(axis=1) >= similarity - SLACK)) for i in range(cut)]
+    else:
+        likely = [(i, i + 1 + np.flatnonzero((values[i + 1:] == values[i]).mean(axis=1) >= similarity - SLACK)) for i in range(n - 1)]
+    i = np.concatenate([np.full(len(js), k) for k, js in likely]) if likely else np.zeros(0, np.int64)
+    j = np.concatenate([js for _, js in likely]) if likely else np.zeros(0, np.int64)
+    if not len(i):
+        return i, j, np.zeros(0)
+    size = np.array([len(s) for s in sets])
+    if len(i) > 8 * n:
+        used = np.unique(np.concatenate([i, j]))
+        both = _shared([sets[k] for k in used])[np.searchsorted(used, i), np.searchsorted(used, j)]
+    else:
+        both = np.array([len(np.intersect1d(sets[a], sets[b], assume_unique=True)) for a, b in zip(i, j)], np.float64)
+    s = both / (size[i] + size[j] - both)
+    near = s >= similarity - 1e-9
+    return i[near], j[near], s[near]
+
+
+_FOUND = "root long, size long, kind int, a long, b long, n long"
+DEGREE, LINK, LEVEL = 0, 1, 2
+
+
+def _report(root: int, size: int, nodes: np.ndarray, i: np.ndarray, j: np.ndarray, s: np.ndarray):
+    """Rows of a verified block: links per class, a spanning forest, and how many links have which similarity (in thousandths)."""
+    parent = list(range(len(nodes)))
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    forest, left = [], len(nodes) - 1
+    for x, y in zip(i.tolist(), j.tolist()):
+        u, v = find(x), find(y)
+        if u != v:
+            parent[u] = v
+            forest.append((x, y))
+            left -= 1
+            if not left:
+                break
+    degree = np.bincount(i, minlength=len(nodes)) + np.bincount(j, minlength=len(nodes))
+    with_links = np.flatnonzero(degree)
+    levels, counts = np.unique(np.round(s * 1000).astype(np.int64), return_counts=True)
+    a = np.concatenate([nodes[with_links], nodes[[x for x, _ in forest]], levels]).astype(np.int64)
+    b = np.concatenate([np.zeros(len(with_links), np.int64), nodes[[y for _, y in forest]], np.zeros(len(levels), np.int64)])
+    kind = np.repeat([DEGREE, LINK, LEVEL], [len(with_links), len(forest), len(levels)])
+    n = np.concatenate([degree[with_links], np.ones(len(forest), np.int64), counts])
+    return {"root": np.full(len(a), root), "size": np.full(len(a), size), "kind": kind, "a": a, "b": b, "n": n}
+
+
+def _verify(similarity: float):
+    """Rows sorted by (root, i, j, side) -> reports of the families' blocks; one block pair is held at a time."""
     def run(batches):
-        node, own = None, None
-        for s in slices(batches, limit=4 << 20):
-            sets = shingle_sets(s.column("text").cast(pa.large_string()))
-            a, b, first = (s.column(c).to_pylist() for c in ("a", "b", "other"))
-            out = []
-            for x, y, other, t in zip(a, b, first, sets):
-                if not other:
-                    node, own = x, t
-                    continue
-                assert node == x
-                both = len(np.intersect1d(own, t, assume_unique=True))
-                j = both / (len(own) + len(t) - both)
-                if j >= least:
-                    out.append((x, y, j))
-            yield record_batch({"a": pa.array([r[0] for r in out], pa.int64()), "b": pa.array([r[1] for r in out], pa.int64()), "similarity": pa.array([r[2] for r in out], pa.float64())})
+        held: list[tuple] = []
+        key, out, rows = None, [], 0
+
+        def close():
+            values = np.stack([h[2] for h in held])
+            i, j, s = near_pairs(values, [h[3] for h in held], np.array([h[1] for h in held]), similarity)
+            return _report(key[0], key[3], np.array([h[0] for h in held], np.int64), i, j, s) if len(i) else None
+
+        def flush():
+            return record_batch({c: pa.array(np.concatenate([r[c] for r in out]), pa.int32() if c == "kind" else pa.int64()) for c in out[0]})
+
+        for b in slices(batches, limit=4 << 20):
+            sets = shingle_sets(b.column("text").cast(pa.large_string()))
+            columns = [b.column(c).to_pylist() for c in ("root", "i", "j", "size", "side", "node", "values")]
+            for root, i, j, size, side, node, values, own in zip(*columns, sets):
+                if key != (root, i, j, size):
+                    if len(held) > 1 and (r := close()):
+                        out.append(r)
+                        rows += len(r["a"])
+                    held, key = [], (root, i, j, size)
+                    if rows > 50_000:
+                        yield flush()
+                        out, rows = [], 0
+                held.append((node, side, np.frombuffer(values, np.uint16), own))
+        if len(held) > 1 and (r := close()):
+            out.append(r)
+        if out:
+            yield flush()
     return run
 
 
-def _found(links: DataFrame, depth: int) -> float:
+def _expected_share(found: DataFrame, depth: int) -> float:
     """Estimated share of all links that prefixes of ``depth`` values show: links found over links expected."""
-    seen = links.groupBy(F.round("similarity", 3).alias("s")).agg(F.count(F.lit(1)).alias("n")).collect()  # at most 201 rows
-    chance = {r["s"]: 1 - (1 - r["s"] ** depth) ** TREES for r in seen}
+    seen = found.where(F.col("kind") == LEVEL).groupBy("a").agg(F.sum("n").alias("n")).collect()  # at most 201 similarities
     total = sum(r["n"] for r in seen)
-    return total / sum(r["n"] / chance[r["s"]] for r in seen) if total else 0.0
+    return total / sum(r["n"] / (1 - (1 - (r["a"] / 1000) ** depth) ** TREES) for r in seen) if total else 0.0
 
 
 def links(docs: DataFrame, classes: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
-    """(a, b, similarity): pairs of classes, named by ``high``, a < b."""
-    pairs = candidates(classes.where("not (high = 0 and low = 0)"))
-    values = classes.select("high", "values")
-    near = (pairs.join(values.toDF("a", "u"), "a").join(values.toDF("b", "v"), "b"))
+    """Verified links between classes, named by ``high``: (root, size, kind, a, b, n); see ``_report``."""
+    tries = trie_links(classes.where("not (high = 0 and low = 0)"))
+    # texts of all classes that any prefix links, fetched once
+    wanted = tries.select(F.explode(F.array("a", "b")).alias("high")).distinct().join(classes.select("high", "first", "values"), "high")
+    wanted = wanted.select("high", "values", F.col("first.doc_id").alias("own_id"), F.col("first.version").alias("own_version"))
+    same = docs["doc_id"].eqNullSafe(wanted["own_id"]) & (docs["version"] == wanted["own_version"])
+    texts = stored(docs.join(wanted, same).select(F.col("high").alias("node"), "values", "text").dropDuplicates(["node"]), "family-texts")
+    found: DataFrame | None = None
     done: DataFrame | None = None
     for depth in range(DEPTH, FLOOR - 1, -1):
-        now = near.where(F.col("depth") == depth).select("a", "b", "u", "v")
-        alike = stored(arrow_map(now, _alike(similarity - SLACK), "a long, b long"), "alike")
-        wanted = alike.select(F.explode(F.array("a", "b")).alias("high")).distinct().join(classes.select("high", "first"), "high").select("high", "first.doc_id", "first.version")
-        same = docs["doc_id"].eqNullSafe(wanted["doc_id"]) & (docs["version"] == wanted["version"])
-        texts = stored(wanted.join(docs, same).select("high", "text").dropDuplicates(["high"]), "alike-texts")
-        others = alike.join(texts.withColumnRenamed("high", "b"), "b").select("a", "b", F.lit(True).alias("other"), "text")
-        own = alike.select("a").distinct().join(texts.withColumnRenamed("high", "a"), "a").select("a", F.col("a").alias("b"), F.lit(False).alias("other"), "text")
-        rows = own.unionByName(others).repartition("a").sortWithinPartitions("a", "other")
-        found = stored(arrow_map(rows, _verify(similarity), "a long, b long, similarity double"), "links")
-        done = found if done is None else done.unionByName(found)
-        if _found(done, depth) >= recall:
+        families = components(tries.where(F.col("depth") >= depth).select("a", "b"), "families")
+        sizes = stored(families.groupBy("root").agg(F.count(F.lit(1)).alias("size")), "family-sizes")
+        grown = sizes if done is None else sizes.join(done, ["root", "size"], "left_anti")
+        blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+        side = F.pmod(F.xxhash64("node"), blocks).cast("int")
+        pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: F.struct(F.least("side", o).alias("i"), F.greatest("side", o).alias("j")))
+        dealt = families.join(grown, "root").withColumn("side", side).select("root", "size", "node", "side", F.explode(pairs).alias("p"))
+        rows = dealt.join(texts, "node").select("root", "size", "p.i", "p.j", "side", "node", "values", "text")
+        sorted_rows = rows.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "side")
+        now = stored(arrow_map(sorted_rows, _verify(similarity), _FOUND), "verified")
+        # what a grown family's parts had shown is shown again by the whole
+        found = now if found is None else found.join(sizes, ["root", "size"], "left_semi").unionByName(now)
+        done = sizes
+        if _expected_share(found, depth) >= recall:
             break
-    return done
+    return found
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
@@ -296,8 +319,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     classes = described.groupBy("high", "low").agg(F.min(place).alias("p"), F.count(F.lit(1)).alias("n_copies"))
     classes = stored(classes.select("high", "low", F.struct("p.last", "p.doc_id", "p.version").alias("first"), "p.values", "n_copies"), "classes")
     found = links(docs, classes, similarity, recall)
-    degree = found.select(F.explode(F.array("a", "b")).alias("high")).groupBy("high").agg(F.count(F.lit(1)).alias("n_links"))
-    linked = components(found.select("a", "b")).withColumnRenamed("node", "high")
+    degree = found.where(F.col("kind") == DEGREE).groupBy(F.col("a").alias("high")).agg(F.sum("n").alias("n_links"))
+    linked = components(found.where(F.col("kind") == LINK).select("a", "b")).withColumnRenamed("node", "high")
     about = classes.select("high", "low", "first", "n_copies").join(degree, "high", "left").join(linked, "high", "left")
     heads = about.where("root is not null").groupBy("root").agg(F.min("first").alias("head"))
     about = about.join(heads, "root", "left").select("high", "low", "first", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("head", "first").alias("head"))
@@ -309,8 +332,11 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", simi
     """``df`` with one document of each near-duplicate group: the one of the least id (null ids last), all columns."""
     names = df.columns
     near = near_duplicates(df, id_col, text_col, similarity)
-    heads = near.select(F.col("first.doc_id").alias("d"), F.col("first.version").alias("w")).distinct()
+    stands = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("version") == F.col("first.version"))
+    heads = stored(near.where(stands).groupBy(F.col("doc_id").alias("d"), F.col("version").alias("w")).agg(F.count(F.lit(1)).alias("n")), "group-heads")
     base = df.toDF(*[f"c{i}" for i in range(len(names))])
-    doc, text = F.col(f"c{names.index(id_col)}"), F.coalesce(F.col(f"c{names.index(text_col)}"), F.lit(""))
-    kept = base.withColumn("v", F.xxhash64(text)).join(heads, doc.eqNullSafe(F.col("d")) & (F.col("v") == F.col("w")), "left_semi")
-    return kept.dropDuplicates([f"c{names.index(id_col)}", "v"]).drop("v").toDF(*names)
+    key, text = f"c{names.index(id_col)}", F.coalesce(F.col(f"c{names.index(text_col)}"), F.lit(""))
+    kept = base.withColumn("v", F.xxhash64(text)).join(heads, F.col(key).eqNullSafe(F.col("d")) & (F.col("v") == F.col("w")), "left_semi")
+    if heads.where("n > 1").limit(1).count():  # a document that stands for its group occurs as several equal rows
+        kept = kept.dropDuplicates([key, "v"])
+    return kept.drop("v").toDF(*names)
