@@ -79,21 +79,12 @@ def test_near_duplicates_of_families(spark):
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == sorted(want)
 
 
-def test_near_duplicates_in_crowded_prefixes(spark, monkeypatch):
+def test_families_dealt_in_blocks(spark, monkeypatch):
+    """Large families are verified block by block; the dealing is decided on the driver."""
     monkeypatch.setattr(jaccard, "BLOCK", 8)
-    rows = list(enumerate(family(4, 50, 200, 2)))
-    near = spark.createDataFrame(rows, "doc_id int, text string").repartition(4)
-    classes = jaccard.stored(jaccard.arrow_map(jaccard.documents(near), jaccard._describe, "doc_id int, version long, high long, low long, values binary"), "t")
-    assert sorted((r.a, r.b) for r in jaccard.candidates(classes).collect()) == sorted(set((r.a, r.b) for r in jaccard.candidates(classes).collect()))
-    monkeypatch.setattr(jaccard, "BLOCK", 1024)
-    whole = {(r.a, r.b): r.depth for r in jaccard.candidates(classes).collect()}
-    monkeypatch.setattr(jaccard, "BLOCK", 8)
-    # block sizes reach driver-side plans only; workers read the module's own: the dealing itself is tested here
-    import pandas as pd
-    frame = pd.DataFrame({"node": np.arange(6), "back": np.zeros(6, np.int64), "side": [0, 0, 0, 1, 1, 1]})
-    pairs = jaccard._block_pairs((0, 0, 1), frame)
-    assert len(pairs) == 9 and set(pairs["depth"]) == {jaccard.DEPTH} and len(jaccard._block_pairs((0, 0, 0), frame.assign(side=0))) == 15
-    assert whole
+    rows = list(enumerate([*family(4, 60, 200, 2), *family(9, 5, 80, 1)]))
+    df = spark.createDataFrame(rows, "doc_id int, text string").repartition(4)
+    assert near_rows(jaccard.near_duplicates(df)) == brute_near(rows)
 
 
 def test_repeated_rows_and_null_ids(spark):
@@ -104,21 +95,27 @@ def test_repeated_rows_and_null_ids(spark):
     assert jaccard.near_duplicates(df.limit(0)).count() == 0 and jaccard.keep_one(df.limit(0)).count() == 0
 
 
-def test_neighbours_over_batch_borders():
-    """Prefixes cut by batches, one beyond BLOCK: every pair once, or the crowd's rows once."""
-    sizes = [1, 3, 2 * jaccard.BLOCK + 10, 2, 5]
-    prefix = np.repeat(np.arange(len(sizes), dtype=np.int64), sizes)
-    node = np.arange(len(prefix), dtype=np.int64)
-    for step in (1, 700, 5000):
-        cut = [pa.RecordBatch.from_arrays([pa.array(prefix[i:i + step]), pa.array(node[i:i + step]), pa.array(node[i:i + step] * 0)], ["prefix", "node", "back"]) for i in range(0, len(prefix), step)]
-        if step == 1:
-            cut = cut[:200]
-        out = [r for b in jaccard._neighbours(iter(cut)) for r in b.to_pylist()]
-        pairs = {(r["a"], r["b"]) for r in out if r["prefix"] is None}
-        crowd = [r["node"] for r in out if r["prefix"] is not None]
-        if step > 1:
-            want = {(a, b) for g in range(len(sizes)) if sizes[g] <= jaccard.BLOCK for a, b in itertools.combinations(node[prefix == g].tolist(), 2)}
-            assert pairs == want and sorted(crowd) == node[prefix == 2].tolist()
+def test_trie_links_over_batch_borders():
+    """However the sorted rows are cut: each row is linked to the first of its deepest shared prefix."""
+    rng = np.random.default_rng(0)
+    rows = sorted({(int(p), int(b), int(n)) for p, b, n in zip(rng.integers(0, 40, 3000), rng.integers(0, 3, 3000) << 16 | rng.integers(0, 3, 3000), rng.integers(0, 10**9, 3000))})
+    want, first = [], {}
+    for p, b, n in rows:
+        keys = [(p,), (p, b >> 16), (p, b >> 16, b)]
+        shared = [d for d, k in enumerate(keys) if k in first]
+        if shared:
+            want.append((first[keys[shared[-1]]], n, jaccard.FLOOR + shared[-1]))
+        for k in keys:
+            first.setdefault(k, n)
+    for step in (1, 7, 500, 5000):
+        cut = [pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows[i:i + step]], pa.int64()) for k in (0, 2, 1)], ["prefix", "node", "back"]) for i in range(0, len(rows), step)]
+        assert [(r["a"], r["b"], r["depth"]) for b in jaccard._trie_links(iter(cut)) for r in b.to_pylist()] == want
+
+
+def test_products_count_shared_shingles():
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 3000, 400).astype(np.uint64)) for _ in range(30)]
+    assert (jaccard._shared(sets) == [[len(np.intersect1d(a, b)) if len(np.intersect1d(a, b)) else 0 for b in sets] for a in sets])[np.triu_indices(30, 1)].all()
 
 
 def brute_lines(rows):
@@ -133,7 +130,7 @@ def brute_lines(rows):
     groups = Groups()
     for i in range(len(keys)):
         for j in np.flatnonzero(np.bitwise_count(sims[:i] ^ sims[i]) <= lines.RADIUS).tolist():
-            if lines.edit_similarity(keys[i], keys[j], lines.SIMILARITY):
+            if lines.edit_similarity(keys[i].split(), keys[j].split(), lines.SIMILARITY):
                 groups.join(i, j)
     first = {}
     for i, k in enumerate(keys):
