@@ -30,6 +30,7 @@ from .common import arrow_map, codes_of, gathered, large, list_lengths, one_arra
 
 SAMPLE = 20_000
 THRESHOLD = 0.3
+SLICE = 8 << 20  # text bytes featurised at once: running sums take a few 8-byte numbers per byte
 
 FEATURES = ["log_chars", "log_words", "word_length", "upper", "digit", "space", "symbol", "non_ascii", "distinct_words", "top_word",
             "short_words", "long_words", "repeated_lines", "line_length", "ended_lines", "symbol_words", "same_next_word", "capital_words", "bars", "exclaims"]
@@ -106,7 +107,7 @@ def text_features(texts: pa.Array) -> np.ndarray:
 
 
 def _features(batches):
-    for t in gathered(batches):
+    for t in gathered(batches, limit=SLICE):
         x = text_features(large(t.column("text"))).astype(np.float32)
         yield record_batch({"label": one_array(t.column("label")), "x": pa.ListArray.from_arrays(
             pa.array(np.arange(len(x) + 1, dtype=np.int32) * len(FEATURES)), pa.array(x.ravel()))})
@@ -247,7 +248,7 @@ def classify(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     model = train(docs, labels)
 
     def run(batches):
-        for t in gathered(batches):
+        for t in gathered(batches, limit=SLICE):
             yield record_batch({"doc_id": one_array(t.column("doc_id")), "score": pa.array(_scores(model, large(t.column("text"))), pa.float64())})
     scored = arrow_map(docs, run, f"doc_id {kind}, score double")
     return scored.select("doc_id", is_held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
@@ -260,6 +261,6 @@ def keep_good(df: DataFrame, labels: DataFrame, text_col: str = "text", threshol
     schema = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(df.schema))
 
     def run(batches):
-        for b in slices(batches, f"c{spot}"):
+        for b in slices(batches, f"c{spot}", SLICE):
             yield b.filter(pa.array(_scores(model, pc.fill_null(b.column(spot).cast(pa.large_string()), "")) >= threshold))
     return arrow_map(df.toDF(*[f"c{i}" for i in range(len(names))]), run, schema).toDF(*names)
