@@ -182,7 +182,7 @@ def fit(x: np.ndarray, y: np.ndarray, bins: int = 32, rounds: int = 150, rate: f
     model = Additive()
     share = float(y.mean()) if len(y) else 0.5
     model.base = float(np.log(max(share, 1e-6) / max(1 - share, 1e-6)))
-    if not 0 < share < 1:
+    if not len(y) or not 0 < share < 1:
         return model
     x = np.nan_to_num(x)
     model.edges = [np.unique(np.quantile(x[:, f], np.arange(1, bins) / bins)) for f in range(x.shape[1])]
