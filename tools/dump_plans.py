@@ -55,7 +55,7 @@ def main() -> None:
         ("features: tokenize + hash + sparse counts (narrow map; the Exchange is balance() spreading the one-row-group test file, absent on split inputs)", ngram_features(docs)),
         ("fit: raw and target bucket counts in one scan", NG.fit_subset_targets(feats, {"target": tid},
                                                                                 num_tokens_to_fit="all").table),
-        ("score: explode x broadcast bucket table -> per-document sum", NG.log_weights(feats, model)),
+        ("score: shipped bucket vector, one gather per document, no exchange", NG.log_weights(feats, model)),
         ("select: Gumbel top-k over stored weights", SEL.gumbel_top_k(weights, 333, seed=1)),
         ("fetch: chosen rows by semi join", SEL.semi_join(docs, SEL.gumbel_top_k(weights, 333, seed=1))),
         ("quality: chunk + stats + mask", QU.apply_quality_mask(QU.quality_stats(QU.chunk_documents(docs), "contents"))),
