@@ -160,6 +160,59 @@ def test_line_dedup_cases(spark):
     assert sorted((r.doc_id or -1, r.text) for r in lines.dedup_lines(twice).collect()) == [(-1, ""), (-1, "other"), (1, "a b c\nd"), (1, "a b c\nd")]
 
 
+def edited_lines(seed, lengths, common=40):
+    """Lines and copies with up to a fifth of the words replaced, left out, put in or doubled."""
+    rng = np.random.default_rng(seed)
+    out = []
+    for n in lengths:
+        base = [f"c{x}" if x < common else f"r{rng.integers(0, 3000)}" for x in rng.integers(0, 2 * common, n)]
+        out.append(base)
+        for share in (0.1, 0.2, 0.2, 0.2, 0.25):
+            own = list(base)
+            for _ in range(int(share * n)):
+                i, kind = int(rng.integers(0, len(own))), rng.integers(0, 4)
+                own[i:i + (kind != 2)] = [[f"e{rng.integers(0, 10**9)}"], [], [f"c{rng.integers(0, common)}"], [own[i], own[i]]][kind]
+            out.append(own)
+    return [" ".join(x) for x in out]
+
+
+def near_line_pairs(keys):
+    """All pairs of normalised lines at the edit similarity, found without keys, hashes or a radius."""
+    words = [k.split() for k in keys]
+    return [(i, j) for i in range(len(keys)) for j in range(i) if lines.edit_similarity(words[i], words[j], lines.SIMILARITY)]
+
+
+def test_every_line_pair_at_the_similarity_is_found(spark):
+    rows = list(enumerate(edited_lines(11, [4, 5, 6, 9, 10, 14, 19, 27, 27, 40, 41, 50, 64, 90, 91, 113, 160, 300] * 2)))
+    keys = sorted({t for _, t in rows})
+    groups = Groups()
+    for i, j in near_line_pairs(keys):
+        groups.join(i, j)
+    df = spark.createDataFrame(rows, "doc_id int, text string").repartition(4)
+    heads = {}
+    for k, t in rows:
+        heads.setdefault(groups.find(keys.index(t)), k)
+    assert {r.doc_id for r in lines.dedup_lines(df).collect() if r.text} == set(heads.values())
+
+
+def test_line_keys_and_filters_lose_no_pair():
+    """Under any table of word frequencies."""
+    keys = sorted(set(edited_lines(12, [4, 5, 8, 12, 20, 27, 39, 45, 60, 88, 95, 140, 260] * 4, 15)))
+    per, h = lines.word_hashes(pa.array(keys, pa.large_string()))
+    marks, near = lines.parities(per, h), near_line_pairs(keys)
+    assert len(near) > 200
+    i, j = np.array(near).T
+    assert lines._alike(per, marks, i, j, lines.SIMILARITY).all() and lines._alike(per, marks, i[:, None], j[None, :], lines.SIMILARITY).mean() < 0.5
+    for levels in (np.zeros(1 << lines.FREQ_BITS, np.uint8), np.random.default_rng(3).integers(0, 64, 1 << lines.FREQ_BITS).astype(np.uint8)):
+        line, key = lines.line_keys(per, h, levels, lines.SIMILARITY)
+        own = [set(key[line == x].tolist()) for x in range(len(keys))]
+        assert all(own[a] & own[b] for a, b in near)
+        order = np.argsort(key, kind="stable")
+        hit = lines._meets_here(key[order], per[line[order]], marks[line[order]], lines.SIMILARITY)
+        met = set(zip(key[order][hit].tolist(), line[order][hit].tolist()))
+        assert all((k, a) in met and (k, b) in met for a, b in near for k in own[a] & own[b])
+
+
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
