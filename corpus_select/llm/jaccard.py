@@ -6,12 +6,11 @@
    ``DEPTH`` values, kept as rows sorted by tree and values. Along the sorted rows, each class is
    linked to the first one of the deepest prefix it shares: a prefix of n classes
    gives n - 1 links, never its pairs.
-3. From the longest prefixes on, classes joined by links are a family, and all pairs
-   inside a family are verified. The share of links found is estimated from their
-   similarities (a pair of similarity s shares a prefix of length d in some tree with
-   probability 1 - (1 - s^d)^TREES); the prefix is shortened until the estimate
-   reaches ``RECALL``, at most to ``FLOOR``, where even pairs at the threshold share one
-   with 0.9993. Only families that grew are verified again.
+3. A pair of similarity s shares a prefix of length d in some tree with probability
+   1 - (1 - s^d)^TREES. The prefix is the longest that shows a pair at the threshold with ``RECALL``,
+   at least ``FLOOR``, where it does with 0.9993. So what a pair gets depends on no other
+   family. Classes joined by links of that prefix are a family, and all pairs inside it are
+   verified.
 4. In a family, pairs first compare their MinHash values (a pair at the threshold fails
    that by chance once in tens of thousands), then their whole shingle sets. Families
    beyond ``BLOCK`` classes are dealt as pairs of blocks. A task gives each class's number
@@ -202,11 +201,11 @@ def near_pairs(values: np.ndarray, sets: list[np.ndarray], sides: np.ndarray, si
 
 
 _FOUND = "root long, size long, kind int, a long, b long, n long"
-DEGREE, LINK, LEVEL = 0, 1, 2
+DEGREE, LINK = 0, 1
 
 
-def _report(root: int, size: int, nodes: np.ndarray, i: np.ndarray, j: np.ndarray, s: np.ndarray):
-    """Rows of a verified block: links per class, a spanning forest, and how many links have which similarity (in thousandths)."""
+def _report(root: int, size: int, nodes: np.ndarray, i: np.ndarray, j: np.ndarray):
+    """Rows of a verified block: links per class and a spanning forest."""
     parent = list(range(len(nodes)))
 
     def find(x: int) -> int:
@@ -226,11 +225,10 @@ def _report(root: int, size: int, nodes: np.ndarray, i: np.ndarray, j: np.ndarra
                 break
     degree = np.bincount(i, minlength=len(nodes)) + np.bincount(j, minlength=len(nodes))
     with_links = np.flatnonzero(degree)
-    levels, counts = np.unique(np.round(s * 1000).astype(np.int64), return_counts=True)
-    a = np.concatenate([nodes[with_links], nodes[[x for x, _ in forest]], levels]).astype(np.int64)
-    b = np.concatenate([np.zeros(len(with_links), np.int64), nodes[[y for _, y in forest]], np.zeros(len(levels), np.int64)])
-    kind = np.repeat([DEGREE, LINK, LEVEL], [len(with_links), len(forest), len(levels)])
-    n = np.concatenate([degree[with_links], np.ones(len(forest), np.int64), counts])
+    a = np.concatenate([nodes[with_links], nodes[[x for x, _ in forest]]]).astype(np.int64)
+    b = np.concatenate([np.zeros(len(with_links), np.int64), nodes[[y for _, y in forest]]])
+    kind = np.repeat([DEGREE, LINK], [len(with_links), len(forest)])
+    n = np.concatenate([degree[with_links], np.ones(len(forest), np.int64)])
     return {"root": np.full(len(a), root), "size": np.full(len(a), size), "kind": kind, "a": a, "b": b, "n": n}
 
 
@@ -242,8 +240,8 @@ def _verify(similarity: float):
 
         def close():
             values = np.stack([h[2] for h in held])
-            i, j, s = near_pairs(values, [h[3] for h in held], np.array([h[1] for h in held]), similarity)
-            return _report(key[0], key[3], np.array([h[0] for h in held], np.int64), i, j, s) if len(i) else None
+            i, j, _ = near_pairs(values, [h[3] for h in held], np.array([h[1] for h in held]), similarity)
+            return _report(key[0], key[3], np.array([h[0] for h in held], np.int64), i, j) if len(i) else None
 
         def flush():
             return record_batch({c: pa.array(np.concatenate([r[c] for r in out]), pa.int32() if c == "kind" else pa.int64()) for c in out[0]})
@@ -268,40 +266,28 @@ def _verify(similarity: float):
     return run
 
 
-def _expected_share(found: DataFrame, depth: int) -> float:
-    """Estimated share of all links that prefixes of ``depth`` values show: links found over links expected."""
-    seen = found.where(F.col("kind") == LEVEL).groupBy("a").agg(F.sum("n").alias("n")).collect()  # at most 201 similarities
-    total = sum(r["n"] for r in seen)
-    return total / sum(r["n"] / (1 - (1 - (r["a"] / 1000) ** depth) ** TREES) for r in seen) if total else 0.0
+def prefix_length(similarity: float, recall: float) -> int:
+    """The longest prefix that shows a pair at the threshold with probability ``recall``, at least FLOOR."""
+    return next((d for d in range(DEPTH, FLOOR, -1) if 1 - (1 - similarity ** d) ** TREES >= recall), FLOOR)
 
 
 def links(docs: DataFrame, classes: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
     """Verified links between classes, named by ``high``: (root, size, kind, a, b, n); see ``_report``."""
-    tries = trie_links(classes.where("not (high = 0 and low = 0)"))
-    # texts of all classes that any prefix links, fetched once
+    tries = trie_links(classes.where("not (high = 0 and low = 0)")).where(F.col("depth") >= prefix_length(similarity, recall))
+    # texts of all classes that a prefix links, fetched once
     wanted = tries.select(F.explode(F.array("a", "b")).alias("high")).distinct().join(classes.select("high", "first", "values"), "high")
     wanted = wanted.select("high", "values", F.col("first.doc_id").alias("own_id"), F.col("first.version").alias("own_version"))
     same = docs["doc_id"].eqNullSafe(wanted["own_id"]) & (docs["version"] == wanted["own_version"])
     texts = stored(docs.join(wanted, same).select(F.col("high").alias("node"), "values", "text").dropDuplicates(["node"]), "family-texts")
-    found: DataFrame | None = None
-    done: DataFrame | None = None
-    for depth in range(DEPTH, FLOOR - 1, -1):
-        families = components(tries.where(F.col("depth") >= depth).select("a", "b"), "families")
-        sizes = stored(families.groupBy("root").agg(F.count(F.lit(1)).alias("size")), "family-sizes")
-        grown = sizes if done is None else sizes.join(done, ["root", "size"], "left_anti")
-        blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-        side = F.pmod(F.xxhash64("node"), blocks).cast("int")
-        pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: F.struct(F.least("side", o).alias("i"), F.greatest("side", o).alias("j")))
-        dealt = families.join(grown, "root").withColumn("side", side).select("root", "size", "node", "side", F.explode(pairs).alias("p"))
-        rows = dealt.join(texts, "node").select("root", "size", "p.i", "p.j", "side", "node", "values", "text")
-        sorted_rows = rows.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "side")
-        now = stored(arrow_map(sorted_rows, _verify(similarity), _FOUND), "verified")
-        # what a grown family's parts had shown is shown again by the whole
-        found = now if found is None else found.join(sizes, ["root", "size"], "left_semi").unionByName(now)
-        done = sizes
-        if _expected_share(found, depth) >= recall:
-            break
-    return found
+    families = components(tries.select("a", "b"), "families")
+    sizes = stored(families.groupBy("root").agg(F.count(F.lit(1)).alias("size")), "family-sizes")
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    side = F.pmod(F.xxhash64("node"), blocks).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: F.struct(F.least("side", o).alias("i"), F.greatest("side", o).alias("j")))
+    dealt = families.join(sizes, "root").withColumn("side", side).select("root", "size", "node", "side", F.explode(pairs).alias("p"))
+    rows = dealt.join(texts, "node").select("root", "size", "p.i", "p.j", "side", "node", "values", "text")
+    sorted_rows = rows.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "side")
+    return stored(arrow_map(sorted_rows, _verify(similarity), _FOUND), "verified")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:

@@ -87,6 +87,25 @@ def test_families_dealt_in_blocks(spark, monkeypatch):
     assert near_rows(jaccard.near_duplicates(df)) == brute_near(rows)
 
 
+def threshold_pairs(seed, n, words=121, run=9):
+    """Pairs that share 104 of 130 shingles, which is the threshold exactly."""
+    rng = np.random.default_rng(seed)
+    out = []
+    for _ in range(n):
+        base = [f"w{x}" for x in rng.integers(0, 10**9, words)]
+        own = base[:50] + [f"e{x}" for x in rng.integers(0, 10**9, run)] + base[50 + run:]
+        out += [" ".join(base), " ".join(own)]
+    return out
+
+
+def test_threshold_pairs_beside_a_large_family(spark):
+    """The many links of one family do not end the search for the others' links."""
+    texts = threshold_pairs(20, 400)
+    rows = list(enumerate([*texts, *family(21, 200, 200, 1)]))
+    got = near_rows(jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id int, text string").repartition(6)))
+    assert {k: got[k] for k in range(len(texts))} == {k: (k, 1, 1, k - k % 2) for k in range(len(texts))}
+
+
 def test_repeated_rows_and_null_ids(spark):
     df = spark.createDataFrame([(None, "a b c d e f"), (None, "a b c d e f"), (4, "a b c d e f"), (4, "a b c d e f"), (4, "other")], "doc_id int, text string")
     got = sorted((r.doc_id or 0, r.class_id, r.n_copies, r.group_id) for r in jaccard.near_duplicates(df).collect())
