@@ -16,6 +16,9 @@ empty result; other columns are not read.
 
 from __future__ import annotations
 
+import pkgutil
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,7 +47,7 @@ _BSD = ("Redistribution and use in source and binary forms, with or without modi
         "COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE "
         "GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING "
         "NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.")
-# Texts of public licences, without titles and copyright lines.
+# Texts of public licences, without titles and copyright lines; see TITLES and ENTIRE for the rest.
 LICENSE_TEXTS = [
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without "
             "restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the "
@@ -66,6 +69,19 @@ LICENSE_TEXTS = [
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
     ("all-rights-reserved", "All rights reserved."),
 ]
+# Usual titles of the short licences; "All rights reserved." may stand on a line of its own below them.
+TITLES = {
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)", "Expat License", "License", "MIT"],
+    "ISC": ["ISC License", "The ISC License", "ISC License (ISC)", "The ISC License (ISC)", "License", "ISC"],
+    "0BSD": ["BSD Zero Clause License", "Zero-Clause BSD", "Zero-Clause BSD License", "BSD 0-Clause License", "0BSD", "License"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "The BSD 2-Clause License", "2-Clause BSD License", "The 2-Clause BSD License", 'BSD 2-Clause "Simplified" License', "Simplified BSD License", "FreeBSD License",
+                     "BSD License", "The BSD License", "License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "The BSD 3-Clause License", "3-Clause BSD License", "The 3-Clause BSD License", 'BSD 3-Clause "New" or "Revised" License', "New BSD License",
+                     "Modified BSD License", "Revised BSD License", "BSD License", "The BSD License", "License"],
+    "Zlib": ["zlib License", "The zlib License", "zlib/libpng License", "The zlib/libpng License", "License", "zlib"],
+}
+# Entire texts in license_texts/, as their publishers give them with title and appendix.
+ENTIRE = ["Apache-2.0", "CC0-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0"]
 # Names that notices use; the notices themselves follow from the templates.
 NAMES = {
     "Apache-2.0": ["Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 License"], "MIT": ["MIT License", "MIT"], "ISC": ["ISC License"],
@@ -82,9 +98,19 @@ COPYRIGHT = r"^[ \t*#/;-]*(copyright|©|\(c\)|all contents copyright)"
 OTHER = r"[^\p{L}\p{N}]+"
 
 
+def entire_texts() -> list[tuple[str, str]]:
+    """(licence, text) of the short licences with each title, reservation line and mark of list items, and of the long ones."""
+    bodies = dict(LICENSE_TEXTS)
+    short = []
+    for lic, titles in TITLES.items():
+        for body in {bodies[lic]: None, re.sub(r"\n\d\. ", "\n* ", bodies[lic]): None}:
+            short += [(lic, "".join(f"{x}\n" for x in (title, reserved) if x) + body) for title in ["", *titles] for reserved in ("", "All rights reserved.")]
+    return short + [(lic, pkgutil.get_data(__package__, f"license_texts/{lic}.txt").decode()) for lic in ENTIRE]
+
+
 def notices() -> list[tuple[str, str]]:
-    """(licence, text) of the known texts and of every template with every name."""
-    return LICENSE_TEXTS + [(lic, t.format(n)) for lic, names in NAMES.items() for n in names for t in TEMPLATES]
+    """(licence, text) of the known texts, of entire texts with their titles and of every template with every name."""
+    return LICENSE_TEXTS + entire_texts() + [(lic, t.format(n)) for lic, names in NAMES.items() for n in names for t in TEMPLATES]
 
 
 def known_table(spark: SparkSession, rows: list[tuple[str, str]]) -> DataFrame:

@@ -137,6 +137,23 @@ def test_license_scan(spark):
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
 
 
+def test_entire_licenses_with_titles(spark):
+    """LICENSE files as they are published: title, copyright line, reservation, body; long ones whole."""
+    bodies = dict(licenses.LICENSE_TEXTS)
+    files = [("MIT", "MIT License\n\nCopyright (c) 2020 Me\n\n"), ("MIT", "The MIT License (MIT)\n=====\n\nCopyright (c) 2020 Me\nAll rights reserved.\n\n"), ("ISC", "ISC License\n\nCopyright 2020 Me\n\n"),
+             ("BSD-2-Clause", "BSD 2-Clause License\n\nCopyright (c) 2020, Me\nAll rights reserved.\n\n"), ("BSD-3-Clause", "Copyright (c) 2020, Me\nAll rights reserved.\n\n"), ("Zlib", "zlib License\n\n(C) 2020 Me\n\n")]
+    texts = [(lic, head + bodies[lic] + "\n") for lic, head in files]
+    texts += [("BSD-3-Clause", "BSD 3-Clause License\n\n" + re.sub(r"\n\d\. ", "\n* ", bodies["BSD-3-Clause"]))]
+    for lic, start, end in (("Apache-2.0", "Apache License", "limitations under the License."), ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE", "instead of this License."), ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE", "why-not-lgpl.html>."),
+                            ("LGPL-2.1", "GNU LESSER", "all there is to it!"), ("LGPL-3.0", "GNU LESSER", "Library."), ("MPL-2.0", "Mozilla Public License", "Mozilla Public License, v. 2.0."), ("CC0-1.0", "Creative Commons", "CC0 or use of the Work.")):
+        text = dict(licenses.entire_texts()[-len(licenses.ENTIRE):])[lic]
+        assert text.strip().startswith(start) and text.strip().endswith(end), lic
+        texts.append((lic, "\n\n" + text.replace("\n", "\n\n")))
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)] + [(99, "MIT License\n" + bodies["MIT"] + " more")], "doc_id int, text string")
+    got = {r.doc_id: r.text_license for r in licenses.scan(df).collect()}
+    assert got == {**{i: lic for i, (lic, _) in enumerate(texts)}, 99: None}
+
+
 def test_license_twin(spark):
     import duckdb
 
