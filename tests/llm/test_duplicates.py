@@ -232,6 +232,18 @@ def test_line_keys_and_filters_lose_no_pair():
         assert all((k, a) in met and (k, b) in met for a, b in near for k in own[a] & own[b])
 
 
+def test_a_key_cut_at_any_batch_border():
+    """All rows of a key beyond BLOCK go on, however many are held when a batch ends."""
+    n = 2 * lines.BLOCK + 1
+    size = np.full(n + 3, 5 << 10)
+    size[:n] += np.arange(n) * 4000  # no two lengths of the key are near
+    for cut in (n - 1, n, n + 1, lines.BLOCK + 1, lines.BLOCK):
+        columns = {"key": pa.array([7] * n + [8, 8, 9], pa.int32()), "high": pa.array(range(n + 3), pa.int64()), "words": pa.array(size, pa.int32()), "marks": pa.array([bytes([x % 251] * 32) for x in range(n + 3)], pa.binary())}
+        whole = pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+        out = [x for b in lines._crowded(lines.SIMILARITY)(iter([whole.slice(0, cut), whole.slice(cut)])) for x in b.column("high").to_pylist()]
+        assert set(range(n)) <= set(out), cut
+
+
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
