@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, extraction, fingerprints, jaccard, licenses, lines, multi_index, packing, quality, token_counts
+from . import bpe, extraction, fim, fingerprints, jaccard, licenses, lines, multi_index, packing, quality, simhash, token_counts
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +81,16 @@ def line_dedup(spark, sf_dir):
 @query("op10_inverted_multi_index")
 def inverted_multi_index(spark, sf_dir):
     return multi_index.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@query("op11_fill_in_middle")
+def fill_in_middle(spark, sf_dir):
+    cut = fim.fill_in_middle(table(spark, sf_dir, "documents"))
+    digest = F.sha2(F.col("output").cast("binary"), 256), F.sha2(fim.restored(F.col("output"), F.col("form")).cast("binary"), 256)
+    return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest[0].alias("output_sha256"), digest[1].alias("restored_sha256"))
+
+
+@query("op13_simhash_near_dedup")
+def simhash_near_dedup(spark, sf_dir):
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hex_code(F.col("code")).alias("fingerprint"), "component_id", "n_copies")
