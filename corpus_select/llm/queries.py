@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, extraction, fim, fingerprints, jaccard, licenses, lines, multi_index, packing, quality, simhash, token_counts
+from . import bpe, conversation_trie, extraction, fim, fingerprints, jaccard, licenses, lines, multi_index, packing, quality, simhash, token_counts
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,3 +94,9 @@ def fill_in_middle(spark, sf_dir):
 def simhash_near_dedup(spark, sf_dir):
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex_code(F.col("code")).alias("fingerprint"), "component_id", "n_copies")
+
+
+@query("op12_conversation_prefix_trie")
+def conversation_prefix_trie(spark, sf_dir):
+    conv = F.col("conv")
+    return conversation_trie.prefix_trie(table(spark, sf_dir, "conversations"), conv - conv % 5, F.crc32(conv.cast("string")) % 9, max_head=8)

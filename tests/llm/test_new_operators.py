@@ -3,12 +3,13 @@
 import hashlib
 import itertools
 import re
+import zlib
 
 import numpy as np
 import pytest
 import xxhash
 
-from corpus_select.llm import fim, simhash
+from corpus_select.llm import conversation_trie, fim, simhash
 from corpus_select.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -159,9 +160,15 @@ def test_gray_order_and_nodes():
     assert ((rank ^ rank >> np.uint64(1)) == codes).all()
     codes = codes[np.argsort(rank)]
     tree = simhash.Tree(codes)
-    for width, starts, mask, value in tree.levels:
-        for s, m, v in itertools.islice(zip(starts.tolist(), mask, value), 0, None, 37):
+    for width in tree.widths:
+        starts = np.arange(0, len(codes), width)
+        for s, m, v in itertools.islice(zip(starts.tolist(), *simhash.node(codes, starts)), 0, None, 37):
             assert ((codes[s:s + width] & m) == v).all()
+    starts = np.arange(0, len(codes), 40)
+    masks, values = simhash.node(codes, starts)
+    roots = simhash.Roots(np.arange(len(starts)), masks, values)
+    for k in range(0, len(starts), 11):
+        assert roots.near(masks[k], values[k], 3).tolist() == np.flatnonzero(np.bitwise_count((values ^ values[k]) & masks & masks[k]) <= 3).tolist()
 
 
 def test_majority_of_long_and_empty_groups():
@@ -173,3 +180,104 @@ def test_majority_of_long_and_empty_groups():
         own = h[at:at + n]
         at += n
         assert code == sum(1 << b for b in range(64) if 2 * int((own >> np.uint64(b) & np.uint64(1)).sum()) > n)
+
+
+def rebuilt(turns, rule):
+    """conv -> rebuilt turns; rows are (conv, turn, role, text) without ties in turn."""
+    own = {}
+    for c, t, role, text in turns:
+        if c is not None:
+            own.setdefault(c, []).append((t is not None, t, role or "", text or ""))
+    own = {c: [x[2:] for x in sorted(v, key=lambda x: (x[0], x[1] if x[0] else 0))] for c, v in own.items()}
+    return {c: [*own.get(rule(c)[0], [])[:rule(c)[1]], *v[rule(c)[1]:]] for c, v in own.items()}
+
+
+def brute_trie(full):
+    members, ends = {}, {}
+    for c in sorted(full):
+        for d in range(len(full[c]) + 1):
+            members.setdefault(tuple(full[c][:d]), []).append(c)
+        ends.setdefault(tuple(full[c]), []).append(c)
+    children = {}
+    for node in members:
+        if node:
+            children.setdefault(node[:-1], []).append(node)
+    out = {}
+    for node in sorted(members, key=len, reverse=True):
+        below = children.get(node, [])
+        own = (len(members[node]) - 1) * len(node[-1][1].encode()) if node else 0
+        out[node] = (len(below), sum(out[b][1] for b in below) or 1, own + sum(out[b][2] for b in below))
+    return sorted((members[node][0], len(node), members[node[:-1]][0] if node else -1, len(members[node]), *out[node], sha(",".join(map(str, ends.get(node, []))))) for node in members)
+
+
+def trie_rows(df):
+    names = ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"]
+    assert df.columns == names
+    return sorted(tuple(-1 if v is None else v for v in r) for r in df.collect())
+
+
+def dealt_rule(c):
+    return c - c % 5, zlib.crc32(str(c).encode()) % 9
+
+
+def test_trie_of_conversations(spark):
+    rows = [tuple(r) for r in spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
+    assert trie_rows(QUERIES["op12_conversation_prefix_trie"](spark, SF)) == brute_trie(rebuilt(rows, dealt_rule))
+
+
+def odd_conversations():
+    rng = np.random.default_rng(9)
+    rows = []
+    for c in range(300):
+        if c % 17 == 0 and c:  # absent, bases among them
+            continue
+        start = ["hello", "hello", "hi", "", None][c % 5 if c % 3 else 0]
+        for t in range(int(rng.integers(1, 14))):
+            rows.append((c, t if t else [0, None][c % 2], "user" if t % 2 == 0 else None, start if t == 0 else f"w{int(rng.integers(0, 2))}é"))
+    rows += [(1000, t, "a", "same") for t in range(700)] + [(1005 + 5 * k, t, "a", "same") for k in range(3) for t in range(400 + k % 2)]
+    rows += [(None, 1, "a", "lost"), (10**15, 3, "long", "x" * 50_000), (7, 100, "user", "tail"), (7, 101, "user", "tail")]
+    return rows
+
+
+@pytest.mark.parametrize("parts", [1, 9])
+def test_trie_of_odd_conversations(spark, parts, monkeypatch):
+    rows = odd_conversations()
+    df = spark.createDataFrame([(*r, "x", 0) for r in rows], "conv_id long, turn long, role string, text string, conv string, depth int").repartition(parts)
+    conv = conversation_trie.F.col("conv")
+    head = conversation_trie.F.crc32(conv.cast("string")) % 9
+    monkeypatch.setattr(conversation_trie, "BLOCK", 16)
+    monkeypatch.setattr(conversation_trie, "PIECE", 3)
+    monkeypatch.setattr(conversation_trie, "HEAVY", 4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # conversations then go over several partitions
+    try:
+        assert trie_rows(conversation_trie.prefix_trie(df, conv - conv % 5, head)) == brute_trie(rebuilt(rows, dealt_rule))
+        assert trie_rows(conversation_trie.prefix_trie(df)) == brute_trie(rebuilt(rows, lambda c: (c, 0)))
+        assert conversation_trie.prefix_trie(df.limit(0)).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_trie_keeps_repeated_rows_and_ties(spark):
+    rows = [(1, 0, "u", "a"), (1, 0, "u", "a"), (1, 0, "u", "b"), (2, 0, "u", "b"), (2, 0, "u", "a"), (2, 0, "u", "a")]
+    found = trie_rows(conversation_trie.prefix_trie(spark.createDataFrame(rows, "conv_id int, turn int, role string, text string")))
+    assert [r[:2] + r[3:6] for r in found] == [(1, 0, 2, 1, 1), (1, 1, 2, 1, 1), (1, 2, 2, 1, 1), (1, 3, 2, 0, 1)]  # one order for both
+
+
+def test_trie_finds_clashes(spark, monkeypatch):
+    rows = odd_conversations()[:600]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    want = brute_trie(rebuilt(rows, lambda c: (c, 0)))
+    monkeypatch.setattr(conversation_trie, "ATTEMPTS", 3)
+    with pytest.raises(RuntimeError):
+        conversation_trie.prefix_trie(df, hash_bits=1)
+    monkeypatch.setattr(conversation_trie, "ATTEMPTS", 60)
+    assert trie_rows(conversation_trie.prefix_trie(df, hash_bits=3)) == want
+
+
+def test_arithmetic_modulo_the_prime():
+    rng = np.random.default_rng(3)
+    p = conversation_trie.PRIME
+    a, b = (np.concatenate([rng.integers(0, p, 1000, dtype=np.uint64), np.array([0, 1, p - 1, p - 1], np.uint64)]) for _ in range(2))
+    assert conversation_trie.mul(a, b).tolist() == [int(x) * int(y) % p for x, y in zip(a, b)]
+    assert conversation_trie.sub(a, b).tolist() == [(int(x) - int(y)) % p for x, y in zip(a, b)]
+    assert conversation_trie.powers(12345, np.array([0, 1, 7, 10**6])).tolist() == [pow(12345, e, p) for e in (0, 1, 7, 10**6)]
