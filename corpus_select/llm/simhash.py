@@ -117,23 +117,40 @@ def node(codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return mask, all_ & mask
 
 
+def _padded(a: np.ndarray, width: int) -> np.ndarray:
+    """Rows of ``width`` members; places after the end hold zero."""
+    out = np.zeros(-(-len(a) // width) * width, a.dtype)
+    out[:len(a)] = a
+    return out.reshape(-1, width)
+
+
 class Tree:
-    """Levels of nodes over codes in Gray order; level 0 are the leaves of ``LEAF`` codes."""
+    """Levels of nodes over codes in Gray order; level 0 are the leaves of ``LEAF`` codes.
+
+    ``members[k]`` has the (mask, value) rows of the nodes (or codes) below each node of level k,
+    ``sizes[k]`` how many of them there are.
+    """
 
     def __init__(self, codes: np.ndarray):
         self.codes = codes
-        self.levels, width = [], LEAF
+        self.widths, self.members, self.sizes = [], [], []
+        below, width = (np.full(len(codes), ~np.uint64(0)), codes), LEAF
         while True:
-            starts = np.arange(0, len(codes), width)
-            self.levels.append((width, starts, *node(codes, starts)))
-            if len(starts) <= 1:
-                break
+            self.widths.append(width)
+            self.sizes.append(len(below[0]))
+            self.members.append(tuple(_padded(x, FANOUT if len(self.widths) > 1 else LEAF) for x in below))
+            below = node(codes, np.arange(0, len(codes), width))
+            self.root = below
+            if len(below[0]) <= 1:
+                return
             width *= FANOUT
 
-
-def _near(left: Tree, right: Tree, level: int, i: np.ndarray, j: np.ndarray, radius: int) -> np.ndarray:
-    (_, _, m1, v1), (_, _, m2, v2) = left.levels[level], right.levels[level]
-    return np.bitwise_count((v1[i] ^ v2[j]) & m1[i] & m2[j]) <= radius
+    def raise_to(self, levels: int) -> None:
+        """Let the root stand on upper levels too."""
+        while len(self.widths) < levels:
+            self.widths.append(self.widths[-1] * FANOUT)
+            self.sizes.append(1)
+            self.members.append(tuple(_padded(x, FANOUT) for x in self.root))
 
 
 class Sets:
@@ -159,56 +176,50 @@ class Sets:
 
 def _one_set(tree: Tree, label: np.ndarray, level: int, nodes: np.ndarray) -> np.ndarray:
     """Per node, the label all its codes have, or -1."""
-    width = tree.levels[level][0]
-    n, starts = len(tree.codes), nodes * width
-    at = np.minimum(starts[:, None] + np.arange(width), n - 1)
-    own = label[at]
+    width = tree.widths[level]
+    own = label[np.minimum(nodes[:, None] * width + np.arange(width), len(tree.codes) - 1)]
     return np.where((own == own[:, :1]).all(axis=1), own[:, 0], -1)
 
 
 def linked(left: Tree, right: Tree | None, radius: int, sets: Sets, base: int = 0) -> None:
     """Join in ``sets`` the codes within ``radius`` bits: inside ``left`` if ``right`` is None, else across.
 
-    Codes of ``left`` are numbered from 0, those of ``right`` from ``base``. Pairs of nodes are
-    held in parts of ``PAIRS``, the deepest first.
+    Codes of ``left`` are numbered from 0, those of ``right`` from ``base``. ``PAIRS`` pairs of
+    nodes or codes are compared at once, the deepest first.
     """
     same = right is None
     right = left if same else right
-    top = max(len(left.levels), len(right.levels)) - 1
+    top = max(len(left.widths), len(right.widths))
     for t in (left, right):
-        while len(t.levels) <= top:  # the smaller tree's root stands on the upper levels too
-            t.levels.append((t.levels[-1][0] * FANOUT, *t.levels[-1][1:]))
-    todo = [(top, np.zeros(1, np.int64), np.zeros(1, np.int64))]
+        t.raise_to(top)
+    todo = [(top - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
     while todo:
         level, i, j = todo.pop()
-        near = _near(left, right, level, i, j, radius)
-        i, j = i[near], j[near]
-        if level <= 1 and len(i):
-            done = _one_set(left, sets.label, level, i)
-            other = _one_set(right, sets.label if same else sets.label[base:], level, j)
-            open_ = (done < 0) | (done != other)
-            i, j = i[open_], j[open_]
-        if not len(i):
-            continue
         width = FANOUT if level else LEAF
-        size_left = len(left.levels[level - 1][1]) if level else len(left.codes)
-        size_right = len(right.levels[level - 1][1]) if level else len(right.codes)
         step = PAIRS // width ** 2
         if len(i) > step:  # the others wait
             todo.append((level, i[step:], j[step:]))
             i, j = i[:step], j[:step]
-        a = i[:, None, None] * width + np.arange(width)[None, :, None]
-        b = j[:, None, None] * width + np.arange(width)[None, None, :]
-        a, b = (x.ravel() for x in np.broadcast_arrays(a, b))
-        keep = (a < size_left) & (b < size_right)
+        if level <= 1:  # what is connected already is not compared again
+            done = _one_set(left, sets.label, level, i)
+            open_ = (done < 0) | (done != _one_set(right, sets.label if same else sets.label[base:], level, j))
+            i, j = i[open_], j[open_]
+        (m1, v1), (m2, v2) = left.members[level], right.members[level]
+        apart = v1[i][:, :, None] ^ v2[j][:, None, :]
+        if level:
+            apart &= m1[i][:, :, None]
+            apart &= m2[j][:, None, :]
+        pair, a, b = np.nonzero(np.bitwise_count(apart) <= radius)
+        a, b = i[pair] * width + a, j[pair] * width + b
+        keep = (a < left.sizes[level]) & (b < right.sizes[level])
         if same:
             keep &= a <= b if level else a < b
         a, b = a[keep], b[keep]
         if level:
-            todo.append((level - 1, a, b))
+            if len(a):
+                todo.append((level - 1, a, b))
         else:
-            hit = np.bitwise_count(left.codes[a] ^ right.codes[b]) <= radius
-            sets.join(a[hit], b[hit] if same else base + b[hit])
+            sets.join(a, b if same else base + b)
 
 
 def _runs(size: int):
@@ -272,46 +283,41 @@ def gray_blocks(codes: DataFrame, n: int, size: int) -> DataFrame:
     return stored(arrow_map(dealt.repartition("block").sortWithinPartitions("block", "at"), _blocks, "block long, codes binary, mask long, value long"), "simhash-blocks")
 
 
-def _met(roots: Tree, names: np.ndarray, radius: int):
-    """Block rows -> a copy per block they have to meet, under the pair's name."""
-    def partners(mask: np.uint64, value: np.uint64) -> np.ndarray:
+class Roots:
+    """The level above the blocks: nodes over their masks and values, in order."""
+
+    def __init__(self, names: np.ndarray, masks: np.ndarray, values: np.ndarray):
+        self.names, self.levels = names, [(masks, values)]
+        while len(self.levels[-1][0]) > 1:
+            masks, values = self.levels[-1]
+            starts = np.arange(0, len(masks), FANOUT)
+            shared = np.bitwise_and.reduceat(masks, starts)
+            some, all_ = np.bitwise_or.reduceat(values & np.repeat(shared, FANOUT)[:len(values)], starts), np.bitwise_and.reduceat(values, starts)
+            mask = shared & ~(some ^ (all_ & shared))
+            self.levels.append((mask, all_ & mask))
+
+    def near(self, mask: np.uint64, value: np.uint64, radius: int) -> np.ndarray:
+        """The blocks a block with this mask and value has to meet."""
         at = np.zeros(1, np.int64)
-        for level in range(len(roots.levels) - 1, -1, -1):
-            _, _, m, v = roots.levels[level]
-            at = at[np.bitwise_count((v[at] ^ value) & m[at] & mask) <= radius]
-            at = (at[:, None] * (FANOUT if level else LEAF) + np.arange(FANOUT if level else LEAF)).ravel()
-            at = at[at < (len(roots.levels[level - 1][1]) if level else len(names))]
-        return at
+        for masks, values in reversed(self.levels):
+            at = at[at < len(masks)]
+            at = at[np.bitwise_count((values[at] ^ value) & masks[at] & mask) <= radius]
+            found, at = at, (at[:, None] * FANOUT + np.arange(FANOUT)).ravel()
+        return self.names[found]
 
-    masks, values = roots.masks, roots.codes
 
+def _met(roots: Roots, radius: int):
+    """Block rows -> a copy per block they have to meet, under the pair's name."""
     def run(batches):
         for b in batches:
-            for block, codes, mask, value in zip(*(b.column(c).to_pylist() for c in ("block", "codes", "mask", "value"))):
-                mask, value = (np.array(x, np.int64).view(np.uint64)[()] for x in (mask, value))
-                at = partners(mask, value)
-                at = at[np.bitwise_count((values[at] ^ value) & masks[at] & mask) <= radius]
-                for other in names[at].tolist():
+            masks, values = (b.column(c).to_numpy().view(np.uint64) for c in ("mask", "value"))
+            for k, (block, codes) in enumerate(zip(b.column("block").to_pylist(), b.column("codes").to_pylist())):
+                for other in roots.near(masks[k], values[k], radius).tolist():
                     yield record_batch({"i": pa.array([min(block, other)], pa.int64()), "j": pa.array([max(block, other)], pa.int64()),
                                         "block": pa.array([block], pa.int64()), "codes": pa.array([codes], pa.binary())})
     return run
 
 
-def root_tree(values: np.ndarray, masks: np.ndarray) -> Tree:
-    """The level above the blocks: nodes over their masks and values, in order."""
-    tree = Tree.__new__(Tree)
-    tree.codes, tree.masks, tree.levels, width = values, masks, [], LEAF
-    while True:
-        starts = np.arange(0, len(values), width)
-        shared = np.bitwise_and.reduceat(masks, starts)
-        some, all_ = np.bitwise_or.reduceat(values, starts), np.bitwise_and.reduceat(values, starts)
-        mask = shared & ~(some ^ all_)
-        tree.levels.append((width, starts, mask, all_ & mask))
-        if len(starts) <= 1:
-            return tree
-        width *= FANOUT
-
-
 def _link(radius: int):
     """Rows sorted by (i, j, block) -> a star of links per connected set; a pair's two blocks are held at a time."""
     def stars(rows: list) -> pa.RecordBatch:
@@ -348,8 +354,7 @@ def gray_links(codes: DataFrame, n: int, radius: int = RADIUS, block: int = BLOC
     names, mask, value = (roots.column(c).to_numpy()[order] for c in ("block", "mask", "value"))
     if not len(names):
         return codes.select(F.col("code").alias("a"), F.col("code").alias("b")).limit(0)
-    tree = root_tree(value.view(np.uint64), mask.view(np.uint64))
-    pairs = arrow_map(blocks, _met(tree, names, radius), "i long, j long, block long, codes binary")
+    pairs = arrow_map(blocks, _met(Roots(names, mask.view(np.uint64), value.view(np.uint64)), radius), "i long, j long, block long, codes binary")
     return arrow_map(pairs.repartition("i", "j").sortWithinPartitions("i", "j", "block"), _link(radius), "a long, b long").distinct()
 
 
