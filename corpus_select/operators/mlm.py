@@ -1,9 +1,9 @@
 """Masked-language-model data preparation: vocabulary, tokenize-truncate-pad,
 seeded 80/10/10 masking.
 
-A pretrained WordPiece vocabulary is not available offline, so the
-vocabulary is word-level: built from the corpus (or supplied as
-``(token, id)``). Ids 0-4 are the special tokens below.
+:func:`build_vocab` and :func:`encode` work on whole words: a vocabulary counted in the
+corpus, or supplied as ``(token, id)``. Subword ids come from :mod:`wordpiece`. Ids 0-4
+are the special tokens below.
 """
 
 from __future__ import annotations
@@ -72,15 +72,29 @@ def encode(df: DataFrame, vocab: DataFrame, max_length: int = 128, id_col: str =
         if pair_col:
             cols.append(tok(F.coalesce(F.col(pair_col), F.lit(""))).alias("_u"))
         rows = df.where(~is_blank(F.col(text_col))).select(*cols)
-    if pair_col is None:
-        ids = _lookup(rows.select("doc_id", F.slice("_t", 1, max_length - 2).alias("_t")), vocab, ["_t"])
-        return ids.select("doc_id", *_pad_columns(F.col("_t"), max_length))
+    cols = ["_t", "_u"] if pair_col else ["_t"]
+    return _padded(_lookup(_cut(rows, max_length, *cols), vocab, cols), max_length, *cols)
+
+
+def fit_ids(rows: DataFrame, max_length: int, first: str, second: str | None = None) -> DataFrame:
+    """:func:`encode`'s output from id arrays of any length (``doc_id``, ``first`` and perhaps ``second``)."""
+    return _padded(_cut(rows, max_length, first, second), max_length, first, second)
+
+
+def _cut(rows: DataFrame, max_length: int, first: str, second: str | None = None) -> DataFrame:
+    """Arrays cut to what fits beside [CLS] and [SEP]; of a pair the longer array loses."""
+    if second is None:
+        return rows.select("doc_id", F.slice(first, 1, max_length - 2).alias(first))
     body = max_length - 3
-    la, lb, half = F.size("_t"), F.size("_u"), F.lit((body + 1) // 2)
-    keep_a = F.when(la + lb <= body, la).when(la <= half, la).when(lb <= body - half, F.lit(body) - lb).otherwise(half)
-    cut = rows.withColumn("_ka", keep_a).select("doc_id", F.slice("_t", F.lit(1), F.col("_ka")).alias("_t"),
-                                                F.slice("_u", F.lit(1), F.lit(body) - F.col("_ka")).alias("_u"))
-    return _lookup(cut, vocab, ["_t", "_u"]).select("doc_id", *_pair_columns(F.col("_t"), F.col("_u"), max_length))
+    la, lb, half = F.size(first), F.size(second), F.lit((body + 1) // 2)
+    keep = F.when(la + lb <= body, la).when(la <= half, la).when(lb <= body - half, F.lit(body) - lb).otherwise(half)
+    return rows.withColumn("_keep", keep).select("doc_id", F.slice(first, F.lit(1), F.col("_keep")).alias(first),
+                                                 F.slice(second, F.lit(1), F.lit(body) - F.col("_keep")).alias(second))
+
+
+def _padded(rows: DataFrame, max_length: int, first: str, second: str | None = None) -> DataFrame:
+    cols = _pad_columns(F.col(first), max_length) if second is None else _pair_columns(F.col(first), F.col(second), max_length)
+    return rows.select("doc_id", *cols)
 
 
 def _lookup(rows: DataFrame, vocab: DataFrame, cols: list[str]) -> DataFrame:
