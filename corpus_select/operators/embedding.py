@@ -174,8 +174,8 @@ def _grouped_sum(batches):
         yield from _add_up([pa.RecordBatch.from_pylist(held)])
 
 
-def em_step(emb: DataFrame, m: Mixture, emb_col: str = "embedding", var_floor: float = VAR_FLOOR):
-    """One EM iteration as a Spark job; returns (new mixture, mean log-likelihood under ``m``)."""
+def em_sums(emb: DataFrame, m: Mixture, emb_col: str = "embedding") -> tuple[np.ndarray, np.ndarray, np.ndarray, float, int]:
+    """(responsibilities, weighted sums, weighted sums of squares, log-likelihood, rows) under ``m``, as a Spark job."""
     from ..session import ship_package
     ship_package(emb.sparkSession)
     spark = emb.sparkSession
@@ -197,6 +197,12 @@ def em_step(emb: DataFrame, m: Mixture, emb_col: str = "embedding", var_floor: f
         s2[c] += np.frombuffer(r["s2"])
         ll += r["ll"]
         rows += r["rows"]
+    return n, s1, s2, ll, rows
+
+
+def em_step(emb: DataFrame, m: Mixture, emb_col: str = "embedding", var_floor: float = VAR_FLOOR):
+    """One EM iteration as a Spark job; returns (new mixture, mean log-likelihood under ``m``)."""
+    n, s1, s2, ll, rows = em_sums(emb, m, emb_col)
     return m_step(n, s1, s2, rows, var_floor, m), (ll / rows if rows else float("nan"))
 
 
@@ -278,6 +284,71 @@ def fit_gmm(emb: DataFrame, k: int = 8, max_iter: int = 10, tol: float = 1e-3, s
         data.unpersist()
 
 
+@dataclass
+class EmState:
+    """Where a stepwise fit stands: steps done, the mixture, and its blended statistics per row."""
+    step: int
+    mixture: Mixture
+    n: np.ndarray
+    s1: np.ndarray
+    s2: np.ndarray
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        rows = [(self.step, i, float(self.mixture.weights[i]), self.mixture.means[i].tolist(), self.mixture.vars[i].tolist(), float(self.n[i]), self.s1[i].tolist(), self.s2[i].tolist())
+                for i in range(self.mixture.k)]
+        kinds = "step int, component int, weight double, mean array<double>, var array<double>, n double, s1 array<double>, s2 array<double>"
+        spark.createDataFrame(rows, kinds).coalesce(1).write.mode("overwrite").parquet(path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> "EmState":
+        rows = sorted(spark.read.parquet(path).collect(), key=lambda r: r.component)  # one row per component
+        def column(c):
+            return np.array([r[c] for r in rows], np.float64)
+        return cls(rows[0].step, Mixture(column("weight"), column("mean"), column("var")), column("n"), column("s1"), column("s2"))
+
+
+def stepwise_em(emb: DataFrame, state: EmState, decay: float, emb_col: str = "embedding", var_floor: float = VAR_FLOOR) -> EmState:
+    """One chunk: its statistics per row are blended in with the share (steps + 1) ^ -decay. An empty chunk changes the count alone."""
+    n, s1, s2, _, rows = em_sums(emb, state.mixture, emb_col)
+    if not rows:
+        return EmState(state.step + 1, state.mixture, state.n, state.s1, state.s2)
+    share = (state.step + 1) ** -decay
+    n, s1, s2 = ((1 - share) * old + share * new / rows for old, new in ((state.n, n), (state.s1, s1), (state.s2, s2)))
+    return EmState(state.step + 1, m_step(n, s1, s2, 1, var_floor, state.mixture), n, s1, s2)
+
+
+def fit_gmm_stepwise(emb: DataFrame, k: int = 8, chunks: int = 10, epochs: int = 1, decay: float = 0.7, seed: int = 42, emb_col: str = "embedding",
+                     id_col: str = "doc_id", init: Mixture | None = None, var_floor: float = VAR_FLOOR, state_dir: str | None = None, stop_after: int | None = None) -> Mixture:
+    """Fit by stepwise EM over chunks of ids, warm from chunk to chunk, resumable.
+
+    Chunk c has the rows whose id leaves c on division by ``chunks``; each of the
+    ``epochs * chunks`` steps reads one chunk. With ``state_dir`` (shared) every step's state is stored, and a run
+    goes on after the last one that was stored whole, whatever ``init`` it is given; a mixture
+    fitted in several runs equals one fitted at once. ``stop_after`` ends a run after so many steps of its own.
+    """
+    from ..sources.io import _exists
+
+    spark = emb.sparkSession
+
+    def place(step: int) -> str:
+        return os.path.join(state_dir, f"step_{step}")
+
+    steps, state = epochs * chunks, None
+    if state_dir:
+        done = [t for t in range(1, steps + 1) if _exists(spark, place(t))]
+        state = EmState.load(spark, place(max(done))) if done else None
+    if state is None:
+        m = init or init_mixture(emb, k, seed, emb_col, id_col, var_floor)
+        state = EmState(0, m, np.zeros(m.k), np.zeros(m.means.shape), np.zeros(m.means.shape))
+    last = steps if stop_after is None else min(steps, state.step + stop_after)
+    while state.step < last:
+        chunk = emb.where(F.pmod(F.col(id_col), F.lit(chunks)) == F.lit(state.step % chunks))
+        state = stepwise_em(chunk, state, decay, emb_col, var_floor)
+        if state_dir:
+            state.save(spark, place(state.step))
+    return state.mixture
+
+
 def fit_by_label(emb: DataFrame, label_col: str = "label", emb_col: str = "embedding",
                  var_floor: float = VAR_FLOOR, decimals: int | None = 8) -> DataFrame:
     """One M-step from hard assignments (``label`` = component): a mixture table.

@@ -67,3 +67,30 @@ def test_embed_hook(spark):
     assert len(out) == 2 and len(out[0]["embedding"]) == 64
     custom = EM.embed(df, encoder=lambda texts: np.ones((len(texts), 3), dtype=np.float32)).collect()
     assert custom[0]["embedding"] == [1.0, 1.0, 1.0]
+
+
+def test_stepwise_fit_resumes_where_it_stopped(spark, tmp_out):
+    import numpy as np
+
+    from corpus_select.operators import embedding as EM
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.normal(-3, 1, (150, 3)), rng.normal(3, 1, (250, 3))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x[rng.permutation(400)])], "doc_id long, embedding array<double>").persist()
+    whole = EM.fit_gmm_stepwise(df, k=2, chunks=4, epochs=3)
+    for _ in range(4):  # three runs of five steps at most, the last one with nothing left
+        parts = EM.fit_gmm_stepwise(df.repartition(7), k=2, chunks=4, epochs=3, state_dir=f"{tmp_out}/em", stop_after=5)
+    assert np.allclose(parts.means, whole.means, atol=1e-9) and np.allclose(parts.weights, whole.weights) and np.allclose(parts.vars, whole.vars)
+    assert np.allclose(sorted(whole.weights), [0.375, 0.625], atol=0.05)
+    # a step that was not stored whole is done again
+    import os
+    os.remove(f"{tmp_out}/em/step_12/_SUCCESS")
+    again = EM.fit_gmm_stepwise(df, k=2, chunks=4, epochs=3, state_dir=f"{tmp_out}/em")
+    assert np.allclose(again.means, whole.means, atol=1e-9)
+    # more chunks than rows: empty ones change nothing but the count
+    few = EM.fit_gmm_stepwise(df.where("doc_id < 3"), k=1, chunks=10)
+    assert few.k == 1 and np.isfinite(few.means).all()
+    # one chunk per epoch is plain EM at a share of one
+    one = EM.fit_gmm_stepwise(df, k=2, chunks=1, epochs=1)
+    plain = EM.fit_gmm(df, k=2, max_iter=1, tol=0.0)
+    assert np.allclose(one.means, plain.means, atol=1e-9)
+    df.unpersist()
