@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.hashing import sha256_bucket, xxhash_bucket
+from ..functions.pyhash import python_buckets
 from ..functions.text import example_length, get_tokenizer, ngrams
 
 FEATURE_SCHEMA = T.StructType([
@@ -53,9 +54,27 @@ def _xxh_bucket_factory(num_buckets: int) -> Callable[[bytes], int]:
     return f
 
 
+def _python_bucket_factory(seed: int) -> Callable[[int], Callable[[bytes], int]]:
+    def factory(num_buckets: int) -> Callable[[bytes], int]:
+        def f(b: bytes) -> int:
+            return int(python_buckets([b.decode()], num_buckets, seed)[0])
+        f.many = lambda grams: python_buckets([g.decode() for g in grams], num_buckets, seed)
+        return f
+    return factory
+
+
 HASHERS = {"sha256": _sha_bucket_factory, "xxh64": _xxh_bucket_factory}
 
 
+def hasher(hash_fn: str) -> Callable[[int], Callable[[bytes], int]]:
+    """``sha256``, ``xxh64``, or ``python:seed``: the interpreter's own hash under ``PYTHONHASHSEED=seed``."""
+    if hash_fn.startswith("python:"):
+        return _python_bucket_factory(int(hash_fn.removeprefix("python:")))
+    if hash_fn not in HASHERS:
+        raise ValueError(f"unknown hash_fn {hash_fn!r}")
+    return HASHERS[hash_fn]
+
+
 # Unicode whitespace (as Python's str.isspace) and the "other
 # non-space" class of the word/punctuation tokenizer, in RE2 syntax.
 _WS_RE2 = r"[\s\p{Z}\x0B\x1C-\x1F\x85]"
@@ -126,7 +145,8 @@ def _batch_features(rb: pa.RecordBatch, n: int, num_buckets: int, bucket_of,
         # distinct n-grams of the batch, hashed once each, as UTF-8 bytes
         enc = pc.dictionary_encode(grams)
         uniq = enc.dictionary.cast(pa.large_binary()).to_pylist()
-        ub = np.fromiter(map(bucket_of, uniq), dtype=np.int64, count=len(uniq))
+        many = getattr(bucket_of, "many", None)
+        ub = many(uniq).astype(np.int64) if many else np.fromiter(map(bucket_of, uniq), dtype=np.int64, count=len(uniq))
         bk = ub[enc.indices.to_numpy(zero_copy_only=False)]
         key = gp * num_buckets + bk
         ukey, cnt = np.unique(key, return_counts=True)
@@ -149,12 +169,11 @@ def ngram_features(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Sparse hashed n-gram counts per document (featurizer, F1/T7).
 
     ``hash_fn``: ``sha256`` (stable, the reference's bucket values), ``xxh64``
-    (fast). Null texts are dropped (they never count as ``''``).
+    (fast), ``python:seed`` (the interpreter's own ``hash``). Null texts are dropped (they never count as ``''``).
     """
     from ..session import ship_package
+    factory = hasher(hash_fn)
     ship_package(df.sparkSession)
-    if hash_fn not in HASHERS:
-        raise ValueError(f"unknown hash_fn {hash_fn!r}")
     # the default tokenizer runs inside the same Arrow task (one string per
     # document crosses the JVM/Python boundary); others are JVM expressions
     arrow_tok = tokenizer == "wordpunct"
@@ -165,7 +184,6 @@ def ngram_features(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         tok = get_tokenizer(tokenizer)
         base = df.where(F.col(text_col).isNotNull()).select(
             F.col(id_col).cast("long").alias("doc_id"), tok(F.col(text_col)).alias("tokens"))
-    factory = HASHERS[hash_fn]
 
     def fn(batches):
         bucket_of = factory(num_buckets)
