@@ -73,6 +73,40 @@ def budgeted(features: DataFrame, budget: int | None, n: int, num_shards: int =
     return features.join(kept.select(id_col), id_col, "left_semi")
 
 
+def budgeted_features(df: DataFrame, budget: int, n: int = 2, num_buckets: int = 10000, tokenizer: str | Callable = "wordpunct",
+                      hash_fn: str = "sha256", num_shards: int = 1, id_col: str = "doc_id", text_col: str = "text", rounds: int = 10) -> DataFrame:
+    """The features that :func:`budgeted` keeps, without featurising what comes after them.
+
+    One pass over the id column alone finds the ids below which 1/2^``rounds``, ..., 1/4, 1/2 of the
+    rows lie. Ranges between them are featurised and stored one after the other, each as large as all
+    before, until every shard holds more n-grams than its budget. The ids are pushed down to the
+    scan, so texts of later row groups are never read; at most about twice the kept prefix
+    (or the first range) is.
+    """
+    from .select import _stored
+
+    shares = [2.0 ** -k for k in range(rounds, 0, -1)]
+    ids = F.col(id_col).cast("long")
+    cuts = df.select(F.percentile_approx(ids, shares, 100_000).alias("c")).first()["c"] or []
+    cuts = [*sorted(set(cuts)), None]
+    per_shard = budget // num_shards
+    own = [r[0] for r in df.select(F.pmod(ids, F.lit(num_shards)).alias("s")).distinct().collect() if r[0] is not None] if num_shards > 1 else [0]
+    seen: dict[int, int] = dict.fromkeys(own, 0)
+    parts, low = None, None
+    for cut in cuts:
+        part = df if low is None else df.where(ids > F.lit(low))
+        part = part if cut is None else part.where(ids <= F.lit(cut))
+        part = _stored(ngram_features(part, id_col, text_col, n, num_buckets, tokenizer, hash_fn))
+        parts = part if parts is None else parts.unionByName(part)
+        for r in part.groupBy(F.pmod("doc_id", F.lit(num_shards)).alias("s")).agg(F.sum(total_ngrams("n_tokens", n)).alias("t")).collect():  # one row per shard
+            if r["s"] is not None:
+                seen[r["s"]] = seen.get(r["s"], 0) + r["t"]
+        if seen and min(seen.values()) > per_shard:
+            break
+        low = cut
+    return budgeted(parts, budget, n, num_shards)
+
+
 def bucket_counts(features: DataFrame, num_buckets: int, by: Sequence[str] = ()) -> DataFrame:
     """Corpus bag of n-grams (A1): ``(*by, bucket, cnt)``, partial-aggregated map-side."""
     long = features_long(features)
@@ -186,7 +220,13 @@ def fit(raw: DataFrame, targets: DataFrame | dict[str, DataFrame], *, n: int = 2
             d = df.select("doc_id", "text")
             pooled = d if pooled is None else pooled.unionAll(d)
         targets = {"target": pooled}
-    rf = raw_features if raw_features is not None else feats(raw)
+    budget = resolve_budget(num_tokens_to_fit, num_buckets)
+    if raw_features is not None:
+        rf = raw_features
+    elif budget is not None:
+        rf = budgeted_features(raw, budget, n, num_buckets, tokenizer, hash_fn, num_shards)
+    else:
+        rf = feats(raw)
     return fit_from_features(rf, {k: feats(v) for k, v in targets.items()}, n=n, num_buckets=num_buckets,
                              tokenizer=tokenizer, hash_fn=hash_fn, num_tokens_to_fit=num_tokens_to_fit,
                              target_laplace_smoothing=target_laplace_smoothing,
@@ -266,10 +306,10 @@ def log_weights(features: DataFrame, model: NgramModel | DataFrame, min_example_
         f = f.where(F.col("length") >= F.lit(min_example_length))
     if isinstance(model, NgramModel) and int(model.params["num_buckets"]) * max(1, len(model.targets)) <= BROADCAST_MAX_ROWS:
         return score_features_arrow(f.drop("length"), model, n=n).select("doc_id", "target", "n_tokens", "length", "weight_e10", "log_weight")
-    return _log_weights_joined(f, model, min_example_length)
+    return _log_weights_joined(f, model)
 
 
-def _log_weights_joined(f: DataFrame, model: NgramModel | DataFrame, min_example_length: int | None) -> DataFrame:
+def _log_weights_joined(f: DataFrame, model: NgramModel | DataFrame) -> DataFrame:
     """Scores by a join on the bucket, for tables too large to ship."""
     table = model.table if isinstance(model, NgramModel) else model
     long = f.select("doc_id", "n_tokens", "length", F.explode(F.arrays_zip("buckets", "counts")).alias("z")) \
@@ -277,14 +317,13 @@ def _log_weights_joined(f: DataFrame, model: NgramModel | DataFrame, min_example
                 F.col("z.counts").cast("long").alias("cnt"))
     scored = long.join(table.select("target", "bucket", "ld_e10"), "bucket").groupBy("doc_id", "target", "n_tokens", "length").agg(
         F.sum(F.col("cnt") * F.col("ld_e10")).alias("weight_e10"))
-    # documents with no n-grams (possible when min length is off) weigh zero
-    if min_example_length is None or min_example_length <= 0:
-        names = model.targets if isinstance(model, NgramModel) and model.targets else \
-            [r[0] for r in table.select("target").distinct().collect()]
-        empty = f.where(F.size("buckets") == 0).select(
-            "doc_id", F.explode(F.array(*[F.lit(t) for t in names])).alias("target"), "n_tokens", "length") \
-            .withColumn("weight_e10", F.lit(0).cast("long"))
-        scored = scored.unionByName(empty)
+    # documents without n-grams that pass the length filter weigh zero
+    names = model.targets if isinstance(model, NgramModel) and model.targets else \
+        [r[0] for r in table.select("target").distinct().collect()]
+    empty = f.where(F.size("buckets") == 0).select(
+        "doc_id", F.explode(F.array(*[F.lit(t) for t in names])).alias("target"), "n_tokens", "length") \
+        .withColumn("weight_e10", F.lit(0).cast("long"))
+    scored = scored.unionByName(empty)
     return scored.withColumn("log_weight", F.round(F.col("weight_e10").cast("double") / F.lit(float(E10)), 6))
 
 

@@ -195,3 +195,34 @@ def test_empty_target_raises(spark):
     f = ngram_features(docs)
     with pytest.raises(Exception, match="empty"):
         NG.fit_subset_targets(f, {"t": docs.limit(0).select("doc_id")}, num_tokens_to_fit="all").table.collect()
+
+
+def test_budgeted_features_read_little_more_than_they_keep(spark):
+    df = spark.range(0, 4000, numPartitions=8).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *[F.concat(F.lit(f"w{k}x"), F.col("id") % (7 + k)) for k in range(10)]).alias("text"))
+    whole = NG.budgeted(ngram_features(df, n=2, num_buckets=100), 5000, 2, num_shards=3)
+    read = []
+
+    def counted(part, *a, **k):
+        read.append(part.count())
+        return ngram_features(part, *a, **k)
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(NG, "ngram_features", counted)
+        early = NG.budgeted_features(df, 5000, 2, 100, num_shards=3)
+    kept = sorted(map(str, whole.collect()))
+    assert sorted(map(str, early.collect())) == kept and 0 < len(kept) < 400
+    assert sum(read) <= 2 * len(kept) + 8 and len(read) > 2
+    # a budget beyond the corpus reads it all; an empty table gives nothing
+    assert NG.budgeted_features(df, 10**9, 2, 100).count() == 4000
+    assert NG.budgeted_features(df.limit(0), 10, 2, 100).count() == 0
+
+
+def test_documents_without_ngrams_weigh_the_same_on_both_paths(spark):
+    df = spark.createDataFrame([(1, "a b c d"), (2, ""), (3, "a b"), (4, "...")], "doc_id long, text string")
+    model = NG.fit(df, df.where("doc_id = 1"), n=3, num_buckets=50)
+    f = ngram_features(df, n=3, num_buckets=50)
+    for least in (None, 0, 1, 2):
+        arrow = sorted(map(str, NG.log_weights(f, model, least).collect()))
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(NG, "BROADCAST_MAX_ROWS", 10)
+            joined = sorted(map(str, NG.log_weights(f, model, least).collect()))
+        assert arrow == joined

@@ -36,7 +36,7 @@ def test_scoring_moves_no_row(spark, tmp_out):
     scan = [line for line in plan.splitlines() if "FileScan parquet" in line and "buckets" in line]
     assert scan and "text" not in scan[0]
     # a table too large to ship is joined, with partial sums around the exchange; the weights are the same
-    joined = NG._log_weights_joined(feats.withColumn("length", NG.example_length("n_tokens", 2)).where("length >= 100"), m, 100)
+    joined = NG._log_weights_joined(feats.withColumn("length", NG.example_length("n_tokens", 2)).where("length >= 100"), m)
     assert joined._jdf.queryExecution().sparkPlan().toString().count("HashAggregate") >= 2
     assert sorted(map(tuple, joined.select("doc_id", "weight_e10").collect())) == sorted(map(tuple, w.select("doc_id", "weight_e10").collect()))
 

@@ -34,7 +34,7 @@ def test_blank_documents_in_a_batch_weigh_zero(spark, small_model, blank):
     rows = [(i, " " if i in blank else t) for i, t in enumerate(texts(4, 5))]
     f = ngram_features(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1))
     got = {r.doc_id: r.weight_e10 for r in NG.score_features_arrow(f, m).collect()}
-    want = {r.doc_id: r.weight_e10 for r in NG._log_weights_joined(f.withColumn("length", F.lit(1)), m, None).collect()}
+    want = {r.doc_id: r.weight_e10 for r in NG._log_weights_joined(f.withColumn("length", F.lit(1)), m).collect()}
     assert got == want and all(got[i] == 0 for i in blank)
 
 
