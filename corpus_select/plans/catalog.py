@@ -185,6 +185,18 @@ def q_bow_budgeted(spark, sf):
     return NG.bucket_counts(f, B)
 
 
+@query("bow_budgeted_early", f"""
+with {S.features_cte()},
+per_doc as (select doc_id, len(w) + greatest(len(w) - 1, 0) g_cnt, doc_id % 4 shard from w),
+pre as (select doc_id, coalesce(sum(g_cnt) over (partition by shard order by doc_id
+        rows between unbounded preceding and 1 preceding), 0) before from per_doc),
+kept as (select doc_id from pre where before <= 60000 // 4)
+select bucket, sum(cnt)::BIGINT cnt from f where doc_id in (select doc_id from kept) group by bucket""")
+def q_bow_budgeted_early(spark, sf):
+    """Token-budgeted raw fit that stops reading once all 4 shards are past their part of 60,000 n-grams."""
+    return NG.bucket_counts(NG.budgeted_features(docs(spark, sf), 60000, 2, B, num_shards=4), B)
+
+
 @query("probs_raw", f"""
 with {S.features_cte()},
 raw as (select bucket, sum(cnt) cnt from f group by all)

@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from . import sqlsnippets as S
 from .catalog import WEIGHTS_A_CTE, docs, query, weights_a
 from ..operators import embedding as EM
-from ..sources.io import read_table
+from ..operators import latent as LA
+from ..operators.features import ngram_features
+from ..operators.vector_classifier import start_numbers
+from ..session import checkpoint_dir
+from ..sources.io import materialize, read_table
 
 
 def emb(spark, sf):
@@ -152,6 +160,41 @@ def q_embed_text(spark, sf):
     return EM.embed(docs(spark, sf))
 
 
+PASS = (256, 3)
+
+
+def _pass_sql(buckets: int, dim: int) -> str:
+    ys = ", ".join(f"sum(x * {S.start_number(f'bucket * {dim} + {j} + 1')}) y{j}" for j in range(dim))
+    zs = ", ".join(f"round(coalesce(sum(x * y{j}), 0.0), 6) + 0.0 z{j}" for j in range(dim))
+    return f"""
+with {S.features_cte(n=2, num_buckets=buckets, where="text is not null")},
+df as (select bucket, count(*) df from f group by bucket),
+u as (select doc_id, bucket, (1 + ln(cnt)) * (ln((1 + (select count(*) from w)) / (1 + df)) + 1) u from f join df using (bucket)),
+x as (select doc_id, bucket, u / sqrt(sum(u * u) over (partition by doc_id)) x from u),
+y as (select doc_id, {ys} from x group by doc_id)
+select b::INT bucket, {zs} from range(0, {buckets}) r(b) left join x on x.bucket = b left join y using (doc_id) group by b"""
+
+
+@query("latent_power_pass", _pass_sql(*PASS))
+def q_latent_pass(spark, sf):
+    """One power pass X^T (X Q) of the latent factors over all documents, from fixed directions."""
+    buckets, dim = PASS
+    path = os.path.join(checkpoint_dir(spark), f"latent-{uuid.uuid4().hex}")
+    features = materialize(ngram_features(docs(spark, sf), n=2, num_buckets=buckets), path)
+    q = start_numbers(np.arange(1, buckets * dim + 1), 0).reshape(buckets, dim)
+    z = LA.power_pass(features, q, LA.bucket_weights(features, buckets))
+    made = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(z)], "bucket int, " + ", ".join(f"z{j} double" for j in range(dim)))
+    return made.select("bucket", *[(F.round(f"z{j}", 6) + F.lit(0.0)).alias(f"z{j}") for j in range(dim)])
+
+
+@query("embed_svd")
+def q_embed_svd(spark, sf):
+    """Latent semantic vectors of every document, learned from the documents (E7); float fit -> rows-only check."""
+    path = os.path.join(checkpoint_dir(spark), f"latent-{uuid.uuid4().hex}")
+    features = materialize(ngram_features(docs(spark, sf), n=2, num_buckets=1 << 12, hash_fn="xxh64"), path)
+    return LA.embed_features(LA.fit_latent(features, 1 << 12, dim=16, passes=3, hash_fn="xxh64"), features)
+
+
 @query("stream_score_filter", f"""
 with {WEIGHTS_A_CTE}
 select doc_id, log_weight from sc where length >= 100 and weight_e10 >= 0""")
@@ -159,7 +202,6 @@ def q_stream(spark, sf):
     """Streaming score-and-filter over the documents files: length >= 100 and weight >= 0."""
     from ..streaming.stream import run_score_filter
     from .catalog import model_a
-    import os
     m = model_a(spark, sf)
     out = run_score_filter(spark, os.path.join(sf, "documents*.parquet"), m, threshold_e10=0)
     return out.select("doc_id", "log_weight")

@@ -22,6 +22,8 @@ from ..operators.features import ngram_features
 from ..session import checkpoint_dir
 from ..operators import results as RS
 from ..sources.io import materialize, read_by_extension, read_table, write_indices, write_tsv
+from ..sources.npy import read_npy, write_npy
+from ..sources.shards import read_shards, write_shards
 
 
 def scratch(spark, name: str) -> str:
@@ -81,6 +83,36 @@ def q_em_two_steps(spark, sf):
     return rows.select("component", "dim", F.round("weight", 6).alias("weight"), F.round("z.mean", 6).alias("mean"), F.round("z.var", 6).alias("var"))
 
 
+def stepwise_sql(name: str, before: str, chunk: str, share: float, blend: str | None) -> str:
+    """One chunk of stepwise EM from ``{before}_per``, ``{before}_w`` and the blended sums of ``blend``."""
+    old = f"left join {blend}_s o on o.component = c.component and o.dim = c.dim" if blend else ""
+    mix = (lambda c: f"{1 - share!r} * o.{c} + {share!r} * c.{c}") if blend else (lambda c: f"c.{c}")
+    return f"""{name}_x as (select * from x where {chunk}),
+{name}_a as (select x.vec_id, p.component,
+    ln(w.weight) - 0.5 * (count(*) * ln(2 * pi()) + sum(ln(p.var) + (x.v - p.mu) * (x.v - p.mu) / p.var)) a
+  from {name}_x x join {before}_per p on p.dim = x.i join {before}_w w on w.component = p.component group by x.vec_id, p.component, w.weight),
+{name}_e as (select vec_id, component, exp(a - max(a) over (partition by vec_id)) e from {name}_a),
+{name}_r as (select vec_id, component, e / sum(e) over (partition by vec_id) r from {name}_e),
+{name}_c as (select r.component, x.i dim, sum(r.r) / (select count(distinct vec_id) from {name}_x) n, sum(r.r * x.v) / (select count(distinct vec_id) from {name}_x) s1,
+    sum(r.r * x.v * x.v) / (select count(distinct vec_id) from {name}_x) s2 from {name}_r r join {name}_x x using (vec_id) group by r.component, x.i),
+{name}_s as (select c.component, c.dim, {mix("n")} n, {mix("s1")} s1, {mix("s2")} s2 from {name}_c c {old}),
+{name}_per as (select component, dim, s1 / n mu, greatest(s2 / n - (s1 / n) * (s1 / n), 0) + 1e-6 var from {name}_s),
+{name}_w as (select component, max(n) weight from {name}_s group by component)"""
+
+
+@query("em_two_chunks", f"""
+with {X_SQL}, {mixture_sql('raw')}, {stepwise_sql('one', 'raw', 'vec_id % 2 = 0', 1.0, None)}, {stepwise_sql('two', 'one', 'vec_id % 2 = 1', 2.0 ** -0.7, 'one')}
+select component, dim::INT dim, round(weight, 6) weight, round(mu, 6) mean, round(var, 6) var from two_per join two_w using (component)""")
+def q_em_two_chunks(spark, sf):
+    """Stepwise EM over two chunks of ids, stopped after the first and resumed from its stored state."""
+    e = emb(spark, sf)
+    first, at = EM.Mixture.from_df(EM.fit_by_label(e)), scratch(spark, "em")
+    EM.fit_gmm_stepwise(e, init=first, chunks=2, state_dir=at, stop_after=1)
+    m = EM.fit_gmm_stepwise(e, init=first, chunks=2, state_dir=at)
+    rows = m.to_df(spark).select("component", "weight", F.posexplode(F.arrays_zip("mean", "var")).alias("dim", "z"))
+    return rows.select("component", "dim", F.round("weight", 6).alias("weight"), F.round("z.mean", 6).alias("mean"), F.round("z.var", 6).alias("var"))
+
+
 # -- classifier retrieval and corpus filters ------------------------------------
 
 @query("classifier_flow_retrieve", f"""
@@ -240,3 +272,28 @@ def q_stored_features(spark, sf):
     materialize(feats(spark, sf), path)
     again = materialize(feats(spark, sf).limit(0), path)
     return again.where(F.size("buckets") > 0).select("doc_id", F.size("buckets").cast("long").alias("n_buckets"))
+
+
+# -- chunk files and shard files ---------------------------------------------------
+
+@query("npy_roundtrip", """
+with n as (select row_number() over (order by vec_id) - 1 "row", embedding from embeddings)
+select "row", len(embedding)::INT dim, round(embedding[1]::DOUBLE, 6) first_value, round(embedding[-1]::DOUBLE, 6) last_value from n""")
+def q_npy_roundtrip(spark, sf):
+    """Embeddings written as .npy chunks in id order and read back by ranges of 50 rows, which split the files."""
+    at = scratch(spark, "npy")
+    write_npy(read_table(spark, sf, "embeddings", "vec_id"), at, "vec_id", files=4)
+    e = F.col("embedding")
+    return read_npy(spark, at, rows=50).select("row", F.size(e).alias("dim"), F.round(F.get(e, 0).cast("double"), 6).alias("first_value"),
+                                               F.round(F.element_at(e, -1).cast("double"), 6).alias("last_value"))
+
+
+@query("shard_files", """
+select doc_id, (doc_id % 4)::INT shard, sha256(text) text_sha256 from documents where text is not null""")
+def q_shard_files(spark, sf):
+    """Documents as JSON lines in one file per virtual shard, read back with the shard from the file's name."""
+    at = scratch(spark, "shards")
+    lines = docs(spark, sf).where("text is not null").select("doc_id", F.to_json(F.struct("text", "doc_id")).alias("value"))
+    write_shards(lines, at, F.pmod("doc_id", F.lit(4)), ["doc_id"], 4)
+    parsed = read_shards(spark, at).select("shard", F.from_json("value", "text string, doc_id long").alias("d"))
+    return parsed.select("d.doc_id", "shard", F.sha2("d.text", 256).alias("text_sha256"))

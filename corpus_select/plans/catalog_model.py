@@ -13,6 +13,8 @@ from ..functions.text import WHITESPACE_CLASS
 from ..operators import classifier as CL
 from ..operators import mlm as ML
 from ..operators import results as RS
+from ..operators import vector_classifier as VC
+from ..operators import wordpiece as WP
 from ..sources.io import read_table
 
 
@@ -163,6 +165,50 @@ def q_metrics_per_task(spark, sf):
     return out.select("task", *[F.round(c, 6).alias(c) for c in ("first_metric", "second_metric", "combined_score")])
 
 
+# -- learned vectors ------------------------------------------------------------------
+
+def _vector_step_sql(buckets: int, dim: int, rate: float) -> str:
+    out = [f"({S.start_number(f'{buckets * dim + 1 + j}')} / sqrt({dim}.0))" for j in range(dim)]
+    s = " + ".join(f"v{j} * {out[j]}" for j in range(dim))
+    moved = ", ".join(f"round(v{j} - {rate} * gb / (sqrt(gb * gb) + 1e-8) * {out[j]}, 7) v{j}" for j in range(dim))
+    return f"""
+with {S.features_cte(n=2, num_buckets=buckets)},
+lf as (select f.doc_id, bucket, cnt, quality y from f join labels l on l.doc_id = f.doc_id where quality is not null),
+v as (select i bucket, {", ".join(f"{S.start_number(f'i * {dim} + {j} + 1')} / {dim}.0 v{j}" for j in range(dim))} from range(0, {buckets}) x(i)),
+s as (select bucket, {s} s from v),
+z as (select doc_id, max(y) y, sum(cnt * s) / sum(cnt) z, sum(cnt) n from lf join s using (bucket) group by doc_id),
+e as (select doc_id, n, 1.0 / (1.0 + exp(-z)) - y err from z),
+gr as (select bucket, sum(cnt / n * err) / (select count(*) from e) gb from lf join e using (doc_id) group by bucket),
+j as (select v.*, coalesce(gb, 0.0) gb from v left join gr using (bucket))
+select bucket::INT bucket, round(gb, 9) grad, {moved} from j"""
+
+
+STEP = {"buckets": 512, "dim": 4, "rate": 0.5}
+
+
+@query("vector_classifier_step", _vector_step_sql(**STEP))
+def q_vector_step(spark, sf):
+    """One full step of the learned-vector classifier over all labelled documents: gradients and moved vectors."""
+    model = VC.VectorModel.start(STEP["buckets"], STEP["dim"], ngrams=2, tokenizer="wordpunct", hash_fn="sha256")
+    lab = labelled(spark, sf).where("quality is not null")
+    rows = VC.featurize(lab, model).where(F.size("buckets") > 0).join(lab.select("doc_id", F.col("quality").cast("double").alias("label")), "doc_id")
+    g, g_bias, _, _ = VC.gradient(rows, model)
+    moved = model.updated(g, g_bias, STEP["rate"])
+    table = [(i, float(g[i]), *map(float, v)) for i, v in enumerate(moved.vectors)]
+    made = spark.createDataFrame(table, "bucket int, grad double, " + ", ".join(f"v{j} double" for j in range(STEP["dim"])))
+    return made.select("bucket", F.round("grad", 9).alias("grad"), *[F.round(f"v{j}", 7).alias(f"v{j}") for j in range(STEP["dim"])])
+
+
+@query("vector_classifier_predict")
+def q_vector_predict(spark, sf):
+    """Learned word and bigram vectors: fitted on the 90% split of labelled documents, tuned on the 10%, every
+    document scored (E8, E9); float fit -> rows-only check."""
+    sp = CL.ordered_split(labelled(spark, sf).select("doc_id", "text", F.col("quality").alias("label")), ["doc_id"])
+    first = VC.VectorModel.start(1 << 16, 32)
+    model = VC.train_vectors(sp.where(F.col("split") == "train"), sp.where(F.col("split") == "val"), first, epochs=4, batches=4)
+    return VC.predict_vectors(model, docs(spark, sf))
+
+
 # -- MLM data preparation ---------------------------------------------------------
 
 VOCAB_SQL = f"""tk as (select doc_id, {S.tok('text')} w from documents
@@ -201,7 +247,7 @@ def q_tokenize_pad(spark, sf):
 
 @query("tokenize_pad_pair", f"""
 with {VOCAB_SQL},
-pr as (select tk.doc_id, w a, {S.tok("coalesce(d.source, '') || ' ' || substr(d.text, 1, 200)")} b from tk join documents d using (doc_id)),
+pr as (select tk.doc_id, w a, {S.tok("coalesce(d.source, '') || ' ' || d.text")} b from tk join documents d using (doc_id)),
 ln as (select doc_id, a, b, case when len(a) + len(b) <= 61 then len(a) when len(a) <= 31 then len(a)
          when len(b) <= 30 then 61 - len(b) else 31 end ka from pr),
 ct as (select doc_id, a[1:ka] a, b[1:61 - ka] b from ln),
@@ -214,18 +260,18 @@ select doc_id, array_to_string(list_resize([2] || x || [3] || y || [3], 64, 0),
   array_to_string(list_resize(list_transform(range(len(x) + 2), lambda i: 0) || list_transform(range(len(y) + 1), lambda i: 1), 64, 0), ',') token_type_ids
 from jn""")
 def q_tokenize_pad_pair(spark, sf):
-    """Pairs (text; source and the text's first 200 characters), truncated longest first to 64."""
-    d = docs(spark, sf).withColumn("second", F.concat(F.coalesce("source", F.lit("")), F.lit(" "), F.substring("text", 1, 200)))
+    """Pairs (text; source and the same text), truncated longest first to 64."""
+    d = docs(spark, sf).withColumn("second", F.concat(F.coalesce("source", F.lit("")), F.lit(" "), F.col("text")))
     e = ML.encode(d, ML.build_vocab(d, max_size=5000), max_length=64, pair_col="second")
     return e.select("doc_id", *[_join_ints(F.col(c)).alias(c) for c in ("input_ids", "token_type_ids")])
 
 
-def _mlm_sql(seed: int, vocab_size: int) -> str:
+def _mlm_sql(seed: int, vocab_size: int, encoded: str = VOCAB_SQL) -> str:
     h = f"sha256('{seed}:mlm:' || doc_id::VARCHAR || ':' || (i - 1)::VARCHAR)"
 
     def u(k):
         return f"((('0x' || substr(h, {13 * k + 1}, 13))::BIGINT)::DOUBLE + 0.5) / 4503599627370496.0"
-    return f"""with {VOCAB_SQL},
+    return f"""with {encoded},
 z as (select doc_id, list_transform(range(1, len(input_ids) + 1),
         lambda i: {{'x': input_ids[i], 's': special_tokens_mask[i], 'h': {h}}}) info from pad)
 select doc_id,
@@ -245,6 +291,97 @@ def q_mlm_mask(spark, sf):
     return m.select("doc_id", _join_ints(F.col("input_ids")).alias("input_ids"), _join_ints(F.col("labels")).alias("labels"))
 
 
+# -- subword ids --------------------------------------------------------------------
+
+def public_vocabulary() -> str:
+    """The public byte-pair file that the registered queries take their pieces from."""
+    import public_tokenizers
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def _vocab_file() -> str:
+    try:
+        return public_vocabulary()
+    except ImportError:  # the queries then fail when they are run, not when they are listed
+        return "word_bpe_49k.json"
+
+
+def _words_sql(text: str) -> str:
+    t = f"regexp_replace(strip_accents(lower(regexp_replace({text}, '{WP.DROPPED}', '', 'g'))), '([{WP.MARK}{WP.IDEOGRAPH}])', ' \\1 ', 'g')"
+    return f"list_filter(string_split(regexp_replace({t}, '{WP.SPACE}', ' ', 'g'), ' '), lambda x: x <> '')"
+
+
+def wordpiece_sql(words: str, columns: tuple[str, ...] = ("text",)) -> str:
+    """CTEs ``t`` (doc_id, word lists) and ``e0``, ``e1`` (doc_id, ids) by greedy longest match; ``words`` selects (doc_id, texts...)."""
+    lists = ", ".join(f"{_words_sql(c)} w{k}" for k, c in enumerate(columns))
+    union = " union all ".join(f"select unnest(w{k}) w from t" for k in range(len(columns)))
+    encoded = ",\n".join(f"""x{k} as (select doc_id, unnest(w{k}) w, unnest(range(1, len(w{k}) + 1)) pos from t),
+e{k} as (select doc_id, coalesce(flatten(list(p.ids order by pos)), []::INT[]) ids from t left join x{k} using (doc_id) left join pieces p using (w) group by doc_id)""" for k in range(len(columns)))
+    return f"""recursive src as ({words}), t as (select doc_id, {lists} from src),
+raw as (select unnest(map_entries(model.vocab)) e from read_json('{_vocab_file()}', columns = {{'model': 'STRUCT(vocab MAP(VARCHAR, INTEGER))'}}, maximum_object_size = 100000000)),
+core as (select core, min(e.value) nr from (select e, regexp_replace(e.key, '</w>$', '') core from raw) where core <> '' and regexp_matches(core, '^[!-~]+$') group by core),
+vocab as (select core piece, false more, (row_number() over (order by nr) + 4)::INT id from core
+  union all select core, true, (row_number() over (order by nr) + 4 + (select count(*) from core))::INT from core),
+word as (select distinct w from ({union})),
+at1 as (select w, unnest(range(1, len(w) + 1)) p from word where len(w) <= {WP.MAX_WORD}),
+cand as (select w, p, unnest(range(1, least(len(w) - p + 1, (select max(len(piece)) from vocab)) + 1)) l from at1),
+best as (select c.w, c.p, max(c.l) l, arg_max(v.id, c.l) id from cand c join vocab v on v.piece = substr(c.w, c.p, c.l) and v.more = (c.p > 1) group by all),
+walk as (select w, p, l, id from best where p = 1 union all select b.w, b.p, b.l, b.id from walk g join best b on b.w = g.w and b.p = g.p + g.l),
+pieces as (select word.w, case when coalesce(sum(l), 0) = len(word.w) then list(id order by p) else [1] end ids from word left join walk using (w) group by word.w),
+{encoded}"""
+
+
+@query("wordpiece_ids", f"""
+with {wordpiece_sql("select doc_id, coalesce(text, '') text from documents")}
+select doc_id, len(ids)::INT n_pieces, len(list_filter(ids, lambda i: i = 1))::INT n_unknown, sha256(array_to_string(ids, ',')) ids_sha256 from e0""")
+def q_wordpiece_ids(spark, sf):
+    """Subword ids of every whole document by greedy longest match."""
+    ids = WP.wordpiece_ids(docs(spark, sf), WP.vocab_table(spark, WP.pieces_of_bpe(public_vocabulary())))
+    return ids.select("doc_id", F.size("ids0").alias("n_pieces"), F.size(F.filter("ids0", lambda i: i == ML.UNK)).alias("n_unknown"),
+                      F.sha2(_join_ints(F.col("ids0")), 256).alias("ids_sha256"))
+
+
+SUBWORD_PAD = f"""{wordpiece_sql("select doc_id, coalesce(text, '') text from documents")},
+enc as (select doc_id, ids[1:62] ids from e0 where len(ids) > 0),
+pad as (select doc_id, list_resize([2] || ids || [3], 64, 0) input_ids, list_resize(list_transform(range(len(ids) + 2), lambda i: 1), 64, 0) attention_mask,
+               list_resize([1] || list_transform(ids, lambda i: 0) || [1], 64, 1) special_tokens_mask from enc)"""
+
+
+def subword_encoded(spark, sf):
+    return WP.wordpiece_encode(docs(spark, sf), WP.vocab_table(spark, WP.pieces_of_bpe(public_vocabulary())), max_length=64)
+
+
+@query("wordpiece_pad", f"""
+with {SUBWORD_PAD}
+select doc_id, array_to_string(input_ids, ',') input_ids, array_to_string(attention_mask, ',') attention_mask,
+       array_to_string(special_tokens_mask, ',') special_tokens_mask from pad""")
+def q_wordpiece_pad(spark, sf):
+    """Subword ids truncated and padded to 64."""
+    return subword_encoded(spark, sf).select("doc_id", *[_join_ints(F.col(c)).alias(c) for c in ("input_ids", "attention_mask", "special_tokens_mask")])
+
+
+@query("wordpiece_pad_pair", f"""
+with {wordpiece_sql("select doc_id, coalesce(text, '') a, coalesce(source, '') || ' ' || coalesce(text, '') b from documents", ("a", "b"))},
+ln as (select e0.doc_id, e0.ids a, e1.ids b, case when len(a) + len(b) <= 61 then len(a) when len(a) <= 31 then len(a)
+         when len(b) <= 30 then 61 - len(b) else 31 end ka from e0 join e1 using (doc_id) where len(a) > 0),
+ct as (select doc_id, a[1:ka] x, b[1:61 - ka] y from ln)
+select doc_id, array_to_string(list_resize([2] || x || [3] || y || [3], 64, 0), ',') input_ids,
+  array_to_string(list_resize(list_transform(range(len(x) + 2), lambda i: 0) || list_transform(range(len(y) + 1), lambda i: 1), 64, 0), ',') token_type_ids
+from ct""")
+def q_wordpiece_pad_pair(spark, sf):
+    """Subword pairs (text; source and the same text), truncated longest first to 64."""
+    d = docs(spark, sf).withColumn("second", F.concat(F.coalesce("source", F.lit("")), F.lit(" "), F.coalesce("text", F.lit(""))))
+    e = WP.wordpiece_encode(d, WP.vocab_table(spark, WP.pieces_of_bpe(public_vocabulary())), max_length=64, pair_col="second")
+    return e.select("doc_id", *[_join_ints(F.col(c)).alias(c) for c in ("input_ids", "token_type_ids")])
+
+
+@query("wordpiece_mlm_mask", _mlm_sql(19, 90000, SUBWORD_PAD))
+def q_wordpiece_mlm_mask(spark, sf):
+    """Seeded masking of subword ids, seed 19."""
+    m = ML.mask_tokens(subword_encoded(spark, sf), vocab_size=90000, seed=19)
+    return m.select("doc_id", _join_ints(F.col("input_ids")).alias("input_ids"), _join_ints(F.col("labels")).alias("labels"))
+
+
 # -- evaluation helpers -------------------------------------------------------------
 
 @query("label_list", """

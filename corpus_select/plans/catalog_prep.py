@@ -11,6 +11,7 @@ from ..operators import features as FE
 from ..operators import pack as PK
 from ..operators import quality as QU
 from ..operators import select as SEL
+from ..operators import sentences as SE
 from ..sources.io import read_table
 
 CHUNKS_SQL = """chunks as (
@@ -142,3 +143,27 @@ def q_group_of_n(spark, sf):
     b = read_table(spark, sf, "benchmark")
     g = PK.group_of_n(b, 3, "item_id", ["item_id"], incomplete="fill", fill_value=-1)
     return g.select("group_no", F.array_join(F.transform("items", lambda x: x.cast("string")), ",").alias("items"))
+
+
+# -- sentence ends -----------------------------------------------------------------
+
+@query("abbreviation_scores", f"""
+with {SE.scores_sql()} select type, n, n_period, round(score, 6) + 0.0 score from ab""")
+def q_abbreviation_scores(spark, sf):
+    """Log-likelihood score of every word seen with a final period."""
+    scores = SE.abbreviation_scores(SE.word_counts(docs(spark, sf)))
+    return scores.select("type", "n", "n_period", (F.round("score", 6) + F.lit(0.0)).alias("score"))
+
+
+@query("sentence_tokens", f"""
+with {SE.scores_sql()}, listed as (select coalesce(list(type), []) l from ab where score >= {SE.ABBREVIATION}),
+ww as (select doc_id, {SE.words_sql("text")} ws, l from documents, listed where text is not null),
+tk as (select doc_id, {SE.tokens_sql("ws", "l")} t from ww)
+select doc_id, len(t)::INT n_tokens, sha256(array_to_string(t, ' ')) tokens_sha256 from tk""")
+def q_sentence_tokens(spark, sf):
+    """Treebank-style tokens with learned abbreviations kept whole inside sentences."""
+    d = docs(spark, sf)
+    listed = SE.abbreviation_scores(SE.word_counts(d)).where(F.col("score") >= SE.ABBREVIATION).select("type")
+    model = SE.SentenceModel(SE._listed(listed, "abbreviations"))
+    tokens = d.where("text is not null").select("doc_id", SE.sentence_tokens(F.col("text"), model).alias("t"))
+    return tokens.select("doc_id", F.size("t").alias("n_tokens"), F.sha2(F.array_join("t", " "), 256).alias("tokens_sha256"))

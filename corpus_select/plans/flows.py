@@ -71,13 +71,17 @@ def ngram_scores(raw: DataFrame, targets: DataFrame | dict[str, DataFrame] | Non
                  num_tokens_to_fit="all", target_laplace_smoothing: float = 0.0,
                  separate_targets: bool = False, target_proportions: Sequence[float] | None = None,
                  min_example_length: int | None = 100, work_dir: str | None = None,
-                 reuse: bool = True) -> tuple[NG.NgramModel, DataFrame]:
-    """Fit the n-gram estimator and score every raw document: (model, stored weights)."""
+                 reuse: bool = True, input_name: str | None = None) -> tuple[NG.NgramModel, DataFrame]:
+    """Fit the n-gram estimator and score every raw document: (model, stored weights).
+
+    ``input_name`` names ``raw`` in the folder names by which ``work_dir`` is used again; without one the
+    rows are read once more to name them by their content.
+    """
     raw = raw.select("doc_id", "text")
     work = _work_dir(raw, work_dir, "ngram")
     tok = _stored_as(tokenizer)
     again = reuse and work_dir is not None and tok is not None
-    key = cache_key(n=n, b=num_buckets, tok=tok or uuid.uuid4().hex, h=hash_fn, input=_fingerprint(raw) if again else "new")
+    key = cache_key(n=n, b=num_buckets, tok=tok or uuid.uuid4().hex, h=hash_fn, input=(input_name or _fingerprint(raw)) if again else "new")
     feats = materialize(ngram_features(raw, n=n, num_buckets=num_buckets, tokenizer=tokenizer, hash_fn=hash_fn),
                         os.path.join(work, f"features_{key}"), overwrite=not again)
     common = dict(n=n, num_buckets=num_buckets, tokenizer=tokenizer, hash_fn=hash_fn,
@@ -174,7 +178,7 @@ def hybrid_selection(raw: DataFrame, targets: DataFrame | dict[str, DataFrame] |
 def chunked_selection(raw: DataFrame, target_ids: DataFrame, k: int, *, chunk_length: int = 128,
                       quality_filter: bool = True, exclude_domains: Sequence[str] = (),
                       topup: dict[str, int] | None = None, pack: bool = False, seed: int = 0,
-                      n: int = 2, num_buckets: int = 10000, work_dir: str | None = None) -> DataFrame:
+                      n: int = 2, num_buckets: int = 10000, work_dir: str | None = None, input_name: str | None = None) -> DataFrame:
     """Chunk, filter by quality, score, sample k chunks, top up from held-out domains, fetch, pack.
 
     ``raw``: ``(doc_id, text, domain)``. ``target_ids``: ``doc_id`` of raw
@@ -183,7 +187,7 @@ def chunked_selection(raw: DataFrame, target_ids: DataFrame, k: int, *, chunk_le
     """
     work = _work_dir(raw, work_dir, "chunked")
     key = cache_key(length=chunk_length, quality=quality_filter, exclude="-".join(sorted(exclude_domains)) or "none",
-                    input=_fingerprint(raw) if work_dir is not None else "new").replace("/", "_")
+                    input=(input_name or _fingerprint(raw)) if work_dir is not None else "new").replace("/", "_")
     ch = QU.chunk_documents(raw, chunk_length, keep=("domain",))
     # both filters are row-local: they are columns of the one pass over the chunks
     good = QU.quality_stats(ch, "contents") if quality_filter else ch
@@ -196,7 +200,8 @@ def chunked_selection(raw: DataFrame, target_ids: DataFrame, k: int, *, chunk_le
     ch = materialize(ch.join(ids, ["doc_id", "chunk_no"]), os.path.join(work, f"numbered_{key}"))
     pool = ch.select(F.col("chunk_id").alias("doc_id"), F.col("contents").alias("text"))
     tgt = ch.join(target_ids.select("doc_id"), "doc_id", "left_semi").select(F.col("chunk_id").alias("doc_id"))
-    _, weights = ngram_scores(pool, target_ids=tgt, n=n, num_buckets=num_buckets, min_example_length=None, work_dir=os.path.join(work, "ngram"))
+    _, weights = ngram_scores(pool, target_ids=tgt, n=n, num_buckets=num_buckets, min_example_length=None, work_dir=os.path.join(work, "ngram"),
+                              reuse=work_dir is not None, input_name=key)
     eligible = ch.where("eligible").select(F.col("chunk_id").alias("doc_id"))
     chosen = SEL.gumbel_top_k(weights.join(eligible, "doc_id", "left_semi"), k, seed=seed).select("doc_id")
     if topup:

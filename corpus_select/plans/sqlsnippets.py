@@ -62,3 +62,11 @@ def dense(counts: str, col: str, num_buckets: int = B, smoothing: float = 0.0) -
     return f"""(select i::INT bucket, coalesce(c.cnt, 0)::BIGINT {col}_cnt,
   (coalesce(c.cnt, 0) + {smoothing}) / ((select coalesce(sum(cnt), 0) from {counts}) + {smoothing * num_buckets}) {col}_p
   from range(0, {num_buckets}) x(i) left join {counts} c on x.i = c.bucket)"""
+
+
+def start_number(index: str, seed: int = 0) -> str:
+    """One of ``vector_classifier.start_numbers``."""
+    low = "4294967295::UBIGINT"
+    x = f"((({index})::UBIGINT * 2654435761::UBIGINT + {seed * 97}::UBIGINT) & {low})"
+    x = f"((xor({x}, {x} >> 15) * 2246822519::UBIGINT) & {low})"
+    return f"((xor({x}, {x} >> 13)::DOUBLE + 0.5) / 2147483648.0 - 1.0)"

@@ -107,9 +107,10 @@ READERS = {
 }
 
 
-def read_by_extension(spark: SparkSession, path: str) -> DataFrame:
-    """Text lines (column ``text``), CSV or JSON, by the file's suffix."""
-    return READERS.get(os.path.splitext(path)[1].lower(), lambda r, p: r.json(p))(spark.read, path)
+def read_by_extension(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """Text lines (column ``text``), CSV or JSON, by the file's suffix; a JSON ``schema`` saves the scan that infers one."""
+    reader = READERS.get(os.path.splitext(path)[1].lower(), lambda r, p: (r.schema(schema) if schema else r).json(p))
+    return reader(spark.read, path)
 
 
 # -- dataset registry (S6) ----------------------------------------------------
@@ -199,9 +200,13 @@ def write_indices(chosen: DataFrame, out_dir: str, id_col: str = "doc_id", mode:
     chosen.select(id_col).write.mode(mode).parquet(out_dir)
 
 
-def write_tsv(df: DataFrame, out_dir: str, mode: str = "overwrite") -> None:
-    """Tab-separated result table with a header."""
-    df.coalesce(1).write.mode(mode).option("sep", "\t").option("header", True).csv(out_dir)
+def write_tsv(df: DataFrame, out_dir: str, mode: str = "overwrite", one_file: bool = False) -> None:
+    """Tab-separated result table, a header in each file.
+
+    ``one_file`` puts all rows through one task: for tables of a few rows, such as a roll-up.
+    """
+    rows = df.coalesce(1) if one_file else df
+    rows.write.mode(mode).option("sep", "\t").option("header", True).csv(out_dir)
 
 
 def read_word_vectors(spark: SparkSession, path: str) -> DataFrame:
