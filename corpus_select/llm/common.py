@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import os
 import uuid
+import weakref
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,12 +18,13 @@ from ..session import checkpoint_dir, ship_package
 
 SLICE_BYTES = 24 << 20
 _WRITTEN: list[tuple[SparkSession, str]] = []
+_PATHS: dict[int, tuple] = {}
 
 
 def prepare(spark: SparkSession) -> None:
     """Ship the package and bound Arrow batches by bytes as well as by rows."""
     ship_package(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
 def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
@@ -37,7 +39,21 @@ def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
         atexit.register(release)
     _WRITTEN.append((spark, path))
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    read = spark.read.schema(df.schema).parquet(path)
+    _PATHS[id(read)] = weakref.ref(read), path
+    return read
+
+
+def forget(*dfs: DataFrame) -> None:
+    """Delete the folders of tables that ``stored`` returned, once nothing reads them any more."""
+    for df in dfs:
+        ref, path = _PATHS.pop(id(df), (None, None))
+        if ref is None or ref() is not df:
+            raise ValueError("not a table that stored() returned")
+        spark = df.sparkSession
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        _WRITTEN[:] = [(s, x) for s, x in _WRITTEN if x != path]
 
 
 def stored_bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import forget, stored
 
 
 def _state(e: DataFrame) -> tuple:
@@ -28,7 +28,8 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         large = e.join(least.select(F.col("hi").alias("lo"), "m"), "lo", "left").select("hi", F.coalesce("m", "lo").alias("lo")).distinct()
         least = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(least, "hi").select(F.explode(F.array(F.struct("hi", F.col("m").alias("lo")), F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo")))).alias("e"))
-        e = stored(small.select("e.*").where("hi <> lo").distinct(), name)
+        last, e = e, stored(small.select("e.*").where("hi <> lo").distinct(), name)
+        forget(last)
         state, before = _state(e), state
         if state == before:
             break

@@ -1,21 +1,24 @@
-"""Fuzzy line deduplication: shared rare words, exact filters, edit similarity, one occurrence per connected group.
+"""Fuzzy line deduplication: SimHash of normalised lines, pigeonhole blocks, edit similarity, one occurrence per connected group.
 
 1. Lines are normalised (words in lower case, letters and digits only, single
    blanks) and get a 128-bit class. Equal normalised lines are one class.
-2. Two lines that are near keep at least n - d words of the longer one (n words, d the
-   most edits allowed). So, with the words of all lines in one order, they share one of their first
-   d + 1 words each, and classes meet in those words as keys. Rare words (counted on a
-   sample) come first, which keeps keys small; any order finds every pair.
-3. A row carries its number of words and the parities of its words' counts in 64 to 256
-   buckets: each edit changes at most two. Only rows that another row of their key is near
-   by both go on; that loses no pair.
-4. Inside a key, classes whose lines have an edit similarity (by words) of at least
-   ``SIMILARITY`` are linked. A pair is not compared if it is already connected there: a key
-   gives a spanning forest, never all pairs. Keys beyond ``BLOCK`` classes are dealt as pairs of
-   blocks, so no task holds an unbounded key.
+2. A class has a SimHash of 128 bits over its words. A word's weight is 2 sqrt(ln(lines / its
+   occurrences)), rounded, counted over all documents: words of every line say nothing.
+3. The SimHash is cut into 10 blocks of 12 bits. Classes that share a block meet in it. Of the
+   pairs that meet, those go on whose lengths allow the edit similarity and whose
+   SimHashes differ by at most ``radius`` bits (by length), each in the first block it shares.
+   Blocks are dealt to tasks by their sizes; a block value beyond ``CROWD`` classes is cut into groups
+   that meet pair by pair, so no task holds an unbounded one.
+4. Pairs that went on form candidate groups. Texts are fetched for their lines alone. Inside a group,
+   classes whose lines have an edit similarity (by words) of at least ``SIMILARITY`` are
+   linked. A pair is not compared if it is already connected there: a group gives a spanning
+   forest, never all pairs. Groups beyond ``BLOCK`` classes are dealt as pairs of blocks.
 5. Connected classes are one group, whose first occurrence (by id, text hash, line
    number) stays.
 
+Lines that share no block of 12 bits, or differ by more bits than the radius, are not found: the README
+has the measured share by length.
+
 Defined results: null text is empty; lines without letters or digits stay; a
 document that loses all lines stays with an empty text; rows with the same id and
 the same text keep the same lines; null ids come last; extra columns pass through.
@@ -28,19 +31,28 @@ import re
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, binary_array, codes_of, gathered, large, list_lengths, one_array, record_batch, starts_of, stored
+from .common import arrow_map, codes_of, forget, gathered, large, list_lengths, one_array, record_batch, starts_of, stored
 from .components import components
 from .shingles import hash_strings, mix
-
-RADIUS, SIMILARITY, BLOCK = 64, 0.8, 2048  # no distance of the SimHashes rules a pair out
+from .simhash import Sets
+
+SIMILARITY, BLOCK = 0.8, 2048
+WIDTH, BLOCKS = 12, 10  # bits of a block, blocks of the 128 bits
+RADIUS = ((20, 36), (50, 32), (1 << 30, 28))  # lines below so many words: bits that near ones may differ by
+CROWD, TASK = 1 << 16, 1 << 18  # classes of a block value, and of a task, that are compared together
+PAIRS = 1 << 20  # pairs of classes compared at once
+FREQ_BITS = 16  # buckets of word counts
+BITMAP_BITS = 23  # of the map of wanted lines: it spares work and decides nothing
+CHUNK = 1 << 15  # bytes of task-wide arrays that travel together
+SLICE = 4 << 20  # bytes of text that are worked on at once
 OTHER = r"[^\p{L}\p{N}]+"
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-FREQ_BITS, FREQ_PART = 19, 16  # buckets of word counts; the part of the classes they are counted on
-LENGTHS = (40, 90)  # lines up to so many words carry 64 and 128 parities, longer ones 256
-RUN = 1 << 20  # lines whose words are sorted at once; their number takes 20 bits
+_SEEDS = (np.uint64(0), np.uint64(0x6A09E667F3BCC909))
+_ROW = np.dtype([("s1", "<u8"), ("s2", "<u8"), ("high", "<i8"), ("words", "<u2"), ("block", "u1"), ("side", "u1")])
 
 
 def most_edits(n, similarity: float):
@@ -48,6 +60,11 @@ def most_edits(n, similarity: float):
     return ((1 - similarity) * np.asarray(n) + 1e-9).astype(np.int64)
 
 
+def least_words(similarity: float) -> int:
+    """Lines of fewer words are near none but themselves."""
+    return next(n for n in range(1, 1 << 20) if most_edits(n + 1, similarity) > 0) if similarity < 1 else 1 << 30
+
+
 def normal_words(words: pa.Array) -> pa.Array:
     return pc.replace_substring_regex(pc.utf8_lower(words), OTHER, "")
 
@@ -60,227 +77,289 @@ def normal_line(line: str) -> str:
 _SPLIT = re.compile("[ \t\n\r\x0b\x0c]+")
 
 
-def _lanes(h: np.ndarray) -> np.ndarray:
-    """Bits of 64-bit hashes as 8 words of 8 one-byte counters."""
-    bits = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    return np.ascontiguousarray(bits).view("<u8").reshape(-1, 8)
+# -- arrays that all tasks add up -----------------------------------------------------
+
+def _sent(array: np.ndarray):
+    raw = array.tobytes()
+    return record_batch({"chunk": pa.array(range(-(-len(raw) // CHUNK)), pa.int32()), "data": pa.array([raw[a:a + CHUNK] for a in range(0, len(raw), CHUNK)], pa.binary())})
+
+
+def _met(how, kind: str):
+    """Rows sorted by chunk -> one row per chunk."""
+    def run(batches):
+        last, held = None, None
+        for b in batches:
+            for chunk, data in zip(b.column("chunk").to_pylist(), b.column("data").to_pylist()):
+                own = np.frombuffer(data, kind)
+                if chunk == last:
+                    held = how(held, own)
+                    continue
+                if last is not None:
+                    yield record_batch({"chunk": pa.array([last], pa.int32()), "data": pa.array([held.tobytes()], pa.binary())})
+                last, held = chunk, own
+        if last is not None:
+            yield record_batch({"chunk": pa.array([last], pa.int32()), "data": pa.array([held.tobytes()], pa.binary())})
+    return run
+
+
+def _over_tasks(df: DataFrame, fn, how, kind: str, size: int) -> np.ndarray:
+    """The arrays of all tasks (``fn`` yields one each), combined chunk by chunk; ``size`` is a constant of this module."""
+    rows = arrow_map(df, fn, "chunk int, data binary").repartition("chunk").sortWithinPartitions("chunk")
+    found = sorted((r.chunk, r.data) for r in arrow_map(rows, _met(how, kind), "chunk int, data binary").collect())
+    return np.frombuffer(b"".join(d for _, d in found), kind) if found else np.zeros(size, kind)
 
 
-def line_hashes(lines: pa.Array, simhash: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(words, class high, class low, SimHash if asked for) per line."""
+# -- classes and SimHashes ------------------------------------------------------------
+
+def _line_words(lines: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(words per line, code per word, hash per distinct word) of the normalised lines."""
     lists = pc.ascii_split_whitespace(lines)
     codes, distinct = codes_of(lists.flatten())
-    per = list_lengths(lists)
     normal = normal_words(distinct)
-    hashes = hash_strings(normal)
-    keep = (pc.binary_length(normal).to_numpy(zero_copy_only=False) > 0)[codes] if len(distinct) else np.zeros(0, bool)
-    ends = np.concatenate([[0], np.cumsum(keep)])[starts_of(per)]
-    per, codes = np.diff(ends), codes[keep]
-    n, h = len(per), hashes[codes] if len(codes) else np.zeros(0, np.uint64)
-    place = np.arange(len(h), dtype=np.uint64) - np.repeat(ends[:-1].astype(np.uint64), per)
+    if not len(distinct):
+        return list_lengths(lists), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    keep = (pc.binary_length(normal).to_numpy(zero_copy_only=False) > 0)[codes]
+    ends = np.concatenate([[0], np.cumsum(keep)])[starts_of(list_lengths(lists))]
+    return np.diff(ends), codes[keep], hash_strings(normal)
+
+
+def _count_words(batches):
+    counts = np.zeros((1 << FREQ_BITS) + 1, np.int64)
+    for t in gathered(batches, limit=SLICE):
+        per, codes, hashes = _line_words(pc.split_pattern(large(t.column("text")), "\n").flatten())
+        counts[-1] += int((per > 0).sum())
+        if len(codes):
+            counts[:-1] += np.bincount((hashes >> np.uint64(64 - FREQ_BITS)).astype(np.int64), np.bincount(codes, minlength=len(hashes)), 1 << FREQ_BITS).astype(np.int64)
+    yield _sent(counts)
+
+
+def word_weights(docs: DataFrame) -> np.ndarray:
+    """Weight (0 to 7) of the words of each hash bucket, from all lines of all documents."""
+    size = (1 << FREQ_BITS) + 1
+    counts = _over_tasks(docs.select("text"), _count_words, np.add, "<i8", size)
+    n = max(1, int(counts[-1]))
+    return np.minimum(7, np.rint(2 * np.sqrt(np.log((n + 1) / np.clip(counts[:-1], 1, n + 1))))).astype(np.uint8)
+
+
+def simhashes(per: np.ndarray, codes: np.ndarray, hashes: np.ndarray, weights: np.ndarray) -> list[np.ndarray]:
+    """Two 64-bit SimHashes per line: bits set in over half of its words' weight."""
+    out = [np.zeros(len(per), np.uint64) for _ in _SEEDS]
+    busy = np.flatnonzero(per)
+    if not len(busy):
+        return out
+    own = weights[hashes >> np.uint64(64 - FREQ_BITS)]
+    n, start = per[busy], starts_of(per)[:-1][busy]
+    total = np.add.reduceat(own[codes].astype(np.int64), start)
+    # eight one-byte counters in a word hold up to 255, so the words of a line are summed 36 at a time
+    parts = -(-n // 36)
+    first = starts_of(parts)
+    cut = np.repeat(start, parts) + 36 * (np.arange(first[-1]) - np.repeat(first[:-1], parts))
+    for k, seed in enumerate(_SEEDS):
+        bits = np.unpackbits(mix(hashes ^ seed).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        table = (bits * own[:, None]).view("<u8")
+        counts = np.zeros((len(cut), 64), np.uint8)
+        for a in range(0, len(cut), 4096):
+            b = min(a + 4096, len(cut))
+            end = cut[b] if b < len(cut) else len(codes)
+            counts[a:b] = np.add.reduceat(table[codes[cut[a]:end]], cut[a:b] - cut[a], axis=0).view(np.uint8).reshape(-1, 64)
+        sums = np.add.reduceat(counts, first[:-1], axis=0, dtype=np.int64)
+        out[k][busy] = np.packbits(2 * sums > total[:, None], axis=1, bitorder="little").view("<u8").ravel()
+    return out
+
+
+def line_hashes(lines: pa.Array, weights: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(words, class high, class low, SimHash, SimHash) per line."""
+    per, codes, hashes = _line_words(lines)
+    n, ends = len(per), starts_of(per)
+    high, low = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
     busy = per > 0
-    at = ends[:-1][busy]
-    high, low, sim = np.zeros(n, np.uint64), np.zeros(n, np.uint64), np.zeros(n, np.uint64)
-    if not len(h):
-        return per, high, low, sim
-    high[busy] = mix(np.add.reduceat(mix(h + place * _STEP), at))
-    low[busy] = mix(np.add.reduceat(mix((h ^ _STEP) * np.uint64(0xD1342543DE82EF95) + place * np.uint64(0xA0761D6478BD642F)), at))
-    if not simhash:
-        return per, high, low, sim
-    # counts of set bits: lanes hold up to 255, so long lines are summed in parts
-    table = _lanes(mix(hashes))
-    own = per[busy]
-    tails = [a + np.arange(255, p, 255) for a, p in zip(at[own > 255].tolist(), own[own > 255].tolist())]
-    cut = np.sort(np.concatenate([at, *tails])) if tails else at
-    part = np.concatenate([np.add.reduceat(table[codes[a:b]], cut[i:j] - a, axis=0) for i, j, a, b in _runs(cut, len(h))])
-    counts = part.view(np.uint8).reshape(-1, 64)
-    first = np.searchsorted(cut, at)
-    if len(cut) > len(at):
-        counts = np.add.reduceat(counts.astype(np.int64), first, axis=0)
-    votes = 2 * counts.astype(np.int64) > per[busy][:, None]
-    sim[busy] = np.packbits(votes, axis=1, bitorder="little").view("<u8").ravel()
-    return per, high, low, sim
-
-
-def _runs(cut: np.ndarray, n: int, size: int = 1 << 20):
-    """Parts of ``cut`` whose words are about ``size``: (first, last, first word, last word)."""
-    i = 0
-    while i < len(cut):
-        j = max(i + 1, int(np.searchsorted(cut, cut[i] + size)))
-        yield i, j, int(cut[i]), int(cut[j]) if j < len(cut) else n
-        i = j
+    if len(codes):
+        h, at = hashes[codes], ends[:-1][busy]
+        place = np.arange(len(h), dtype=np.uint64) - np.repeat(ends[:-1].astype(np.uint64), per)
+        high[busy] = mix(np.add.reduceat(mix(h + place * _STEP), at))
+        low[busy] = mix(np.add.reduceat(mix((h ^ _STEP) * np.uint64(0xD1342543DE82EF95) + place * np.uint64(0xA0761D6478BD642F)), at))
+    return per, high, low, *simhashes(per, codes, hashes, weights)
 
 
 def _signed(a: np.ndarray) -> pa.Array:
     return pa.array(a.view(np.int64), pa.int64())
 
 
-def _hash_lines(batches):
-    for t in gathered(batches):
-        lists = pc.split_pattern(large(t.column("text")), "\n")
-        per = list_lengths(lists)
-        row = np.repeat(np.arange(len(per)), per)
-        number = np.arange(len(row)) - np.repeat(starts_of(per)[:-1], per)
-        words, high, low, _ = line_hashes(lists.flatten(), simhash=False)
-        keep = np.flatnonzero(words > 0)
-        rows = pa.array(row[keep])
-        yield record_batch({"doc_id": one_array(t.column("doc_id")).take(rows), "version": one_array(t.column("version")).take(rows), "line": pa.array(number[keep], pa.int32()),
-                            "high": _signed(high[keep]), "low": _signed(low[keep]), "words": pa.array(words[keep], pa.int32())})
+def raw_hashes(lines: pa.Array) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, lines.cast(pa.large_binary()).to_pylist()), np.uint64, len(lines))
+
+
+def _hash_lines(weights: np.ndarray):
+    def run(batches):
+        for t in gathered(batches, limit=SLICE):
+            lists = pc.split_pattern(large(t.column("text")), "\n")
+            per, flat = list_lengths(lists), lists.flatten()
+            row = np.repeat(np.arange(len(per)), per)
+            number = np.arange(len(row)) - np.repeat(starts_of(per)[:-1], per)
+            words, high, low, s1, s2 = line_hashes(flat, weights)
+            keep = np.flatnonzero(words > 0)
+            rows = pa.array(row[keep])
+            yield record_batch({"doc_id": one_array(t.column("doc_id")).take(rows), "version": one_array(t.column("version")).take(rows), "line": pa.array(number[keep], pa.int32()),
+                                "high": _signed(high[keep]), "low": _signed(low[keep]), "words": pa.array(words[keep], pa.int32()), "raw": _signed(raw_hashes(flat.take(pa.array(keep)))),
+                                "s1": _signed(s1[keep]), "s2": _signed(s2[keep])})
+    return run
 
 
 def line_table(docs: DataFrame) -> DataFrame:
-    """Stored (doc_id, version, line, high, low, words) of every line with words."""
+    """Stored (doc_id, version, line, high, low, words, raw, s1, s2) of every line with words."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return stored(arrow_map(docs, _hash_lines, f"doc_id {kind}, version long, line int, high long, low long, words int"), "lines")
+    return stored(arrow_map(docs, _hash_lines(word_weights(docs)), f"doc_id {kind}, version long, line int, high long, low long, words int, raw long, s1 long, s2 long"), "lines")
 
 
-def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(words per line, hash per word) of normalised lines."""
-    lists = pc.split_pattern(texts, " ")
-    codes, distinct = codes_of(lists.flatten())
-    return list_lengths(lists), hash_strings(distinct)[codes] if len(distinct) else np.zeros(0, np.uint64)
+# -- candidates -----------------------------------------------------------------------
 
+def block_values(s1: np.ndarray, s2: np.ndarray, block: int) -> np.ndarray:
+    """Bits 12 b to 12 b + 11 of the 128."""
+    at = block * WIDTH
+    if at >= 64:
+        v = s2 >> np.uint64(at - 64)
+    else:
+        v = s1 >> np.uint64(at)
+        if at + WIDTH > 64:
+            v = v | s2 << np.uint64(64 - at)
+    return (v & np.uint64((1 << WIDTH) - 1)).astype(np.int64)
 
-def _bucket_counts(batches):
-    for t in gathered(batches):
-        _, h = word_hashes(large(t.column("text")))
-        bucket, n = np.unique(h >> np.uint64(64 - FREQ_BITS), return_counts=True)
-        yield record_batch({"bucket": pa.array(bucket.astype(np.int32)), "n": pa.array(n.astype(np.int64))})
 
+def _count_blocks(batches):
+    counts = np.zeros(BLOCKS << WIDTH, np.int64)
+    for b in batches:
+        s1, s2 = (b.column(c).to_numpy().view(np.uint64) for c in ("s1", "s2"))
+        for k in range(BLOCKS):
+            counts += np.bincount((k << WIDTH) + block_values(s1, s2, k), minlength=len(counts))
+    yield _sent(counts)
 
-def word_levels(texts: DataFrame) -> np.ndarray:
-    """How frequent the words of each hash bucket are (0 to 63), on a part of the classes; it orders words and decides nothing else."""
-    part = texts.where(F.pmod("high", F.lit(FREQ_PART)) == 0)
-    n = arrow_map(part, _bucket_counts, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # at most 2^FREQ_BITS rows
-    out = np.zeros(1 << FREQ_BITS, np.uint8)
-    out[n.column("bucket").to_numpy()] = np.minimum(63, 3 * np.log2(n.column("n").to_numpy() + 1))
-    return out
 
+def deal_blocks(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first bucket, groups) per block value: small ones share a bucket, one beyond ``CROWD`` has a bucket per pair of its groups."""
+    groups = np.maximum(1, -(-counts // CROWD))
+    small = np.where(groups == 1, counts, 0)
+    bucket = (np.cumsum(small) - small) // TASK
+    own = np.where(groups > 1, groups * (groups + 1) // 2, 0)
+    return np.where(groups > 1, int(bucket.max(initial=0)) + 1 + np.cumsum(own) - own, bucket), groups
 
-def parities(per: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """(lines, 4) numbers: parities of the words' counts in 64, 128 or 256 buckets by LENGTHS; the xor of a wider line's halves are its narrower parities."""
-    out = np.zeros((len(per), 4), np.uint64)
-    width = 1 << np.searchsorted(LENGTHS, per)
-    ends = starts_of(per)
-    bit = np.uint64(1) << (h & np.uint64(63))
-    number = (h >> np.uint64(6)) & np.uint64(3)
-    number &= np.repeat(width - 1, per).astype(np.uint64)
-    busy = per > 0
-    for k in range(4):
-        if len(h):
-            out[busy, k] = np.bitwise_xor.reduceat(np.where(number == k, bit, np.uint64(0)), ends[:-1][busy])
-    return out
 
+def _deal(counts: np.ndarray):
+    """Classes -> packed rows per bucket."""
+    first, groups = deal_blocks(counts)
 
-def line_keys(per: np.ndarray, h: np.ndarray, levels: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """(line, key) of the first d + 1 words of each line in the order of all words; lines no other length or edit is near to have none."""
-    ends, lines, keys = starts_of(per), [], []
-    size = np.where(most_edits(per + 1, similarity) > 0, most_edits(per, similarity) + 1, 0)
-    # a word is its level and 38 bits of its hash: words that share them count as one, which loses no pair
-    word = levels[h >> np.uint64(64 - FREQ_BITS)].astype(np.uint64) << np.uint64(38) | mix(h) >> np.uint64(26)
-    for a in range(0, len(per), RUN):
-        b = min(a + RUN, len(per))
-        n = per[a:b]
-        own = np.sort(np.repeat(np.arange(b - a, dtype=np.uint64), n) << np.uint64(44) | word[ends[a]:ends[b]])
-        place = np.arange(len(own))
-        # a word's second occurrence in a line is another word than its first
-        again = place - np.maximum.accumulate(np.where(np.concatenate([[True], own[1:] != own[:-1]]), place, 0)) if len(own) else place
-        first = place - np.repeat(ends[a:b] - ends[a], n) < np.repeat(size[a:b], n)
-        lines.append(a + (own[first] >> np.uint64(44)).astype(np.int64))
-        keys.append((mix((own[first] & np.uint64((1 << 44) - 1)) + again[first].astype(np.uint64) * _STEP) >> np.uint64(32)).astype(np.uint32).view(np.int32))
-    return np.concatenate(lines) if lines else np.zeros(0, np.int64), np.concatenate(keys) if keys else np.zeros(0, np.int32)
-
-
-def _spread(levels: np.ndarray, similarity: float):
     def run(batches):
-        for t in gathered(batches, limit=4 << 20):
-            per, h = word_hashes(large(t.column("text")))
-            line, key = line_keys(per, h, levels, similarity)
-            high, marks = one_array(t.column("high")).to_numpy(), parities(per, h)
-            size = 8 << np.searchsorted(LENGTHS, per)
-            for a in range(0, len(line), 100_000):
-                i = line[a:a + 100_000]
-                used = np.arange(32) < size[i][:, None]
-                yield record_batch({"key": pa.array(key[a:a + 100_000]), "high": pa.array(high[i]), "words": pa.array(per[i], pa.int32()),
-                                    "marks": binary_array(marks[i].view(np.uint8)[used], starts_of(size[i])).cast(pa.binary())})
+        for b in batches:
+            n = b.num_rows
+            if not n:
+                continue
+            rows = np.zeros(n, _ROW)
+            rows["s1"], rows["s2"] = (b.column(c).to_numpy().view(np.uint64) for c in ("s1", "s2"))
+            rows["high"], rows["words"] = b.column("high").to_numpy(), np.minimum(b.column("words").to_numpy(), 65535)
+            rows["side"] = 2
+            spread = (mix(rows["high"].view(np.uint64)) >> np.uint64(20)).astype(np.int64)
+            buckets, parts = [], []
+            for k in range(BLOCKS):
+                rows["block"] = k
+                key = (k << WIDTH) + block_values(rows["s1"], rows["s2"], k)
+                g = groups[key]
+                buckets.append(first[key[g == 1]])
+                parts.append(rows[g == 1])
+                own = spread % g
+                for other in range(int(g.max()) if g.max() > 1 else 0):  # a crowded value: its classes meet every group of it
+                    at = np.flatnonzero((g > 1) & (g > other))
+                    x, y = np.minimum(own[at], other), np.maximum(own[at], other)
+                    copy = rows[at]
+                    copy["side"] = np.where(x == y, 2, own[at] > other)
+                    buckets.append(first[key[at]] + x * g[at] - x * (x - 1) // 2 + y - x)
+                    parts.append(copy)
+            bucket, all_ = np.concatenate(buckets), np.concatenate(parts)
+            order = np.argsort(bucket, kind="stable")
+            bucket, all_ = bucket[order], all_[order]
+            at = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+            ends = np.append(at[1:], len(bucket))
+            yield record_batch({"bucket": pa.array(bucket[at], pa.int64()), "rows": pa.array([all_[x:y].tobytes() for x, y in zip(at.tolist(), ends.tolist())], pa.binary())})
     return run
 
 
-def _marks(column: pa.Array) -> np.ndarray:
-    """(rows, 4) parities of a binary column of 8, 16 or 32 bytes."""
-    size = pc.binary_length(column).to_numpy(zero_copy_only=False)
-    out = np.zeros((len(column), 32), np.uint8)
-    out[np.arange(32) < size[:, None]] = np.frombuffer(b"".join(column.to_pylist()), np.uint8)
-    return out.view(np.uint64)
-
-
-def _alike(words: np.ndarray, marks: np.ndarray, i, j, similarity: float) -> np.ndarray:
-    """Whether lines ``i`` and ``j`` (indices that broadcast) may be near: by their lengths, and by parities of the narrower width."""
-    m, n = words[i], words[j]
-    most = most_edits(np.maximum(m, n), similarity)
-    x = marks[i] ^ marks[j]
-    narrow = np.searchsorted(LENGTHS, np.minimum(m, n))
-    halves = x[..., :2] ^ x[..., 2:]
-    one = np.bitwise_count(halves[..., 0] ^ halves[..., 1]).astype(np.int64)
-    two = np.bitwise_count(halves).sum(axis=-1, dtype=np.int64)
-    four = np.bitwise_count(x).sum(axis=-1, dtype=np.int64)
-    return (np.abs(m - n) <= most) & (np.where(narrow == 0, one, np.where(narrow == 1, two, four)) <= 2 * most)
-
-
-def _meets_here(key: np.ndarray, words: np.ndarray, marks: np.ndarray, similarity: float) -> np.ndarray:
-    """Rows sorted by key: whether another row of the key may be near (all rows, for keys beyond BLOCK rows)."""
-    hit = np.zeros(len(key), bool)
-    new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    size = np.diff(np.concatenate([new, [len(key)]]))
-    small = 64
-    # keys of few rows, by far the most frequent company, are compared all at once: each row with the k-th after it
-    group = np.repeat(np.arange(len(new)), size)
-    few = size[group] <= small
-    for k in range(1, int(size[size <= small].max(initial=0))):
-        i = np.flatnonzero(few[:-k] & (group[:-k] == group[k:]))
-        for a in range(0, len(i), 1 << 18):
-            at = i[a:a + (1 << 18)]
-            at = at[_alike(words, marks, at, at + k, similarity)]
-            hit[at] = hit[at + k] = True
-    for a, n in zip(new[size > small].tolist(), size[size > small].tolist()):
-        if n > BLOCK:
-            hit[a:a + n] = True
-        else:
-            rows = np.arange(a, a + n)
-            for i in range(a, a + n - 1, 64):
-                near = _alike(words, marks, rows[i - a:i - a + 64, None], rows[None, i - a:], similarity)
-                near &= rows[i - a:i - a + 64, None] != rows[None, i - a:]
-                hit[i:a + n] |= near.any(axis=0)
-                hit[i:i + near.shape[0]] |= near.any(axis=1)
-    return hit
-
-
-def _crowded(similarity: float):
-    """Rows sorted by key -> those that have company, see ``_meets_here``; one key's rows at most are held between batches."""
-    def run(batches):
-        def near(key, high, words, marks):
-            hit = _meets_here(key, words, marks, similarity)
-            return record_batch({"key": pa.array(key[hit]), "high": pa.array(high[hit])})
+def _radius(words: np.ndarray) -> np.ndarray:
+    return np.array([r for _, r in RADIUS])[np.searchsorted([n for n, _ in RADIUS], words, side="right")]
+
+
+def keys_of(rows: np.ndarray) -> np.ndarray:
+    """Block and block value of packed rows."""
+    out = rows["block"].astype(np.int64) << WIDTH
+    for k in np.unique(rows["block"]).tolist():
+        at = rows["block"] == k
+        out[at] |= block_values(rows["s1"][at], rows["s2"][at], k)
+    return out
+
+
+def near_pairs(rows: np.ndarray, similarity: float):
+    """Pairs (i, j) of rows, in parts, that share a block value, may be near by length and are by SimHash, in the first block they share."""
+    n, block, key = rows["words"].astype(np.int64), rows["block"].astype(np.int64), keys_of(rows)
+    order = np.lexsort((n, key))
+    key, n, block, s1, s2, side = key[order], n[order], block[order], rows["s1"][order], rows["s2"][order], rows["side"][order]
+    # rows of a key in order of length: the fewest words a longer line may be near to grow with it
+    end = np.searchsorted(key << 20 | (n - most_edits(n, similarity)), key << 20 | n, side="right")
+    per = np.maximum(end - np.arange(len(n)) - 1, 0)
+    total, a = np.cumsum(per), 0
+    radius = _radius(n)
+    while a < len(n):
+        done = total[a - 1] if a else 0
+        b = max(a + 1, int(np.searchsorted(total, done + PAIRS, side="right")))
+        i = np.repeat(np.arange(a, b), per[a:b])
+        j = np.arange(len(i)) - np.repeat(total[a:b] - per[a:b] - done, per[a:b]) + i + 1
+        a = b
+        x1, x2 = s1[i] ^ s1[j], s2[i] ^ s2[j]
+        near = np.bitwise_count(x1).astype(np.int16) + np.bitwise_count(x2) <= radius[j]
+        near &= (side[i] == 2) | (side[i] != side[j])  # of two groups, pairs across them
+        i, j, x1, x2 = i[near], j[near], x1[near], x2[near]
+        for k in range(BLOCKS - 1):  # shared in an earlier block: that one has it
+            earlier = (block[i] > k) & (block_values(x1, x2, k) == 0)
+            i, j, x1, x2 = i[~earlier], j[~earlier], x1[~earlier], x2[~earlier]
+        yield order[i], order[j]
+
+
+def _candidates(similarity: float):
+    """Packed rows sorted by bucket -> (group, high) of the rows in a near pair; one bucket is held at a time."""
+    def groups(bucket: int, parts: list[bytes]):
+        rows = np.frombuffer(b"".join(parts), _ROW)
+        sets, hit = Sets(len(rows)), np.zeros(len(rows), bool)
+        for i, j in near_pairs(rows, similarity):
+            hit[i] = hit[j] = True
+            sets.join(i, j)
+        at = np.flatnonzero(hit)
+        # a group is named by its block value, bucket and least member, so a task that is run again names it alike
+        least = rows["high"].copy()
+        np.minimum.at(least, sets.label, rows["high"])
+        key = keys_of(rows)[at].astype(np.uint64)
+        name = mix(mix(least[sets.label[at]].view(np.uint64)) + mix(key + np.uint64(1)) + mix(np.full(1, bucket, np.uint64) + _STEP))
+        return record_batch({"key": _signed(name), "high": pa.array(rows["high"][at])})
 
-        held: list[np.ndarray] | None = None
+    def run(batches):
+        last, held = None, []
         for b in batches:
-            cols = [*(b.column(c).to_numpy(zero_copy_only=False) for c in ("key", "high")), b.column("words").to_numpy(zero_copy_only=False).astype(np.int64), _marks(b.column("marks"))]
-            if not len(cols[0]):
-                continue
-            if held is not None:
-                cols = [np.concatenate(x) for x in zip(held, cols)]
-            last = int(np.searchsorted(cols[0], cols[0][-1]))  # the last key may go on in the next batch
-            if len(cols[0]) - last > 2 * BLOCK + 1:  # more than BLOCK go, so they are known as such a key too
-                # a key beyond BLOCK: its rows go out as they come, all but enough to know it again
-                last = len(cols[0]) - BLOCK - 1
-            if last:
-                yield near(*(c[:last] for c in cols))
-            held = [c[last:] for c in cols]
-        if held is not None:
-            yield near(*held)
+            for bucket, rows in zip(b.column("bucket").to_pylist(), b.column("rows").to_pylist()):
+                if held and bucket != last:
+                    yield groups(last, held)
+                    held = []
+                last = bucket
+                held.append(rows)
+        if held:
+            yield groups(last, held)
     return run
 
 
+def candidates(classes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Stored (key, high): candidate groups of classes (high, words, s1, s2)."""
+    rows = classes.where(F.col("words") >= least_words(similarity)).select("high", "words", "s1", "s2")
+    counts = _over_tasks(rows.select("s1", "s2"), _count_blocks, np.add, "<i8", BLOCKS << WIDTH)
+    dealt = arrow_map(rows, _deal(counts), "bucket long, rows binary")
+    return stored(arrow_map(dealt.repartition("bucket").sortWithinPartitions("bucket"), _candidates(similarity), "key long, high long"), "line-candidates")
+
+
+# -- verification ---------------------------------------------------------------------
+
 def edit_similarity(a, b, least: float) -> bool:
     """Whether 1 - distance / longer length is at least ``least``, for strings or lists of words; bit-parallel over the part that differs."""
     longest = max(len(a), len(b))
@@ -385,29 +464,45 @@ def _normalise(batches):
         yield record_batch({"high": b.column("high"), "text": pa.array([" ".join(words[c] for c in codes[x:y] if words[c]) for x, y in zip(ends[:-1], ends[1:])], pa.string())})
 
 
-def crowded_keys(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Stored (key, high) of classes with company in a key."""
-    spread = arrow_map(texts, _spread(word_levels(texts), similarity), "key int, high long, words int, marks binary")
-    return stored(arrow_map(spread.repartition("key").sortWithinPartitions("key"), _crowded(similarity), "key int, high long"), "line-keys")
-
-
-def fuzzy_links(docs: DataFrame, classes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(a, b): links between classes, named by ``high``."""
-    least = next(n for n in range(1, 1 << 20) if most_edits(n + 1, similarity) > 0) if similarity < 1 else 1 << 30  # shorter lines are near none but themselves
-    wanted = classes.where(F.col("words") >= least).select("first.doc_id", "first.version", "first.line", "high")
-    per_doc = wanted.groupBy("doc_id", "version").agg(F.collect_list(F.struct("line", "high")).alias("lines"))
-    same = (docs["doc_id"].eqNullSafe(per_doc["doc_id"])) & (docs["version"] == per_doc["version"])
-    texts = (docs.join(per_doc, same).select(F.split("text", "\n").alias("all"), F.explode("lines").alias("l"))
-             .select("l.high", F.get("all", F.col("l.line")).alias("text")).dropDuplicates(["high"]))
-    texts = stored(arrow_map(texts, _normalise, "high long, text string"), "line-texts")
-    crowded = crowded_keys(texts, similarity)
-    # keys beyond BLOCK classes become pairs of blocks of their classes
-    sizes = crowded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+def _mark_wanted(batches):
+    bits = np.zeros(1 << BITMAP_BITS, bool)
+    for b in batches:
+        bits[b.column("raw").to_numpy().view(np.uint64) >> np.uint64(64 - BITMAP_BITS)] = True
+    yield _sent(np.packbits(bits))
+
+
+def _wanted_lines(bitmap: np.ndarray):
+    def run(batches):
+        bits = np.unpackbits(bitmap).astype(bool)
+        for t in gathered(batches, limit=SLICE):
+            flat = pc.split_pattern(large(t.column("text")), "\n").flatten()
+            raw = raw_hashes(flat)
+            at = np.flatnonzero(bits[raw >> np.uint64(64 - BITMAP_BITS)])
+            at = at[np.unique(raw[at], return_index=True)[1]]
+            yield record_batch({"raw": _signed(raw[at]), "text": flat.take(pa.array(at)).cast(pa.string())})
+    return run
+
+
+def line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Stored (high, text), normalised, of the wanted classes (high, raw): documents are read again, and lines of a map of the wanted ones leave the scan."""
+    bitmap = _over_tasks(wanted.select("raw"), _mark_wanted, np.bitwise_or, "u1", 1 << BITMAP_BITS - 3)
+    lines = arrow_map(docs.select("text"), _wanted_lines(bitmap), "raw long, text string")
+    texts = lines.join(wanted, "raw").groupBy("high").agg(F.first("text").alias("text"))
+    return stored(arrow_map(texts, _normalise, "high long, text string"), "line-texts")
+
+
+def fuzzy_links(docs: DataFrame, classes: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, list[DataFrame]]:
+    """(a, b): links between classes, named by ``high``; and the stored tables they are read from."""
+    found = candidates(classes, similarity)
+    wanted = stored(classes.join(found.select("high").distinct(), "high", "left_semi").select("high", "raw"), "line-wanted")
+    texts = line_texts(docs, wanted)
+    # groups beyond BLOCK classes become pairs of blocks of their classes
+    sizes = found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     own = F.pmod(F.xxhash64("high"), F.col("blocks")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("own", o).alias("i"), F.greatest("own", o).alias("j")))
-    dealt = crowded.join(sizes, "key").withColumn("own", own).select("key", "high", "own", F.explode(pairs).alias("p"))
+    dealt = found.join(sizes, "key").withColumn("own", own).select("key", "high", "own", F.explode(pairs).alias("p"))
     rows = dealt.join(texts, "high").select("key", "p.i", "p.j", F.col("own").alias("side"), F.col("high").alias("node"), "text")
-    return arrow_map(rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side"), _link(similarity), "a long, b long").distinct()
+    return arrow_map(rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side"), _link(similarity), "a long, b long").distinct(), [found, wanted, texts]
 
 
 def line_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
@@ -415,8 +510,11 @@ def line_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     docs = df.withColumn("__text", F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).select(F.col(f"`{id_col}`").alias("doc_id"), F.col("__text").alias("text"), F.xxhash64("__text").alias("version"))
     lines = line_table(docs)
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "version", "line")
-    classes = stored(lines.groupBy("high", "low").agg(F.min(place).alias("first"), F.min("words").alias("words"), F.count(F.lit(1)).alias("n")), "line-classes")
-    linked = components(fuzzy_links(docs, classes, similarity), "line-links")
+    classes = stored(lines.groupBy("high", "low").agg(F.min(place).alias("first"), F.min("words").alias("words"), F.min("raw").alias("raw"), F.min("s1").alias("s1"), F.min("s2").alias("s2"),
+                                                        F.count(F.lit(1)).alias("n")), "line-classes")
+    links, used = fuzzy_links(docs, classes, similarity)
+    linked = components(links, "line-links")
+    forget(*used)
     rooted = classes.join(linked.withColumnRenamed("node", "high"), "high", "left").select("high", "low", "first", "n", "root")
     alone = rooted.where("root is null and n > 1").select("high", "low", "first")
     together = rooted.where("root is not null")
