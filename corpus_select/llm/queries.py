@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, conversation_trie, extraction, fim, fingerprints, jaccard, licenses, lines, multi_index, packing, quality, simhash, token_counts
-from .common import table
+from .common import stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -42,8 +42,8 @@ def bpe_encoding(spark, sf_dir):
 
 @query("op8_token_counts")
 def prefix_token_counts(spark, sf_dir):
-    counts = token_counts.prefix_counts(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), prefixes=False)
-    return token_counts.over_limit(counts, 4096).select("doc_id", "n_bytes", "n_tokens", "over_limit")
+    counts = stored(token_counts.prefix_counts(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model")), "prefix-counts")
+    return token_counts.over_limit(token_counts.fit_budget(counts, 4096), 4096).select("doc_id", "n_bytes", "n_tokens", "over_limit", "fit_chars", "fit_tokens")
 
 
 @query("op4_document_fingerprints")

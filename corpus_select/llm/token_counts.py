@@ -214,21 +214,28 @@ def prefix_counts(df: DataFrame, path: str, id_col: str = "doc_id", text_col: st
 def _fit(budget: int):
     def run(batches):
         for b in batches:
-            chars, tokens = [], []
+            totals, chars, tokens = [], [], []
             for s in b.column("steps").to_pylist():
-                c = np.cumsum(np.frombuffer(s, np.int8), dtype=np.int64)
-                fits = np.flatnonzero(c[1:] <= budget)
-                p = int(fits[-1]) + 1 if len(fits) and budget >= 0 else 0
+                own = np.frombuffer(s, np.int8)
+                total = int(own.sum(dtype=np.int64))
+                p, n = max(len(own) - 1, 0), total
+                if total > budget:
+                    c = np.cumsum(own, dtype=np.int64)
+                    fits = np.flatnonzero(c[1:] <= budget)
+                    p = int(fits[-1]) + 1 if len(fits) and budget >= 0 else 0
+                    n = int(c[p]) if p else 0
+                totals.append(total)
                 chars.append(p)
-                tokens.append(int(c[p]) if p else 0)
-            yield record_batch({"doc_id": b.column("doc_id"), "fit_chars": pa.array(chars, pa.int64()), "fit_tokens": pa.array(tokens, pa.int64())})
+                tokens.append(n)
+            yield record_batch({"doc_id": b.column("doc_id"), "n_bytes": b.column("n_bytes"), "n_tokens": pa.array(totals, pa.int64()),
+                                "fit_chars": pa.array(chars, pa.int64()), "fit_tokens": pa.array(tokens, pa.int64())})
     return run
 
 
 def fit_budget(counts: DataFrame, budget: int) -> DataFrame:
-    """Longest prefix of each text with at most ``budget`` tokens, from the stored counts alone: doc_id, fit_chars, fit_tokens."""
+    """What the stored counts alone answer: doc_id, n_bytes, n_tokens, and of the longest prefix with at most ``budget`` tokens fit_chars, fit_tokens."""
     kind = counts.schema["doc_id"].dataType.simpleString()
-    return arrow_map(counts.select("doc_id", "steps"), _fit(budget), f"doc_id {kind}, fit_chars long, fit_tokens long")
+    return arrow_map(counts.select("doc_id", "n_bytes", "steps"), _fit(budget), f"doc_id {kind}, n_bytes long, n_tokens long, fit_chars long, fit_tokens long")
 
 
 def over_limit(counts: DataFrame, limit: int = 4096) -> DataFrame:

@@ -145,8 +145,13 @@ def test_counts_and_prefixes(texts, pieces):
 def test_count_query(spark, pieces):
     rows = {r.doc_id: r for r in QUERIES["op8_token_counts"](spark, SF).collect()}
     for d in spark.read.parquet(f"{SF}/documents.parquet").collect():
-        n = len(pieces.encode(d.text))
-        assert tuple(rows[d.doc_id]) == (d.doc_id, len(d.text.encode()), n, n > 4096)
+        n, r = len(pieces.encode(d.text)), rows[d.doc_id]
+        assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(d.text.encode()), n, n > 4096)
+        if n <= 4096:
+            assert (r.fit_chars, r.fit_tokens) == (len(d.text), n)
+        else:  # the longest prefix within the limit: one character more is beyond it
+            assert r.fit_tokens == len(pieces.encode(d.text[:r.fit_chars])) <= 4096 < len(pieces.encode(d.text[:r.fit_chars + 1]))
+
 
 
 @settings(max_examples=40, deadline=None)
