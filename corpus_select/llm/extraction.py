@@ -1,13 +1,19 @@
 """Main text of web pages by consensus of a host's pages.
 
 1. Each page's containers are scored: text outside links and outside boilerplate
-   counts fully for the container it stands in, less for those around it.
+   counts fully for the container it stands in, and half as much at every step outwards.
 2. Each page votes for its best containers' generalised paths (tag names and
    classes from the root, digits made one sign); votes are summed per host and
    path with map-side partial sums, so a host with a third of all pages is a few
    rows per task.
 3. Each page is read again and its text taken from the host's winning path, or
-   from the page's own best container where the page lacks that path.
+   from the page's own best container where the page lacks that path. The container is widened
+   to the outermost article or main element around it; where there is none, outwards below the
+   body as long as what is added is mostly text outside links.
+
+Class words of boilerplate count anywhere outside an article or main element. Inside one they count
+only as a whole class, or beside words of page furniture (``share-buttons``, not ``share-price``). A
+header inside an article keeps its headings.
 
 Defined results: null html or url is empty; a page without text outside
 boilerplate gives ''; tags may stay open or end the page; a repeated row is
@@ -24,7 +30,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, record_batch, slices
+from .common import arrow_map, record_batch, slices, stored
+
+MAX_HOSTS = 100_000  # whose paths (some 100 bytes each) are shipped
 
 # Element names of the HTML standard.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -35,11 +43,15 @@ DROPPED = {"head", "nav", "footer", "aside", "form", "button", "select", "option
 MAIN = {"article": 3.0, "main": 2.0}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
-# Class and id words that name boilerplate.
-_BAD = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|banner|promo\w*|sponsor\w*|nav\w*|menu\w*|breadcrumbs?|sidebar|side|aside|widget|footer|foot|header|masthead|topbar|toolbar"
-                  r"|comments?|commentlist|respond|replies|reply|disqus|cookies?|consent|gdpr|notice|popup|modal|overlay|newsletter|subscribe|signup|login|search|share|sharing|social"
-                  r"|related|recommended|pagination|pager|tags|copyright|legal|disclaimer)(?:$|[\s_-])", re.I)
-_TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|$)", re.S)
+# Class and id words that name boilerplate, and words of page furniture that stand beside them.
+_WORDS = (r"ad|ads|advert\w*|banner|promo\w*|sponsor\w*|nav\w*|menu\w*|breadcrumbs?|sidebar|side|aside|widget|footer|foot|header|masthead|topbar|toolbar"
+          r"|comments?|commentlist|respond|replies|reply|disqus|cookies?|consent|gdpr|notice|popup|modal|overlay|newsletter|subscribe|signup|login|search|share|sharing|social"
+          r"|related|recommended|pagination|pager|tags|copyright|legal|disclaimer")
+_BAD = re.compile(rf"(?:^|[\s_-])(?:{_WORDS})(?:$|[\s_-])", re.I)
+_FURNITURE = (r"bar|box|list|links?|buttons?|btn|icons?|slot|unit|block|section|area|wrap|wrapper|container|inner|outer|holder|panel|form|text|title|items?|group|row|col|column"
+              r"|site|page|post|posts|article|articles|entry|content|main|global|primary|secondary|top|bottom|left|right|sticky|fixed|mobile|desktop|small|large|js|\d+")
+_BAD_CLASS = re.compile(rf"(?:^|\s)(?=\S*(?<![^\s_-])(?:{_WORDS})(?![^\s_-]))(?:{_WORDS}|{_FURNITURE})(?:[_-]+(?:{_WORDS}|{_FURNITURE}))*(?=\s|$)", re.I)
+_TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"<]*\"|'[^'<]*'|[^>\"'])*|[^>]*)(?:>|$)", re.S)  # a quote left open ends with its tag
 _NAMES = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _SPACE = re.compile(r"\s+")
 # Elements that a new block closes if they are still open.
@@ -47,16 +59,16 @@ _CLOSES_P = {"p", "div", "ul", "ol", "dl", "table", "section", "article", "aside
 _CLOSES_SELF = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr"}, "th": {"tr"}, "option": {"select"}}
 
 
-def _named(attributes: str) -> tuple[str, bool]:
-    """(class text, whether the element is boilerplate or hidden by its attributes)."""
-    kind, bad = "", False
+def _named(attributes: str, inside: bool = False) -> tuple[str, bool]:
+    """(class text, whether the element is boilerplate or hidden by its attributes); ``inside`` an article whole classes decide."""
+    kind, bad, words = "", False, _BAD_CLASS if inside else _BAD
     for name, a, b, c in _NAMES.findall(attributes):
         value, name = entities.unescape(a or b or c), name.lower()
         if name == "class":
             kind = value
-            bad |= bool(_BAD.search(value))
+            bad |= bool(words.search(value))
         elif name == "id":
-            bad |= bool(_BAD.search(value))
+            bad |= bool(words.search(value))
         elif name == "role":
             bad |= value.lower() in {"navigation", "banner", "contentinfo", "complementary", "search", "alert", "dialog", "menu", "form"}
         elif name == "hidden":
@@ -77,9 +89,9 @@ def _step(tag: str, kind: str) -> str:
 def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
     """Text blocks outside boilerplate, in page order: (container path, text, characters inside links)."""
     out: list[tuple[tuple[str, ...], str, int]] = []
-    stack: list[tuple[str, str, bool]] = []  # (tag, path step, boilerplate)
+    stack: list[tuple[str, str, int]] = []  # (tag, path step, 1 for boilerplate, -1 for a heading that is kept in it)
     text: list[str] = []
-    links = dropped = link_chars = 0
+    links = dropped = link_chars = mains = 0
     path: tuple[str, ...] = ("page",)
 
     def close_block() -> None:
@@ -92,10 +104,11 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
         link_chars = 0
 
     def pop_to(k: int) -> None:
-        nonlocal links, dropped, path
+        nonlocal links, dropped, mains, path
         while len(stack) > k:
             tag, _, bad = stack.pop()
             links -= tag == "a"
+            mains -= tag in MAIN
             dropped -= bad
         path = ("page", *(s for t, s, _ in stack if t not in INLINE and t != "p" and t not in HEADINGS))
 
@@ -129,8 +142,8 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
             if tag in ("br", "img", "wbr"):
                 text.append(" " * (tag == "br" and not dropped))
             elif not m[3].endswith("/"):
-                kind, bad = _named(m[3]) if m[3] else ("", False)
-                stack.append((tag, tag, bad))
+                kind, bad = _named(m[3], mains > 0) if m[3] else ("", False)
+                stack.append((tag, tag, int(bad)))
                 links += tag == "a"
                 dropped += bad
             continue
@@ -145,10 +158,11 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
                 pop_to(k)
         if tag in VOID:
             continue
-        kind, bad = _named(m[3]) if m[3] else ("", False)
-        bad = bad or tag in DROPPED
-        if tag in MAIN or tag in ("html", "body"):
-            bad = False
+        kind, named = _named(m[3], mains > 0) if m[3] else ("", False)
+        bad = int((named or tag in DROPPED) and tag not in MAIN and tag not in ("html", "body"))
+        if tag in HEADINGS and not bad and dropped == 1 and mains and next(t for t, _, x in reversed(stack) if x == 1) == "header":
+            bad = -1  # the heading of an article's own header
+        mains += tag in MAIN
         stack.append((tag, _step(tag, kind), bad))
         dropped += bad
         if tag != "p" and tag not in HEADINGS:
@@ -162,15 +176,33 @@ def container_scores(found: list[tuple[tuple[str, ...], str, int]]) -> dict[str,
     scores: dict[str, float] = {}
     for path, text, linked in found:
         worth = max(0.0, len(text) - 2.0 * linked)
-        for k in range(len(path), max(0, len(path) - 4), -1):
+        for k in range(len(path), 0, -1):
             name = "/".join(path[:k])
             scores[name] = scores.get(name, 0.0) + worth * MAIN.get(path[k - 1].split(".")[0], 1.0) * 0.5 ** (len(path) - k)
     return scores
 
 
+def widened(found: list[tuple[tuple[str, ...], str, int]], winner: str) -> tuple[str, ...]:
+    """The container to take: the outermost article or main around ``winner``, else as far out as mostly plain text is added."""
+    path = tuple(winner.split("/"))
+    for k, step in enumerate(path):
+        if step.split(".")[0] in MAIN:
+            return path[:k + 1]
+    while len(path) > 1 and path[-2].split(".")[0] not in ("page", "html", "body"):
+        outer = path[:-1]
+        added = [(len(text), linked) for p, text, linked in found if p[:len(outer)] == outer and p[:len(path)] != path]
+        if 2 * sum(x for _, x in added) > sum(n for n, _ in added):
+            break
+        path = outer
+    return path
+
+
 def take(found: list[tuple[tuple[str, ...], str, int]], winner: str) -> str:
-    """Text of the blocks under ``winner``, one line each."""
-    want = tuple(winner.split("/"))
+    """Text of the blocks under ``winner``, widened where any is there, one line each."""
+    own = tuple(winner.split("/"))
+    if not any(path[:len(own)] == own for path, _, _ in found):
+        return ""
+    want = widened(found, winner)
     return "\n".join(text for path, text, _ in found if path[:len(want)] == want)
 
 
@@ -225,14 +257,16 @@ def _extract(batches):
 def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars for every page.
 
-    The host's path reaches its pages by a join on the host; Spark broadcasts the
-    paths while they are small and splits a hot host's partition otherwise.
+    Up to ``MAX_HOSTS`` hosts' paths are shipped to the pages, which then stay where they are; more
+    are joined on the host, and Spark splits a hot host's partition.
     """
     pages = df.select(F.col(f"`{id_col}`").alias("page_id"), F.col(f"`{url_col}`").alias("given_url"),
                       F.coalesce(F.col(f"`{url_col}`"), F.lit("")).alias("url"), F.coalesce(F.col(f"`{html_col}`"), F.lit("")).alias("html"))
     kind = pages.schema["page_id"].dataType.simpleString()
     hosts = pages.withColumn("host", host_column())
-    joined = hosts.join(host_paths(pages), "host", "left").select("page_id", "given_url", "html", "path")
+    paths = stored(host_paths(pages), "host-paths")
+    few = paths.count() <= MAX_HOSTS
+    joined = hosts.join(F.broadcast(paths) if few else paths, "host", "left").select("page_id", "given_url", "html", "path")
     return arrow_map(joined, _extract, f"page_id {kind}, url string, text string, n_chars long")
 
 

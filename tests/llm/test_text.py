@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from corpus_select.llm import extraction, fingerprints, licenses, quality
 from corpus_select.llm.queries import QUERIES
@@ -40,6 +41,46 @@ def test_extraction_cases(spark):
     assert extraction.extract(df.limit(0)).count() == 0
 
 
+W = "word " * 30
+
+
+def main_text(page):
+    found = extraction.blocks(page)
+    return extraction.take(found, extraction.best(extraction.container_scores(found)))
+
+
+LONG = ("more " * 90).strip()
+WORDS = W.strip()
+TEMPLATES = {
+    "nested body": (f"<body><article><h1>T</h1><p class=lead>Lead {W}</p><div class=c><div class=body><p>{W}</p><p>{LONG}</p></div></div><p>close</p></article></body>",
+                    ["T", f"Lead {WORDS}", WORDS, LONG, "close"]),
+    "sibling containers": (f"<body><div class=a><div class=b1><p>{W}</p></div><div class=x><div class=y><div class=z><p>{LONG}</p></div></div></div></div></body>", [WORDS, LONG]),
+    "own header": (f"<body><header><h1>Site</h1></header><article><header><h1>Title <b>b</b></h1><p>by me</p></header><p>{W}</p></article>", ["Title b", WORDS]),
+    "words of classes": (f"<body><article><p class='share-price'>share {W}</p><div class=legal-analysis><p>legal</p></div><div class='x share-buttons'>Share</div><div class=comments>c</div>"
+                         f"<div class='site-footer_inner'>f</div><p>{W}</p></article>", [f"share {WORDS}", "legal", WORDS]),
+    "open quote": (f'<body><article><p title="x>hello</p><p>{W}</p><p title="a > b">ok</p></article></body>', ["hello", WORDS, "ok"]),
+    "sections of main": (f"<main><section><h2>A</h2><p>{W}</p></section><section><h2>B</h2><div><p>{LONG}</p></div></section><nav>n</nav></main><div class=sidebar><p>{LONG}</p></div>", ["A", WORDS, "B", LONG]),
+    "links around": (f"<body><div class=page><div class=top><a href=1>one two three</a> <a href=2>four</a></div><div class=text><p>{W}</p></div></div></body>", [WORDS]),
+    "deep": ("<body>" + "<div>" * 12 + f"<p>{W}</p><div><p>{LONG}</p></div>" + "</div>" * 12, [WORDS, LONG]),
+    "table and lists": (f"<body><div id=content><ul><li>{W}</li><li>b</li></ul><table><tr><td>c<td>d</table><blockquote>{LONG}</blockquote></div></body>", [WORDS, "b", "c", "d", LONG]),
+}
+
+
+@pytest.mark.parametrize("name", TEMPLATES)
+def test_templates_keep_the_article(name):
+    page, want = TEMPLATES[name]
+    assert main_text(page).split("\n") == want
+
+
+def test_templates_through_the_vote(spark, monkeypatch):
+    rows = [(i, f"http://h{i}.org/", page) for i, (page, _) in enumerate(TEMPLATES.values())]
+    df = spark.createDataFrame(rows, "page_id int, url string, html string").repartition(3)
+    want = {i: "\n".join(w) for i, (_, w) in enumerate(TEMPLATES.values())}
+    for hosts in (extraction.MAX_HOSTS, 2):  # paths shipped, and joined
+        monkeypatch.setattr(extraction, "MAX_HOSTS", hosts)
+        assert {r.page_id: r.text for r in extraction.extract(df).collect()} == want
+
+
 def test_hosts_agree_on_their_path(spark):
     page = '<body><div class="box-{0}"><p>{1}</p></div><div class="rail"><p>{2}</p></div></body>'
     long, short = "long article words " * 20, "rail " * 12
