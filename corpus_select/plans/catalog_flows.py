@@ -6,6 +6,7 @@ import os
 import uuid
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import flows
 from . import sqlsnippets as S
@@ -21,9 +22,11 @@ from ..operators import select as SEL
 from ..operators.features import ngram_features
 from ..session import checkpoint_dir
 from ..operators import results as RS
-from ..sources.io import materialize, read_by_extension, read_table, write_indices, write_tsv
+from ..operators.mlm import pick_text_column
+from ..sources.io import materialize, read_by_extension, read_jsonl, read_table, read_trials, write_indices, write_tsv
 from ..sources.npy import read_npy, write_npy
 from ..sources.shards import read_shards, write_shards
+from ..sources.staged import write_files
 
 
 def scratch(spark, name: str) -> str:
@@ -297,3 +300,60 @@ def q_shard_files(spark, sf):
     write_shards(lines, at, F.pmod("doc_id", F.lit(4)), ["doc_id"], 4)
     parsed = read_shards(spark, at).select("shard", F.from_json("value", "text string, doc_id long").alias("d"))
     return parsed.select("d.doc_id", "shard", F.sha2("d.text", 256).alias("text_sha256"))
+
+
+@query("zst_readback", """
+select doc_id, text, source from documents""")
+def q_zst_readback(spark, sf):
+    """Documents written as .zst JSON lines and read back with a schema."""
+    import pyarrow as pa
+
+    path = scratch(spark, "zst")
+
+    def packed(batches):
+        import zstandard
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId()
+        for k, b in enumerate(batches):
+            lines = "".join(x + "\n" for x in b.column(0).to_pylist()).encode()
+            yield pa.RecordBatch.from_arrays([pa.array([f"part-{part:05d}-{k:05d}.jsonl.zst"]), pa.array([zstandard.ZstdCompressor().compress(lines)], pa.binary())], names=["name", "content"])
+    lines = docs(spark, sf).select(F.to_json(F.struct("doc_id", "text", "source")).alias("line"))
+    write_files(lines.mapInArrow(packed, "name string, content binary"), path)
+    return read_jsonl(spark, f"{path}/*.zst", T.StructType.fromDDL("doc_id long, text string, source string"))
+
+
+TASKS = ["COLA", "MNLI", "MRPC", "QNLI", "QQP", "RTE", "SST2", "STSB"]
+
+
+@query("trial_files", f"""
+with g as (select doc_id % 8 t, doc_id % 5 s, round(avg(n_chars % 997) / 1000, 4) v from documents where n_chars is not null group by all)
+select ['{"', '".join(TASKS)}'][t + 1] task_name, (3 + s % 2)::INT epochs, 16 bs, 1e-5::DOUBLE lr, s::INT seed,
+  case when t = 0 then v when t = 7 then round(v / 2, 4) else 1 - v end dev from g""")
+def q_trial_files(spark, sf):
+    """One run directory with its eval_results.json per task and seed, written, listed, parsed."""
+    at = scratch(spark, "trials")
+    d = docs(spark, sf).where("n_chars is not null").groupBy((F.col("doc_id") % 8).alias("t"), (F.col("doc_id") % 5).alias("s")).agg(F.round(F.avg(F.col("n_chars") % 997) / 1000, 4).alias("v"))
+    name = F.format_string("%s_EPOCHS%d_BS16_LR1e-05_seed%d/eval_results.json", F.get(F.array(*map(F.lit, TASKS)), F.col("t").cast("int")), 3 + F.col("s") % 2, F.col("s"))
+    keys = {key: 1 - F.col("v") for key in RS.TASK_METRIC.values()} | {RS.TASK_METRIC["COLA"]: F.col("v"), RS.TASK_METRIC["STSB"]: F.round(F.col("v") / 2, 4)}
+    write_files(d.select(name.alias("name"), F.to_json(F.struct(*[v.alias(k) for k, v in keys.items()])).alias("content")), at)
+    return RS.trial_table(read_trials(spark, at)).select("task_name", "epochs", "bs", "lr", "seed", "dev")
+
+
+@query("task_columns", """
+select 'mnli' task, 'validation_matched,validation_mismatched' splits, 'premise,hypothesis' columns, (select count(*) from documents where text is not null) n
+union all select 'documents', 'validation', 'text,lang', (select count(*) from documents where text is not null)
+union all select 'contents', 'validation', 'contents', (select count(*) from documents where text is not null)""")
+def q_task_columns(spark, sf):
+    """Which splits and text columns a task or a table takes, with the rows that have that text."""
+    d = docs(spark, sf)
+    n = d.where(F.col("text").isNotNull())
+    tables = {"documents": d.select("text", "lang"), "contents": d.select(F.col("lang"), F.col("text").alias("contents"))}
+    rows = [n.groupBy().agg(F.count(F.lit(1)).alias("n")).select(F.lit("mnli").alias("task"), F.lit(",".join(RS.eval_splits("mnli"))).alias("splits"),
+                                                                 F.lit(",".join(RS.text_pair_columns([], "mnli"))).alias("columns"), "n")]
+    for name, table in tables.items():
+        column = pick_text_column(table)
+        shown = ",".join(RS.text_pair_columns(table.columns)) if name == "documents" else column
+        rows.append(table.where(F.col(column).isNotNull()).groupBy().agg(F.count(F.lit(1)).alias("n")).select(
+            F.lit(name).alias("task"), F.lit(",".join(RS.eval_splits(name))).alias("splits"), F.lit(shown).alias("columns"), "n"))
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])

@@ -15,7 +15,10 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql.datasource import DataSourceArrowWriter, WriterCommitMessage
+from pyspark.sql import DataFrame
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
+
+from ..session import ship_package
 
 
 def open_fs(path: str) -> tuple[pafs.FileSystem, str]:
@@ -78,6 +81,8 @@ class StagedWriter(DataSourceArrowWriter):
             if taken:
                 self.abort(messages)
                 raise FileExistsError(taken[0])
+        for folder in {posixpath.dirname(final) for _, final in files}:
+            fs.create_dir(folder, recursive=True)
         for own, final in files:
             fs.move(own, final)
         self.abort(messages)
@@ -87,3 +92,39 @@ class StagedWriter(DataSourceArrowWriter):
         stage = posixpath.join(root, self.stage)
         if fs.get_file_info(stage).type != pafs.FileType.NotFound:
             fs.delete_dir(stage)
+
+
+class FileWriter(StagedWriter):
+    """Rows (name, content) -> a file each, in folders that the name says."""
+
+    def owns(self, name: str) -> bool:
+        return False
+
+    def files(self, batches):
+        for b in batches:
+            for name, content in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist()):
+                if posixpath.normpath(name) != name or name.startswith(("/", "..")):
+                    raise ValueError(f"not a name below the folder: {name}")
+                yield name, iter([content])
+
+
+class NamedFiles(DataSource):
+    """Sink ``named_files`` with ``path``."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "named_files"
+
+    def schema(self) -> str:
+        return "name string, content string"
+
+    def writer(self, schema, overwrite: bool) -> FileWriter:
+        return FileWriter(self.options["path"], overwrite)
+
+
+def write_files(files: DataFrame, path: str) -> None:
+    """Write each row (name, content) as a file below ``path``, all or none; names that exist are an error. For small files."""
+    spark = files.sparkSession
+    ship_package(spark)
+    spark.dataSource.register(NamedFiles)
+    files.select("name", "content").write.format("named_files").option("path", path).mode("append").save()
