@@ -7,10 +7,10 @@
    linked to the first one of the deepest prefix it shares: a prefix of n classes
    gives n - 1 links, never its pairs.
 3. A pair of similarity s shares a prefix of length d in some tree with probability
-   1 - (1 - s^d)^TREES. The prefix is the longest that shows a pair at the threshold with ``RECALL``,
-   at least ``FLOOR``, where it does with 0.9993. So what a pair gets depends on no other
-   family. Classes joined by links of that prefix are a family, and all pairs inside it are
-   verified.
+   1 - (1 - s^d)^TREES. The search starts with the longest prefixes and shortens them until the
+   share of weak links that they show reaches ``RECALL``; see ``prefix_length``. Each class counts
+   once there, so no large family decides it for the others. Classes joined by links of that prefix
+   are a family, and all pairs inside it are verified.
 4. In a family, pairs first compare their MinHash values (a pair at the threshold fails
    that by chance once in tens of thousands), then their whole shingle sets. Families
    beyond ``BLOCK`` classes are dealt as pairs of blocks. A task gives each class's number
@@ -144,11 +144,13 @@ def _trie_links(batches):
 
 
 def trie_links(classes: DataFrame) -> DataFrame:
-    """Stored (a, b, depth): links along the sorted tries, each pair with the longest prefix that links it."""
+    """Stored (a, b, depth, t6, t7, t8): links along the sorted tries, each pair with the longest prefix that links it and the
+    number of trees in which a prefix of each length does."""
     rows = arrow_map(classes.select("values", "high"), _trie_rows, "tree int, front long, back long, node long")
     tries = rows.select(F.xxhash64("tree", "front", F.shiftrightunsigned("back", 32)).alias("prefix"), "node", F.col("back").bitwiseAND(F.lit(0xFFFFFFFF)).alias("back"))
     linked = arrow_map(tries.repartition("prefix").sortWithinPartitions("prefix", "back", "node"), _trie_links, "a long, b long, depth int")
-    return stored(linked.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("depth").alias("depth")), "trie-links")
+    trees = [F.sum((F.col("depth") >= d).cast("int")).alias(f"t{d}") for d in range(FLOOR, DEPTH + 1)]
+    return stored(linked.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("depth").alias("depth"), *trees), "trie-links")
 
 
 def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
@@ -266,14 +268,24 @@ def _verify(similarity: float):
     return run
 
 
-def prefix_length(similarity: float, recall: float) -> int:
-    """The longest prefix that shows a pair at the threshold with probability ``recall``, at least FLOOR."""
-    return next((d for d in range(DEPTH, FLOOR, -1) if 1 - (1 - similarity ** d) ** TREES >= recall), FLOOR)
+def prefix_length(tries: DataFrame, similarity: float, recall: float) -> int:
+    """The longest prefix that still shows a share of ``recall`` of the weak links, at least FLOOR.
+
+    A pair of similarity s shares FLOOR values in about TREES * s^FLOOR trees, so links found in as
+    few trees as pairs from 0.2 below to 0.05 above the threshold are the weak ones. Of each class
+    its weakest link counts. Where there are none, the longest prefix does.
+    """
+    low, high = (TREES * max(0.0, min(1.0, similarity + x)) ** FLOOR for x in (-0.2, 0.05))
+    weak = tries.where(F.col(f"t{FLOOR}").between(max(1, int(low)), int(high)))
+    weakest = weak.groupBy("b").agg(F.min(F.struct(*[f"t{d}" for d in range(FLOOR, DEPTH + 1)])).alias("t"))
+    seen = weakest.agg(F.count(F.lit(1)).alias("n"), *[F.sum((F.col(f"t.t{d}") > 0).cast("long")).alias(f"n{d}") for d in range(FLOOR, DEPTH + 1)]).first()
+    return next((d for d in range(DEPTH, FLOOR, -1) if not seen["n"] or seen[f"n{d}"] >= recall * seen["n"]), FLOOR)
 
 
 def links(docs: DataFrame, classes: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
     """Verified links between classes, named by ``high``: (root, size, kind, a, b, n); see ``_report``."""
-    tries = trie_links(classes.where("not (high = 0 and low = 0)")).where(F.col("depth") >= prefix_length(similarity, recall))
+    tries = trie_links(classes.where("not (high = 0 and low = 0)"))
+    tries = tries.where(F.col("depth") >= prefix_length(tries, similarity, recall))
     # texts of all classes that a prefix links, fetched once
     wanted = tries.select(F.explode(F.array("a", "b")).alias("high")).distinct().join(classes.select("high", "first", "values"), "high")
     wanted = wanted.select("high", "values", F.col("first.doc_id").alias("own_id"), F.col("first.version").alias("own_version"))
