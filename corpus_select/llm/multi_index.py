@@ -1,7 +1,8 @@
 """Approximate nearest neighbours by an inverted multi-index.
 
 1. Each half of the vectors has its own codebook, fitted by k-means on a bounded
-   sample (``SAMPLE`` vectors by hash). A vector's cell is its pair of nearest centroids.
+   sample (``SAMPLE`` vectors by hash, or 16 per centroid). Centroids grow with the root of the
+   vectors, so that a cell has about ``CELL`` of them. A vector's cell is its pair of nearest centroids.
    Every vector is indexed.
 2. A query visits centroid pairs by the sum of its distances to the two centroids,
    smallest first, with a heap (the multi-sequence walk), until it has seen the share of
@@ -9,8 +10,8 @@
 3. Entries of the visited cells are ranked by their exact distance.
 
 Cells lie in shards of about ``SHARD`` entries (a larger cell is dealt to several), and a
-query goes only to shards that hold cells it visits; what a task holds is one shard
-and one block of queries. Of equal vectors only the eleven least ids can be among anyone's
+query goes only to shards that hold cells it visits. Each entry moves once: what a task holds is
+one shard's entries, and any number of queries stream past them. Of equal vectors only the eleven least ids can be among anyone's
 ten nearest, so the others are indexed through them (a limited ranking before the
 shuffle keeps a very common vector from filling a task).
 
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import arrow_map, prepare, record_batch, stored
 
 CENTROIDS, SAMPLE, PROBES, RECALL = 64, 20_000, 256, 0.97
-SHARD, QUERIES = 8192, 1024
+SHARD, CELL = 8192, 64
 
 
 @dataclass
@@ -161,34 +162,55 @@ def _route(books: Codebooks, sizes: np.ndarray, wanted: int, first: np.ndarray,
     return run
 
 
+def _nearest_of(entries: list[tuple], queries: pa.RecordBatch, top: int) -> dict[str, list]:
+    """The nearest of a shard's entries, of the cells each query visits there."""
+    out: dict[str, list] = {"h1": [], "h2": [], "vec_id": [], "score": []}
+    ids, cells, e = (np.concatenate(x) for x in zip(*entries))
+    norms, asked = (e ** 2).sum(1), _matrix(queries.column("v"))
+    visits = queries.column("cells").to_pylist()
+    for k, (h1, h2) in enumerate(zip(queries.column("h1").to_pylist(), queries.column("h2").to_pylist())):
+        q = asked[k]
+        at = np.flatnonzero(np.isin(cells, visits[k]))
+        if not len(at):
+            continue
+        d = norms[at] - 2 * (e[at] @ q)
+        if len(at) > top:  # products round: all that may be among the nearest are measured exactly
+            edge = np.partition(d, top - 1)[top - 1]
+            at = at[d <= edge + 1e-9 * (1 + abs(edge) + (q ** 2).sum())]
+        score = np.sqrt(((e[at] - q) ** 2).sum(1))
+        best = np.lexsort((ids[at], score))[:top]
+        out["h1"] += [h1] * len(best)
+        out["h2"] += [h2] * len(best)
+        out["vec_id"] += ids[at][best].tolist()
+        out["score"] += score[best].tolist()
+    return out
+
+
 def _rank(top: int):
-    """A shard's entries and a block of queries -> each query's nearest of the cells it visits."""
-    def run(key, queries, entries):
-        import pandas as pd
-
-        out = {"h1": [], "h2": [], "vec_id": [], "score": []}
-        if len(queries) and len(entries):
-            e, q = np.stack(entries["v"].to_list()), np.stack(queries["v"].to_list())
-            ids, cells = entries["vec_id"].to_numpy(np.int64), entries["cell"].to_numpy(np.int64)
-            norms = (e ** 2).sum(1)
-            for k in range(len(q)):
-                at = np.flatnonzero(np.isin(cells, queries["cells"].iloc[k]))
-                if not len(at):
-                    continue
-                d = norms[at] - 2 * (e[at] @ q[k])
-                if len(at) > top:  # products round: all that may be among the nearest are measured exactly
-                    edge = np.partition(d, top - 1)[top - 1]
-                    at = at[d <= edge + 1e-9 * (1 + abs(edge) + (q[k] ** 2).sum())]
-                score = np.sqrt(((e[at] - q[k]) ** 2).sum(1))
-                best = np.lexsort((ids[at], score))[:top]
-                out["h1"] += [queries["h1"].iloc[k]] * len(best)
-                out["h2"] += [queries["h2"].iloc[k]] * len(best)
-                out["vec_id"] += ids[at][best].tolist()
-                out["score"] += score[best].tolist()
-        return pd.DataFrame(out).astype({"h1": "int64", "h2": "int64", "vec_id": "int64", "score": "float64"})
+    """Rows sorted by (shard, kind): a shard's entries, which are held, then its queries, which stream past -> each query's nearest."""
+    def run(batches):
+        shard, held = None, []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            name, kind = (b.column(c).to_numpy() for c in ("shard", "kind"))
+            cuts = np.flatnonzero((name[1:] != name[:-1]) | (kind[1:] != kind[:-1])) + 1
+            for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(name)]):
+                part = b.slice(i, j - i)
+                if name[i] != shard:
+                    shard, held = name[i], []
+                if kind[i] == 0:
+                    held.append((part.column("vec_id").to_numpy(), part.column("cell").to_numpy(), _matrix(part.column("v"))))
+                elif held:
+                    yield record_batch({c: pa.array(v, pa.float64() if c == "score" else pa.int64()) for c, v in _nearest_of(held, part, top).items()})
     return run
 
 
+def codebook_size(n: int, least: int = CENTROIDS) -> int:
+    """Centroids of each half: cells of about ``CELL`` entries, ``least`` at least."""
+    return max(least, math.ceil(math.sqrt(n / CELL)))
+
+
 def search(df: DataFrame, is_query, top: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", centroids: int = CENTROIDS, sample: int = SAMPLE, recall: float = RECALL) -> DataFrame:
     """query_id, rank, vec_id, score: the ``top`` nearest found of every row for which ``is_query`` (a column over vec_id) holds, among all other rows."""
     prepare(df.sparkSession)
@@ -197,7 +219,8 @@ def search(df: DataFrame, is_query, top: int = 10, id_col: str = "vec_id", vecto
     same = W.partitionBy("h1", "h2").orderBy("vec_id")
     kept = stored(rows.dropDuplicates(["vec_id", "h1", "h2"]).withColumn("r", F.row_number().over(same)).where(F.col("r") <= top + 1).select("vec_id", "v", "h1", "h2"), "vectors")
     queries = rows.where(is_query).select("vec_id", "h1", "h2", "v")
-    drawn = kept.orderBy(F.xxhash64("vec_id"), "vec_id", "h1").limit(sample).select("v").toArrow()  # at most ``sample`` vectors
+    centroids = codebook_size(kept.count(), centroids)
+    drawn = kept.orderBy(F.xxhash64("vec_id"), "vec_id", "h1").limit(max(sample, 16 * centroids)).select("v").toArrow()
     if not drawn.num_rows:
         return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     books, share = fit(_matrix(drawn.column("v").combine_chunks()), centroids, recall, top=top)
@@ -208,13 +231,13 @@ def search(df: DataFrame, is_query, top: int = 10, id_col: str = "vec_id", vecto
     first, many = _shards(sizes)
     wanted = max(math.ceil(share * int(sizes.sum())), 20 * (top + 1))
     asked = queries.dropDuplicates(["h1", "h2"]).select("h1", "h2", "v")
-    blocks = max(1, -(-queries.count() // QUERIES))
-    block = F.pmod(F.xxhash64("h1", "h2"), F.lit(blocks)).cast("int")
-    routed = arrow_map(asked, _route(books, sizes, wanted, first, many), "shard int, h1 long, h2 long, v array<double>, cells array<int>").withColumn("block", block)
+    empty = F.lit(None)
+    routed = arrow_map(asked, _route(books, sizes, wanted, first, many), "shard int, h1 long, h2 long, v array<double>, cells array<int>")
+    routed = routed.select("shard", F.lit(1).alias("kind"), empty.cast("long").alias("vec_id"), empty.cast("int").alias("cell"), "v", "h1", "h2", "cells")
     places = df.sparkSession.createDataFrame([(c, int(first[c]), int(many[c])) for c in np.flatnonzero(sizes).tolist()], "cell int, base int, many int")  # one row per cell
-    entries = (index.join(F.broadcast(places), "cell").withColumn("shard", (F.col("base") + F.pmod(F.xxhash64("vec_id"), F.col("many"))).cast("int"))
-               .select("shard", "cell", "vec_id", "v", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")))
-    near = routed.groupBy("shard", "block").cogroup(entries.groupBy("shard", "block")).applyInPandas(_rank(top + 1), "h1 long, h2 long, vec_id long, score double")
+    entries = index.join(F.broadcast(places), "cell").select((F.col("base") + F.pmod(F.xxhash64("vec_id"), F.col("many"))).cast("int").alias("shard"), F.lit(0).alias("kind"),
+                                                             "vec_id", "cell", "v", empty.cast("long").alias("h1"), empty.cast("long").alias("h2"), empty.cast("array<int>").alias("cells"))
+    near = arrow_map(entries.unionByName(routed).repartition("shard").sortWithinPartitions("shard", "kind"), _rank(top + 1), "h1 long, h2 long, vec_id long, score double")
     best = near.withColumn("r", F.row_number().over(W.partitionBy("h1", "h2").orderBy("score", "vec_id"))).where(F.col("r") <= top + 1)
     own = queries.select(F.col("vec_id").alias("query_id"), "h1", "h2").distinct().join(best.drop("r"), ["h1", "h2"]).where("query_id <> vec_id")
     order = W.partitionBy("query_id", "h1", "h2").orderBy("score", "vec_id")
