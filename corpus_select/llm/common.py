@@ -13,18 +13,20 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..session import checkpoint_dir, ship_package
 
 SLICE_BYTES = 24 << 20
 _WRITTEN: list[tuple[SparkSession, str]] = []
 _PATHS: dict[int, tuple] = {}
+_TABLES: dict[str, str] = {}  # catalog tables by their folder
 
 
-def prepare(spark: SparkSession) -> None:
+def prepare(spark: SparkSession, batch_bytes: int = 32 << 20) -> None:
     """Ship the package and bound Arrow batches by bytes as well as by rows."""
     ship_package(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(batch_bytes))
 
 
 def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
@@ -64,6 +66,7 @@ def stored_bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFra
     if not _WRITTEN:
         atexit.register(release)
     _WRITTEN.append((spark, path))
+    _TABLES[path] = made
     df.write.format("parquet").option("path", path).option("compression", "none").bucketBy(buckets, key).saveAsTable(made)
     return spark.table(made)
 
@@ -76,6 +79,8 @@ def release(spark: SparkSession | None = None) -> None:
             left.append((s, path))
             continue
         try:
+            if path in _TABLES:
+                s.sql(f"drop table if exists {_TABLES.pop(path)}")
             p = s.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(s.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
         except Exception:  # the context is already gone; the cluster's own clean-up has it
@@ -83,9 +88,9 @@ def release(spark: SparkSession | None = None) -> None:
     _WRITTEN[:] = left
 
 
-def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` with batches bounded by bytes."""
-    prepare(df.sparkSession)
+def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType, batch_bytes: int = 32 << 20) -> DataFrame:
+    """``mapInArrow`` with batches bounded by bytes; the bound holds for what is run before another one is set."""
+    prepare(df.sparkSession, batch_bytes)
     return df.mapInArrow(fn, schema)
 
 

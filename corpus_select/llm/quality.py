@@ -258,9 +258,9 @@ def keep_good(df: DataFrame, labels: DataFrame, text_col: str = "text", threshol
     """The rows of ``df``, all columns, whose text scores at least ``threshold``."""
     model = train(texts_of(df, "doc_id", text_col), labels)
     names, spot = df.columns, df.columns.index(text_col)
-    schema = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(df.schema))
+    base = df.toDF(*[f"c{i}" for i in range(len(names))])
 
     def run(batches):
         for b in slices(batches, f"c{spot}", SLICE):
             yield b.filter(pa.array(_scores(model, pc.fill_null(b.column(spot).cast(pa.large_string()), "")) >= threshold))
-    return arrow_map(df.toDF(*[f"c{i}" for i in range(len(names))]), run, schema).toDF(*names)
+    return arrow_map(base, run, base.schema, batch_bytes=SLICE).toDF(*names)

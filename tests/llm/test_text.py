@@ -201,3 +201,41 @@ def test_license_twin(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
     assert sorted(map(tuple, QUERIES["op7_license_scans"](spark, SF).collect()), key=str) == sorted(con.execute(licenses.scan_sql()).fetchall(), key=str)
+
+
+def plain_features(text):
+    """The features of one text, counted character by character and word by word."""
+    raw, chars = text.encode(), len(text)
+    size = max(len(raw), 1)
+    words = re.split(r"[ \t\n\v\f\r]+", text) if text else [""]
+    count = {w: words.count(w) for w in words}
+    n = len(words)
+    lines = text.split("\n")
+    ascii_symbols = {c for c in map(chr, range(33, 127)) if not c.isalnum() and c not in ".,;:'\"-?()"}
+    share = lambda test: sum(map(test, raw)) / size
+    return [np.log1p(chars), np.log1p(n), sum(map(len, words)) / n, share(lambda b: 65 <= b <= 90), share(lambda b: 48 <= b <= 57), share(lambda b: b in b"\t\n\v\f\r "),
+            share(lambda b: chr(b) in ascii_symbols and b < 128), share(lambda b: b >= 128), len(count) / n, max(count.values()) / n, sum(len(w) <= 2 for w in words) / n,
+            sum(len(w) > 12 for w in words) / n, 1 - len(set(lines)) / len(lines), np.log1p(chars / len(lines)), sum(bool(re.search("[.!?:;\"')]\\s*$", x)) for x in lines) / len(lines),
+            sum(bool(re.search("[#$%&*|!<>{}=_~^@+]", w)) for w in words) / n, sum(a == b for a, b in zip(words, words[1:])) / n,
+            sum(bool(re.search("^[A-ZÀ-ÖØ-Þ]{2,}[^a-zß-öø-ÿ]*$", w)) for w in words) / n, share(lambda b: b == 124), share(lambda b: b == 33)]
+
+
+def plain_score(model, x):
+    """A sum of looked-up table entries, one at a time."""
+    bins = [sum(float(v) >= e for e in edges.tolist()) for v, edges in zip(x, model.edges)]
+    z = model.base + sum(float(t[b]) for t, b in zip(model.mains, bins)) + sum(float(t[model.coarse[f][bins[f]], model.coarse[g][bins[g]]]) for f, g, t in model.pairs)
+    return 1 / (1 + np.exp(-z))
+
+
+def test_quality_scores_against_plain_lookups(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    odd = ["", "a", "A|B!!", " lead", "trail ", "x\n\nx\n", "ÉCOLE 12 école", "tab\tand\vfeed\f", "#tag #tag", "one two two two"]
+    got = quality.text_features(pa.array([t or "" for _, t in rows] + odd, pa.large_string()))
+    want = np.array([plain_features(t or "") for _, t in rows] + [plain_features(t) for t in odd])
+    assert np.allclose(got, want, atol=1e-9), [quality.FEATURES[k] for k in np.flatnonzero(~np.isclose(got, want).all(axis=0))]
+    model = quality.train(docs.select("doc_id", "text"), spark.read.parquet(f"{SF}/labels.parquet"))
+    assert model.mains and model.pairs
+    scores = {r.doc_id: r.score for r in QUERIES["op5_quality_classifier"](spark, SF).collect()}
+    for (k, _), x in zip(rows, want.astype(np.float32)):
+        assert abs(scores[k] - plain_score(model, x)) < 1e-9
