@@ -2,8 +2,8 @@
 
 1. Lines are normalised (words in lower case, letters and digits only, single
    blanks) and get a 128-bit class. Equal normalised lines are one class.
-2. A class has a SimHash of 128 bits over its words. A word's weight is 2 sqrt(ln(lines / its
-   occurrences)), rounded, counted over all documents: words of every line say nothing.
+2. A class has a SimHash of 128 bits over its words. A word weighs as much as it has letters, up to
+   ``HEAVIEST``: short words are the frequent ones, which unlike lines share.
 3. The SimHash is cut into 10 blocks of 12 bits. Classes that share a block meet in it. Of the
    pairs that meet, those go on whose lengths allow the edit similarity and whose
    SimHashes differ by at most ``radius`` bits (by length), each in the first block it shares.
@@ -26,6 +26,7 @@ the same text keep the same lines; null ids come last; extra columns pass throug
 
 from __future__ import annotations
 
+import functools
 import re
 
 import numpy as np
@@ -35,22 +36,24 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, codes_of, forget, gathered, large, list_lengths, one_array, record_batch, starts_of, stored
+from . import common
+from .common import codes_of, forget, gathered, large, list_lengths, one_array, record_batch, starts_of, stored
 from .components import components
-from .shingles import hash_strings, mix
+from .shingles import mix
 from .simhash import Sets
 
 SIMILARITY, BLOCK = 0.8, 2048
 WIDTH, BLOCKS = 12, 10  # bits of a block, blocks of the 128 bits
-RADIUS = ((20, 36), (50, 32), (1 << 30, 28))  # lines below so many words: bits that near ones may differ by
+RADIUS = ((20, 32), (50, 28), (100, 27), (1 << 30, 25))  # lines below so many words: bits that near ones may differ by
 CROWD, TASK = 1 << 16, 1 << 18  # classes of a block value, and of a task, that are compared together
-PAIRS = 1 << 20  # pairs of classes compared at once
-FREQ_BITS = 16  # buckets of word counts
+PAIRS = 1 << 16  # pairs of classes compared at once: what a core's cache holds
+HEAVIEST = 7  # the most that one word weighs
 BITMAP_BITS = 23  # of the map of wanted lines: it spares work and decides nothing
 CHUNK = 1 << 15  # bytes of task-wide arrays that travel together
 SLICE = 4 << 20  # bytes of text that are worked on at once
 OTHER = r"[^\p{L}\p{N}]+"
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+arrow_map = functools.partial(common.arrow_map, batch_bytes=8 << 20)  # words take several times the room of their text
 _SEEDS = (np.uint64(0), np.uint64(0x6A09E667F3BCC909))
 _ROW = np.dtype([("s1", "<u8"), ("s2", "<u8"), ("high", "<i8"), ("words", "<u2"), ("block", "u1"), ("side", "u1")])
 
@@ -111,65 +114,75 @@ def _over_tasks(df: DataFrame, fn, how, kind: str, size: int) -> np.ndarray:
 
 # -- classes and SimHashes ------------------------------------------------------------
 
-def _line_words(lines: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(words per line, code per word, hash per distinct word) of the normalised lines."""
+def word_codes(words: pa.Array) -> np.ndarray:
+    """A 64-bit hash per word: its 8-byte blocks mixed in one after the other, all words at once."""
+    raw = words.cast(pa.large_binary())
+    _, offsets, data = raw.buffers()
+    ends = np.frombuffer(offsets, np.int64)[raw.offset:raw.offset + len(raw) + 1]
+    padded = np.zeros((data.size if data else 0) + 8, np.uint8)
+    if data:
+        padded[:data.size] = np.frombuffer(data, np.uint8)
+    anywhere = np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))
+    start, size = ends[:-1], np.diff(ends)
+    out = mix(size.astype(np.uint64) + _STEP)
+    at, k = np.flatnonzero(size > 0), 0
+    while len(at):
+        left = size[at] - k
+        block = anywhere[start[at] + k]
+        short = left < 8
+        block[short] &= (np.uint64(1) << (8 * left[short]).astype(np.uint64)) - np.uint64(1)
+        out[at] = mix(out[at] ^ block)
+        k += 8
+        at = at[left > 8]
+    return out
+
+
+def _line_words(lines: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(words per line, code per word, hash per distinct word, weight per distinct word) of the normalised lines."""
     lists = pc.ascii_split_whitespace(lines)
     codes, distinct = codes_of(lists.flatten())
     normal = normal_words(distinct)
     if not len(distinct):
-        return list_lengths(lists), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return list_lengths(lists), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint8)
     keep = (pc.binary_length(normal).to_numpy(zero_copy_only=False) > 0)[codes]
     ends = np.concatenate([[0], np.cumsum(keep)])[starts_of(list_lengths(lists))]
-    return np.diff(ends), codes[keep], hash_strings(normal)
+    return np.diff(ends), codes[keep], word_codes(normal), np.minimum(pc.utf8_length(normal).to_numpy(zero_copy_only=False), HEAVIEST).astype(np.uint8)
 
 
-def _count_words(batches):
-    counts = np.zeros((1 << FREQ_BITS) + 1, np.int64)
-    for t in gathered(batches, limit=SLICE):
-        per, codes, hashes = _line_words(pc.split_pattern(large(t.column("text")), "\n").flatten())
-        counts[-1] += int((per > 0).sum())
-        if len(codes):
-            counts[:-1] += np.bincount((hashes >> np.uint64(64 - FREQ_BITS)).astype(np.int64), np.bincount(codes, minlength=len(hashes)), 1 << FREQ_BITS).astype(np.int64)
-    yield _sent(counts)
-
+# a byte's bits as eight one-byte counters
+_LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view("<u8").ravel()
 
-def word_weights(docs: DataFrame) -> np.ndarray:
-    """Weight (0 to 7) of the words of each hash bucket, from all lines of all documents."""
-    size = (1 << FREQ_BITS) + 1
-    counts = _over_tasks(docs.select("text"), _count_words, np.add, "<i8", size)
-    n = max(1, int(counts[-1]))
-    return np.minimum(7, np.rint(2 * np.sqrt(np.log((n + 1) / np.clip(counts[:-1], 1, n + 1))))).astype(np.uint8)
 
-
-def simhashes(per: np.ndarray, codes: np.ndarray, hashes: np.ndarray, weights: np.ndarray) -> list[np.ndarray]:
+def simhashes(per: np.ndarray, codes: np.ndarray, hashes: np.ndarray, own: np.ndarray) -> list[np.ndarray]:
     """Two 64-bit SimHashes per line: bits set in over half of its words' weight."""
     out = [np.zeros(len(per), np.uint64) for _ in _SEEDS]
     busy = np.flatnonzero(per)
     if not len(busy):
         return out
-    own = weights[hashes >> np.uint64(64 - FREQ_BITS)]
     n, start = per[busy], starts_of(per)[:-1][busy]
     total = np.add.reduceat(own[codes].astype(np.int64), start)
     # eight one-byte counters in a word hold up to 255, so the words of a line are summed 36 at a time
     parts = -(-n // 36)
     first = starts_of(parts)
     cut = np.repeat(start, parts) + 36 * (np.arange(first[-1]) - np.repeat(first[:-1], parts))
-    for k, seed in enumerate(_SEEDS):
-        bits = np.unpackbits(mix(hashes ^ seed).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        table = (bits * own[:, None]).view("<u8")
-        counts = np.zeros((len(cut), 64), np.uint8)
-        for a in range(0, len(cut), 4096):
-            b = min(a + 4096, len(cut))
-            end = cut[b] if b < len(cut) else len(codes)
-            counts[a:b] = np.add.reduceat(table[codes[cut[a]:end]], cut[a:b] - cut[a], axis=0).view(np.uint8).reshape(-1, 64)
-        sums = np.add.reduceat(counts, first[:-1], axis=0, dtype=np.int64)
-        out[k][busy] = np.packbits(2 * sums > total[:, None], axis=1, bitorder="little").view("<u8").ravel()
+    # both SimHashes' counters of a word stand side by side, so a word's are gathered at once
+    mixed = np.stack([mix(hashes ^ seed) for seed in _SEEDS], axis=1).astype("<u8").view(np.uint8).reshape(-1, 16)
+    table = _LANES[mixed] * own[:, None].astype(np.uint64)
+    counts = np.zeros((len(cut), 128), np.uint8)
+    for a in range(0, len(cut), 2048):
+        b = min(a + 2048, len(cut))
+        end = cut[b] if b < len(cut) else len(codes)
+        counts[a:b] = np.add.reduceat(table[codes[cut[a]:end]], cut[a:b] - cut[a], axis=0).view(np.uint8).reshape(-1, 128)
+    sums = np.add.reduceat(counts, first[:-1], axis=0, dtype=np.int32)
+    bits = np.packbits(2 * sums > total[:, None], axis=1, bitorder="little").view("<u8")
+    for k in range(len(_SEEDS)):
+        out[k][busy] = bits[:, k]
     return out
 
 
-def line_hashes(lines: pa.Array, weights: np.ndarray) -> tuple[np.ndarray, ...]:
+def line_hashes(lines: pa.Array) -> tuple[np.ndarray, ...]:
     """(words, class high, class low, SimHash, SimHash) per line."""
-    per, codes, hashes = _line_words(lines)
+    per, codes, hashes, weights = _line_words(lines)
     n, ends = len(per), starts_of(per)
     high, low = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
     busy = per > 0
@@ -189,26 +202,24 @@ def raw_hashes(lines: pa.Array) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, lines.cast(pa.large_binary()).to_pylist()), np.uint64, len(lines))
 
 
-def _hash_lines(weights: np.ndarray):
-    def run(batches):
-        for t in gathered(batches, limit=SLICE):
-            lists = pc.split_pattern(large(t.column("text")), "\n")
-            per, flat = list_lengths(lists), lists.flatten()
-            row = np.repeat(np.arange(len(per)), per)
-            number = np.arange(len(row)) - np.repeat(starts_of(per)[:-1], per)
-            words, high, low, s1, s2 = line_hashes(flat, weights)
-            keep = np.flatnonzero(words > 0)
-            rows = pa.array(row[keep])
-            yield record_batch({"doc_id": one_array(t.column("doc_id")).take(rows), "version": one_array(t.column("version")).take(rows), "line": pa.array(number[keep], pa.int32()),
-                                "high": _signed(high[keep]), "low": _signed(low[keep]), "words": pa.array(words[keep], pa.int32()), "raw": _signed(raw_hashes(flat.take(pa.array(keep)))),
-                                "s1": _signed(s1[keep]), "s2": _signed(s2[keep])})
-    return run
+def _hash_lines(batches):
+    for t in gathered(batches, limit=SLICE):
+        lists = pc.split_pattern(large(t.column("text")), "\n")
+        per, flat = list_lengths(lists), lists.flatten()
+        row = np.repeat(np.arange(len(per)), per)
+        number = np.arange(len(row)) - np.repeat(starts_of(per)[:-1], per)
+        words, high, low, s1, s2 = line_hashes(flat)
+        keep = np.flatnonzero(words > 0)
+        rows = pa.array(row[keep])
+        yield record_batch({"doc_id": one_array(t.column("doc_id")).take(rows), "version": one_array(t.column("version")).take(rows), "line": pa.array(number[keep], pa.int32()),
+                            "high": _signed(high[keep]), "low": _signed(low[keep]), "words": pa.array(words[keep], pa.int32()), "raw": _signed(raw_hashes(flat.take(pa.array(keep)))),
+                            "s1": _signed(s1[keep]), "s2": _signed(s2[keep])})
 
 
 def line_table(docs: DataFrame) -> DataFrame:
     """Stored (doc_id, version, line, high, low, words, raw, s1, s2) of every line with words."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return stored(arrow_map(docs, _hash_lines(word_weights(docs)), f"doc_id {kind}, version long, line int, high long, low long, words int, raw long, s1 long, s2 long"), "lines")
+    return stored(arrow_map(docs, _hash_lines, f"doc_id {kind}, version long, line int, high long, low long, words int, raw long, s1 long, s2 long"), "lines")
 
 
 # -- candidates -----------------------------------------------------------------------
@@ -325,9 +336,16 @@ def _candidates(similarity: float):
     def groups(bucket: int, parts: list[bytes]):
         rows = np.frombuffer(b"".join(parts), _ROW)
         sets, hit = Sets(len(rows)), np.zeros(len(rows), bool)
+        waiting, n = [], 0
         for i, j in near_pairs(rows, similarity):
             hit[i] = hit[j] = True
-            sets.join(i, j)
+            waiting.append((i, j))
+            n += len(i)
+            if n > 16 * PAIRS:  # joining passes over all labels, so many pairs are joined at once
+                sets.join(*map(np.concatenate, zip(*waiting)))
+                waiting, n = [], 0
+        if waiting:
+            sets.join(*map(np.concatenate, zip(*waiting)))
         at = np.flatnonzero(hit)
         # a group is named by its block value, bucket and least member, so a task that is run again names it alike
         least = rows["high"].copy()
@@ -509,20 +527,16 @@ def line_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     """(documents with their version, dropped lines: doc_id, version, lines)."""
     docs = df.withColumn("__text", F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).select(F.col(f"`{id_col}`").alias("doc_id"), F.col("__text").alias("text"), F.xxhash64("__text").alias("version"))
     lines = line_table(docs)
-    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "version", "line")
-    classes = stored(lines.groupBy("high", "low").agg(F.min(place).alias("first"), F.min("words").alias("words"), F.min("raw").alias("raw"), F.min("s1").alias("s1"), F.min("s2").alias("s2"),
-                                                        F.count(F.lit(1)).alias("n")), "line-classes")
+    classes = stored(lines.groupBy("high", "low").agg(F.count(F.lit(1)).alias("n"), *[F.min(c).alias(c) for c in ("words", "raw", "s1", "s2")]), "line-classes")
     links, used = fuzzy_links(docs, classes, similarity)
     linked = components(links, "line-links")
     forget(*used)
-    rooted = classes.join(linked.withColumnRenamed("node", "high"), "high", "left").select("high", "low", "first", "n", "root")
-    alone = rooted.where("root is null and n > 1").select("high", "low", "first")
-    together = rooted.where("root is not null")
-    firsts = together.groupBy("root").agg(F.min("first").alias("first"))
-    kept = alone.unionByName(together.select("high", "low", "root").join(firsts, "root").select("high", "low", "first"))
-    repeated = lines.select("doc_id", "version", "line", "high", "low").join(kept, ["high", "low"])
+    # lines that are equal or linked to others; a class that is not linked is its own group
+    named = classes.join(linked.withColumnRenamed("node", "high"), "high", "left").where("root is not null or n > 1").select("high", "low", F.coalesce("root", "high").alias("group"))
+    together = stored(lines.select("doc_id", "version", "line", "high", "low").join(named, ["high", "low"]).drop("high", "low"), "line-groups")
+    firsts = together.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "version", "line")).alias("first"))
     moved = ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("version") == F.col("first.version")) & (F.col("line") == F.col("first.line")))
-    dropped = repeated.where(moved).groupBy("doc_id", "version").agg(F.collect_set("line").alias("lines"))
+    dropped = together.join(firsts, "group").where(moved).groupBy("doc_id", "version").agg(F.collect_set("line").alias("lines"))
     return docs, dropped
 
 
@@ -532,8 +546,9 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     _, dropped = line_groups(df, id_col, text_col, similarity)
     base = df.toDF(*[f"c{i}" for i in range(len(names))])
     doc, text = F.col(f"c{names.index(id_col)}"), F.coalesce(F.col(f"c{names.index(text_col)}"), F.lit(""))
-    marked = base.withColumn("v", F.xxhash64(text)).join(
-        dropped.select(F.col("doc_id").alias("d"), F.col("version").alias("w"), F.col("lines").alias("gone")), F.col("v").eqNullSafe(F.col("w")) & doc.eqNullSafe(F.col("d")), "left")
+    # line numbers are hashed and not sorted beside the texts: a partition has few of them
+    lists = dropped.select(F.col("doc_id").alias("d"), F.col("version").alias("w"), F.col("lines").alias("gone")).hint("shuffle_hash")
+    marked = base.withColumn("v", F.xxhash64(text)).join(lists, F.col("v").eqNullSafe(F.col("w")) & doc.eqNullSafe(F.col("d")), "left")
     kept = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains("gone", i)), "\n")
     out = [F.when(F.col("gone").isNull(), F.col(f"c{i}")).otherwise(kept).alias(f"c{i}") if n == text_col else F.col(f"c{i}") for i, n in enumerate(names)]
     return marked.select(*out).toDF(*names)

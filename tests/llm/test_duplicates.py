@@ -1,5 +1,6 @@
 """Near-duplicate join, line dedup, components and the pipeline against brute force."""
 
+import functools
 import itertools
 import math
 import re
@@ -7,7 +8,6 @@ import re
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
-import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -110,6 +110,18 @@ def test_threshold_pairs_beside_a_large_family(spark):
     assert {k: got[k] for k in range(len(texts))} == {k: (k, 1, 1, k - k % 2) for k in range(len(texts))}
 
 
+def test_prefixes_are_shortened_as_far_as_weak_links_need(spark):
+    def depth_of(texts):
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+        described = spark.createDataFrame(jaccard.arrow_map(jaccard.documents(docs, "doc_id", "text"), jaccard._describe, "doc_id long, version long, high long, low long, values binary").collect(),
+                                          "doc_id long, version long, high long, low long, values binary")
+        return jaccard.prefix_length(jaccard.trie_links(described.dropDuplicates(["high", "low"])), jaccard.SIMILARITY, jaccard.RECALL)
+    close = [t for k in range(150) for t in family(1000 + k, 2, 400, 1)]  # similarity about 0.975
+    weak = threshold_pairs(22, 600)
+    assert depth_of(close) == jaccard.DEPTH and depth_of(close[:2] * 9) == jaccard.DEPTH and depth_of(["a b", "c d"]) == jaccard.DEPTH
+    assert depth_of(weak) < jaccard.DEPTH and depth_of(weak + family(5, 400, 400, 1)) < jaccard.DEPTH
+
+
 def test_repeated_rows_and_null_ids(spark):
     df = spark.createDataFrame([(None, "a b c d e f"), (None, "a b c d e f"), (4, "a b c d e f"), (4, "a b c d e f"), (4, "other")], "doc_id int, text string")
     got = sorted((r.doc_id or 0, r.class_id, r.n_copies, r.group_id) for r in jaccard.near_duplicates(df).collect())
@@ -141,19 +153,22 @@ def test_products_count_shared_shingles():
     assert (jaccard._shared(sets) == [[len(np.intersect1d(a, b)) if len(np.intersect1d(a, b)) else 0 for b in sets] for a in sets])[np.triu_indices(30, 1)].all()
 
 
-def line_codes(counted):
-    """normalised line -> (words, 128-bit SimHash), weights from the lines' occurrences; ``counted`` has every occurrence."""
-    buckets, total = {}, 0
-    for line in counted:
-        total += 1
-        for w in line.split():
-            h = xxhash.xxh3_64_intdigest(w) >> 48
-            buckets[h] = buckets.get(h, 0) + 1
-    weight = {h: min(7, round(2 * math.sqrt(math.log((total + 1) / min(n, total + 1))))) for h, n in buckets.items()}
+@functools.cache
+def word_code(word):
+    raw = word.encode()
+    h = np.array([len(raw)], np.uint64) + lines._STEP
+    h = mix(h)
+    for k in range(0, len(raw), 8):
+        h = mix(h ^ np.array([int.from_bytes(raw[k:k + 8], "little")], np.uint64))
+    return int(h[0])
+
+
+def line_codes(keys):
+    """normalised line -> (words, 128-bit SimHash)."""
     out, seeds = {}, [int(s) for s in lines._SEEDS]
-    for line in set(counted):
-        words = [xxhash.xxh3_64_intdigest(w) for w in line.split()]
-        own = np.array([weight[h >> 48] for h in words])
+    for line in set(keys):
+        words = [word_code(w) for w in line.split()]
+        own = np.array([min(7, len(w)) for w in line.split()])
         code = 0
         for k, seed in enumerate(seeds):
             h = mix(np.array([w ^ seed for w in words], np.uint64))
@@ -178,7 +193,7 @@ def brute_lines(rows):
             if n:
                 occurrences.setdefault(n, []).append((k, i))
     keys = list(occurrences)
-    codes = line_codes([n for n, o in occurrences.items() for _ in o])
+    codes = line_codes(keys)
     groups = Groups()
     for i in range(len(keys)):
         for j in range(i):
@@ -262,14 +277,6 @@ def test_recall_of_line_pairs():
     assert all(m >= 0.8 * n for n, m in found.values())
 
 
-def test_word_weights_of_all_documents(spark):
-    rows = [(k, f"the common word{k % 50}\nthe") for k in range(400)]
-    docs = spark.createDataFrame(rows, "doc_id int, text string").repartition(5)
-    weights = lines.word_weights(docs)
-    own = {w: int(weights[xxhash.xxh3_64_intdigest(w) >> 48]) for w in ("the", "common", "word7", "never")}
-    assert own["the"] == 0 and own["common"] == round(2 * math.sqrt(math.log(801 / 400))) and own["word7"] == round(2 * math.sqrt(math.log(801 / 8))) and own["never"] == round(2 * math.sqrt(math.log(801)))
-
-
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -288,9 +295,8 @@ def test_edit_similarity(a, b, least):
 
 def test_long_lines_hash_like_short_ones():
     long = " ".join(f"w{i % 700}" for i in range(2000))
-    weights = np.random.default_rng(8).integers(0, 8, 1 << lines.FREQ_BITS).astype(np.uint8)
-    one = lines.line_hashes(pa.array([long], pa.large_string()), weights)
-    many = lines.line_hashes(pa.array(["a", "", long, "b c", long.upper()], pa.large_string()), weights)
+    one = lines.line_hashes(pa.array([long], pa.large_string()))
+    many = lines.line_hashes(pa.array(["a", "", long, "b c", long.upper()], pa.large_string()))
     assert one[0][0] == many[0][2] == 2000
     for x, y in zip(one[1:], many[1:]):
         assert x[0] == y[2] == y[4]
@@ -322,3 +328,24 @@ def test_pipeline(spark):
     assert set(text["near_duplicates"]) == {g for *_, g in brute_near(sorted(text["line_dedup"].items())).values()}
     assert {r.doc_id for r in kept["packing"].collect()} == set(text["near_duplicates"])
     assert len(corpus_pipeline.run(spark, SF).collect()) == kept["packing"].count()
+
+
+def test_pipeline_of_odd_rows(spark):
+    """Nulls, empty and repeated rows, extra columns with clashing names, a struct with odd field names, an empty table."""
+    texts = ["", None, "...", "word", "same line\nsame line\nother", *["again and again the same text of some more words here"] * 6, "long " * 20_000, *family(31, 12, 80, 1)]
+    rows = [(k, t, "en", None, len(t or ""), f"g{k}", None if k % 2 else 1, (k, "x")) for k, t in enumerate(texts)]
+    rows += [(None, "no id", None, "s", 5, None, None, None), (3, "word", "en", "s", 4, "g", 7, (1, "y"))]
+    kinds = "doc_id long, text string, lang string, source string, n_chars long, gone string, version int, label struct<`a b`:int,`c.d`:string>"
+    docs = spark.createDataFrame(rows, kinds).repartition(3)
+    for start in (docs, docs.limit(0)):
+        kept = start
+        for name, stage in corpus_pipeline.STAGES:
+            before = kept
+            kept = corpus_pipeline.stored(stage(spark, kept, SF), f"odd-{name}")
+            if name != "packing":
+                assert kept.columns == docs.columns and kept.schema["label"].dataType == docs.schema["label"].dataType
+                assert kept.count() <= before.count()
+            if name == "line_dedup":
+                assert kept.count() == before.count()
+        ids = {r.doc_id for r in kept.collect()}
+        assert ids <= {r.doc_id for r in before.collect()} and bool(ids) == bool(start.count())
