@@ -3,6 +3,12 @@
 Every stage is a function of (spark, docs, sf_dir); its result is written as
 Parquet and read again as the next stage's documents. All but the last return the
 columns of their input.
+
+Null texts count as empty: quality scores them like any text, line dedup and near duplicates leave
+them alone (all texts without words are one class, of which one stays), packing gives each the
+closing token. Null ids are documents too; rows with the same id and text are judged alike. Further
+columns, whatever their names or types, pass through all stages but the last; an empty table
+stays empty. Labels of ids that are absent teach nothing.
 """
 
 from __future__ import annotations
@@ -37,7 +43,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", good_quality), ("line_dedup", distinct_lines), ("near_duplicates", distinct_documents), ("packing", packed)]
 
-# Trained models, SimHash groups and byte-pair encoding are beyond SQL; tests compare with brute force.
+# Trained models, SimHash blocks and byte-pair encoding are beyond SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 
