@@ -125,3 +125,14 @@ def test_a_failed_attempt_removes_its_files(tmp_out):
     assert os.listdir(f"{tmp_out}/h") == []
     with pytest.raises(ValueError):
         writer.commit([staged.Staged([("x", "y")]), staged.Staged([("z", "y")])])
+
+
+def test_named_files(spark, tmp_out):
+    rows = [("a/x.txt", "one"), ("a/y.txt", ""), ("b.txt", "zwei é")]
+    staged.write_files(spark.createDataFrame(rows, "name string, content string").repartition(3), f"{tmp_out}/n")
+    found = {os.path.relpath(os.path.join(d, f), f"{tmp_out}/n"): open(os.path.join(d, f), encoding="utf-8").read() for d, _, fs in os.walk(f"{tmp_out}/n") for f in fs}
+    assert found == dict(rows)
+    for bad in ("../out.txt", "/abs.txt", "a//b"):
+        with pytest.raises(PySparkException):
+            staged.write_files(spark.createDataFrame([(bad, "x")], "name string, content string"), f"{tmp_out}/n")
+    assert sorted(os.listdir(tmp_out)) == ["n"] and sorted(os.listdir(f"{tmp_out}/n")) == ["a", "b.txt"]
