@@ -37,6 +37,9 @@ class StagedWriter(DataSourceArrowWriter):
     def __init__(self, path: str, overwrite: bool):
         self.path, self.overwrite = path, overwrite
         self.stage = f"_staging-{uuid.uuid4().hex}"
+        # made here, on the driver, and not by tasks: one that outlives an abort must not make it again
+        fs, root = open_fs(path)
+        fs.create_dir(posixpath.join(root, self.stage), recursive=True)
 
     def files(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, Iterator[bytes]]]:
         raise NotImplementedError
@@ -48,7 +51,6 @@ class StagedWriter(DataSourceArrowWriter):
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Staged:
         fs, root = open_fs(self.path)
         stage = posixpath.join(root, self.stage)
-        fs.create_dir(stage, recursive=True)
         written: list[tuple[str, str]] = []
         try:
             for name, chunks in self.files(iterator):
