@@ -46,6 +46,7 @@ SIMILARITY, BLOCK = 0.8, 2048
 WIDTH, BLOCKS = 12, 10  # bits of a block, blocks of the 128 bits
 RADIUS = ((20, 32), (50, 28), (100, 27), (1 << 30, 25))  # lines below so many words: bits that near ones may differ by
 CROWD, TASK = 1 << 16, 1 << 18  # classes of a block value, and of a task, that are compared together
+HEAVY = 1000  # groups of more than 1 / HEAVY of the grouped lines (fewer than HEAVY of them) are joined apart
 PAIRS = 1 << 16  # pairs of classes compared at once: what a core's cache holds
 HEAVIEST = 7  # the most that one word weighs
 BITMAP_BITS = 23  # of the map of wanted lines: it spares work and decides nothing
@@ -534,9 +535,14 @@ def line_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     # lines that are equal or linked to others; a class that is not linked is its own group
     named = classes.join(linked.withColumnRenamed("node", "high"), "high", "left").where("root is not null or n > 1").select("high", "low", F.coalesce("root", "high").alias("group"))
     together = stored(lines.select("doc_id", "version", "line", "high", "low").join(named, ["high", "low"]).drop("high", "low"), "line-groups")
-    firsts = together.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "version", "line")).alias("first"))
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "version", "line")
+    firsts = stored(together.groupBy("group").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")), "line-firsts")
+    # groups of many lines are few: their first lines are shipped, and only the other groups' lines move
+    total = firsts.agg(F.sum("n")).first()[0] or 0
+    many = F.broadcast(firsts.where(F.col("n") > total / HEAVY).drop("n"))
+    both = together.join(many, "group").unionByName(together.join(many.select("group"), "group", "left_anti").join(firsts.where(F.col("n") <= total / HEAVY).drop("n"), "group"))
     moved = ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("version") == F.col("first.version")) & (F.col("line") == F.col("first.line")))
-    dropped = together.join(firsts, "group").where(moved).groupBy("doc_id", "version").agg(F.collect_set("line").alias("lines"))
+    dropped = both.where(moved).groupBy("doc_id", "version").agg(F.collect_set("line").alias("lines"))
     return docs, dropped
 
 
