@@ -110,6 +110,12 @@ def q_features_xxh(spark, sf):
     return FE.features_long(FE.ngram_features(docs(spark, sf), hash_fn="xxh64"))
 
 
+@query("feature_counts_pyhash")
+def q_features_pyhash(spark, sf):
+    """Features in the interpreter's own hash buckets under hash seed 0 (T6); pytest compares them with child interpreters."""
+    return FE.features_long(FE.ngram_features(docs(spark, sf), hash_fn="python:0"))
+
+
 @query("feature_counts_jvm_xxhash")
 def q_features_jvm_xxh(spark, sf):
     """Fully JVM-side features with Spark's xxhash64 (no Python), long form (rows-only check)."""
