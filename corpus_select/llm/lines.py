@@ -27,6 +27,7 @@ the same text keep the same lines; null ids come last; extra columns pass throug
 from __future__ import annotations
 
 import functools
+import operator
 import re
 
 import numpy as np
@@ -385,6 +386,8 @@ def edit_similarity(a, b, least: float) -> bool:
     most = int((1 - least) * longest + 1e-9)
     if abs(len(a) - len(b)) > most:
         return False
+    if len(a) == len(b) and sum(map(operator.ne, a, b)) <= most:  # replacements alone suffice
+        return True
     i, n = 0, min(len(a), len(b))
     while i < n and a[i] == b[i]:
         i += 1
@@ -428,6 +431,15 @@ def spanning_links(nodes: list[int], words: list[list[str]], sides: list[int], s
             x = parent[x]
         return x
 
+    if len(nodes) <= 8:  # most groups: counting words would take longer than comparing them
+        out = []
+        for i in range(1, len(nodes)):
+            for j in range(i):
+                u, v = find(i), find(j)
+                if u != v and (sides[0] == sides[-1] or sides[i] != sides[j]) and edit_similarity(words[i], words[j], similarity):
+                    out.append((nodes[i], nodes[j]))
+                    parent[u] = v
+        return out
     # counts of the words in 256 buckets: each edit changes them by two at most
     own: dict[str, int] = {}
     counts = np.stack([np.bincount([own.setdefault(w, len(own)) & 255 for w in x], minlength=256) for x in words]).astype(np.int32)
