@@ -525,7 +525,7 @@ def line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 def fuzzy_links(docs: DataFrame, classes: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, list[DataFrame]]:
     """(a, b): links between classes, named by ``high``; and the stored tables they are read from."""
     found = candidates(classes, similarity)
-    wanted = stored(classes.join(found.select("high").distinct(), "high", "left_semi").select("high", "raw"), "line-wanted")
+    wanted = stored(classes.join(found.select("high").distinct().hint("shuffle_hash"), "high", "left_semi").select("high", "raw"), "line-wanted")
     texts = line_texts(docs, wanted)
     # groups beyond BLOCK classes become pairs of blocks of their classes
     sizes = found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
@@ -545,8 +545,8 @@ def line_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     linked = components(links, "line-links")
     forget(*used)
     # lines that are equal or linked to others; a class that is not linked is its own group
-    named = classes.join(linked.withColumnRenamed("node", "high"), "high", "left").where("root is not null or n > 1").select("high", "low", F.coalesce("root", "high").alias("group"))
-    together = stored(lines.select("doc_id", "version", "line", "high", "low").join(named, ["high", "low"]).drop("high", "low"), "line-groups")
+    named = classes.join(linked.withColumnRenamed("node", "high").hint("shuffle_hash"), "high", "left").where("root is not null or n > 1").select("high", "low", F.coalesce("root", "high").alias("group"))
+    together = stored(lines.select("doc_id", "version", "line", "high", "low").join(named.hint("shuffle_hash"), ["high", "low"]).drop("high", "low"), "line-groups")
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "version", "line")
     firsts = stored(together.groupBy("group").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")), "line-firsts")
     # groups of many lines are few: their first lines are shipped, and only the other groups' lines move
