@@ -96,8 +96,11 @@ def _arrow_wordpunct(texts: pa.Array):
     return values, parent, lens
 
 
-# Text bytes worked on at once: record counts alone do not bound a batch of long documents.
-SLICE_BYTES = 16 << 20
+# Text bytes worked on at once: record counts alone do not bound a batch of long documents. Tokens, n-grams, their
+# joined strings and sort keys take about 50 (n = 2) to 90 (n = 3) times the text, so the slice is small.
+SLICE_BYTES = 2 << 20
+# Stored feature entries (bucket, count) worked on at once by what reads features.
+SLICE_ENTRIES = 1 << 18
 
 
 def _byte_slices(rb: pa.RecordBatch, col: str):
@@ -107,10 +110,21 @@ def _byte_slices(rb: pa.RecordBatch, col: str):
         size = np.bincount(pc.list_parent_indices(c).to_numpy(), pc.fill_null(pc.binary_length(pc.list_flatten(c)), 0).to_numpy(zero_copy_only=False), len(c))
     else:
         size = pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False)
+    yield from _cut(rb, size, SLICE_BYTES)
+
+
+def entry_slices(rb: pa.RecordBatch, width: int = 1, col: str = "buckets"):
+    """Parts of a batch of features with at most SLICE_ENTRIES / ``width`` list entries (one row at least)."""
+    size = pc.fill_null(pc.list_value_length(rb.column(rb.schema.get_field_index(col))), 0).to_numpy(zero_copy_only=False)
+    yield from _cut(rb, size, max(1, SLICE_ENTRIES // width))
+
+
+def _cut(rb: pa.RecordBatch, size: np.ndarray, limit: int):
+    """Parts of a batch whose rows' sizes add up to ``limit`` at most (one row at least)."""
     ends = np.cumsum(size.astype(np.int64))
     start = 0
-    while start < len(c):
-        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + SLICE_BYTES, side="right")))
+    while start < rb.num_rows:
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + limit, side="right")))
         yield rb.slice(start, stop - start)
         start = stop
 

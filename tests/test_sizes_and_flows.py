@@ -78,6 +78,42 @@ def test_long_batches_are_cut_by_bytes(spark, monkeypatch):
         assert sum(p.num_rows for p in parts) == 6
 
 
+def test_feature_step_holds_little_for_large_batches(monkeypatch):
+    import pyarrow as pa
+    # 6 MB of distinct words in one batch: the memory of Arrow's arrays follows the slice, not the batch
+    words = (f"w{i:x}" for i in range(10 ** 9))
+    rb = pa.RecordBatch.from_arrays([pa.array(range(60)), pa.array([" ".join(next(words) for _ in range(16_000)) for _ in range(60)])], ["doc_id", "tokens"])
+    pool = pa.system_memory_pool()
+    before, most, rows = pa.default_memory_pool(), 0, 0
+    pa.set_memory_pool(pool)
+    try:
+        slices = list(FE._byte_slices(rb, "tokens"))
+        assert max(p.column(1).nbytes for p in slices) <= 2 << 20
+        for p in slices:
+            rows += FE._batch_features(p, 2, 10_000, FE.hasher("xxh64")(10_000), "doc_id", "tokens", True).num_rows
+        most = pool.max_memory()
+    finally:
+        pa.set_memory_pool(before)
+    assert rows == 60 and most < 150 << 20
+
+
+def test_feature_readers_are_cut_by_entries(spark, monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+    from corpus_select.operators import vector_classifier as VC
+    lists = [[1, 2, 3], [], None, [4], list(range(9)), [5, 6]]
+    rb = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(lists, pa.list_(pa.int32())), pa.array([x and [2] * len(x) for x in lists], pa.list_(pa.int32()))],
+                                    ["doc_id", "buckets", "counts"])
+    monkeypatch.setattr(FE, "SLICE_ENTRIES", 8)
+    for width in (1, 2):
+        parts = list(FE.entry_slices(rb, width))
+        assert [i for p in parts for i in p.column(0).to_pylist()] == list(range(6))
+        assert all(p.num_rows == 1 or len(p.column(1).flatten()) <= 8 // width for p in parts) and len(parts) >= 3
+        products = np.arange(10.0)
+        assert np.allclose(np.concatenate([VC._logits(p, products, 0.5)[0] for p in parts]), VC._logits(rb, products, 0.5)[0])
+    assert not list(FE.entry_slices(rb.slice(0, 0)))
+
+
 def test_pareto_keeps_a_pool_that_k_covers(spark):
     df = spark.range(500).select(F.col("id").alias("doc_id"), F.lit(0.0).alias("prob"))
     for k in (500, 900):
