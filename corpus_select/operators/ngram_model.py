@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .features import features_long, ngram_features, total_ngrams
+from .features import entry_slices, features_long, ngram_features, total_ngrams
 from ..functions.text import example_length
 
 VERSION = "1"
@@ -357,7 +357,7 @@ def score_features_arrow(features: DataFrame, model: NgramModel, target: str | N
 
     def fn(batches):
         vectors = bld.value
-        for rb in batches:
+        for rb in (part for big in batches for part in entry_slices(big)):
             bk = rb.column(rb.schema.get_field_index("buckets"))
             lens = pc.fill_null(pc.list_value_length(bk), 0).to_numpy(zero_copy_only=False)
             b = pc.list_flatten(bk).to_numpy(zero_copy_only=False).astype(np.int64)
