@@ -20,11 +20,11 @@ from pyspark.sql import functions as F
 
 from ..session import ship_package
 from .embedding import STATS_SCHEMA, _stats_batch, _tree_sum
-from .features import ngram_features
+from .features import entry_slices, ngram_features
 
 MAX_NUMBERS = 1 << 26  # of buckets x directions, shipped to every task
 CHUNK = 1 << 17  # numbers of Z that travel together
-ROWS = 2000  # documents whose products are held at once
+ROWS = 2000  # documents whose products are held at once; their entries are bounded too
 
 
 @dataclass
@@ -69,6 +69,12 @@ def _rows(b: pa.RecordBatch, weights: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return row, bucket, value / length[row]
 
 
+def _parts(big: pa.RecordBatch, width: int):
+    """Parts of a batch of features that are small in documents and in entries x directions."""
+    for at in range(0, big.num_rows, ROWS):
+        yield from entry_slices(big.slice(at, ROWS), max(1, width))
+
+
 def _product(row: np.ndarray, bucket: np.ndarray, value: np.ndarray, n: int, q: np.ndarray) -> np.ndarray:
     """X Q for ``n`` sparse rows; rows come in order."""
     out = np.zeros((n, q.shape[1]))
@@ -94,8 +100,7 @@ def _pass(shipped):
         q, weights = shipped.value
         z, rows = np.zeros_like(q), 0
         for big in batches:
-            for at in range(0, big.num_rows, ROWS):
-                b = big.slice(at, ROWS)
+            for b in _parts(big, q.shape[1]):
                 x = _rows(b, weights)
                 _back(*x, _product(*x, b.num_rows, q), z)
                 rows += b.num_rows
@@ -166,8 +171,7 @@ def embed_features(model: LatentModel, features: DataFrame) -> DataFrame:
     def fn(batches):
         directions, weights = shipped.value
         for big in batches:
-            for at in range(0, big.num_rows, ROWS):
-                b = big.slice(at, ROWS)
+            for b in _parts(big, directions.shape[1]):
                 y = _product(*_rows(b, weights), b.num_rows, directions)
                 length = np.linalg.norm(y, axis=1, keepdims=True)
                 y = (y / np.where(length > 0, length, 1.0)).astype(np.float32)
