@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir, ship_package
 from .embedding import STATS_SCHEMA, _stats_batch, _tree_sum
-from .features import HASHERS, ngram_features
+from .features import HASHERS, entry_slices, ngram_features
 
 # Numbers of a model that the driver holds; more is refused rather than tried.
 MAX_NUMBERS = 1 << 28
@@ -120,9 +120,7 @@ def _gradient(shipped):
 
         products, bias = shipped.value
         g, g_bias, loss, rows = np.zeros(len(products)), 0.0, 0.0, 0
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in (part for big in batches for part in entry_slices(big)):
             y = b.column("label").to_numpy(zero_copy_only=False).astype(np.float64)
             z, row, bucket, share = _logits(b, products, bias)
             error = _probability(z) - y
@@ -240,7 +238,7 @@ def score_features(model: VectorModel, features: DataFrame) -> DataFrame:
 
     def fn(batches):
         products, bias = shipped.value
-        for b in batches:
+        for b in (part for big in batches for part in entry_slices(big)):
             z = _logits(b, products, bias)[0]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(_probability(z))], names=["doc_id", "prob"])
     return features.select("doc_id", "buckets", "counts").mapInArrow(fn, "doc_id long, prob double")
