@@ -41,7 +41,7 @@ INITIAL = r"^\p{L}$"
 
 def words(text: Column, lower: bool = True) -> Column:
     """Runs of non-space characters of the (lower-cased) text."""
-    return F.filter(F.split(F.lower(text) if lower else text, WHITESPACE_CLASS + "+"), lambda x: x != F.lit(""))
+    return F.array_remove(F.split(F.lower(text) if lower else text, WHITESPACE_CLASS + "+"), F.lit(""))
 
 
 def trimmed(word: Column) -> Column:
@@ -60,9 +60,13 @@ def type_of(word: Column) -> Column:
 
 
 def word_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """(type, n, n_period): how often each type occurs, and how often with a final period."""
-    w = df.select(F.explode(words(F.col(text_col))).alias("w")).select(type_of(F.col("w")).alias("type"), has_period(F.col("w")).cast("long").alias("p"))
-    return w.where("type <> ''").groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.sum("p").alias("n_period"))
+    """(type, n, n_period): how often each type occurs, and how often with a final period.
+
+    Occurrences are counted as written first (partially aggregated), so the patterns run once per distinct word.
+    """
+    seen = df.select(F.explode(words(F.col(text_col))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    w = seen.select(type_of(F.col("w")).alias("type"), "n", F.when(has_period(F.col("w")), F.col("n")).otherwise(F.lit(0).cast("long")).alias("p"))
+    return w.where("type <> ''").groupBy("type").agg(F.sum("n").alias("n"), F.sum("p").alias("n_period"))
 
 
 def abbreviation_scores(counts: DataFrame, min_count: int = 1) -> DataFrame:
@@ -96,8 +100,8 @@ def association(a: Column, b: Column, both: Column, n: Column) -> Column:
 
 
 def _neighbours(w: Column, fn) -> Column:
-    """``fn(word, next)`` of each word; the last has no next."""
-    return F.zip_with(w, F.slice(w, 2, F.greatest(F.size(w), F.lit(1))), fn)
+    """``fn(word, next)`` of each word; the last has no next. The words are made once: they are the variable of an outer lambda."""
+    return F.get(F.transform(F.array(w), lambda v: F.zip_with(v, F.slice(v, 2, F.greatest(F.size(v), F.lit(1))), fn)), 0)
 
 
 def _pairs(df: DataFrame, text_col: str) -> DataFrame:
@@ -176,7 +180,8 @@ def sentence_tokens(text: Column | str, model: SentenceModel, cased: bool = Fals
     w = words(F.col(text) if isinstance(text, str) else text, lower=not cased)
 
     def put_aside(word: Column, following: Column) -> Column:
-        inner = following.isNotNull() & has_period(word) & ~ends_sentence(word, following, model, cased)
+        # most words have no period at all: the patterns run for the others
+        inner = following.isNotNull() & F.contains(word, F.lit(".")) & has_period(word) & ~ends_sentence(word, following, model, cased)
         return F.when(inner, F.regexp_replace(word, LAST_PERIOD, ASIDE + "$1")).otherwise(word)
     kept = F.array_join(_neighbours(w, put_aside), " ")
     return F.transform(treebank_tokens(kept), lambda t: F.replace(t, F.lit(ASIDE), F.lit(".")))

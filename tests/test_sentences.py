@@ -61,6 +61,19 @@ def test_scores_against_plain_python(spark):
         assert found[k][:2] == v[:2] and found[k][2] == pytest.approx(v[2], rel=1e-9, abs=1e-12)
 
 
+def test_patterns_run_on_distinct_words(spark):
+    # occurrences are counted as written before any pattern: the plan aggregates words below the patterns
+    counted = se.word_counts(text_df(spark, ["Dr. Dr. dr (dr.) 7 7. ...", None, ""]).repartition(3))
+    assert {(r.type, r.n, r.n_period) for r in counted.collect()} == {("dr", 4, 3), (se.NUMBER, 2, 1)}
+    plan = counted._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [") == 2 and plan.rindex("Aggregate [w#") > plan.index("regexp_replace")
+
+
+def test_words_are_made_once_per_text(spark):
+    df = text_df(spark, ["a b. c"]).select(se.sentence_tokens(F.col("text"), se.SentenceModel()).alias("t"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("array_remove") == 1
+
+
 def test_abbreviations_and_starters(model):
     assert {"dr", "e.g", "u.s"} <= model.abbreviations and not model.abbreviations & set(NOUNS)
     assert {"the", "however", "it"} & model.starters and not model.starters & {n.lower() for n in NAMES}
