@@ -32,7 +32,10 @@ class Staged(WriterCommitMessage):
 
 
 class StagedWriter(DataSourceArrowWriter):
-    """Subclasses yield (final name, chunks of bytes) from a task's batches; a name must come from one task alone."""
+    """Subclasses yield (final name, chunks of bytes) from a task's batches; a name must come from one task alone.
+
+    Tasks that overwrite ``write`` may share a staged file, which then has one final name.
+    """
 
     def __init__(self, path: str, overwrite: bool):
         self.path, self.overwrite = path, overwrite
@@ -68,7 +71,7 @@ class StagedWriter(DataSourceArrowWriter):
 
     def commit(self, messages: list) -> None:
         fs, root = open_fs(self.path)
-        files = [f for m in messages if m is not None for f in m.files]
+        files = sorted({f for m in messages if m is not None for f in m.files})  # a file may have been written by several tasks
         finals = [final for _, final in files]
         if len(set(finals)) != len(finals):
             self.abort(messages)

@@ -3,6 +3,7 @@
 import os
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -103,6 +104,76 @@ def test_a_failed_task_leaves_nothing(spark, tmp_out):
     assert not os.path.exists(f"{tmp_out}/f") or os.listdir(f"{tmp_out}/f") == []
 
 
+def shard_bytes(folder):
+    return {f: open(f"{folder}/{f}", "rb").read() for f in os.listdir(folder)}
+
+
+@pytest.fixture()
+def placed(monkeypatch):
+    """What ``write_shards`` puts together, call by call."""
+    calls, real = [], shards._placed
+    monkeypatch.setattr(shards, "_placed", lambda *a: calls.append(real(*a)) or calls[-1])
+    return calls
+
+
+def test_a_large_shard_is_written_in_pieces_even_in_bytes(spark, tmp_out, placed):
+    # nearly all bytes in the last tenth of one shard's keys
+    rows = [(i, 1 if i % 50 == 0 else 2, "é" * (600 if i > 3600 else 3) + str(i)) for i in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, shard int, value string").repartition(5)
+    shards.write_shards(df, f"{tmp_out}/s", F.col("shard"), ["doc_id"], 4, piece_bytes=20_000)
+    want = {f"selected_samples_{k}.jsonl": b"".join(v.encode() + b"\n" for _, s, v in rows if s == k) for k in (1, 2)}
+    assert shard_bytes(f"{tmp_out}/s") == want
+    sizes = [size for _, _, size, _ in placed[0]]
+    assert sum(sizes) == sum(map(len, want.values())) and len(sizes) > 15 and max(sizes) < 60_000
+
+
+def test_repeated_and_null_keys_do_not_hold_a_shard_together(spark, tmp_out, placed):
+    rows = [(None if i % 2 else 7, f"line {i} " + "x" * 90) for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, value string").repartition(3)
+    shards.write_shards(df, f"{tmp_out}/s", F.lit(0), ["doc_id"], 1, piece_bytes=10_000)
+    found = shard_bytes(f"{tmp_out}/s")["selected_samples_0.jsonl"].decode().splitlines()
+    assert set(found[:1000]) == {v for d, v in rows if d is None} and set(found[1000:]) == {v for d, v in rows if d == 7}
+    assert len(found) == 2000 and max(size for _, _, size, _ in placed[0]) < 40_000
+
+
+def test_shards_beyond_the_number_given_are_cut_too(spark, tmp_out, placed):
+    df = spark.range(300).select(F.col("id").alias("doc_id"), F.repeat(F.lit("y"), 99).alias("value"))
+    shards.write_shards(df, f"{tmp_out}/s", F.col("doc_id") % 30, ["doc_id"], 1, piece_bytes=1000)
+    assert {f: len(b) for f, b in shard_bytes(f"{tmp_out}/s").items()} == {f"selected_samples_{k}.jsonl": 1000 for k in range(30)}
+
+
+def test_existing_shards_stay_on_append_and_go_on_overwrite(spark, tmp_out):
+    df = spark.range(8).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("value"))
+    shards.write_shards(df, f"{tmp_out}/s", F.col("doc_id") % 2, ["doc_id"], 2)
+    first = shard_bytes(f"{tmp_out}/s")
+    with pytest.raises(PySparkException):
+        shards.write_shards(df.limit(3), f"{tmp_out}/s", F.col("doc_id") % 2, ["doc_id"], 2)
+    assert shard_bytes(f"{tmp_out}/s") == first
+    shards.write_shards(df.where("doc_id < 3"), f"{tmp_out}/s", F.lit(1), ["doc_id"], 2, mode="overwrite")
+    assert shard_bytes(f"{tmp_out}/s") == {"selected_samples_1.jsonl": b"0\n1\n2\n"}
+    shards.write_shards(df.where("doc_id < 0"), f"{tmp_out}/s", F.lit(1), ["doc_id"], 2, mode="overwrite")
+    assert shard_bytes(f"{tmp_out}/s") == {}
+
+
+@pytest.mark.parametrize("ranges", [True, False])
+def test_pieces_are_joined_by_ranges_or_by_one_stream(tmp_out, ranges, monkeypatch):
+    monkeypatch.setattr(shards, "writes_ranges", lambda fs: ranges)
+    os.makedirs(f"{tmp_out}/p")
+    for name, data in {"0_9": b"b\n", "0_10": b"c\n", "0_2": b"a\n", "3_1": b"d\n"}.items():
+        with open(f"{tmp_out}/p/{name}", "wb") as f:
+            f.write(data)
+    rows = shards._placed(tmp_out, "p")
+    assert len(rows) == (4 if ranges else 2)
+    writer = shards.ShardWriter(tmp_out, False)
+    batches = [pa.RecordBatch.from_pylist([dict(zip(("shard", "start", "size", "files"), r))]) for r in reversed(rows)]
+    # a second attempt of the first row writes the same bytes
+    if ranges:
+        writer.write(iter(batches[:1]))
+    writer.commit([writer.write(iter([b])) for b in batches])
+    assert sorted(os.listdir(tmp_out)) == ["p", "selected_samples_0.jsonl", "selected_samples_3.jsonl"]
+    assert [open(f"{tmp_out}/selected_samples_{k}.jsonl", "rb").read() for k in (0, 3)] == [b"a\nb\nc\n", b"d\n"]
+
+
 class Half(staged.StagedWriter):
     def owns(self, name):
         return True
